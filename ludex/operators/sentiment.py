@@ -112,7 +112,8 @@ def add_compound(df: DataFrame, text_col: str, lex: Column, out: str = "compound
                    .when(i < but_at, F.lit(BUT_BEFORE))
                    .when(i > but_at, F.lit(BUT_AFTER))
                    .otherwise(F.lit(1.0)))
-        return s * weight
+        # Rules only run for lexicon words; every other token scores null.
+        return F.when(v.isNotNull(), s * weight)
 
     scores = F.transform(toks, word_score)
     total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))

@@ -206,8 +206,8 @@ pairs AS (
 
 
 def _k1(where: str, keys: str) -> str:
-    return (f"SELECT {keys}, count(*) AS item_count, count_if(price = 0) AS free_items, "
-            f"{_pct_label('count_if(price = 0) / count(*)')} AS free_content "
+    return (f"SELECT {keys}, count(*) AS item_count, count(*) FILTER (WHERE price = 0) AS free_items, "
+            f"{_pct_label('count(*) FILTER (WHERE price = 0) / count(*)')} AS free_content "
             f"FROM games WHERE {where} GROUP BY {keys}")
 
 
@@ -332,7 +332,7 @@ ORACLE_SQL: dict[str, str] = {
         "AND recommend IS NOT NULL AND sentiment IS NOT NULL AND review_date IS NOT NULL AND review_year IS NOT NULL "
         "GROUP BY review_date"),
     "sentiment_counts_per_item": _with(
-        "SELECT item_id, count_if(sentiment = 2) AS positive, count_if(sentiment = 0) AS negative "
+        "SELECT item_id, count(*) FILTER (WHERE sentiment = 2) AS positive, count(*) FILTER (WHERE sentiment = 0) AS negative "
         "FROM reviews GROUP BY item_id"),
     "value_percentages": _with(
         "SELECT genre, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM genres_x), 2) AS pct "
@@ -383,13 +383,13 @@ ORACLE_SQL: dict[str, str] = {
     "normalize_scores": _with("SELECT user_id, item, round(v, 6) AS v FROM nz", _RECO),
     "item_similarity": _with("SELECT item_a, item_b, sim FROM pairs", _RECO),
     "similar_items_topk": _with(
-        "SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY sim DESC, similar ASC) AS INTEGER) AS rank, "
-        "similar, sim FROM (SELECT item_a AS item, item_b AS similar, sim FROM pairs "
-        "UNION ALL SELECT item_b AS item, item_a AS similar, sim FROM pairs) b QUALIFY rank <= 5", _RECO),
+        "SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY sim DESC, \"similar\" ASC) AS INTEGER) AS rank, "
+        "\"similar\", sim FROM (SELECT item_a AS item, item_b AS \"similar\", sim FROM pairs "
+        "UNION ALL SELECT item_b AS item, item_a AS \"similar\", sim FROM pairs) b QUALIFY rank <= 5", _RECO),
     "recommend_item": _with(
-        f"SELECT '{C.ITEM}' AS item, CAST(row_number() OVER (ORDER BY sim DESC, similar ASC) AS INTEGER) AS rank, "
-        "similar, sim FROM ("
-        "  SELECT i.item AS similar, COALESCE(p.sim, 0.0::DOUBLE) + 0.0 AS sim"
+        f"SELECT '{C.ITEM}' AS item, CAST(row_number() OVER (ORDER BY sim DESC, \"similar\" ASC) AS INTEGER) AS rank, "
+        "\"similar\", sim FROM ("
+        "  SELECT i.item AS \"similar\", COALESCE(p.sim, 0.0::DOUBLE) + 0.0 AS sim"
         "  FROM (SELECT DISTINCT item FROM ui) i LEFT JOIN ("
         f"    SELECT item_b AS other, sim FROM pairs WHERE item_a = '{C.ITEM}'"
         f"    UNION ALL SELECT item_a AS other, sim FROM pairs WHERE item_b = '{C.ITEM}') p ON i.item = p.other"
@@ -421,12 +421,12 @@ ORACLE_SQL: dict[str, str] = {
         "pd AS (SELECT c.review_year, d.developer, CAST(sum(c.n) AS BIGINT) AS positive_reviews "
         "       FROM cnt c JOIN devs d ON c.item_id = d.item_id GROUP BY c.review_year, d.developer)"),
     "developer_reviews_analysis": _with(
-        "SELECT d.developer, count_if(r.sentiment = 0) AS negative, count_if(r.sentiment = 2) AS positive "
+        "SELECT d.developer, count(*) FILTER (WHERE r.sentiment = 0) AS negative, count(*) FILTER (WHERE r.sentiment = 2) AS positive "
         f"FROM devs d LEFT JOIN reviews r ON d.item_id = r.item_id WHERE d.developer_lc = '{C.DEVELOPER.lower()}' "
         "GROUP BY d.developer"),
     "developer_reviews_all": _with(
         "SELECT d.developer, CAST(COALESCE(sum(c.neg), 0) AS BIGINT) AS negative, "
         "CAST(COALESCE(sum(c.pos), 0) AS BIGINT) AS positive "
-        "FROM devs d LEFT JOIN (SELECT item_id, count_if(sentiment = 0) AS neg, count_if(sentiment = 2) AS pos "
+        "FROM devs d LEFT JOIN (SELECT item_id, count(*) FILTER (WHERE sentiment = 0) AS neg, count(*) FILTER (WHERE sentiment = 2) AS pos "
         "FROM reviews GROUP BY item_id) c ON d.item_id = c.item_id GROUP BY d.developer"),
 }
