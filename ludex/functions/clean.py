@@ -43,9 +43,38 @@ UNKNOWN_YEAR_LABEL = "no data"
 _NUMERIC_TEXT = r"^[0-9.]+$"
 
 
+def _shape(fmt: str) -> str:
+    """A regex accepting every string ``fmt`` can parse (and more): numbers become digit
+    runs, month names letter runs, other characters stay literal."""
+    out, i = "^", 0
+    while i < len(fmt):
+        ch = fmt[i]
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        if ch == "y":
+            out += "[+-]?[0-9]+"
+        elif ch in "dHhms" or (ch == "M" and j - i <= 2):
+            out += "[0-9]+"
+        elif ch == "M":
+            out += "[A-Za-z]+"
+        else:
+            out += "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in fmt[i:j])
+        i = j
+    return out + "$"
+
+
 def parse_mixed_dates(c: Column, formats=DATE_FORMATS) -> Column:
-    """Text in any of ``formats`` -> DATE; anything else (or null) -> null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
+    """Text in any of ``formats`` -> DATE; anything else (or null) -> null.
+
+    Each format is tried only on strings of its shape: a failed parse is expensive (it
+    raises inside the parser), a regex test is not, and the shape test never rejects a
+    string the format could parse, so the result is the same. The text is bound once
+    (a one-element lambda) so a long text expression is not re-evaluated per format,
+    also where the optimizer copies the parse into a filter or join condition."""
+    def parse(t: Column) -> Column:
+        return F.coalesce(*[F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats])
+    return F.transform(F.array(c), parse)[0].cast("date")
 
 
 def release_year(date_col: Column) -> Column:

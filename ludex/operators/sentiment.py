@@ -5,7 +5,7 @@ Parsimonious Rule-based Model for Sentiment Analysis of Social Media Text" (ICWS
 The valence word list is an *input table* ``(token, valence)``: the source project
 downloads it at run time and does not ship it.
 
-Rules implemented (all per document, inside one row — no shuffle):
+Rules implemented:
   * valence of each lexicon word;
   * booster words within the three preceding tokens add (or subtract) a fixed step,
     damped by distance;
@@ -17,9 +17,13 @@ Rules implemented (all per document, inside one row — no shuffle):
 Not implemented: all-caps emphasis (tokens are lower-cased first), idioms, emoji, and
 multi-word boosters. Numeric equality with the original library cannot be checked here.
 
-The lexicon is turned into one map literal after a size check, so scoring is a pure
-projection: it runs in the scan stage with no join and no shuffle, whatever the corpus
-size. Lexicons above ``MAX_LEXICON`` entries are refused rather than shipped.
+Plan: every document's tokens are exploded with their three predecessors (taken from the
+token array inside the row, so no window and no self-join), joined to the lexicon (a hash
+join; the lexicon is broadcast when its row count is within ``MAX_BROADCAST_LEXICON``),
+scored by the rules, and summed per document. A document's tokens sit in one input
+partition, so the map-side partial aggregate collapses them to one row before the
+shuffle. A word list of any size works: the lexicon is never turned into a map literal
+(a map lookup is a linear scan of its keys, see README).
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ BOOSTERS_DOWN = (
 )
 # ---------------------------------------------------------------------------
 
-MAX_LEXICON = 100_000
+MAX_BROADCAST_LEXICON = 2_000_000
 TOKEN_PATTERN = "[^a-z]+"
 
 
@@ -70,65 +74,81 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_PATTERN), lambda t: t != F.lit(""))
 
 
-def lexicon_map(lexicon: DataFrame, max_entries: int = MAX_LEXICON) -> Column:
-    """``(token, valence)`` rows -> one map literal. The row count is checked first; the
-    table is only brought to the driver when it is within ``max_entries``."""
-    n = lexicon.count()
-    if n > max_entries:
-        raise ValueError(f"lexicon has {n} entries, above the {max_entries} bound for a map literal")
-    rows = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double")) \
-                  .dropDuplicates(["token"]).collect()
-    if not rows:
-        return F.create_map().cast("map<string,double>")
-    return F.map_from_arrays(F.array(*[F.lit(r.token) for r in rows]),
-                             F.array(*[F.lit(float(r.valence)) for r in rows]))
+def prepare_lexicon(lexicon: DataFrame, max_broadcast: int | None = None) -> DataFrame:
+    """``(token, valence)`` -> ``(_t, _v)`` with lower-cased, distinct tokens. Marked for
+    broadcast only after its row count is checked against ``max_broadcast``; a larger
+    list is joined by shuffle."""
+    if max_broadcast is None:
+        max_broadcast = MAX_BROADCAST_LEXICON
+    lex = (lexicon.select(F.lower("token").alias("_t"), F.col("valence").cast("double").alias("_v"))
+                  .groupBy("_t").agg(F.max("_v").alias("_v")))
+    return F.broadcast(lex) if lexicon.count() <= max_broadcast else lex
 
 
 def _in(word: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(word.isin(*words), F.lit(False))
 
 
-def add_compound(df: DataFrame, text_col: str, lex: Column, out: str = "compound") -> DataFrame:
-    """Add the compound polarity in [-1, 1] of ``text_col`` (0 for no lexicon words,
-    null for null text). Tokens and the contrast position are materialised as columns
-    first, so the per-token lambda reads them instead of re-splitting the text."""
+def _token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """One row per token (one null row for a text without tokens): key, the text's "!"
+    and "?" counts, the contrast position, token position ``_i``, token ``_tok`` and the
+    three preceding tokens ``_p1.._p3``."""
     text = F.col(text_col)
-    staged = df.withColumn("_toks", tokens(text)) \
-               .withColumn("_but", F.array_position(F.col("_toks"), CONTRAST_WORD) - 1)  # 0-based, -1 absent
-    toks, but_at = F.col("_toks"), F.col("_but")
-
-    def word_score(t: Column, i: Column) -> Column:
-        v = F.try_element_at(lex, t)
-        prev = [F.get(toks, i - k) for k in (1, 2, 3)]
-        step = F.lit(0.0)
-        for p, damp in zip(prev, BOOSTER_DAMPING):
-            step = step + F.when(_in(p, BOOSTERS_UP), F.lit(BOOSTER_STEP * damp)) \
-                           .when(_in(p, BOOSTERS_DOWN), F.lit(-BOOSTER_STEP * damp)) \
-                           .otherwise(F.lit(0.0))
-        boosted = v + F.signum(v) * step
-        negated = F.exists(F.array(*prev), lambda p: _in(p, NEGATIONS))
-        s = F.when(negated, boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
-        weight = (F.when(but_at < 0, F.lit(1.0))
-                   .when(i < but_at, F.lit(BUT_BEFORE))
-                   .when(i > but_at, F.lit(BUT_AFTER))
-                   .otherwise(F.lit(1.0)))
-        # Rules only run for lexicon words; every other token scores null.
-        return F.when(v.isNotNull(), s * weight)
-
-    scores = F.transform(toks, word_score)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    bangs = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
-    quests = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
+    staged = docs.select(
+        F.col(key), text.isNull().alias("_null"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("_bangs"),
+        (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("_quests"),
+        tokens(text).alias("_toks"))
+    staged = staged.withColumn("_but", F.array_position("_toks", CONTRAST_WORD) - 1)  # 0-based, -1 absent
+    # Predecessor k of every token: the token array shifted right by k (native array
+    # functions, no per-element lambda), zipped with the tokens and exploded once.
+    n = F.size("_toks")
+    for k in (1, 2, 3):
+        pad = F.array(*[F.lit(None).cast("string")] * k)
+        staged = staged.withColumn(f"_p{k}", F.slice(F.concat(pad, F.col("_toks")), 1, n))
+    staged = staged.withColumnRenamed("_toks", "_tok")
+    zipped = F.arrays_zip("_tok", "_p1", "_p2", "_p3")
+    return (staged.select(key, "_null", "_bangs", "_quests", "_but", F.posexplode_outer(zipped).alias("_i", "_w"))
+                  .select(key, "_null", "_bangs", "_quests", "_but", "_i", "_w.*"))
+
+
+def _word_score() -> Column:
+    """Score of one lexicon word after boosters, negation and contrast weighting."""
+    v = F.col("_v")
+    prev = [F.col("_p1"), F.col("_p2"), F.col("_p3")]
+    step = F.lit(0.0)
+    for p, damp in zip(prev, BOOSTER_DAMPING):
+        step = step + F.when(_in(p, BOOSTERS_UP), F.lit(BOOSTER_STEP * damp)) \
+                       .when(_in(p, BOOSTERS_DOWN), F.lit(-BOOSTER_STEP * damp)) \
+                       .otherwise(F.lit(0.0))
+    boosted = v + F.signum(v) * step
+    negated = _in(prev[0], NEGATIONS) | _in(prev[1], NEGATIONS) | _in(prev[2], NEGATIONS)
+    s = F.when(negated, boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
+    i, b = F.col("_i"), F.col("_but")
+    weight = (F.when(b < 0, F.lit(1.0)).when(i < b, F.lit(BUT_BEFORE))
+               .when(i > b, F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
+    return s * weight
+
+
+def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``key, compound`` for every row of ``docs`` (``key`` must identify a text):
+    polarity in [-1, 1], 0 when no lexicon word occurs, null for a null text."""
+    rows = _token_rows(docs, key, text_col)
+    lex = prepare_lexicon(lexicon)
+    hits = rows.join(lex, rows["_tok"] == lex["_t"], "left")
+    # Non-lexicon tokens add nothing; one row per text (its first) still carries the counts.
+    hits = hits.where(F.col("_v").isNotNull() | F.coalesce(F.col("_i") == 0, F.lit(True)))
+    agg = hits.groupBy(key).agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), _word_score())), F.lit(0.0)).alias("_total"),
+        F.max("_bangs").alias("_bangs"), F.max("_quests").alias("_quests"), F.max("_null").alias("_null"))
+    tot, bangs, quests = F.col("_total"), F.col("_bangs"), F.col("_quests")
     amp = (F.least(bangs, F.lit(EXCLAMATION_MAX)) * F.lit(EXCLAMATION_STEP)
            + F.when(quests <= 1, F.lit(0.0))
               .when(quests <= QUESTION_MAX_COUNT, quests * F.lit(QUESTION_STEP))
               .otherwise(F.lit(QUESTION_CAP)))
-    staged = staged.withColumn("_total", total).withColumn("_amp", amp)
-    tot, a = F.col("_total"), F.col("_amp")
-    s = F.when(tot > 0, tot + a).when(tot < 0, tot - a).otherwise(tot)
-    c = s / F.sqrt(s * s + F.lit(ALPHA))
-    c = F.when(text.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-    return staged.withColumn(out, c).drop("_toks", "_but", "_total", "_amp")
+    s = F.when(tot > 0, tot + amp).when(tot < 0, tot - amp).otherwise(tot)
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + F.lit(ALPHA))))
+    return agg.select(key, F.when(F.col("_null"), F.lit(None).cast("double")).otherwise(c).alias("compound"))
 
 
 def sentiment_class(score: Column) -> Column:
@@ -138,7 +158,26 @@ def sentiment_class(score: Column) -> Column:
              .otherwise(F.lit(1))).cast("int")
 
 
-def score_texts(df: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``compound`` and ``sentiment`` columns to every row of ``df``."""
-    scored = add_compound(df, text_col, lexicon_map(lexicon))
-    return scored.withColumn("sentiment", sentiment_class(F.col("compound")))
+def score_texts(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key, compound, sentiment`` for a table whose ``key`` identifies each text."""
+    scores = compound_scores(df, key, text_col, lexicon)
+    return scores.withColumn("sentiment", sentiment_class(F.col("compound")))
+
+
+def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "sentiment") -> DataFrame:
+    """Replace the text column by a sentiment class, for a table without a text key
+    (e.g. reviews).
+
+    A text's score depends on the text alone, so distinct texts are scored once — keyed
+    by two independent 64/32-bit hashes and the length (no practical collision), with
+    map-side de-duplication before the shuffle — and joined back to the rows."""
+    key = F.concat_ws(":", F.xxhash64(F.col(text_col)).cast("string"), F.hash(F.col(text_col)).cast("string"),
+                      F.length(F.col(text_col)).cast("string"))
+    keyed = df.withColumn("_rk", key)
+    # (key, text) pairs are distinct exactly when texts are; grouping on both keeps the
+    # de-duplication a hash aggregate.
+    texts = keyed.where(F.col(text_col).isNotNull()).select("_rk", text_col).distinct()
+    scores = compound_scores(texts, "_rk", text_col, lexicon)
+    return (keyed.drop(text_col).join(scores, "_rk", "left")
+                 .withColumn(out, sentiment_class(F.col("compound")))
+                 .drop("_rk", "compound"))

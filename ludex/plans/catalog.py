@@ -268,7 +268,7 @@ def build_reviews_pre(spark, d):
 def derive_reviews(spark, d):
     b = Bound(spark, d)
     pre = T.explode_reviews(T.build_user_reviews(B.review_lines(spark, d)))
-    return T.derive_reviews(pre, sentiment.lexicon_map(b.lexicon))
+    return T.derive_reviews(pre, b.lexicon)
 
 
 # =========================================================================== joins
@@ -412,7 +412,7 @@ def top20_items_count(spark, d):
 @query
 def sentiment_compound(spark, d):
     b = Bound(spark, d)
-    s = sentiment.score_texts(B.review_texts(spark, d), b.lexicon)
+    s = sentiment.compound_scores(B.review_texts(spark, d), "doc_id", "text", b.lexicon)
     return s.select("doc_id", F.round("compound", 6).alias("compound"))
 
 

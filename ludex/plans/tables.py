@@ -8,7 +8,7 @@ access, which is null-safe.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludex.functions import clean
@@ -88,17 +88,15 @@ def explode_reviews(nested: DataFrame) -> DataFrame:
     r = nested.select("user_id", "user_url", F.explode_outer("reviews").alias("r"))
     r = r.where(F.col("r.review").isNotNull())
     d = clean.parse_mixed_dates(clean.strip_prefix(F.col("r.posted")))
-    return r.select("user_id", "user_url",
+    flat = r.select("user_id", "user_url",
                     F.col("r.review").alias("review"),
                     F.col("r.recommend").alias("recommend"),
                     F.col("r.item_id").alias("item_id"),
-                    d.alias("review_date"),
-                    F.year(d).alias("review_year"))
+                    d.alias("review_date"))
+    return flat.withColumn("review_year", F.year("review_date"))
 
 
-def derive_reviews(pre: DataFrame, lexicon_map: Column) -> DataFrame:
-    """Reviews with a sentiment class (0/1/2) from the review text; text and URL
-    dropped. Scoring is a per-row expression, so this adds no shuffle."""
-    scored = sentiment.add_compound(pre, "review", lexicon_map, out="_compound")
-    return (scored.withColumn("sentiment", sentiment.sentiment_class(F.col("_compound")))
-                  .drop("_compound", "review", "user_url"))
+def derive_reviews(pre: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Reviews with a sentiment class (0/1/2) from the review text (null text -> 1);
+    text and URL dropped."""
+    return sentiment.classify_rows(pre, "review", lexicon).drop("user_url")

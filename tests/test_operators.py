@@ -97,13 +97,10 @@ def test_cosine_matches_dense_embeddings(spark):
     assert sims[("0", "1")] == pytest.approx(want, abs=1e-6)
 
 
-def lex(spark, rows):
-    return sentiment.lexicon_map(spark.createDataFrame(rows, schemas.LEXICON))
-
-
 def compounds(spark, texts, lexrows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    out = sentiment.add_compound(df, "text", lex(spark, lexrows)).orderBy("i")
+    lex = spark.createDataFrame(lexrows, schemas.LEXICON)
+    out = sentiment.compound_scores(df, "i", "text", lex).orderBy("i")
     return [r.compound for r in out.collect()]
 
 
@@ -128,10 +125,23 @@ def test_sentiment_class_thresholds(spark):
     assert got == [2, 1, 0, 1]
 
 
-def test_lexicon_size_is_checked(spark):
-    big = spark.range(11).select(F.col("id").cast("string").alias("token"), F.lit(1.0).alias("valence"))
-    with pytest.raises(ValueError):
-        sentiment.lexicon_map(big, max_entries=10)
+def test_large_lexicon_is_joined_not_broadcast(spark, monkeypatch):
+    texts = ["good game", "bad but good", "not bad", ""]
+    L = [("good", 1.9), ("bad", -2.5)] + [(f"w{i}", 0.1) for i in range(50)]
+    want = compounds(spark, texts, L)
+    monkeypatch.setattr(sentiment, "MAX_BROADCAST_LEXICON", 10)
+    lex = sentiment.prepare_lexicon(spark.createDataFrame(L, schemas.LEXICON), max_broadcast=10)
+    assert "broadcast" not in lex._jdf.queryExecution().logical().toString().lower()
+    assert compounds(spark, texts, L) == want
+
+
+def test_classify_rows_scores_each_text_once(spark):
+    rows = [("u1", "good"), ("u2", "good"), ("u3", "bad"), ("u4", None)]
+    df = spark.createDataFrame(rows, "user_id string, review string")
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], schemas.LEXICON)
+    got = dict((r.user_id, r.sentiment) for r in sentiment.classify_rows(df, "review", lex).collect())
+    assert got == {"u1": 2, "u2": 2, "u3": 0, "u4": 1}
+    assert "review" not in sentiment.classify_rows(df, "review", lex).columns
 
 
 def test_literal_lines_quarantine(spark):
