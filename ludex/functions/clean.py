@@ -69,12 +69,9 @@ def parse_mixed_dates(c: Column, formats=DATE_FORMATS) -> Column:
 
     Each format is tried only on strings of its shape: a failed parse is expensive (it
     raises inside the parser), a regex test is not, and the shape test never rejects a
-    string the format could parse, so the result is the same. The text is bound once
-    (a one-element lambda) so a long text expression is not re-evaluated per format,
-    also where the optimizer copies the parse into a filter or join condition."""
-    def parse(t: Column) -> Column:
-        return F.coalesce(*[F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats])
-    return F.transform(F.array(c), parse)[0].cast("date")
+    string the format could parse, so the result is the same."""
+    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f)))
+                        for f in formats]).cast("date")
 
 
 def release_year(date_col: Column) -> Column:

@@ -95,7 +95,9 @@ def json_flatten(spark, d):
 @query
 def ingest_literal_lines(spark, d):
     """A3: Python-literal lines -> typed nested rows (quarantine empty here), exploded."""
-    rows, _bad = literal_lines.ingest_literal_lines(B.library_literal_lines(spark, d), schemas.LIBRARY)
+    lines = B.library_literal_lines(spark, d)   # built by an aggregation: spread before parsing
+    rows, _bad = literal_lines.ingest_literal_lines(lines, schemas.LIBRARY,
+                                                    partitions=4 * spark.sparkContext.defaultParallelism)
     return (rows.select("user_id", F.explode_outer("items").alias("it"))
                 .select("user_id", F.col("it.item_id").alias("item_id"),
                         F.col("it.playtime_forever").alias("playtime_forever")))

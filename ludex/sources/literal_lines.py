@@ -39,16 +39,28 @@ def _to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"line": lines, "json": js, "error": errs})
 
 
-def parse_literal_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``line, json, error`` for every input line (json null when error is not)."""
-    return lines.select(F.col(column).cast("string").alias("line")).mapInPandas(_to_json, _PARSED)
+def parse_literal_lines(lines: DataFrame, column: str = "value", partitions: int | None = None) -> DataFrame:
+    """``line, json, error`` for every input line (json null when error is not).
 
+    The parse is CPU-bound per line. Text-file scans already split the input evenly;
+    lines coming out of an aggregation may sit in a few byte-sized partitions, so
+    ``partitions`` spreads them round-robin over that many tasks first."""
+    src = lines.select(F.col(column).cast("string").alias("line"))
+    if partitions:
+        src = src.repartition(partitions)
+    return src.mapInPandas(_to_json, _PARSED)
 
-def ingest_literal_lines(lines: DataFrame, schema: StructType, column: str = "value") -> tuple[DataFrame, DataFrame]:
+
+def ingest_literal_lines(lines: DataFrame, schema: StructType, column: str = "value",
+                         partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(rows, quarantine)``: typed rows for lines that parse, and
-    ``line, error`` for those that do not. Persist the input first if both outputs are
-    consumed, so the Python pass runs once."""
-    parsed = parse_literal_lines(lines, column)
+    ``line, error`` for those that do not. Consume both from a written table (see
+    ``plans.etl``) so the Python pass runs once."""
+    return split_parsed(parse_literal_lines(lines, column, partitions), schema)
+
+
+def split_parsed(parsed: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """``parse_literal_lines`` output -> typed rows (JVM-side ``from_json``) and quarantine."""
     rows = parsed.where(F.col("error").isNull()) \
                  .select(F.from_json("json", schema).alias("_r")).select("_r.*")
     quarantine = parsed.where(F.col("error").isNotNull()).select("line", "error")

@@ -1,0 +1 @@
+"""Incremental ingest: the same line parsers over files as they land (Structured Streaming)."""
