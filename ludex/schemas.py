@@ -13,9 +13,9 @@ CATALOGUE = StructType([
     StructField("release_date", StringType()),
 ])
 
+# Keys not declared here (e.g. other ids in the raw lines) are ignored on read.
 LIBRARY = StructType([
     StructField("user_id", StringType()),
-    StructField("steam_id", StringType()),
     StructField("user_url", StringType()),
     StructField("items_count", LongType()),
     StructField("items", ArrayType(StructType([

@@ -100,14 +100,13 @@ def user_item_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested library lines, one per order: ``user_id, steam_id, user_url, items_count,
+    """Nested library lines, one per order: ``user_id, user_url, items_count,
     items: array<struct<item_id, playtime_forever>>``."""
     j = _order_lines(spark, sf_dir)
     item = F.struct(_item_key().alias("item_id"), _playtime_minutes().alias("playtime_forever"))
     return (j.groupBy("o_orderkey", "o_custkey")
              .agg(F.count(_item_key()).alias("items_count"), F.collect_list(item).alias("items"))
              .select(F.col("o_custkey").alias("user_id"),
-                     F.col("o_orderkey").alias("steam_id"),
                      F.concat(F.lit("profiles/"), F.col("o_custkey").cast("string")).alias("user_url"),
                      "items_count", "items"))
 
@@ -183,7 +182,6 @@ def library_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", 'playtime_forever': "), _py_int(it["playtime_forever"]), F.lit("}")))
     value = F.concat(
         F.lit("{'user_id': u'"), F.col("user_id").cast("string"),
-        F.lit("', 'steam_id': '"), F.col("steam_id").cast("string"),
         F.lit("', 'user_url': '"), F.col("user_url"),
         F.lit("', 'items_count': "), F.col("items_count").cast("string"),
         F.lit(", 'items': ["), F.array_join(item_txt, ", "), F.lit("]}"))

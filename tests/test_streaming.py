@@ -12,7 +12,7 @@ def test_stream_literal_lines_with_quarantine(spark):
     landing = os.path.join(root, "landing")
     os.makedirs(landing)
     with open(os.path.join(landing, "part-0.txt"), "w") as f:
-        f.write("{'user_id': u'a', 'steam_id': '1', 'user_url': 'x', 'items_count': 1, "
+        f.write("{'user_id': u'a', 'user_url': 'x', 'items_count': 1, "
                 "'items': [{'item_id': '10', 'playtime_forever': 60}]}\n")
         f.write("{broken\n")
     q = ingest.stream_literal_lines(spark, landing, schemas.LIBRARY, os.path.join(root, "out"),
@@ -25,7 +25,7 @@ def test_stream_literal_lines_with_quarantine(spark):
 
     # A second run picks up only the new file.
     with open(os.path.join(landing, "part-1.txt"), "w") as f:
-        f.write("{'user_id': u'b', 'steam_id': '2', 'user_url': 'y', 'items_count': 0, 'items': []}\n")
+        f.write("{'user_id': u'b', 'user_url': 'y', 'items_count': 0, 'items': []}\n")
     q = ingest.stream_literal_lines(spark, landing, schemas.LIBRARY, os.path.join(root, "out"),
                                     os.path.join(root, "ckpt"))
     q.awaitTermination(120)
