@@ -69,8 +69,7 @@ def materialize_all(spark: SparkSession, catalogue_path: str, libraries_path: st
                   partition_by=["review_year"], cluster_by=["item_id"])
 
     # Long scores and top-k similar items.
-    scores = put("scores", recommend.user_item_scores(reviews, games))
-    w = recommend.unit_weights(recommend.normalize_scores(scores))
-    pairs = put("pairs", recommend.item_pairs(w).select("item_a", "item_b", recommend.rounded_sim(F.col("sim")).alias("sim")))
+    put("scores", recommend.user_item_scores(reviews, games))
+    pairs = put("pairs", recommend.item_similarity(reviews, games))
     put("similar", recommend.top_k_similar(pairs, top_k), cluster_by=["item"])
     return paths

@@ -178,4 +178,4 @@ def recommend_item(reviews: DataFrame, games: DataFrame, item: str, k: int = 5)
 
 def similar_items_topk(reviews: DataFrame, games: DataFrame, k: int = 5) -> DataFrame:
     """K6 batch: top ``k`` stored partners for every item."""
-    return recommend.top_k_similar(recommend.item_similarity(reviews, games), k)
+    return recommend.similar_items_topk(reviews, games, k)
