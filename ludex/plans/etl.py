@@ -22,7 +22,6 @@ chain never recomputes the raw parse.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ludex import schemas
 from ludex.operators import recommend
@@ -45,30 +44,32 @@ def materialize_all(spark: SparkSession, catalogue_path: str, libraries_path: st
 
     # T1-T5 from the catalogue (strict JSON lines).
     raw = json_lines.ingest_json_lines(spark, catalogue_path, schemas.CATALOGUE)
-    games = put("games", T.build_games(raw).withColumn("item_id", F.col("item_id")), cluster_by=["developer_lc"])
+    games = put("games", T.build_games(raw), cluster_by=["developer_lc"])
     put("price_report", T.unparsed_prices(raw))
     put("prices", T.build_prices(games))
     genres = put("genres", T.build_genres(games))
     put("genres_x", T.explode_genres(genres), cluster_by=["genre_lc"])
     put("devs", T.derive_game_dev(games), cluster_by=["developer_lc"])
 
-    # T6-T8 from the library lines (Python literals, bad lines quarantined).
-    lib_rows, lib_bad = literal_lines.read_literal_lines(spark, libraries_path, schemas.LIBRARY)
-    lib = put("libraries", lib_rows)   # parsed once; both outputs below read the written table
-    nested, counts = T.split_user_items(lib)
+    # T6-T8 from the library lines (Python literals). The parse is written once; typed
+    # rows and quarantined lines are both read from that table.
+    lib_parsed = put("libraries_parsed", literal_lines.parse_literal_lines(spark.read.text(libraries_path)))
+    lib_rows, lib_bad = literal_lines.split_parsed(lib_parsed, schemas.LIBRARY)
+    put("quarantine_libraries", lib_bad)
+    nested, counts = T.split_user_items(lib_rows)
     put("item_counts", counts)
     put("user_items", T.explode_user_items(nested), cluster_by=["user_id"])
-    put("quarantine_libraries", lib_bad)
 
     # T9-T11 from the review lines.
-    rev_rows, rev_bad = literal_lines.read_literal_lines(spark, reviews_path, schemas.REVIEWS)
+    rev_parsed = put("reviews_parsed", literal_lines.parse_literal_lines(spark.read.text(reviews_path)))
+    rev_rows, rev_bad = literal_lines.split_parsed(rev_parsed, schemas.REVIEWS)
+    put("quarantine_reviews", rev_bad)
     user_reviews = put("user_reviews", T.build_user_reviews(rev_rows))
     pre = put("reviews_pre", T.explode_reviews(user_reviews))
-    put("quarantine_reviews", rev_bad)
     reviews = put("reviews", T.derive_reviews(pre, lexicon),
                   partition_by=["review_year"], cluster_by=["item_id"])
 
-    # Long scores and top-k similar items.
+    # Long scores, stored pairs and top-k similar items.
     put("scores", recommend.user_item_scores(reviews, games))
     pairs = put("pairs", recommend.item_similarity(reviews, games))
     put("similar", recommend.top_k_similar(pairs, top_k), cluster_by=["item"])

@@ -188,3 +188,22 @@ def library_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("', 'items_count': "), F.col("items_count").cast("string"),
         F.lit(", 'items': ["), F.array_join(item_txt, ", "), F.lit("]}"))
     return lines.select(value.alias("value"))
+
+
+def _py_bool(c: Column) -> Column:
+    return F.when(c.isNull(), F.lit("None")).when(c, F.lit("True")).otherwise(F.lit("False"))
+
+
+def review_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review lines rendered as Python dict literals in a ``value`` column."""
+    lines = review_lines(spark, sf_dir)
+    rv_txt = F.transform("reviews", lambda r: F.concat(
+        F.lit("{'review': "), _py_text(r["review"]),
+        F.lit(", 'recommend': "), _py_bool(r["recommend"]),
+        F.lit(", 'item_id': "), _py_text(r["item_id"]),
+        F.lit(", 'posted': "), _py_text(r["posted"]), F.lit("}")))
+    value = F.concat(
+        F.lit("{'user_id': u'"), F.col("user_id").cast("string"),
+        F.lit("', 'user_url': '"), F.col("user_url"),
+        F.lit("', 'reviews': ["), F.array_join(rv_txt, ", "), F.lit("]}"))
+    return lines.select(value.alias("value"))

@@ -247,7 +247,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT CAST(o_custkey AS VARCHAR) AS user_id, "
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS item_id, "
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * 7 AS BIGINT) END AS playtime_forever FROM ol"),
-    "scan_projected": "SELECT p_partkey AS item_id, p_brand AS developer FROM part WHERE p_size = 10",
+    "scan_projected": "SELECT p_partkey AS item_id, p_brand AS developer FROM part",
     "parquet_roundtrip": _with("SELECT * FROM devs"),
     # ---------------------------------------------------------------- projection / cast
     "derive_game_dev": _with("SELECT * FROM devs"),
