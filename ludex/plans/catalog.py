@@ -439,6 +439,12 @@ def user_item_scores(spark, d):
     return s.select("user_id", "item", F.round("score", 6).alias("score"))
 
 
+@query
+def score_pivot(spark, d):
+    b = Bound(spark, d)
+    return recommend.score_pivot(recommend.user_item_scores(b.reviews, b.games), 5)
+
+
 @query
 def normalize_scores(spark, d):
     b = Bound(spark, d)

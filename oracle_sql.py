@@ -380,6 +380,12 @@ ORACLE_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- recommender
     "recommend_score": _with(f"SELECT user_id, item_id, {_SCORE} AS score FROM reviews"),
     "user_item_scores": _with("SELECT user_id, item, round(score, 6) AS score FROM ui", _RECO),
+    "score_pivot": _with(
+        "SELECT ui.user_id, " + ", ".join(
+            f"round(avg(ui.score) FILTER (WHERE t.r = {r}), 6) AS item_{r}" for r in range(1, 6)) +
+        " FROM ui JOIN t ON ui.item = t.item GROUP BY ui.user_id",
+        _RECO + ", t AS (SELECT item, CAST(row_number() OVER (ORDER BY n DESC, item ASC) AS INTEGER) AS r "
+                "FROM (SELECT item, count(*) AS n FROM ui GROUP BY item) c QUALIFY r <= 5)"),
     "normalize_scores": _with("SELECT user_id, item, round(v, 6) AS v FROM nz", _RECO),
     "item_similarity": _with("SELECT item_a, item_b, sim FROM pairs", _RECO),
     "similar_items_topk": _with(
