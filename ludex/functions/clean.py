@@ -30,6 +30,9 @@ DATE_FORMATS = (
 PRICE_FREE_WORDS = ("free", "install", "play", "third")
 # Price text: a cell containing one of these digit runs is that price.
 PRICE_NUMBER_WORDS = (("449", 449.0), ("499", 499.0))
+# Representable range of the source's date type (nanosecond timestamps): a date outside
+# it is unknown there, so it is null here too.
+DATE_MIN, DATE_MAX = "1677-09-22", "2262-04-11"
 # Prefix of the review date text.
 POSTED_PREFIX = "Posted "
 # HTML entity found inside genre names and its replacement.
@@ -44,8 +47,11 @@ _NUMERIC_TEXT = r"^[0-9.]+$"
 
 
 def _shape(fmt: str) -> str:
-    """A regex accepting every string ``fmt`` can parse (and more): numbers become digit
-    runs, month names letter runs, other characters stay literal."""
+    """A regex accepting every string ``fmt`` can parse into a year 0000-9999 (and more):
+    years become four digits, months and days one or two digits, month names letter runs,
+    other characters stay literal. Longer digit runs are rejected up front: the parser
+    accepts signed years beyond 9999 (out of range for the source's date type, so null
+    is the right answer) and can even fail the task with an overflow on them."""
     out, i = "^", 0
     while i < len(fmt):
         ch = fmt[i]
@@ -53,9 +59,9 @@ def _shape(fmt: str) -> str:
         while j < len(fmt) and fmt[j] == ch:
             j += 1
         if ch == "y":
-            out += "[+-]?[0-9]+"
+            out += "[0-9]{4}"
         elif ch in "dHhms" or (ch == "M" and j - i <= 2):
-            out += "[0-9]+"
+            out += "[0-9]{1,2}"
         elif ch == "M":
             out += "[A-Za-z]+"
         else:
@@ -69,9 +75,11 @@ def parse_mixed_dates(c: Column, formats=DATE_FORMATS) -> Column:
 
     Each format is tried only on strings of its shape: a failed parse is expensive (it
     raises inside the parser), a regex test is not, and the shape test never rejects a
-    string the format could parse, so the result is the same."""
-    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f)))
-                        for f in formats]).cast("date")
+    string the format could parse into a year 0000-9999, so such results are the same.
+    Dates outside the source's representable range give null (never a failed task)."""
+    d = F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f)))
+                     for f in formats]).cast("date")
+    return F.when(d.between(F.lit(DATE_MIN).cast("date"), F.lit(DATE_MAX).cast("date")), d)
 
 
 def release_year(date_col: Column) -> Column:

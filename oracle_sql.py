@@ -15,7 +15,8 @@ _FMTS = "['%Y-%m-%d','%b %Y','%Y','%B %-d, %Y.','%B %-d, %Y','%b %-d, %Y','%-d %
 
 
 def _parse_date(expr: str) -> str:
-    return f"CAST(try_strptime({expr}, {_FMTS}) AS DATE)"
+    d = f"CAST(try_strptime({expr}, {_FMTS}) AS DATE)"
+    return f"(CASE WHEN {d} BETWEEN DATE '1677-09-22' AND DATE '2262-04-11' THEN {d} END)"
 
 
 def _price(expr: str) -> str:

@@ -54,3 +54,9 @@ def test_replace_in_array(spark):
 
 def test_year_label(spark):
     assert col_values(spark, [0, 2012], clean.year_label, "int") == ["no data", "2012"]
+
+
+def test_dates_outside_source_range_are_null(spark):
+    got = col_values(spark, ["1677-09-21", "1677-09-22", "2262-04-11", "2262-04-12", "0100-01-01"],
+                     lambda c: clean.parse_mixed_dates(c).cast("string"))
+    assert got == [None, "1677-09-22", "2262-04-11", None, None]
