@@ -126,7 +126,13 @@ def _recommend() -> Column:
 
 
 def _review_text() -> Column:
-    return F.concat_ws(" ", F.col("l_returnflag"), F.col("l_linestatus"))
+    """Short review text from the line's flags, in words the demo lexicon knows, so the
+    sentiment rules (negation, contrast, "!") all occur."""
+    opening = (F.when(F.col("l_returnflag") == "R", F.lit("bad"))
+                .when(F.col("l_returnflag") == "A", F.lit("good"))
+                .otherwise(F.lit("not bad")))
+    closing = F.when(F.col("l_linestatus") == "F", F.lit(" but great")).otherwise(F.lit("!"))
+    return F.concat(opening, closing)
 
 
 def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

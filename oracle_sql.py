@@ -33,6 +33,7 @@ def _pct_label(ratio: str) -> str:
 
 _POSTED = ("('Posted ' || CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '%B %-d') "
            "ELSE strftime(l_shipdate, '%B %-d, %Y') END || '.')")
+_STRIPPED = f"replace({_POSTED}, 'Posted ', '')"
 
 BINDINGS = f"""
 games_raw AS (
@@ -296,20 +297,19 @@ ORACLE_SQL: dict[str, str] = {
         "CAST(count(*) AS INTEGER) AS review_count FROM ol GROUP BY l_orderkey, o_custkey"),
     "build_reviews_pre": _with(
         "SELECT o_custkey AS user_id, 'profiles/' || CAST(o_custkey AS VARCHAR) AS user_url, "
-        "l_returnflag || ' ' || l_linestatus AS review, "
+        "(CASE l_returnflag WHEN 'R' THEN 'bad' WHEN 'A' THEN 'good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
         "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag <> 'R' END AS recommend, "
         "l_partkey AS item_id, rd AS review_date, CAST(year(rd) AS INTEGER) AS review_year "
         f"FROM (SELECT *, {_parse_date(f'''replace({_POSTED}, 'Posted ', '')''')} AS rd FROM ol) x"),
     "derive_reviews": _with(
-        f"SELECT x.user_id, x.recommend, x.item_id, x.review_date, x.review_year, {_class('s.compound')} AS sentiment "
-        "FROM rv x JOIN scored s ON x.doc_id = s.doc_id",
-        "rv AS (SELECT row_number() OVER () AS doc_id, o_custkey AS user_id, "
-        "l_returnflag || ' ' || l_linestatus AS text, "
+        f"SELECT x.user_id, x.recommend, x.item_id, x.review_date, CAST(year(x.review_date) AS INTEGER) AS review_year, "
+        f"CASE WHEN x.review IS NULL THEN 1 ELSE {_class('s.compound')} END AS sentiment "
+        "FROM rv x LEFT JOIN scored s ON x.review = s.doc_id",
+        "rv AS (SELECT o_custkey AS user_id, (CASE l_returnflag WHEN 'R' THEN 'bad' WHEN 'A' THEN 'good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
         "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag <> 'R' END AS recommend, "
-        "l_partkey AS item_id, "
-        f"{_parse_date(f'''replace({_POSTED}, 'Posted ', '')''')} AS review_date FROM ol), "
-        "rv2 AS (SELECT *, CAST(year(review_date) AS INTEGER) AS review_year FROM rv)," + _sentiment_ctes("rv")
-    ).replace("FROM rv x JOIN", "FROM rv2 x JOIN"),
+        "l_partkey AS item_id, " + _parse_date(_STRIPPED) + " AS review_date FROM ol), "
+        "texts AS (SELECT DISTINCT review AS doc_id, review AS text FROM rv WHERE review IS NOT NULL),"
+        + _sentiment_ctes("texts")),
     # ---------------------------------------------------------------- joins
     "join_review_names": _with(
         "SELECT r.item_id, r.user_id, r.recommend, r.sentiment, g.app_name "
