@@ -70,14 +70,17 @@ def user_data_all(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
 
 def user_data(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
               item_counts: DataFrame, user) -> DataFrame:
-    """K2 for one user: always one row; an unknown user gets spend 0 and nulls."""
+    """K2 for one user: always one row; an unknown user gets spend 0 and nulls. The
+    per-user result has at most one row, so a global aggregate over it yields exactly
+    one row without a join."""
     def one(df):
         return df.where(F.col("user_id") == _typed(user, df, "user_id"))
     res = _user_data(one(user_items), prices, one(reviews), one(item_counts))
-    spine = user_items.sparkSession.range(1).select(_typed(user, user_items, "user_id").alias("user_id"))
-    return (spine.join(res, "user_id", "left")
-                 .select("user_id", F.coalesce("money_spent", F.lit(0.0)).alias("money_spent"),
-                         "recommend_pct", "items_count"))
+    return res.agg(F.coalesce(F.max("money_spent"), F.lit(0.0)).alias("money_spent"),
+                   F.max("recommend_pct").alias("recommend_pct"),
+                   F.max("items_count").alias("items_count")) \
+              .select(_typed(user, user_items, "user_id").alias("user_id"),
+                      "money_spent", "recommend_pct", "items_count")
 
 
 # --------------------------------------------------------------------------- K3

@@ -34,6 +34,9 @@ def test_materialize_all(spark):
     # reviews are partitioned by year: a year filter reads one folder
     assert os.path.isdir(os.path.join(paths["reviews"], "review_year=1998"))
     assert read["similar"].where(F.col("item") == F.col("similar")).count() == 0
+    # on the written tables the lower-cased key is a stored column: the lookup reaches the scan
+    plan = read["devs"].where(F.col("developer_lc") == "brand#2")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(developer_lc,brand#2)" in plan
     # the questions run on the written tables
     top = K.best_developer_year(read["reviews"], read["devs"], 1998).collect()
     assert len(top) == 3
