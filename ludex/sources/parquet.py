@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ludex.session import scratch_path
 
@@ -18,10 +19,15 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 cluster_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Write a table. ``cluster_by`` co-locates and sorts rows by the lookup key so later
-    point lookups read few row groups (min/max statistics prune the rest)."""
+    """Write a table. ``cluster_by`` range-partitions and sorts rows by the lookup key, so
+    each file holds a narrow key range and a point lookup reads few row groups (Parquet
+    min/max statistics prune the rest). A row hash is the last range key, so one hot key
+    can still be split over several write tasks. Rows are sorted by the partition columns
+    first, as the partitioned writer needs, so the key order inside files is kept."""
     if cluster_by:
-        df = df.repartition(*cluster_by).sortWithinPartitions(*cluster_by)
+        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+        df = df.repartitionByRange(*[F.col(c) for c in cluster_by], row_hash) \
+               .sortWithinPartitions(*partition_by, *cluster_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

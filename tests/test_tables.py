@@ -46,3 +46,24 @@ def test_build_user_reviews_drops_all_null(spark):
     lines = spark.createDataFrame([("u", "x", None), (None, None, None)],
                                   "user_id string, user_url string, reviews array<string>")
     assert T.build_user_reviews(lines).count() == 1
+
+
+def test_clustered_write_splits_a_hot_key(spark):
+    import tempfile
+
+    from ludex.sources.parquet import write_table
+    rows = [("hot", i) for i in range(9000)] + [(f"k{i % 50}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    path = tempfile.mkdtemp(prefix="ludex-write-") + "/t"
+    # Tiny data would be coalesced into one partition by AQE; at scale it is not.
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        write_table(df, path, cluster_by=["k"])
+    finally:
+        spark.conf.set(key, old)
+    back = spark.read.parquet(path)
+    assert back.count() == 10000
+    files_with_hot = back.where(F.col("k") == "hot").select("_metadata.file_path").distinct().count()
+    assert files_with_hot >= 2
