@@ -415,7 +415,7 @@ def top20_items_count(spark, d):
 def sentiment_compound(spark, d):
     b = Bound(spark, d)
     s = sentiment.compound_scores(B.review_texts(spark, d), "doc_id", "text", b.lexicon)
-    return s.select("doc_id", F.round("compound", 6).alias("compound"))
+    return s.select("doc_id", (F.round("compound", 6) + F.lit(0.0)).alias("compound"))   # -0.0 -> 0.0
 
 
 @query
@@ -449,7 +449,7 @@ def score_pivot(spark, d):
 def normalize_scores(spark, d):
     b = Bound(spark, d)
     v = recommend.normalize_scores(recommend.user_item_scores(b.reviews, b.games))
-    return v.select("user_id", "item", F.round("v", 6).alias("v"))
+    return v.select("user_id", "item", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
 @query

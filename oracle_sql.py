@@ -375,7 +375,7 @@ ORACLE_SQL: dict[str, str] = {
     "top20_items_count": _with(_top("item_counts", "user_id, items_count", "items_count DESC, user_id ASC", 20)),
     # ---------------------------------------------------------------- sentiment
     "sentiment_compound": "WITH " + _sentiment_ctes("documents").lstrip() +
-                          "\nSELECT doc_id, round(compound, 6) AS compound FROM scored",
+                          "\nSELECT doc_id, round(compound, 6) + 0.0 AS compound FROM scored",
     "sentiment_class": "WITH " + _sentiment_ctes("documents").lstrip() +
                        f"\nSELECT doc_id, {_class('compound')} AS sentiment FROM scored",
     # ---------------------------------------------------------------- recommender
@@ -387,7 +387,7 @@ ORACLE_SQL: dict[str, str] = {
         " FROM ui JOIN t ON ui.item = t.item GROUP BY ui.user_id",
         _RECO + ", t AS (SELECT item, CAST(row_number() OVER (ORDER BY n DESC, item ASC) AS INTEGER) AS r "
                 "FROM (SELECT item, count(*) AS n FROM ui GROUP BY item) c QUALIFY r <= 5)"),
-    "normalize_scores": _with("SELECT user_id, item, round(v, 6) AS v FROM nz", _RECO),
+    "normalize_scores": _with("SELECT user_id, item, round(v, 6) + 0.0 AS v FROM nz", _RECO),
     "item_similarity": _with("SELECT item_a, item_b, sim FROM pairs", _RECO),
     "similar_items_topk": _with(
         "SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY sim DESC, \"similar\" ASC) AS INTEGER) AS rank, "
