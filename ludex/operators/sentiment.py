@@ -14,8 +14,9 @@ Rules implemented:
   * contrast: with "but" in the text, words before it weigh half, words after it 1.5;
   * "!" (up to four) and "?" (more than one) push the sum away from zero;
   * normalisation ``s / sqrt(s^2 + alpha)``, clipped to [-1, 1].
-Not implemented: all-caps emphasis (tokens are lower-cased first), idioms, emoji, and
-multi-word boosters. Numeric equality with the original library cannot be checked here.
+  * a lexicon word written in capitals, in a text that also has words that are not,
+    gains a fixed step away from zero.
+Not implemented: caps emphasis of booster words, idioms, emoji, and multi-word boosters. Numeric equality with the original library cannot be checked here.
 
 Plan: every document's tokens are exploded with their three predecessors (taken from the
 token array inside the row, so no window and no self-join), joined to the lexicon (a hash
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 # Fixed values from the published method.
 ALPHA = 15.0                 # normalisation constant
 NEGATION_SCALAR = -0.74      # multiplier when a negation precedes the word
+CAPS_STEP = 0.733            # emphasis of an all-caps word in a text that is not all caps
 BOOSTER_STEP = 0.293         # booster increment / decrement
 BOOSTER_DAMPING = (1.0, 0.95, 0.9)  # by distance 1, 2, 3 tokens before the word
 BUT_BEFORE, BUT_AFTER = 0.5, 1.5
@@ -66,12 +68,17 @@ BOOSTERS_DOWN = (
 # ---------------------------------------------------------------------------
 
 MAX_BROADCAST_LEXICON = 2_000_000
-TOKEN_PATTERN = "[^a-z]+"
+TOKEN_PATTERN = "[^A-Za-z]+"
+
+
+def raw_tokens(text: Column) -> Column:
+    """Letter runs of ``text`` as written (empty strings removed)."""
+    return F.filter(F.split(text, TOKEN_PATTERN), lambda t: t != F.lit(""))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased letter runs of ``text`` (empty strings removed)."""
-    return F.filter(F.split(F.lower(text), TOKEN_PATTERN), lambda t: t != F.lit(""))
+    """Lower-cased letter runs of ``text``."""
+    return F.transform(raw_tokens(text), lambda t: F.lower(t))
 
 
 def prepare_lexicon(lexicon: DataFrame, max_broadcast: int | None = None) -> DataFrame:
@@ -91,15 +98,21 @@ def _in(word: Column, words: tuple[str, ...]) -> Column:
 
 def _token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """One row per token (one null row for a text without tokens): key, the text's "!"
-    and "?" counts, the contrast position, token position ``_i``, token ``_tok`` and the
-    three preceding tokens ``_p1.._p3``."""
+    and "?" counts, the contrast position, whether the text mixes all-caps and other words,
+    token position ``_i``, lower-cased token ``_tok``, whether it is written in capitals
+    ``_cap``, and the three preceding tokens ``_p1.._p3``."""
     text = F.col(text_col)
     staged = docs.select(
         F.col(key), text.isNull().alias("_null"),
         (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("_bangs"),
         (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("_quests"),
-        tokens(text).alias("_toks"))
+        raw_tokens(text).alias("_raw"))
+    raw = F.col("_raw")
+    staged = staged.select(
+        "*", F.transform(raw, lambda t: F.lower(t)).alias("_toks"),
+        F.size(F.filter(raw, lambda t: t == F.upper(t))).alias("_ncaps"))
     staged = staged.withColumn("_but", F.array_position("_toks", CONTRAST_WORD) - 1)  # 0-based, -1 absent
+    staged = staged.withColumn("_capdiff", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw)))
     # Predecessor k of every token: the token array shifted right by k (native array
     # functions, no per-element lambda), zipped with the tokens and exploded once.
     n = F.size("_toks")
@@ -107,9 +120,11 @@ def _token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
         pad = F.array(*[F.lit(None).cast("string")] * k)
         staged = staged.withColumn(f"_p{k}", F.slice(F.concat(pad, F.col("_toks")), 1, n))
     staged = staged.withColumnRenamed("_toks", "_tok")
-    zipped = F.arrays_zip("_tok", "_p1", "_p2", "_p3")
-    return (staged.select(key, "_null", "_bangs", "_quests", "_but", F.posexplode_outer(zipped).alias("_i", "_w"))
-                  .select(key, "_null", "_bangs", "_quests", "_but", "_i", "_w.*"))
+    zipped = F.arrays_zip("_tok", "_raw", "_p1", "_p2", "_p3")
+    cols = [key, "_null", "_bangs", "_quests", "_but", "_capdiff"]
+    return (staged.select(*cols, F.posexplode_outer(zipped).alias("_i", "_w"))
+                  .select(*cols, "_i", "_w.*")
+                  .withColumn("_cap", F.col("_raw") == F.upper(F.col("_raw"))).drop("_raw"))
 
 
 def _word_score() -> Column:
@@ -121,7 +136,8 @@ def _word_score() -> Column:
         step = step + F.when(_in(p, BOOSTERS_UP), F.lit(BOOSTER_STEP * damp)) \
                        .when(_in(p, BOOSTERS_DOWN), F.lit(-BOOSTER_STEP * damp)) \
                        .otherwise(F.lit(0.0))
-    boosted = v + F.signum(v) * step
+    caps = F.when(F.col("_cap") & F.col("_capdiff"), F.lit(CAPS_STEP)).otherwise(F.lit(0.0))
+    boosted = (v + F.signum(v) * caps) + F.signum(v) * step
     negated = _in(prev[0], NEGATIONS) | _in(prev[1], NEGATIONS) | _in(prev[2], NEGATIONS)
     s = F.when(negated, boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
     i, b = F.col("_i"), F.col("_but")

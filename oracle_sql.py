@@ -128,26 +128,30 @@ def _sentiment_ctes(src: str) -> str:
     steps = " + ".join(_step(p, d) for p, d in zip(("p1", "p2", "p3"), S.BOOSTER_DAMPING))
     return f"""
 lex(token, valence) AS (VALUES {lex}),
-docs AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t <> '') AS toks
-         FROM {src}),
+raw AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda t: t <> '') AS rt
+        FROM {src}),
+docs AS (SELECT doc_id, text, rt, list_transform(rt, lambda t: lower(t)) AS toks,
+                len(list_filter(rt, lambda t: t = upper(t))) AS ncaps FROM raw),
 tok AS (
-  SELECT doc_id, i, toks[i] AS t,
+  SELECT doc_id, i, toks[i] AS t, rt[i] = upper(rt[i]) AS cap, (ncaps > 0 AND ncaps < len(rt)) AS capdiff,
          CASE WHEN i > 1 THEN toks[i - 1] END AS p1,
          CASE WHEN i > 2 THEN toks[i - 2] END AS p2,
          CASE WHEN i > 3 THEN toks[i - 3] END AS p3,
          COALESCE(list_position(toks, '{S.CONTRAST_WORD}'), 0) AS bp
-  FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM docs) z
+  FROM (SELECT doc_id, toks, rt, ncaps, unnest(range(1, len(toks) + 1)) AS i FROM docs) z
 ),
 hits AS (
   SELECT tok.*, lex.valence AS v,
+         lex.valence + sign(lex.valence) * (CASE WHEN cap AND capdiff THEN {S.CAPS_STEP!r}::DOUBLE
+                                                 ELSE 0.0::DOUBLE END) AS bv,
          (0.0::DOUBLE + {steps}) AS step,
          (p1 IN {neg} OR p2 IN {neg} OR p3 IN {neg}) AS negated
   FROM tok JOIN lex ON tok.t = lex.token
 ),
 contrib AS (
   SELECT doc_id,
-         (CASE WHEN COALESCE(negated, false) THEN (v + sign(v) * step) * {S.NEGATION_SCALAR!r}::DOUBLE
-               ELSE v + sign(v) * step END)
+         (CASE WHEN COALESCE(negated, false) THEN (bv + sign(v) * step) * {S.NEGATION_SCALAR!r}::DOUBLE
+               ELSE bv + sign(v) * step END)
          * (CASE WHEN bp = 0 THEN 1.0::DOUBLE WHEN i < bp THEN {S.BUT_BEFORE!r}::DOUBLE
                  WHEN i > bp THEN {S.BUT_AFTER!r}::DOUBLE ELSE 1.0::DOUBLE END) AS c
   FROM hits

@@ -119,6 +119,14 @@ def test_sentiment_rules(spark):
     assert none == 0.0 and null is None
 
 
+def test_sentiment_caps_emphasis(spark):
+    L = [("good", 1.9)]
+    mixed, allcaps, lower = compounds(spark, ["a GOOD game", "GOOD GAME", "a good game"], L)
+    s = 1.9 + 0.733
+    assert mixed == pytest.approx(s / math.sqrt(s * s + 15))
+    assert allcaps == lower == pytest.approx(1.9 / math.sqrt(1.9 ** 2 + 15))
+
+
 def test_sentiment_class_thresholds(spark):
     df = spark.createDataFrame([(0.05,), (0.049,), (-0.05,), (None,)], "c double")
     got = [r[0] for r in df.select(sentiment.sentiment_class(F.col("c"))).collect()]
