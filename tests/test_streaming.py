@@ -31,3 +31,17 @@ def test_stream_literal_lines_with_quarantine(spark):
     q.awaitTermination(120)
     rows = spark.read.parquet(os.path.join(root, "out", "rows"))
     assert sorted(r.user_id for r in rows.collect()) == ["a", "b"]
+
+
+def test_stream_json_lines(spark):
+    root = tempfile.mkdtemp(prefix="ludex-stream-json-")
+    landing = os.path.join(root, "landing")
+    os.makedirs(landing)
+    with open(os.path.join(landing, "a.json"), "w") as f:
+        f.write('{"id": "1", "app_name": "x", "genres": ["a", "b"], "price": 4.99}\n')
+        f.write('{"id": "2", "app_name": "y", "price": "Free To Play"}\n')
+    q = ingest.stream_json_lines(spark, landing, schemas.CATALOGUE, os.path.join(root, "out"),
+                                 os.path.join(root, "ckpt"))
+    q.awaitTermination(120)
+    rows = sorted((r.id, r.price) for r in spark.read.parquet(os.path.join(root, "out", "rows")).collect())
+    assert rows == [("1", "4.99"), ("2", "Free To Play")]
