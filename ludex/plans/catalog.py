@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ludex import schemas
 from ludex.functions import clean
-from ludex.operators import profile, recommend, sentiment
+from ludex.operators import joins, profile, recommend, sentiment
 from ludex.plans import questions as K
 from ludex.plans import tables as T
 from ludex.sources import bindings as B
@@ -285,7 +285,7 @@ def join_review_names(spark, d):
 @query
 def join_item_prices(spark, d):
     b = Bound(spark, d)
-    return b.user_items.select("user_id", "item_id").join(b.prices, "item_id", "left")
+    return joins.left_join(b.user_items.select("user_id", "item_id"), b.prices, "item_id")
 
 
 @query

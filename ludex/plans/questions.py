@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ludex.functions import clean
-from ludex.operators import recommend
+from ludex.operators import joins, recommend
 from ludex.operators.profile import ranked_top
 
 
@@ -45,9 +45,10 @@ def developer_free_share(games: DataFrame, developer: str) -> DataFrame:
 # --------------------------------------------------------------------------- K2
 
 def _user_data(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
-               item_counts: DataFrame) -> DataFrame:
-    spend = (user_items.select("user_id", "item_id").join(prices.select("item_id", "price"), "item_id", "left")
-                       .groupBy("user_id").agg(F.coalesce(F.sum("price"), F.lit(0.0)).alias("_spend")))
+               item_counts: DataFrame, null_safe: bool = False) -> DataFrame:
+    owned = joins.left_join(user_items.select("user_id", "item_id"), prices.select("item_id", "price"),
+                            "item_id", null_safe)
+    spend = owned.groupBy("user_id").agg(F.coalesce(F.sum("price"), F.lit(0.0)).alias("_spend"))
     rate = reviews.groupBy("user_id").agg(F.avg(F.col("recommend").cast("double")).alias("_rate"))
     # Several rows for one user: the source takes the first; with no ingest order here
     # the largest count is used.
@@ -61,21 +62,22 @@ def _user_data(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
 
 
 def user_data_all(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
-                  item_counts: DataFrame) -> DataFrame:
+                  item_counts: DataFrame, null_safe: bool = False) -> DataFrame:
     """K2 batch: per user money spent (sum of known prices of owned items), share of
     reviews that recommend, and items owned. The three aggregates are each partitioned
-    by user and meet in co-partitioned outer joins."""
-    return _user_data(user_items, prices, reviews, item_counts)
+    by user and meet in co-partitioned outer joins. ``null_safe`` lets an empty
+    library's null item pick up prices of catalogue rows without id, as in the source."""
+    return _user_data(user_items, prices, reviews, item_counts, null_safe)
 
 
 def user_data(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
-              item_counts: DataFrame, user) -> DataFrame:
+              item_counts: DataFrame, user, null_safe: bool = False) -> DataFrame:
     """K2 for one user: always one row; an unknown user gets spend 0 and nulls. The
     per-user result has at most one row, so a global aggregate over it yields exactly
     one row without a join."""
     def one(df):
         return df.where(F.col("user_id") == _typed(user, df, "user_id"))
-    res = _user_data(one(user_items), prices, one(reviews), one(item_counts))
+    res = _user_data(one(user_items), prices, one(reviews), one(item_counts), null_safe)
     return res.agg(F.coalesce(F.max("money_spent"), F.lit(0.0)).alias("money_spent"),
                    F.max("recommend_pct").alias("recommend_pct"),
                    F.max("items_count").alias("items_count")) \

@@ -171,3 +171,13 @@ def test_json_strict_and_flatten(spark):
     bad = spark.createDataFrame([("{not json",)], "value string")
     with pytest.raises(Exception):
         json_lines.parse_json_lines(bad, schema).collect()
+
+
+def test_null_safe_left_join(spark):
+    from ludex.operators import joins
+    items = spark.createDataFrame([("u1", 1), ("u2", None)], "user_id string, item_id int")
+    prices = spark.createDataFrame([(1, 5.0), (None, 9.0)], "item_id int, price double")
+    plain = {r.user_id: r.price for r in joins.left_join(items, prices, "item_id").collect()}
+    safe = {r.user_id: r.price for r in joins.left_join(items, prices, "item_id", null_safe=True).collect()}
+    assert plain == {"u1": 5.0, "u2": None}
+    assert safe == {"u1": 5.0, "u2": 9.0}
