@@ -81,3 +81,27 @@ def test_k6_recommend_item(b):
     assert len(rows) == 5 and all(r.similar != C.ITEM for r in rows)
     assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
     assert K.recommend_item(b.reviews, b.games, "no such game").count() == 0
+
+
+def test_q5_ties_break_by_key(spark):
+    from ludex.operators import profile
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), ("b",), ("c",), ("d",)], "p string")
+    top = profile.top_values(df, "p", 2).orderBy("rank").collect()
+    assert [(r.p, r.rows, r["rank"]) for r in top] == [("a", 2, 1), ("b", 2, 2)]
+
+
+def test_q10_one_row_per_developer_spelling(spark):
+    devs = spark.createDataFrame([(1, "Valve", "valve"), (2, "VALVE", "valve")],
+                                 "item_id long, developer string, developer_lc string")
+    reviews = spark.createDataFrame([(1, 2), (1, 0), (2, 2)], "item_id long, sentiment int")
+    rows = sorted(tuple(r) for r in K.developer_reviews_analysis(reviews, devs, "valve").collect())
+    assert rows == [("VALVE", 0, 1), ("Valve", 1, 1)]
+
+
+def test_q12_duplicate_user_rows_take_largest_count(spark):
+    items = spark.createDataFrame([(7, 1)], "user_id long, item_id long")
+    prices = spark.createDataFrame([(1, 2.5)], "item_id long, price double")
+    reviews = spark.createDataFrame([(7, True)], "user_id long, recommend boolean")
+    counts = spark.createDataFrame([(7, 3), (7, 5)], "user_id long, items_count long")
+    r = K.user_data(items, prices, reviews, counts, 7).first()
+    assert (r.money_spent, r.recommend_pct, r.items_count) == (2.5, "100.0%", 5)
