@@ -13,7 +13,7 @@ from ludex.sources import bindings as B
 from tests.conftest import SF
 
 
-def test_materialize_all(spark):
+def test_materialize_all(spark, capsys):
     root = tempfile.mkdtemp(prefix="ludex-etl-")
     cat, lib, rev = (os.path.join(root, n) for n in ("catalogue", "libraries", "reviews"))
     B.games_raw(spark, SF).withColumn("id", F.col("id").cast("string")).write.json(cat)
@@ -40,3 +40,14 @@ def test_materialize_all(spark):
     # the questions run on the written tables
     top = K.best_developer_year(read["reviews"], read["devs"], 1998).collect()
     assert len(top) == 3
+
+    # the command line answers the six questions from the written tables
+    from ludex.__main__ import main
+    out = os.path.join(root, "out")
+    capsys.readouterr()
+    for q, arg in [("developer", "brand#2"), ("userdata", "10"), ("userforgenre", "RING"),
+                   ("bestdeveloperyear", "1998"), ("developerreviews", "Brand#2"),
+                   ("recommenditem", read["similar"].select("item").first()[0])]:
+        main(["ask", q, arg, "--tables", out])
+        lines = [l for l in capsys.readouterr().out.splitlines() if l.startswith("{")]
+        assert lines, q
