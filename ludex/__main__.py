@@ -1,12 +1,12 @@
 """Command line: build the tables, then ask the six questions against them.
 
     python -m ludex etl --catalogue C --libraries L --reviews R --lexicon LEX.parquet --out DIR
-    python -m ludex ask developer "Valve" --tables DIR
-    python -m ludex ask userdata 76561198043472122 --tables DIR
-    python -m ludex ask userforgenre Action --tables DIR
+    python -m ludex ask developer "Some Studio" --tables DIR
+    python -m ludex ask userdata some-user-id --tables DIR
+    python -m ludex ask userforgenre action --tables DIR
     python -m ludex ask bestdeveloperyear 2012 --tables DIR
-    python -m ludex ask developerreviews Valve --tables DIR
-    python -m ludex ask recommenditem "theHunter: Primal" --tables DIR
+    python -m ludex ask developerreviews "Some Studio" --tables DIR
+    python -m ludex ask recommenditem "Some Game" --tables DIR
 
 Answers are printed as JSON lines (a handful of rows per question). On a cluster,
 pass the shared output folder and submit with spark-submit; ``--master`` defaults to the
