@@ -20,6 +20,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from ludex.operators import recommend
 from ludex.plans import etl
 from ludex.plans import questions as K
 from ludex.session import build_session
@@ -46,9 +47,9 @@ def _ask(spark: SparkSession, q: str, arg: str, d: str):
         rv, dv = _tables(spark, d, "reviews", "devs")
         return K.developer_reviews_analysis(rv, dv, arg)
     if q == "recommenditem":
-        # single-item form: similarity 0 for items sharing no user, as in a dense matrix
-        rv, games = _tables(spark, d, "reviews", "games")
-        return K.recommend_item(rv, games, arg).orderBy("rank")
+        # stored pairs, similarity 0 for items sharing no user (as in a dense matrix)
+        pairs, scores = _tables(spark, d, "pairs", "scores")
+        return recommend.similar_from_pairs(pairs, scores, arg).orderBy("rank")
     raise SystemExit(f"unknown question {q}")
 
 

@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from ludex import schemas  # noqa: E402
+from ludex.operators import recommend  # noqa: E402
 from ludex.plans import catalog as C  # noqa: E402
 from ludex.plans import etl  # noqa: E402
 from ludex.plans import questions as K  # noqa: E402
@@ -55,6 +56,7 @@ def main():
         "developer_reviews_analysis": lambda: K.developer_reviews_analysis(t["reviews"], t["devs"], C.DEVELOPER),
         "developer_reviews_all": lambda: K.developer_reviews_all(t["reviews"], t["devs"]),
         "recommend_item_lookup": lambda: t["similar"].where(F.col("item") == item),
+        "recommend_item_from_pairs": lambda: recommend.similar_from_pairs(t["pairs"], t["scores"], item),
         "recommend_item": lambda: K.recommend_item(t["reviews"], t["games"], item),
     }
     times = {}
