@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +61,32 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (``addPyFile`` of a zip),
+    so Python functions run there whatever folder or machine a worker starts in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ludex_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ludex-zip-"), "ludex.zip")   # driver side only
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._ludex_shipped = True
+
+
+def materialize(df, name: str, **write_options):
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss
+    of executors, and gives the next step a plain scan with known sizes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.options(**write_options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared folder for a written intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
