@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ludex.llm import bpe_count, fm_quality, packing, pii, quality_rules, warc
+from ludex.llm import bpe_count, decontamination, fm_quality, line_templates, packing, pii, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op1_quality_rules"] = quality_rules.VERDICTS_SQL
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op3_decontamination"] = decontamination.REPORT_SQL
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup(_table(spark, sf_dir, "documents"), report=True)
+
+
+ORACLE_SQL["op4_line_dedup"] = line_templates.REPORT_SQL
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"))
