@@ -13,9 +13,9 @@ Windows with fewer than ``MIN_LITERAL`` of their words literal (five of eight, i
 proportion) match anything and are left out of the item; an item without any other window,
 or of fewer than ``MIN_WORDS`` words, is never found.
 
-Scale: only the distinct window hashes of the benchmark meet the documents' windows, from
-a written table whose size decides between broadcast and shuffle; all that follows works
-on hits. A window repeated in many documents is one benchmark row, so no pairs arise.
+Scale: only the distinct window hashes of the benchmark meet the hashes of the documents'
+windows, from a written table whose size decides between broadcast and shuffle; slots are
+read only from documents with a hit. A window repeated in many documents is one benchmark row, so no pairs arise.
 
 Edge cases: null or empty texts hold no window; rows that repeat a doc_id and text are
 reported once, rows that repeat only a doc_id each for its own text; a null doc_id is
@@ -52,10 +52,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def canonical(text: Column) -> Column:
+# A word of small letters only is itself, unless listed: most words need no more than this.
+PLAIN = "^[a-zß-öø-ÿ]+$"
+NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty "
+                "seventy eighty ninety hundred thousand million billion").split()
+UNIT_WORDS = ("km cm mm kg mg ml mph kmh usd eur dollar dollars euro euros pound pounds cent cents meter meters metre "
+              "metres kilometer kilometers kilometre kilometres mile miles feet foot inch inches yard yards gram grams "
+              "kilogram kilograms liter liters litre litres gallon gallons second seconds minute minutes hour hours day "
+              "days week weeks month months year years degree degrees percent").split()
+
+
+def canonical(text: Column, slots: bool = True) -> Column:
     """array<struct<t string, v string>>: canonical word, and the slot's value where the
-    word is a placeholder."""
+    word is a placeholder; without ``slots`` array<string> of the canonical words."""
+    def plain(w: Column) -> Column:
+        kind = F.when(w.isin(NUMBER_WORDS), F.lit("<num>")).when(w.isin(UNIT_WORDS), F.lit("<unit>"))
+        if not slots:
+            return F.coalesce(kind, w)
+        return let(kind, lambda k: F.struct(F.coalesce(k, w).alias("t"), F.when(k.isNotNull(), w).alias("v")))
+
     def word(raw: Column, opens: Column) -> Column:
+        rest = other(raw, opens)
+        return F.when(raw.rlike(PLAIN), plain(raw)).otherwise(rest if slots else rest["t"])
+
+    def other(raw: Column, opens: Column) -> Column:
         return let(F.regexp_replace(raw, EDGES, ""), lambda w: let(F.lower(w), lambda x: F.when(
             x.rlike(NUMBER), F.struct(F.lit("<num>").alias("t"), x.alias("v"))).when(
             x.rlike(UNIT), F.struct(F.lit("<unit>").alias("t"), x.alias("v"))).when(
@@ -65,13 +85,23 @@ def canonical(text: Column) -> Column:
     raw = F.filter(F.split(text, SPACE), lambda w: w != F.lit(""))
     words = let(raw, lambda r: F.transform(r, lambda w, i: word(w, F.when(i == 0, F.lit(True)).otherwise(
         F.element_at(r, F.greatest(i, F.lit(1))).rlike(SENTENCE_END)))))
-    return F.filter(words, lambda w: w["t"] != F.lit(""))
+    return F.filter(words, lambda w: (w["t"] if slots else w) != F.lit(""))
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """Hashes of all windows of canonical words, by position."""
+    def over(h: Column) -> Column:
+        starts = F.when(F.size(h) >= width, F.sequence(F.lit(1), F.size(h) - (width - 1))).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.element_at(h, i + k) for k in range(width)]))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), over)
 
 
 def window(words: Column, start: Column, width: int) -> Column:
     """struct<h long, slots array<string>> of the words from 0-based ``start``."""
     return let(F.slice(words, start + 1, width), lambda s: F.struct(
-        F.xxhash64(F.lit(width), F.transform(s, lambda w: w["t"])).alias("h"),
+        F.xxhash64(F.lit(width), *[F.xxhash64(F.element_at(s, k + 1)["t"]) for k in range(width)]).alias("h"),
         F.transform(F.filter(s, lambda w: w["v"].isNotNull()), lambda w: w["v"]).alias("slots")))
 
 
@@ -111,13 +141,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     widths = [r[0] for r in items.select("width").distinct().collect()]          # at most WIDTH values
     if not widths:
         widths = [WIDTH]
-    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"),
-                        canonical(F.col("text").cast("string")).alias("w")).where(F.size("w") >= min(widths))
-    # The words stay a variable of one expression: computed once for all widths.
-    found = let(F.col("w"), lambda w: F.concat(*[
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), F.col("text").cast("string").alias("text"))
+    # First over all documents: who holds a window of an item at all (hashes only).
+    any_hash = let(canonical(F.col("text"), slots=False), lambda w: F.concat(*[window_hashes(w, n) for n in sorted(widths)]))
+    found = (d.select("doc_id", "__row", F.explode(any_hash).alias("h")).join(hashes, "h", "left_semi")
+              .select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hit")).distinct())
+    found = materialize(found, "documents-with-windows")
+    d = d.join(found, (d["__row"] == found["__hit"]) & d["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    # Then, for those documents, the windows with their slots.
+    slotted = let(canonical(F.col("text")), lambda w: F.concat(*[
         F.transform(windows(w, n), lambda x, j: F.struct(x["h"].alias("h"), x["slots"].alias("slots"), j.alias("j")))
         for n in sorted(widths)]))
-    rows = words.select("doc_id", "__row", F.explode(found).alias("x")).select("doc_id", "__row", "x.h", "x.slots", "x.j")
+    rows = d.select("doc_id", "__row", F.explode(slotted).alias("x")).select("doc_id", "__row", "x.h", "x.slots", "x.j")
     hits = rows.join(hashes, "h", "left_semi")
     pairs = (hits.withColumnRenamed("slots", "doc_slots").join(items, "h")
                  .select("doc_id", "__row", "item_id", "n_windows", "i", (F.col("j") - F.col("i")).alias("diagonal"),
