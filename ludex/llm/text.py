@@ -116,7 +116,7 @@ def shingles(word_hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int)
     least) has its whole word sequence as its only shingle."""
     counts = np.bincount(rows, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(counts)])
-    salted = [mix(word_hashes + _U(j + 1) * _MIX_A) * _U(2 * j + 3) for j in range(width)]
+    salted = [mix(word_hashes + _U((j + 1) * int(_MIX_A) % (1 << 64))) * _U(2 * j + 3) for j in range(width)]
     total = len(word_hashes)
     parts_h, parts_r = [], []
     if total >= width:
