@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ludex.llm import bpe_count, decontamination, fm_quality, jaccard_join, line_templates, packing, pii, quality_rules, warc
+from ludex.llm import bpe_count, decontamination, fm_quality, jaccard_join, line_templates, packing, pii, quality_rules, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op1_quality_rules"] = quality_rules.VERDICTS_SQL
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
