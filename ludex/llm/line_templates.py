@@ -3,11 +3,11 @@
 A line falls to a leaf of the tree by its token count and its ``DEPTH`` leading tokens,
 tokens that vary by nature (with a digit, ``@`` or ``://``) masked as one wildcard. Leaves
 met in fewer than ``min_docs`` documents hold no recurring line and stop there. In the
-others a line that, masked, is met in ``min_docs`` documents is its own template; of any
-other line, the tokens that are frequent at their position (``min_docs`` lines, and one in
-``COMMON`` of the leaf's lines) are constant and the rest become wildcards. A template met
-in at least ``min_docs`` documents with at least ``MIN_CONSTANT`` of its tokens constant is
-recurring, and its lines are dropped from every document.
+others a line has two templates: itself, masked; and its leaf's general form, where the
+tokens that are frequent at their position (``min_docs`` lines, and one in ``COMMON`` of
+the leaf's lines) are constant and the rest are wildcards. A template met in at least
+``min_docs`` documents with at least ``MIN_CONSTANT`` of its tokens constant is recurring,
+and its lines are dropped from every document.
 
 A document that would lose more than half of its characters is a copy, not a document with
 boilerplate: it is left whole, for document dedup. Lines of fewer than ``MIN_TOKENS`` tokens
@@ -35,7 +35,7 @@ DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 20
 MIN_CONSTANT = 0.6
-COMMON = 5
+COMMON = 2
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 VARIABLE = "[0-9@]|://"
@@ -77,7 +77,6 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                     .agg(F.first("masked").alias("masked")).groupBy("leaf", "line_hash")
                     .agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked")))
     distinct = materialize(distinct, "distinct-lines")
-    # Lines that recur by themselves need no generalising.
     own = distinct.where(F.col("n") >= min_docs)
     leaf_total = distinct.groupBy("leaf").agg(F.sum("n").alias("total"))
     places = distinct.select("leaf", "line_hash", "n", F.posexplode("masked").alias("pos", "token"))
@@ -85,7 +84,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                       .where(F.col("support") >= min_docs).join(leaf_total, "leaf")
                       .where(F.col("support") * COMMON >= F.col("total")).select("leaf", "pos", "token", F.lit(True).alias("constant")))
     frequent = materialize(frequent, "frequent-tokens")
-    general = (places.where(F.col("n") < min_docs).join(frequent, ["leaf", "pos", "token"], "left")
+    general = (places.join(frequent, ["leaf", "pos", "token"], "left")
                      .groupBy("leaf", "line_hash").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(
                          F.col("constant"), F.col("token")).otherwise(F.lit(WILDCARD)).alias("token")))).alias("t"))
                      .select("leaf", "line_hash", F.col("t.token").alias("template")))
@@ -97,7 +96,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     used = kept.select("leaf", "line_hash", "__id").distinct().join(template, ["leaf", "line_hash"])
     recurring = (used.select("leaf", "template", "__id").distinct().groupBy("leaf", "template")
                      .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf", "template"))
-    drop = materialize(template.join(recurring, ["leaf", "template"]).select("leaf", "line_hash"), "lines-to-drop")
+    drop = materialize(template.join(recurring, ["leaf", "template"]).select("leaf", "line_hash").distinct(), "lines-to-drop")
     return kept.join(drop, ["leaf", "line_hash"]).select("__id", "__row", "line_no")
 
 
@@ -146,9 +145,9 @@ dl AS (SELECT leaf, ml, any_value(m) AS m, count(DISTINCT id) AS n FROM kept GRO
 tot AS (SELECT leaf, sum(n) AS total FROM dl GROUP BY leaf),
 pl AS (SELECT leaf, ml, n, unnest(m) AS tok, generate_subscripts(m, 1) AS pos FROM dl),
 fr AS (SELECT leaf, pos, tok FROM (SELECT leaf, pos, tok, sum(n) AS s FROM pl WHERE tok <> '<*>' GROUP BY ALL) JOIN tot USING (leaf)
-       WHERE s >= 20 AND s * 5 >= total),
+       WHERE s >= 20 AND s * 2 >= total),
 ge AS (SELECT pl.leaf, pl.ml, list(CASE WHEN fr.tok IS NULL THEN '<*>' ELSE pl.tok END ORDER BY pl.pos) AS t
-       FROM pl LEFT JOIN fr ON fr.leaf = pl.leaf AND fr.pos = pl.pos AND fr.tok = pl.tok WHERE n < 20 GROUP BY pl.leaf, pl.ml),
+       FROM pl LEFT JOIN fr ON fr.leaf = pl.leaf AND fr.pos = pl.pos AND fr.tok = pl.tok GROUP BY pl.leaf, pl.ml),
 te AS (SELECT leaf, ml, array_to_string(t, ' ') AS t FROM
          (SELECT leaf, ml, m AS t FROM dl WHERE n >= 20 UNION ALL SELECT leaf, ml, t FROM ge)
        WHERE len(list_filter(t, lambda x: x <> '<*>')) >= len(t) * 0.6),

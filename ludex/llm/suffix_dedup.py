@@ -412,7 +412,7 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS
                    .withColumn("shard", F.pmod(F.xxhash64("id", "dup", "first"), F.col("shards")).cast("int")))
     # One shuffle of the texts serves both joins below (the same exchange, reused).
     texts = d.select("id", "dup", "doc_id", "text").repartition("id", "dup")
-    wanted = (runs.groupBy("id", "dup").agg(F.collect_list(F.struct("fp", "shard", "shards", "first", "size")).alias("runs"))
+    wanted = (runs.groupBy("id", "dup").agg(F.collect_set(F.struct("fp", "shard", "shards", "first", "size")).alias("runs"))
                   .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
