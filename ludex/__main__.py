@@ -35,7 +35,7 @@ def _ask(spark: SparkSession, q: str, arg: str, d: str):
         (games,) = _tables(spark, d, "games")
         return K.developer_free_share(games, arg).orderBy("release_year")
     if q == "userdata":
-        ui, pr, rv, ic = _tables(spark, d, "user_items", "prices", "reviews", "item_counts")
+        ui, pr, rv, ic = _tables(spark, d, "user_items", "prices", "user_ratings", "item_counts")
         return K.user_data(ui, pr, rv, ic, arg)
     if q == "userforgenre":
         gx, ui = _tables(spark, d, "genres_x", "user_items")
@@ -47,9 +47,8 @@ def _ask(spark: SparkSession, q: str, arg: str, d: str):
         rv, dv = _tables(spark, d, "reviews", "devs")
         return K.developer_reviews_analysis(rv, dv, arg)
     if q == "recommenditem":
-        # stored pairs, similarity 0 for items sharing no user (as in a dense matrix)
-        pairs, scores = _tables(spark, d, "pairs", "scores")
-        return recommend.similar_from_pairs(pairs, scores, arg).orderBy("rank")
+        (similar,) = _tables(spark, d, "similar")
+        return recommend.similar_from_table(similar, arg).orderBy("rank")
     raise SystemExit(f"unknown question {q}")
 
 

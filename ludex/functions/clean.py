@@ -13,19 +13,10 @@ from pyspark.sql import functions as F
 # Fixed values. These must equal the source project's cleaning rules for the
 # results to match; they are listed here in the order the rules apply.
 #
-# Date spellings accepted for release and review dates (first that parses wins):
-#   2018-01-04 | Jan 2018 | 2018 | November 5, 2011. | November 5, 2011 |
-#   Nov 5, 2011 | 4 Jul, 2018 | 2017-09
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "MMM yyyy",
-    "yyyy",
-    "MMMM d, yyyy.",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMM, yyyy",
-    "yyyy-MM",
-)
+# Month names and their short forms; a date is year, month and day in one of the orders
+# of ``_DATE_ORDERS`` (a missing month or day counts as the first).
+MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?",
+          "aug(?:ust)?", "sep(?:t|tember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
 # Price text: a cell containing one of these words (case-insensitive) is free.
 PRICE_FREE_WORDS = ("free", "install", "play", "third")
 # Price text: a cell containing one of these digit runs is that price.
@@ -42,54 +33,56 @@ GENRE_ENTITY_REPLACEMENT = "and"
 UNKNOWN_YEAR_LABEL = "no data"
 # ---------------------------------------------------------------------------
 
-# A plain decimal number. try_cast alone would also accept "1d", "NaN" and "Infinity".
-_NUMERIC_TEXT = r"^[0-9.]+$"
-
-
-def _shape(fmt: str) -> str:
-    """A regex accepting every string ``fmt`` can parse into a year 0000-9999 (and more):
-    years become four digits, months and days one or two digits, month names letter runs,
-    other characters stay literal. Longer digit runs are rejected up front: the parser
-    accepts signed years beyond 9999 (out of range for the source's date type, so null
-    is the right answer) and can even fail the task with an overflow on them."""
-    out, i = "^", 0
-    while i < len(fmt):
-        ch = fmt[i]
-        j = i
-        while j < len(fmt) and fmt[j] == ch:
-            j += 1
-        if ch == "y":
-            out += "[0-9]{4}"
-        elif ch in "dHhms" or (ch == "M" and j - i <= 2):
-            out += "[0-9]{1,2}"
-        elif ch == "M":
-            out += "[A-Za-z]+"
-        else:
-            out += "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in fmt[i:j])
-        i = j
-    return out + "$"
-
-
-def parse_mixed_dates(c: Column, formats=DATE_FORMATS) -> Column:
-    """Text in any of ``formats`` -> DATE; anything else (or null) -> null.
-
-    Each format is tried only on strings of its shape: a failed parse is expensive (it
-    raises inside the parser), a regex test is not, and the shape test never rejects a
-    string the format could parse into a year 0000-9999, so such results are the same.
-    Dates outside the source's representable range give null (never a failed task)."""
-    d = F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f)))
-                     for f in formats]).cast("date")
+# A decimal number: sign, exponent and outer blanks allowed. try_cast alone would also
+# accept "1d", "NaN" and "Infinity".
+_NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+_MONTH = "(" + "|".join(MONTHS) + ")"
+_SHORT_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# Pattern, and the groups of year, month (name or number) and day (0: not in the text).
+_DATE_ORDERS = (
+    (r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ t][0-9:.]+z?)?$", 1, 2, 3, False),
+    (r"^([0-9]{4})[-/]([0-9]{1,2})$", 1, 2, 0, False),
+    (r"^([0-9]{4})$", 1, 0, 0, False),
+    (rf"^{_MONTH}[.,]? ([0-9]{{4}})$", 2, 1, 0, True),
+    (rf"^{_MONTH}\.? ([0-9]{{1,2}}),? ([0-9]{{4}})\.?$", 3, 1, 2, True),
+    (rf"^([0-9]{{1,2}}) {_MONTH}[.,]? ([0-9]{{4}})\.?$", 3, 2, 1, True),
+)
+
+
+def parse_mixed_dates(c: Column) -> Column:
+    """Text in any spelling of ``_DATE_ORDERS`` (any case, full or short month names) ->
+    DATE; anything else (or null, or no such day) -> null.
+
+    The parts are read by pattern and checked by one tolerant cast: no parser that raises
+    per value. Dates outside the source's representable range give null."""
+    two = lambda v: F.lpad(v, 2, "0")
+
+    def made(x: Column) -> Column:
+        text = F
+        for pattern, year, month, day, named in _DATE_ORDERS:
+            get = lambda g, p=pattern: F.regexp_extract(x, p, g)
+            number = _month_number(get(month)).cast("string") if named else get(month) if month else F.lit("1")
+            text = text.when(x.rlike(pattern), F.concat_ws("-", get(year), two(number), two(get(day) if day else F.lit("1"))))
+        return text
+
+    # The lower-cased text is a lambda variable: computed once, and no giant generated method.
+    d = F.element_at(F.transform(F.array(F.lower(F.trim(c))), lambda x: made(x)), 1).try_cast("date")
     return F.when(d.between(F.lit(DATE_MIN).cast("date"), F.lit(DATE_MAX).cast("date")), d)
 
 
+def _month_number(name: Column) -> Column:
+    return ((F.instr(F.lit(_SHORT_MONTHS), F.substring(name, 1, 3)) + 2) / 3).cast("int")
+
+
 def release_year(date_col: Column) -> Column:
     """Year of a release date, 0 when the date is unknown."""
     return F.coalesce(F.year(date_col), F.lit(0)).cast("int")
 
 
 def numeric_coerce(c: Column) -> Column:
-    """Tolerant numeric cast: unparseable text -> null instead of an error under ANSI."""
-    return c.try_cast("double")
+    """Tolerant numeric cast: text that is not a decimal number -> null, never an error."""
+    return F.when(c.cast("string").rlike(_NUMERIC_TEXT), F.trim(c.cast("string")).try_cast("double"))
 
 
 def normalize_price(c: Column) -> Column:
@@ -123,8 +116,14 @@ def minutes_to_hours(c: Column) -> Column:
 
 
 def percent_label(ratio: Column) -> Column:
-    """Ratio -> text like ``'36.36%'``, rounded half-to-even at 2 decimals."""
-    return F.concat(F.bround(ratio * F.lit(100.0), 2).cast("string"), F.lit("%"))
+    """Ratio -> text like ``'36.36%'``, rounded as numpy does (``round2``)."""
+    return F.concat(round2(ratio * F.lit(100.0)).cast("string"), F.lit("%"))
+
+
+def round2(x: Column) -> Column:
+    """Two decimals as numpy rounds: the scaled double to the nearest integer (ties to
+    even), scaled back. Differs from decimal rounding where scaling meets a tie."""
+    return F.rint(x * F.lit(100.0)) / F.lit(100.0)
 
 
 def replace_in_array(arr: Column, old: str = GENRE_ENTITY, new: str = GENRE_ENTITY_REPLACEMENT) -> Column:

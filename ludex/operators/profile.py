@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ludex.functions.clean import round2
+from ludex.session import materialize
+
 
 def _rows(df: DataFrame) -> Column:
     """Row count of ``df`` as a scalar-subquery column."""
@@ -35,10 +38,10 @@ def sum_per_group(df: DataFrame, key: str, value: str, alias: str | None = None)
 
 def value_percentages(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of *all* rows per non-null value (nulls count in the
-    denominator, not in the list); percentage rounded half-to-even at 2 decimals."""
+    denominator, not in the list); percentage rounded as numpy does."""
     total = _rows(df)
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("pct", F.bround(F.lit(100.0) * F.col("rows") / total, 2))
+    return counts.withColumn("pct", round2(F.lit(100.0) * F.col("rows") / total))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -54,8 +57,8 @@ def null_profile(df: DataFrame) -> DataFrame:
     not_null_pct = F.lit(100.0) * F.col("s.not_null") / F.col("_n")
     return rows.select(
         F.col("s.name").alias("name"), F.col("s.data_type").alias("data_type"),
-        F.bround(not_null_pct, 2).alias("not_null_pct"),
-        F.bround(F.lit(100.0) - not_null_pct, 2).alias("null_pct"),
+        round2(not_null_pct).alias("not_null_pct"),
+        round2(F.lit(100.0) - not_null_pct).alias("null_pct"),
         (F.col("_n") - F.col("s.not_null")).alias("null_count"))
 
 
@@ -75,14 +78,37 @@ def distinct_count_with_null(df: DataFrame, column: str) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear interpolation), max.
 
-    ``percentile`` keeps a value->count map per partial aggregate, so memory follows the
-    number of *distinct* values, not rows (prices, hours and counts have few)."""
+    Quartiles: rows per distinct value, cumulated in value order over range partitions
+    (``running_total``); the values at the six ranks around the quartiles are picked from
+    there, so no task or aggregate holds all distinct values."""
     x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")) \
-             .select("count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min",
-                     F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    stats = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                   F.min(x).alias("min"), F.max(x).alias("max"))
+    values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cumulated = materialize(running_total(values, [F.col("v").asc()], "n", "upto"), "value-counts")
+    rows = cumulated.select(F.max("upto")).scalar()
+    picked, parts = [], []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        at = (rows - 1) * F.lit(q)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picked.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{name}_{side}"))
+        parts.append((name, at - F.floor(at)))
+    ranks = cumulated.agg(*picked).select(F.struct(*[f"{n}_{s}" for n, _ in parts for s in ("lo", "hi")]).alias("r")).scalar()
+    out = [(ranks[f"{n}_lo"] + (ranks[f"{n}_hi"] - ranks[f"{n}_lo"]) * part).alias(n) for n, part in parts]
+    return stats.select("count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", *out, "max")
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, alias: str) -> DataFrame:
+    """Sum of ``value`` up to and including each row in a global order. Rows are range
+    partitioned (and written, as ranges come from a sample), summed within partitions, and
+    shifted by the totals of the partitions before: one row a partition is windowed."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_t"))
+    before = totals.select("_part", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return (ranged.withColumn("_own", own).join(before, "_part")
+                  .withColumn(alias, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before"))
 
 
 def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
@@ -100,7 +126,8 @@ def ranked_top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 def sorted_positions(df: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     """Rows per ``key`` value numbered in key order with nulls last (Spark's default
-    puts nulls first when ascending). Numbering runs over the grouped rows only."""
+    puts nulls first when ascending). Positions come from range partitions, not one window."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     o = F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last()
-    return counts.withColumn("pos", F.row_number().over(Window.orderBy(o)))
+    numbered = running_total(counts.withColumn("_one", F.lit(1)), [o], "_one", "pos")
+    return numbered.select(key, "rows", F.col("pos").cast("int").alias("pos"))

@@ -2,36 +2,40 @@
 
 The compound score follows the rule-based method of Hutto & Gilbert, "VADER: A
 Parsimonious Rule-based Model for Sentiment Analysis of Social Media Text" (ICWSM 2014).
-The valence word list is an *input table* ``(token, valence)``: the source project
-downloads it at run time and does not ship it.
-
-Rules implemented:
-  * valence of each lexicon word;
-  * booster words within the three preceding tokens add (or subtract) a fixed step,
-    damped by distance;
-  * a negation word within the three preceding tokens multiplies the valence by a
-    fixed negative scalar;
+Two *input tables* drive it: the valence word list ``(token, valence)``, which the source
+project downloads at run time and does not ship, and the modifiers ``(token, kind, step)``
+(kind ``negation`` or ``booster``), by default the published lists below.
+
+Tokens are split at white space; outer ASCII punctuation is stripped unless two characters
+or fewer would be left (so ``:)`` stays a token). Every script is kept.
+
+Rules, in the published order, for each lexicon word:
+  * a word in capitals, in a text that also has others, gains a fixed step;
+  * for each of the three tokens before it that is not itself a lexicon word: a booster
+    adds its step away from zero (damped by distance; more if it is in capitals in a mixed
+    text), then a negation (listed, or containing ``n't``) multiplies by a negative
+    scalar, each on its own; ``never so`` / ``never this`` intensifies instead;
+  * ``least`` directly before negates, unless after ``at`` or ``very``;
   * contrast: with "but" in the text, words before it weigh half, words after it 1.5;
   * "!" (up to four) and "?" (more than one) push the sum away from zero;
   * normalisation ``s / sqrt(s^2 + alpha)``, clipped to [-1, 1].
-  * a lexicon word written in capitals, in a text that also has words that are not,
-    gains a fixed step away from zero.
-Not implemented: caps emphasis of booster words, idioms, emoji, and multi-word boosters. Numeric equality with the original library cannot be checked here.
-
-Plan: every document's tokens are exploded with their three predecessors (taken from the
-token array inside the row, so no window and no self-join), joined to the lexicon (a hash
-join; the lexicon is broadcast when its row count is within ``MAX_BROADCAST_LEXICON``),
-scored by the rules, and summed per document. A document's tokens sit in one input
-partition, so the map-side partial aggregate collapses them to one row before the
-shuffle. A word list of any size works: the lexicon is never turned into a map literal
-(a map lookup is a linear scan of its keys, see README).
+Not implemented: idioms and modifiers of several words ("kind of", "just enough"), emoji
+descriptions, and "no" as a modifier. Numeric equality with the original library cannot be
+checked here (it is not installed).
+
+Plan: every document's tokens are exploded with their three predecessors (from the token
+array inside the row: no window, no self-join) and joined to the lexicon; only the hits, a
+few per text, look their predecessors up. Which side is broadcast is left to the planner,
+by size. Sums are pre-aggregated map-side and meet the per-document counts by key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ludex.session import materialize
+
 # ---------------------------------------------------------------------------
 # Fixed values from the published method.
 ALPHA = 15.0                 # normalisation constant
@@ -39,132 +43,148 @@ NEGATION_SCALAR = -0.74      # multiplier when a negation precedes the word
 CAPS_STEP = 0.733            # emphasis of an all-caps word in a text that is not all caps
 BOOSTER_STEP = 0.293         # booster increment / decrement
 BOOSTER_DAMPING = (1.0, 0.95, 0.9)  # by distance 1, 2, 3 tokens before the word
+NEVER_STEP = (None, 1.5, 1.25)      # "never so / this" by distance of "never"
 BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 EXCLAMATION_STEP, EXCLAMATION_MAX = 0.292, 4
 QUESTION_STEP, QUESTION_MAX_COUNT, QUESTION_CAP = 0.18, 3, 0.96
 POSITIVE_AT, NEGATIVE_AT = 0.05, -0.05  # class thresholds (inclusive)
 CONTRAST_WORD = "but"
-# Negation words (letters only: the tokeniser splits on anything else).
+# Negation words (those with n't are found by that).
 NEGATIONS = (
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont",
     "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt", "neither", "neednt", "never",
     "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt",
-    "wasnt", "werent", "without", "wont", "wouldnt", "rarely", "seldom", "despite",
+    "uhuh", "wasnt", "werent", "without", "wont", "wouldnt", "rarely", "seldom", "despite",
 )
 # Single-word boosters that raise intensity.
 BOOSTERS_UP = (
     "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly",
-    "deeply", "enormously", "entirely", "especially", "exceptionally", "extremely",
-    "fabulously", "fully", "greatly", "highly", "hugely", "incredibly", "intensely",
-    "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably",
-    "so", "substantially", "thoroughly", "totally", "tremendously", "unbelievably",
-    "unusually", "utterly", "very",
+    "deeply", "effing", "enormously", "entirely", "especially", "exceptionally",
+    "extremely", "fabulously", "flipping", "flippin", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fucking", "greatly", "hella", "highly", "hugely", "incredibly",
+    "intensely", "majorly", "more", "most", "particularly", "purely", "quite", "really",
+    "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously", "uber",
+    "unbelievably", "unusually", "utterly", "very",
 )
 # Single-word boosters that lower intensity.
 BOOSTERS_DOWN = (
-    "almost", "barely", "hardly", "kinda", "less", "little", "marginally", "occasionally",
-    "partly", "scarcely", "slightly", "somewhat", "sorta",
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little",
+    "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat", "sorta",
+    "sortof", "sort-of",
 )
 # ---------------------------------------------------------------------------
 
-MAX_BROADCAST_LEXICON = 2_000_000
-TOKEN_PATTERN = "[^A-Za-z]+"
-
-
-def raw_tokens(text: Column) -> Column:
-    """Letter runs of ``text`` as written (empty strings removed)."""
-    return F.filter(F.split(text, TOKEN_PATTERN), lambda t: t != F.lit(""))
-
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MODIFIERS = "token string, kind string, step double"
 
-def tokens(text: Column) -> Column:
-    """Lower-cased letter runs of ``text``."""
-    return F.transform(raw_tokens(text), lambda t: F.lower(t))
 
+def default_modifiers(spark: SparkSession) -> DataFrame:
+    """The published negation and booster lists as a ``(token, kind, step)`` table."""
+    rows = ([(t, "negation", None) for t in NEGATIONS] + [(t, "booster", BOOSTER_STEP) for t in BOOSTERS_UP]
+            + [(t, "booster", -BOOSTER_STEP) for t in BOOSTERS_DOWN])
+    return spark.createDataFrame(rows, MODIFIERS)
 
-def prepare_lexicon(lexicon: DataFrame, max_broadcast: int | None = None) -> DataFrame:
-    """``(token, valence)`` -> ``(_t, _v)`` with lower-cased, distinct tokens. Marked for
-    broadcast only after its row count is checked against ``max_broadcast``; a larger
-    list is joined by shuffle."""
-    if max_broadcast is None:
-        max_broadcast = MAX_BROADCAST_LEXICON
-    lex = (lexicon.select(F.lower("token").alias("_t"), F.col("valence").cast("double").alias("_v"))
-                  .groupBy("_t").agg(F.max("_v").alias("_v")))
-    return F.broadcast(lex) if lexicon.count() <= max_broadcast else lex
 
+def raw_tokens(text: Column) -> Column:
+    """Tokens as written: white-space runs apart, outer punctuation stripped unless two
+    characters or fewer would be left."""
+    def strip(t: Column) -> Column:
+        bare = F.btrim(t, F.lit(PUNCTUATION))
+        return F.when(F.length(bare) <= 2, t).otherwise(bare)
 
-def _in(word: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(word.isin(*words), F.lit(False))
+    return F.transform(F.filter(F.split(text, "\\s+"), lambda t: t != F.lit("")), strip)
 
 
-def _token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """One row per token (one null row for a text without tokens): key, the text's "!"
-    and "?" counts, the contrast position, whether the text mixes all-caps and other words,
-    token position ``_i``, lower-cased token ``_tok``, whether it is written in capitals
-    ``_cap``, and the three preceding tokens ``_p1.._p3``."""
+def vocabulary(lexicon: DataFrame, modifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(_t, _v)`` of the lexicon, and ``(_t, _lex, _neg, _step)`` of every listed word;
+    lower-cased, one row per word."""
+    lex = (lexicon.select(F.lower("token").alias("_t"), F.col("valence").cast("double").alias("_v"))
+                  .where(F.col("_t").isNotNull()).groupBy("_t").agg(F.max("_v").alias("_v")))
+    mod = modifiers.select(F.lower("token").alias("_t"), F.lit(False).alias("_lex"), (F.col("kind") == "negation").alias("_neg"),
+                           F.when(F.col("kind") == "booster", F.col("step").cast("double")).alias("_step"))
+    both = mod.unionByName(lex.select("_t", F.lit(True).alias("_lex"), F.lit(False).alias("_neg"),
+                                      F.lit(None).cast("double").alias("_step")))
+    words = both.where(F.col("_t").isNotNull()).groupBy("_t").agg(
+        F.max("_lex").alias("_lex"), F.max("_neg").alias("_neg"), F.max("_step").alias("_step"))
+    return lex, words
+
+
+def _documents(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Key, punctuation counts, contrast position (1-based, 0 absent), whether capitals
+    and other words mix, and the tokens as written (``_raw``) and lower-cased (``_toks``)."""
     text = F.col(text_col)
-    staged = docs.select(
+    d = docs.select(
         F.col(key), text.isNull().alias("_null"),
         (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("_bangs"),
         (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("_quests"),
         raw_tokens(text).alias("_raw"))
     raw = F.col("_raw")
-    staged = staged.select(
-        "*", F.transform(raw, lambda t: F.lower(t)).alias("_toks"),
-        F.size(F.filter(raw, lambda t: t == F.upper(t))).alias("_ncaps"))
-    staged = staged.withColumn("_but", F.array_position("_toks", CONTRAST_WORD) - 1)  # 0-based, -1 absent
-    staged = staged.withColumn("_capdiff", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw)))
-    # Predecessor k of every token: the token array shifted right by k (native array
-    # functions, no per-element lambda), zipped with the tokens and exploded once.
-    n = F.size("_toks")
+    d = d.select("*", F.transform(raw, lambda t: F.lower(t)).alias("_toks"),
+                 F.size(F.filter(raw, is_caps)).alias("_ncaps"))
+    return d.withColumn("_but", F.array_position("_toks", CONTRAST_WORD)) \
+            .withColumn("_mixed", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw))).drop("_ncaps")
+
+
+def is_caps(t: Column) -> Column:
+    """Written in capitals (with at least one letter that has a small form)."""
+    return (t == F.upper(t)) & (t != F.lower(t))
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    """Lexicon words with their score ``_s``, from their own columns and those of their
+    predecessors: each one's booster step and factor, then one fold over the three."""
+    mixed = F.col("_mixed")
+    so_this = lambda k: F.coalesce(F.col(f"_p{k}").isin("so", "this"), F.lit(False))
+    rules = []
     for k in (1, 2, 3):
-        pad = F.array(*[F.lit(None).cast("string")] * k)
-        staged = staged.withColumn(f"_p{k}", F.slice(F.concat(pad, F.col("_toks")), 1, n))
-    staged = staged.withColumnRenamed("_toks", "_tok")
-    zipped = F.arrays_zip("_tok", "_raw", "_p1", "_p2", "_p3")
-    cols = [key, "_null", "_bangs", "_quests", "_but", "_capdiff"]
-    return (staged.select(*cols, F.posexplode_outer(zipped).alias("_i", "_w"))
-                  .select(*cols, "_i", "_w.*")
-                  .withColumn("_cap", F.col("_raw") == F.upper(F.col("_raw"))).drop("_raw"))
-
-
-def _word_score() -> Column:
-    """Score of one lexicon word after boosters, negation and contrast weighting."""
-    v = F.col("_v")
-    prev = [F.col("_p1"), F.col("_p2"), F.col("_p3")]
-    step = F.lit(0.0)
-    for p, damp in zip(prev, BOOSTER_DAMPING):
-        step = step + F.when(_in(p, BOOSTERS_UP), F.lit(BOOSTER_STEP * damp)) \
-                       .when(_in(p, BOOSTERS_DOWN), F.lit(-BOOSTER_STEP * damp)) \
-                       .otherwise(F.lit(0.0))
-    caps = F.when(F.col("_cap") & F.col("_capdiff"), F.lit(CAPS_STEP)).otherwise(F.lit(0.0))
-    boosted = (v + F.signum(v) * caps) + F.signum(v) * step
-    negated = _in(prev[0], NEGATIONS) | _in(prev[1], NEGATIONS) | _in(prev[2], NEGATIONS)
-    s = F.when(negated, boosted * F.lit(NEGATION_SCALAR)).otherwise(boosted)
-    i, b = F.col("_i"), F.col("_but")
-    weight = (F.when(b < 0, F.lit(1.0)).when(i < b, F.lit(BUT_BEFORE))
-               .when(i > b, F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
-    return s * weight
-
-
-def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+        p = F.col(f"_p{k}")
+        counts = p.isNotNull() & ~F.coalesce(F.col(f"_lex{k}"), F.lit(False))
+        step = F.col(f"_step{k}") + F.when(F.col(f"_cap{k}") & mixed, F.lit(CAPS_STEP)).otherwise(F.lit(0.0))
+        negates = F.coalesce(F.col(f"_neg{k}"), F.lit(False)) | F.coalesce(p.contains("n't"), F.lit(False))
+        factor = F.when(counts & negates, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+        if k > 1:
+            near = so_this(1) if k == 2 else (so_this(1) | so_this(2))
+            factor = F.when(counts & (p == "never") & near, F.lit(NEVER_STEP[k - 1])).otherwise(factor)
+        rules.append(F.struct(F.coalesce(F.when(counts, step * BOOSTER_DAMPING[k - 1]), F.lit(0.0)).alias("b"), factor.alias("f")))
+    least = (F.col("_p1") == "least") & ~F.coalesce(F.col("_lex1"), F.lit(False)) \
+        & ~F.coalesce(F.col("_p2").isin("at", "very"), F.lit(False))
+    rules.append(F.struct(F.lit(0.0).alias("b"), F.when(F.coalesce(least, F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)).alias("f")))
+    i, b = F.col("_i") + 1, F.col("_but")
+    weight = F.when(b == 0, F.lit(1.0)).when(i < b, F.lit(BUT_BEFORE)).when(i > b, F.lit(BUT_AFTER)).otherwise(F.lit(1.0))
+    start = F.col("_v") + F.when(F.col("_cap") & mixed, F.signum("_v") * CAPS_STEP).otherwise(F.lit(0.0))
+    score = F.aggregate(F.array(*rules), start, lambda s, r: (s + F.when(s < 0, -r["b"]).otherwise(r["b"])) * r["f"])
+    return hits.withColumn("_s", score * weight)
+
+
+def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame,
+                    modifiers: DataFrame | None = None) -> DataFrame:
     """``key, compound`` for every row of ``docs`` (``key`` must identify a text):
     polarity in [-1, 1], 0 when no lexicon word occurs, null for a null text."""
-    rows = _token_rows(docs, key, text_col)
-    lex = prepare_lexicon(lexicon)
-    hits = rows.join(lex, rows["_tok"] == lex["_t"], "left")
-    # Non-lexicon tokens add nothing; one row per text (its first) still carries the counts.
-    hits = hits.where(F.col("_v").isNotNull() | F.coalesce(F.col("_i") == 0, F.lit(True)))
-    agg = hits.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), _word_score())), F.lit(0.0)).alias("_total"),
-        F.max("_bangs").alias("_bangs"), F.max("_quests").alias("_quests"), F.max("_null").alias("_null"))
-    tot, bangs, quests = F.col("_total"), F.col("_bangs"), F.col("_quests")
+    lex, words = vocabulary(lexicon, modifiers if modifiers is not None else default_modifiers(docs.sparkSession))
+    d = _documents(docs, key, text_col)
+    n = F.size("_raw")
+    tokens = d
+    # Predecessor k of every token: the token array shifted right by k, zipped and exploded once.
+    for k in (1, 2, 3):
+        pad = F.array(*[F.lit(None).cast("string")] * k)
+        tokens = tokens.withColumn(f"_r{k}", F.slice(F.concat(pad, F.col("_raw")), 1, n))
+    tokens = tokens.select(key, "_but", "_mixed", F.posexplode(F.arrays_zip("_raw", "_toks", "_r1", "_r2", "_r3")).alias("_i", "_w"))
+    hits = (tokens.select(key, "_but", "_mixed", "_i", "_w.*").join(lex, F.col("_toks") == F.col("_t")).drop("_t")
+                  .withColumn("_cap", is_caps(F.col("_raw"))))
+    for k in (1, 2, 3):
+        hits = hits.withColumn(f"_p{k}", F.lower(f"_r{k}")).withColumn(f"_cap{k}", is_caps(F.col(f"_r{k}")))
+        own = words.select(*[F.col(c).alias(f"{c}{k}") for c in ("_t", "_lex", "_neg", "_step")])
+        hits = hits.join(own, F.col(f"_p{k}") == F.col(f"_t{k}"), "left")
+    sums = _scored(hits).groupBy(F.col(key).alias("_k")).agg(F.sum("_s").alias("_sum"))
+    j = d.select(key, "_null", "_bangs", "_quests").join(sums, F.col(key) == F.col("_k"), "left")
+    tot, bangs, quests = F.coalesce("_sum", F.lit(0.0)), F.col("_bangs"), F.col("_quests")
     amp = (F.least(bangs, F.lit(EXCLAMATION_MAX)) * F.lit(EXCLAMATION_STEP)
            + F.when(quests <= 1, F.lit(0.0))
               .when(quests <= QUESTION_MAX_COUNT, quests * F.lit(QUESTION_STEP))
               .otherwise(F.lit(QUESTION_CAP)))
     s = F.when(tot > 0, tot + amp).when(tot < 0, tot - amp).otherwise(tot)
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + F.lit(ALPHA))))
-    return agg.select(key, F.when(F.col("_null"), F.lit(None).cast("double")).otherwise(c).alias("compound"))
+    return j.select(key, F.when(F.col("_null"), F.lit(None).cast("double")).otherwise(c).alias("compound"))
 
 
 def sentiment_class(score: Column) -> Column:
@@ -174,26 +194,30 @@ def sentiment_class(score: Column) -> Column:
              .otherwise(F.lit(1))).cast("int")
 
 
-def score_texts(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
+                modifiers: DataFrame | None = None) -> DataFrame:
     """``key, compound, sentiment`` for a table whose ``key`` identifies each text."""
-    scores = compound_scores(df, key, text_col, lexicon)
+    scores = compound_scores(df, key, text_col, lexicon, modifiers)
     return scores.withColumn("sentiment", sentiment_class(F.col("compound")))
 
 
-def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "sentiment") -> DataFrame:
+def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "sentiment",
+                  modifiers: DataFrame | None = None) -> DataFrame:
     """Replace the text column by a sentiment class, for a table without a text key
     (e.g. reviews).
 
     A text's score depends on the text alone, so distinct texts are scored once — keyed
     by two independent 64/32-bit hashes and the length (no practical collision), with
-    map-side de-duplication before the shuffle — and joined back to the rows."""
+    map-side de-duplication before the shuffle — and joined back to the rows. The scores
+    are read from a written table: the join's inputs are then plain shuffles, which
+    adaptive execution splits where one text holds many rows."""
     key = F.concat_ws(":", F.xxhash64(F.col(text_col)).cast("string"), F.hash(F.col(text_col)).cast("string"),
                       F.length(F.col(text_col)).cast("string"))
     keyed = df.withColumn("_rk", key)
     # (key, text) pairs are distinct exactly when texts are; grouping on both keeps the
     # de-duplication a hash aggregate.
     texts = keyed.where(F.col(text_col).isNotNull()).select("_rk", text_col).distinct()
-    scores = compound_scores(texts, "_rk", text_col, lexicon)
+    scores = materialize(compound_scores(texts, "_rk", text_col, lexicon, modifiers), "text-scores")
     return (keyed.drop(text_col).join(scores, "_rk", "left")
                  .withColumn(out, sentiment_class(F.col("compound")))
                  .drop("_rk", "compound"))

@@ -30,7 +30,8 @@ ITEM = "small ring 0"
 # Demo lexicon for the sentiment job: the test text is invented prose, so a real word
 # list would barely match; these frequent words stand in.
 DEMO_LEXICON = [("that", 1.9), ("for", 0.8), ("was", -1.5), ("and", -0.4),
-                ("good", 1.9), ("bad", -2.5), ("great", 3.1), ("not", 0.0)]
+                ("good", 1.9), ("bad", -2.5), ("great", 3.1), ("not", 0.0),
+                ("like", 1.5), (":)", 2.0), ("très", 0.7)]
 
 
 class Bound:
@@ -103,9 +104,22 @@ def ingest_literal_lines(spark, d):
                         F.col("it.playtime_forever").alias("playtime_forever")))
 
 
+@query
+def quarantine_literal_lines(spark, d):
+    """A3: lines that do not parse, or hold a value of another type, with the field."""
+    _rows, bad = literal_lines.ingest_literal_lines(B.bad_literal_lines(spark, d), schemas.LIBRARY)
+    return bad.select("line", "field")
+
+
+@query
+def full_scan(spark, d):
+    """A4: full Parquet scan, every column."""
+    return parquet.read_table(spark, f"{d}/part.parquet")
+
+
 @query
 def scan_projected(spark, d):
-    """A4: full Parquet scan of a narrow projection (only the two columns are read)."""
+    """A4: Parquet scan of a narrow projection (only the two columns are read)."""
     p = parquet.read_table(spark, f"{d}/part.parquet", ["p_partkey", "p_brand"])
     return p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("developer"))
 
@@ -137,15 +151,16 @@ def playtime_hours(spark, d):
 @query
 def percent_label(spark, d):
     r = Bound(spark, d).reviews
-    return r.groupBy("user_id").agg(clean.percent_label(F.avg(F.col("recommend").cast("double"))).alias("recommend_pct"))
+    return r.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(clean.percent_label(F.avg(F.col("recommend").cast("double"))).alias("recommend_pct"))
 
 
 # =========================================================================== filters
 
 @query
 def drop_all_null(spark, d):
-    g = Bound(spark, d).games_raw.select("id", "developer", "release_date")
-    return g.na.drop(how="all", subset=["developer", "release_date"])
+    """Rows with any value in any column."""
+    g = Bound(spark, d).games_raw.na.drop(how="all")
+    return g.select("id", "app_name", "developer", "publisher", _joined("genres"), "price", "release_date")
 
 
 @query
@@ -206,6 +221,11 @@ def unparsed_values(spark, d):
     return T.unparsed_prices(Bound(spark, d).games_raw)
 
 
+@query
+def date_null_report(spark, d):
+    return T.date_null_report(Bound(spark, d).games_raw)
+
+
 # =========================================================================== arrays
 
 @query
@@ -227,7 +247,7 @@ def explode_user_items(spark, d):
 
 @query
 def distinct_price_per_item(spark, d):
-    return Bound(spark, d).prices.select("item_id", "price").distinct()
+    return Bound(spark, d).prices.where(F.col("item_id").isNotNull()).select("item_id", "price").distinct()
 
 
 # =========================================================================== derived tables
@@ -255,6 +275,24 @@ def build_user_item_count(spark, d):
     return counts
 
 
+@query
+def build_user_items(spark, d):
+    """Nested libraries, one row per line; items as sorted text to compare them."""
+    nested, _ = T.split_user_items(B.library_lines(spark, d))
+    item = F.transform("items", lambda i: F.concat(F.coalesce(i["item_id"].cast("string"), F.lit("-")), F.lit(":"),
+                                                   F.coalesce(i["playtime_forever"].cast("string"), F.lit("-"))))
+    return nested.select("user_id", F.array_join(F.array_sort(item), "|").alias("items"))
+
+
+@query
+def user_reviews_content(spark, d):
+    """T9 with its nested content, as sorted text to compare it."""
+    r = T.build_user_reviews(B.review_lines(spark, d))
+    one = F.transform("reviews", lambda x: F.concat_ws("~", x["review"], x["recommend"].cast("string"),
+                                                       x["item_id"].cast("string"), x["posted"]))
+    return r.select("user_id", "user_url", F.array_join(F.array_sort(one), "|").alias("reviews"))
+
+
 @query
 def build_user_reviews(spark, d):
     r = T.build_user_reviews(B.review_lines(spark, d))
@@ -323,7 +361,7 @@ def reviews_per_date(spark, d):
 
 @query
 def sentiment_counts_per_item(spark, d):
-    r = Bound(spark, d).reviews
+    r = Bound(spark, d).reviews.where(F.col("item_id").isNotNull())
     return r.groupBy("item_id").agg(F.count_if(F.col("sentiment") == 2).alias("positive"),
                                     F.count_if(F.col("sentiment") == 0).alias("negative"))
 
@@ -333,6 +371,23 @@ def value_percentages(spark, d):
     return profile.value_percentages(Bound(spark, d).genres_x, "genre")
 
 
+@query
+def release_year_first20(spark, d):
+    """The frequency table of the release year, first 20."""
+    t = profile.value_percentages(Bound(spark, d).games, "release_year")
+    return profile.ranked_top(t, [F.col("rows").desc(), F.col("release_year").asc()], 20)
+
+
+@query
+def sentiment_frequency(spark, d):
+    return profile.value_percentages(Bound(spark, d).reviews, "sentiment")
+
+
+@query
+def recommend_frequency(spark, d):
+    return profile.value_percentages(Bound(spark, d).reviews, "recommend")
+
+
 @query
 def null_profile(spark, d):
     g = Bound(spark, d).games.select("item_id", "app_name", "developer", "publisher", "genres",
@@ -357,7 +412,8 @@ def distinct_years(spark, d):
 
 @query
 def describe_price(spark, d):
-    return profile.describe(Bound(spark, d).prices.select("item_id", "price").distinct(), "price")
+    prices = Bound(spark, d).prices.where(F.col("item_id").isNotNull())
+    return profile.describe(prices.select("item_id", "price").distinct(), "price")
 
 
 @query
@@ -439,12 +495,6 @@ def user_item_scores(spark, d):
     return s.select("user_id", "item", F.round("score", 6).alias("score"))
 
 
-@query
-def score_pivot(spark, d):
-    b = Bound(spark, d)
-    return recommend.score_pivot(recommend.user_item_scores(b.reviews, b.games), 5)
-
-
 @query
 def normalize_scores(spark, d):
     b = Bound(spark, d)

@@ -36,6 +36,13 @@ def unparsed_prices(raw: DataFrame) -> DataFrame:
                .groupBy(F.col("price").alias("price_text")).agg(F.count(F.lit(1)).alias("rows")))
 
 
+def date_null_report(raw: DataFrame) -> DataFrame:
+    """How many release dates are null after parsing: ``rows, null_dates, null_pct``."""
+    d = clean.parse_mixed_dates(F.col("release_date"))
+    n = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(d.isNull()).alias("null_dates"))
+    return n.withColumn("null_pct", clean.round2(F.lit(100.0) * F.col("null_dates") / F.col("rows")))
+
+
 def build_prices(games: DataFrame) -> DataFrame:
     """``item_id, price`` with a known price."""
     return games.select("item_id", "price").na.drop(subset=["price"])

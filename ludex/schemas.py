@@ -12,6 +12,8 @@ CATALOGUE = StructType([
     StructField("price", StringType()),          # text or number: numbers arrive as text
     StructField("release_date", StringType()),
 ])
+# Every other key of a catalogue line, as text (T1 keeps all columns).
+OTHER = "other_columns"
 
 # Keys not declared here (e.g. other ids in the raw lines) are ignored on read.
 LIBRARY = StructType([

@@ -34,30 +34,35 @@ def games_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     size10 = F.col("p_size") % 10
     day = F.date_add(F.lit(_EPOCH), key.cast("int"))
     k6 = key % 6
+    k4 = key % 4
+    odd_price = (F.when(k4 == 0, F.lit("-1.5")).when(k4 == 1, F.lit("1E3")).when(k4 == 2, F.lit("1d")).otherwise(F.lit(" 2.5")))
     price = (F.when(size10 == 0, F.lit(None).cast("string"))
              .when(size10 == 1, F.lit("Install Now"))
              .when(size10 == 2, F.lit("Third-party"))
              .when(size10 == 3, F.lit("Starting at $499.00"))
              .when(size10 == 4, F.lit("Starting at $449.00"))
              .when(size10 == 5, F.lit("Free To Play"))
+             .when(size10 == 6, odd_price)
              .otherwise(F.col("p_retailprice").cast("string")))
     release = (F.when(k6 == 0, F.date_format(day, "yyyy-MM-dd"))
-               .when(k6 == 1, F.date_format(day, "MMM yyyy"))
+               .when(k6 == 1, F.when(k4 == 1, F.date_format(day, "MMMM yyyy")).otherwise(F.date_format(day, "MMM yyyy")))
                .when(k6 == 2, F.date_format(day, "yyyy"))
                .when(k6 == 3, F.lit("Soon.."))
                .when(k6 == 4, F.lit(None).cast("string"))
-               .otherwise(F.date_format(day, "MMMM d, yyyy")))
+               .otherwise(F.when(k4 == 1, F.date_format(day, "d MMM yyyy")).otherwise(F.date_format(day, "MMMM d, yyyy"))))
     genres = F.when(F.col("p_size") % 7 == 0, F.lit(None).cast("array<string>")) \
               .otherwise(F.split(F.col("p_name"), " "))
-    return p.select(
-        key.alias("id"),
+    rows = p.select(
+        F.when(key % 500 == 499, F.lit(None)).otherwise(key).alias("id"),        # a few rows without id
         F.concat(F.col("p_name"), F.lit(" "), key.cast("string")).alias("app_name"),
         F.when(size10 == 9, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("developer"),
         F.col("p_type").alias("publisher"),
         genres.alias("genres"),
         price.alias("price"),
         release.alias("release_date"),
+        (key % 1000 == 998).alias("_blank"),                                     # and all-null rows
     )
+    return rows.select(*[F.when(~F.col("_blank"), F.col(c)).alias(c) for c in rows.columns if c != "_blank"])
 
 
 def entity_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +132,11 @@ def _recommend() -> Column:
 
 def _review_text() -> Column:
     """Short review text from the line's flags, in words the demo lexicon knows, so the
-    sentiment rules (negation, contrast, "!") all occur."""
-    opening = (F.when(F.col("l_returnflag") == "R", F.lit("bad"))
-                .when(F.col("l_returnflag") == "A", F.lit("good"))
+    sentiment rules (negation, contraction, emoticon, capitals, contrast, "!") all occur."""
+    opening = (F.when(F.col("l_linenumber") == 3, F.lit("isn't good"))
+                .when(F.col("l_linenumber") == 5, F.lit("I don't like it, très :)"))
+                .when(F.col("l_returnflag") == "R", F.lit("bad"))
+                .when(F.col("l_returnflag") == "A", F.lit("REALLY good"))
                 .otherwise(F.lit("not bad")))
     closing = F.when(F.col("l_linestatus") == "F", F.lit(" but great")).otherwise(F.lit("!"))
     return F.concat(opening, closing)
@@ -173,8 +180,8 @@ def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _py_text(c: Column) -> Column:
-    """A Python literal for a value rendered as text: ``'…'`` or ``None``."""
-    return F.when(c.isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), c.cast("string"), F.lit("'")))
+    """A Python literal for a value rendered as text: ``"…"`` or ``None``."""
+    return F.when(c.isNull(), F.lit("None")).otherwise(F.concat(F.lit('"'), c.cast("string"), F.lit('"')))
 
 
 def _py_int(c: Column) -> Column:
@@ -196,6 +203,19 @@ def library_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(value.alias("value"))
 
 
+def bad_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library lines per order of which three in five are bad: broken syntax, a number
+    that is text, a list that is text."""
+    o = table(spark, sf_dir, "orders")
+    user, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 5
+    head = F.concat(F.lit("{'user_id': '"), user, F.lit("', "))
+    value = (F.when(k == 1, F.concat(F.lit("{'user_id': u'"), user, F.lit("', broken")))
+              .when(k == 2, F.concat(head, F.lit("'items_count': 'many', 'items': []}")))
+              .when(k == 3, F.concat(head, F.lit("'items': 'oops'}")))
+              .otherwise(F.concat(head, F.lit("'items_count': '3', 'items': [{'item_id': 7, 'playtime_forever': 90.0}]}"))))
+    return o.select(value.alias("value"))
+
+
 def _py_bool(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("None")).when(c, F.lit("True")).otherwise(F.lit("False"))
 

@@ -12,6 +12,17 @@ def ingest_json_lines(spark: SparkSession, path: str, schema: StructType) -> Dat
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def ingest_with_rest(spark: SparkSession, path: str, schema: StructType, rest: str) -> DataFrame:
+    """The same, with every key the schema does not declare kept in one map column
+    ``rest`` (values as text, null where a line has none)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    every = F.from_json(F.col("value"), "map<string,string>", {"mode": "FAILFAST"})
+    other = F.map_filter(every, lambda k, _: ~F.array_contains(names, k))
+    parsed = lines.select(F.from_json(F.col("value"), schema, {"mode": "FAILFAST"}).alias("_r"), other.alias("_o"))
+    return parsed.select("_r.*", F.when(F.size("_o") > 0, F.col("_o")).alias(rest))
+
+
 def parse_json_lines(lines: DataFrame, schema: StructType, column: str = "value",
                      keep: tuple[str, ...] = ()) -> DataFrame:
     """The same strict parse for lines already in a string column (e.g. a text scan or a

@@ -4,8 +4,10 @@
 Spark's JSON reader cannot read these (single quotes, ``u''`` prefixes, ``True``,
 ``None``), so each Arrow batch of lines is converted to JSON text in Python with the
 standard library's literal parser, and the typed parse with the declared schema then runs
-on the JVM (``from_json``). Lines that do not parse — bad values *and* bad syntax — are
-not fatal: they go to a quarantine frame with the error text.
+on the JVM (``from_json``). Values of another type than declared are converted where that
+loses nothing (``'30'`` or ``30.0`` to 30, a number to text). A line whose value cannot be
+converted, and a line that does not parse, go to a quarantine frame with the line, the
+field and the error; nothing becomes null unseen. Raw text is kept for those lines only.
 """
 
 from __future__ import annotations
@@ -17,53 +19,96 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-_PARSED = "line string, json string, error string"
-
-
-def _to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        lines = pdf["line"].tolist()
-        js, errs = [], []
-        for line in lines:
-            try:
-                obj = ast.literal_eval(line) if line is not None else None
-                if not isinstance(obj, dict):
-                    raise ValueError("line is not a dict literal")
-                js.append(json.dumps(obj, default=str))
-                errs.append(None)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as e:
-                js.append(None)
-                errs.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"line": lines, "json": js, "error": errs})
-
-
-def parse_literal_lines(lines: DataFrame, column: str = "value", partitions: int | None = None) -> DataFrame:
-    """``line, json, error`` for every input line (json null when error is not).
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructType
+
+from ludex.session import ship_package
+
+_PARSED = "line string, json string, field string, error string"
+
+
+class FieldError(ValueError):
+    def __init__(self, field: str, value: object, dtype: DataType):
+        super().__init__(f"{type(value).__name__} is not {dtype.simpleString()}")
+        self.field = field
+
+
+def convert(value: object, dtype: DataType, field: str) -> object:
+    """``value`` as ``dtype``, or a FieldError naming the field; None stays."""
+    if value is None:
+        return None
+    if isinstance(dtype, StructType):
+        if not isinstance(value, dict):
+            raise FieldError(field, value, dtype)
+        prefix = f"{field}." if field else ""
+        return {f.name: convert(value.get(f.name), f.dataType, prefix + f.name) for f in dtype.fields}
+    if isinstance(dtype, ArrayType):
+        if not isinstance(value, (list, tuple)):
+            raise FieldError(field, value, dtype)
+        return [convert(v, dtype.elementType, field) for v in value]
+    if isinstance(dtype, StringType):
+        return value if isinstance(value, str) else json.dumps(value, default=str)
+    if isinstance(dtype, BooleanType):
+        if isinstance(value, bool):
+            return value
+        if str(value).lower() in ("true", "false"):
+            return str(value).lower() == "true"
+        raise FieldError(field, value, dtype)
+    if isinstance(dtype, (LongType, DoubleType)):
+        try:
+            number = float(value) if isinstance(dtype, DoubleType) else (
+                int(value) if isinstance(value, (int, str)) else int(value) if float(value).is_integer() else None)
+        except (TypeError, ValueError, OverflowError):
+            number = None
+        if number is None or (isinstance(dtype, LongType) and not -(1 << 63) <= number < 1 << 63):
+            raise FieldError(field, value, dtype)
+        return number
+    return value
+
+
+def parse_literal_lines(lines: DataFrame, schema: StructType, column: str = "value",
+                        partitions: int | None = None) -> DataFrame:
+    """``line, json, field, error`` for every input line: json for a good line, the other
+    three for a bad one (field null where the line does not parse at all).
 
     The parse is CPU-bound per line. Text-file scans already split the input evenly;
     lines coming out of an aggregation may sit in a few byte-sized partitions, so
     ``partitions`` spreads them round-robin over that many tasks first."""
+    ship_package(lines.sparkSession)
+
+    def to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for line in pdf["line"].tolist():
+                try:
+                    obj = ast.literal_eval(line) if line is not None else None
+                    if not isinstance(obj, dict):
+                        raise ValueError("line is not a dict literal")
+                    out.append((None, json.dumps(convert(obj, schema, "")), None, None))
+                except FieldError as e:
+                    out.append((line, None, e.field, str(e)))
+                except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as e:
+                    out.append((line, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["line", "json", "field", "error"])
+
     src = lines.select(F.col(column).cast("string").alias("line"))
     if partitions:
         src = src.repartition(partitions)
-    return src.mapInPandas(_to_json, _PARSED)
+    return src.mapInPandas(to_json, _PARSED)
 
 
 def ingest_literal_lines(lines: DataFrame, schema: StructType, column: str = "value",
                          partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Return ``(rows, quarantine)``: typed rows for lines that parse, and
-    ``line, error`` for those that do not. Consume both from a written table (see
-    ``plans.etl``) so the Python pass runs once."""
-    return split_parsed(parse_literal_lines(lines, column, partitions), schema)
+    """Return ``(rows, quarantine)``: typed rows for good lines, and ``line, field,
+    error`` for bad ones. Consume both from a written table (see ``plans.etl``) so the
+    Python pass runs once."""
+    return split_parsed(parse_literal_lines(lines, schema, column, partitions), schema)
 
 
 def split_parsed(parsed: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """``parse_literal_lines`` output -> typed rows (JVM-side ``from_json``) and quarantine."""
     rows = parsed.where(F.col("error").isNull()) \
                  .select(F.from_json("json", schema).alias("_r")).select("_r.*")
-    quarantine = parsed.where(F.col("error").isNotNull()).select("line", "error")
+    quarantine = parsed.where(F.col("error").isNotNull()).select("line", "field", "error")
     return rows, quarantine
 
 

@@ -26,7 +26,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     first, as the partitioned writer needs, so the key order inside files is kept."""
     if cluster_by:
         row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-        df = df.repartitionByRange(*[F.col(c) for c in cluster_by], row_hash) \
+        # The folder columns come first, so a task writes few folders.
+        df = df.repartitionByRange(*[F.col(c) for c in (*partition_by, *cluster_by)], row_hash) \
                .sortWithinPartitions(*partition_by, *cluster_by)
     w = df.write.mode(mode)
     if partition_by:

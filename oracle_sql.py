@@ -8,27 +8,49 @@ Column names and types follow the Spark queries in ``ludex.plans.catalog``.
 
 from __future__ import annotations
 
-from ludex.operators import sentiment as S
 from ludex.plans import catalog as C
 
-_FMTS = "['%Y-%m-%d','%b %Y','%Y','%B %-d, %Y.','%B %-d, %Y','%b %-d, %Y','%-d %b, %Y','%Y-%m']"
+_MONTHS = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|"
+           "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
 
 
 def _parse_date(expr: str) -> str:
-    d = f"CAST(try_strptime({expr}, {_FMTS}) AS DATE)"
+    """Year, month and day by pattern, then one checked date."""
+    x = f"lower(trim({expr}))"
+    month = lambda g, pat: (f"lpad(CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', "
+                            f"left(regexp_extract({x}, '{pat}', {g}), 3)) + 2) // 3 AS VARCHAR), 2, '0')")
+    part = lambda g, pat: f"lpad(regexp_extract({x}, '{pat}', {g}), 2, '0')"
+    y = lambda g, pat: f"regexp_extract({x}, '{pat}', {g})"
+    iso, ym = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ t][0-9:.]+z?)?$", "^([0-9]{4})[-/]([0-9]{1,2})$"
+    my, mdy = rf"^({_MONTHS})[.,]? ([0-9]{{4}})$", rf"^({_MONTHS})\.? ([0-9]{{1,2}}),? ([0-9]{{4}})\.?$"
+    dmy = rf"^([0-9]{{1,2}}) ({_MONTHS})[.,]? ([0-9]{{4}})\.?$"
+    text = (f"CASE WHEN regexp_matches({x}, '{iso}') THEN {y(1, iso)} || '-' || {part(2, iso)} || '-' || {part(3, iso)} "
+            f"WHEN regexp_matches({x}, '{ym}') THEN {y(1, ym)} || '-' || {part(2, ym)} || '-01' "
+            f"WHEN regexp_matches({x}, '^[0-9]{{4}}$') THEN {x} || '-01-01' "
+            f"WHEN regexp_matches({x}, '{my}') THEN {y(2, my)} || '-' || {month(1, my)} || '-01' "
+            f"WHEN regexp_matches({x}, '{mdy}') THEN {y(3, mdy)} || '-' || {month(1, mdy)} || '-' || {part(2, mdy)} "
+            f"WHEN regexp_matches({x}, '{dmy}') THEN {y(3, dmy)} || '-' || {month(2, dmy)} || '-' || {part(1, dmy)} END")
+    d = f"TRY_CAST({text} AS DATE)"
     return f"(CASE WHEN {d} BETWEEN DATE '1677-09-22' AND DATE '2262-04-11' THEN {d} END)"
 
 
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _number(expr: str) -> str:
+    return f"(CASE WHEN regexp_matches({expr}, '{_NUMBER}') THEN TRY_CAST(trim({expr}) AS DOUBLE) END)"
+
+
 def _price(expr: str) -> str:
     low = f"lower({expr})"
-    return (f"CASE WHEN regexp_full_match({expr}, '[0-9.]+') THEN TRY_CAST({expr} AS DOUBLE) "
+    return (f"CASE WHEN regexp_matches({expr}, '{_NUMBER}') THEN {_number(expr)} "
             f"WHEN {low} LIKE '%free%' THEN 0.0::DOUBLE WHEN {low} LIKE '%install%' THEN 0.0::DOUBLE "
             f"WHEN {low} LIKE '%play%' THEN 0.0::DOUBLE WHEN {low} LIKE '%third%' THEN 0.0::DOUBLE "
             f"WHEN {low} LIKE '%449%' THEN 449.0::DOUBLE WHEN {low} LIKE '%499%' THEN 499.0::DOUBLE END")
 
 
 def _pct_label(ratio: str) -> str:
-    return f"(CAST(round_even(({ratio}) * 100.0::DOUBLE, 2) AS VARCHAR) || '%')"
+    return f"(CAST(round_even(({ratio}) * 100.0::DOUBLE * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS VARCHAR) || '%')"
 
 
 _POSTED = ("('Posted ' || CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '%B %-d') "
@@ -37,17 +59,22 @@ _STRIPPED = f"replace({_POSTED}, 'Posted ', '')"
 
 BINDINGS = f"""
 games_raw AS (
-  SELECT p_partkey AS id,
-         p_name || ' ' || CAST(p_partkey AS VARCHAR) AS app_name,
-         CASE WHEN p_size % 10 = 9 THEN NULL ELSE p_brand END AS developer,
-         p_type AS publisher,
-         CASE WHEN p_size % 7 = 0 THEN NULL ELSE string_split(p_name, ' ') END AS genres,
+  SELECT CASE WHEN p_partkey % 1000 = 998 OR p_partkey % 500 = 499 THEN NULL ELSE p_partkey END AS id,
+         CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE p_name || ' ' || CAST(p_partkey AS VARCHAR) END AS app_name,
+         CASE WHEN p_partkey % 1000 = 998 OR p_size % 10 = 9 THEN NULL ELSE p_brand END AS developer,
+         CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE p_type END AS publisher,
+         CASE WHEN p_partkey % 1000 = 998 OR p_size % 7 = 0 THEN NULL ELSE string_split(p_name, ' ') END AS genres,
+         CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE
          CASE p_size % 10 WHEN 0 THEN NULL WHEN 1 THEN 'Install Now' WHEN 2 THEN 'Third-party'
               WHEN 3 THEN 'Starting at $499.00' WHEN 4 THEN 'Starting at $449.00'
-              WHEN 5 THEN 'Free To Play' ELSE CAST(p_retailprice AS VARCHAR) END AS price,
-         CASE p_partkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%b %Y')
+              WHEN 5 THEN 'Free To Play' WHEN 6 THEN
+                CASE p_partkey % 4 WHEN 0 THEN '-1.5' WHEN 1 THEN '1E3' WHEN 2 THEN '1d' ELSE ' 2.5' END
+              ELSE CAST(p_retailprice AS VARCHAR) END END AS price,
+         CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE
+         CASE p_partkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%d')
+              WHEN 1 THEN CASE WHEN p_partkey % 4 = 1 THEN strftime(d, '%B %Y') ELSE strftime(d, '%b %Y') END
               WHEN 2 THEN strftime(d, '%Y') WHEN 3 THEN 'Soon..' WHEN 4 THEN NULL
-              ELSE strftime(d, '%B %-d, %Y') END AS release_date
+              ELSE CASE WHEN p_partkey % 4 = 1 THEN strftime(d, '%-d %b %Y') ELSE strftime(d, '%B %-d, %Y') END END END AS release_date
   FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS d FROM part) p
 ),
 games AS (
@@ -111,50 +138,72 @@ def _top(src: str, cols: str, order: str, k: int) -> str:
 
 # ----------------------------------------------------------------------- sentiment in SQL
 
-def _sql_list(words) -> str:
+# Fixed values of the published method, stated here on their own.
+_NEGATE = (
+    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt "
+    "mustnt neither neednt never none nope nor not nothing nowhere oughtnt shant shouldnt "
+    "uhuh wasnt werent without wont wouldnt rarely seldom despite").split()
+_UP = (
+    "absolutely amazingly awfully completely considerably decidedly deeply effing enormously "
+    "entirely especially exceptionally extremely fabulously flipping flippin fricking frickin "
+    "frigging friggin fully fucking greatly hella highly hugely incredibly intensely majorly "
+    "more most particularly purely quite really remarkably so substantially thoroughly "
+    "totally tremendously uber unbelievably unusually utterly very").split()
+_DOWN = (
+    "almost barely hardly kinda kindof kind-of less little marginally occasionally partly "
+    "scarcely slightly somewhat sorta sortof sort-of").split()
+_LEXICON = {"that": 1.9, "for": 0.8, "was": -1.5, "and": -0.4, "good": 1.9, "bad": -2.5, "great": 3.1, "not": 0.0,
+            "like": 1.5, ":)": 2.0, "très": 0.7}
+
+
+def _list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _step(p: str, damp: float) -> str:
-    up, down = S.BOOSTER_STEP * damp, -S.BOOSTER_STEP * damp
-    return (f"(CASE WHEN {p} IN {_sql_list(S.BOOSTERS_UP)} THEN {up!r}::DOUBLE "
-            f"WHEN {p} IN {_sql_list(S.BOOSTERS_DOWN)} THEN {down!r}::DOUBLE ELSE 0.0::DOUBLE END)")
+def _is_caps(t: str) -> str:
+    return f"({t} = upper({t}) AND {t} <> lower({t}))"
+
+
+def _modified(k: int) -> str:
+    """Score ``s`` after the token ``k`` before it: booster, then negation."""
+    damp = {1: 1.0, 2: 0.95, 3: 0.9}[k]
+    step = (f"((CASE WHEN p{k} IN {_list(_UP)} THEN 0.293::DOUBLE ELSE -0.293::DOUBLE END) "
+            f"+ CASE WHEN {_is_caps(f'r{k}')} AND mixed THEN 0.733::DOUBLE ELSE 0.0::DOUBLE END)")
+    boosted = (f"CASE WHEN p{k} IN {_list(_UP)} OR p{k} IN {_list(_DOWN)} "
+               f"THEN s + (CASE WHEN s < 0 THEN -{step} ELSE {step} END) * {damp}::DOUBLE ELSE s END")
+    never = {1: "", 2: "WHEN p2 = 'never' AND p1 IN ('so', 'this') THEN t * 1.5::DOUBLE ",
+             3: "WHEN p3 = 'never' AND (p1 IN ('so', 'this') OR p2 IN ('so', 'this')) THEN t * 1.25::DOUBLE "}[k]
+    return (f"s{k} AS (SELECT * EXCLUDE (s, t), CASE WHEN p{k} IS NULL OR p{k} IN {_list(_LEXICON)} THEN s "
+            f"{never}WHEN p{k} IN {_list(_NEGATE)} OR contains(p{k}, 'n''t') THEN t * -0.74::DOUBLE ELSE t END AS s "
+            f"FROM (SELECT *, {boosted} AS t FROM s{k - 1}))")
 
 
 def _sentiment_ctes(src: str) -> str:
     """CTEs over ``src(doc_id, text)`` ending in ``scored(doc_id, compound)``."""
-    lex = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in C.DEMO_LEXICON)
-    neg = _sql_list(S.NEGATIONS)
-    steps = " + ".join(_step(p, d) for p, d in zip(("p1", "p2", "p3"), S.BOOSTER_DAMPING))
+    lex = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in _LEXICON.items())
+    marks = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
     return f"""
 lex(token, valence) AS (VALUES {lex}),
-raw AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda t: t <> '') AS rt
-        FROM {src}),
+raw AS (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''),
+               lambda t: CASE WHEN length(trim(t, {marks})) <= 2 THEN t ELSE trim(t, {marks}) END) AS rt FROM {src}),
 docs AS (SELECT doc_id, text, rt, list_transform(rt, lambda t: lower(t)) AS toks,
-                len(list_filter(rt, lambda t: t = upper(t))) AS ncaps FROM raw),
+                len(list_filter(rt, lambda t: {_is_caps('t')})) AS ncaps FROM raw),
 tok AS (
-  SELECT doc_id, i, toks[i] AS t, rt[i] = upper(rt[i]) AS cap, (ncaps > 0 AND ncaps < len(rt)) AS capdiff,
-         CASE WHEN i > 1 THEN toks[i - 1] END AS p1,
-         CASE WHEN i > 2 THEN toks[i - 2] END AS p2,
-         CASE WHEN i > 3 THEN toks[i - 3] END AS p3,
-         COALESCE(list_position(toks, '{S.CONTRAST_WORD}'), 0) AS bp
+  SELECT doc_id, i, toks[i] AS w, rt[i] AS r, (ncaps > 0 AND ncaps < len(rt)) AS mixed,
+         CASE WHEN i > 1 THEN rt[i - 1] END AS r1, CASE WHEN i > 2 THEN rt[i - 2] END AS r2, CASE WHEN i > 3 THEN rt[i - 3] END AS r3,
+         COALESCE(list_position(toks, 'but'), 0) AS bp
   FROM (SELECT doc_id, toks, rt, ncaps, unnest(range(1, len(toks) + 1)) AS i FROM docs) z
 ),
-hits AS (
-  SELECT tok.*, lex.valence AS v,
-         lex.valence + sign(lex.valence) * (CASE WHEN cap AND capdiff THEN {S.CAPS_STEP!r}::DOUBLE
-                                                 ELSE 0.0::DOUBLE END) AS bv,
-         (0.0::DOUBLE + {steps}) AS step,
-         (p1 IN {neg} OR p2 IN {neg} OR p3 IN {neg}) AS negated
-  FROM tok JOIN lex ON tok.t = lex.token
-),
+s0 AS (SELECT tok.*, lower(r1) AS p1, lower(r2) AS p2, lower(r3) AS p3,
+              valence + CASE WHEN {_is_caps('r')} AND mixed THEN sign(valence) * 0.733::DOUBLE ELSE 0.0::DOUBLE END AS s
+       FROM tok JOIN lex ON w = token),
+{_modified(1)},
+{_modified(2)},
+{_modified(3)},
 contrib AS (
-  SELECT doc_id,
-         (CASE WHEN COALESCE(negated, false) THEN (bv + sign(v) * step) * {S.NEGATION_SCALAR!r}::DOUBLE
-               ELSE bv + sign(v) * step END)
-         * (CASE WHEN bp = 0 THEN 1.0::DOUBLE WHEN i < bp THEN {S.BUT_BEFORE!r}::DOUBLE
-                 WHEN i > bp THEN {S.BUT_AFTER!r}::DOUBLE ELSE 1.0::DOUBLE END) AS c
-  FROM hits
+  SELECT doc_id, (CASE WHEN p1 = 'least' AND NOT COALESCE(p2 IN ('at', 'very'), false) THEN s * -0.74::DOUBLE ELSE s END)
+         * (CASE WHEN bp = 0 THEN 1.0::DOUBLE WHEN i < bp THEN 0.5::DOUBLE WHEN i > bp THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) AS c
+  FROM s3
 ),
 summed AS (
   SELECT d.doc_id, d.text, COALESCE(s.total, 0.0::DOUBLE) AS total,
@@ -164,23 +213,21 @@ summed AS (
 ),
 amped AS (
   SELECT doc_id, text, total,
-         least(bangs, {S.EXCLAMATION_MAX}) * {S.EXCLAMATION_STEP!r}::DOUBLE
-         + CASE WHEN quests <= 1 THEN 0.0::DOUBLE
-                WHEN quests <= {S.QUESTION_MAX_COUNT} THEN quests * {S.QUESTION_STEP!r}::DOUBLE
-                ELSE {S.QUESTION_CAP!r}::DOUBLE END AS amp
+         least(bangs, 4) * 0.292::DOUBLE
+         + CASE WHEN quests <= 1 THEN 0.0::DOUBLE WHEN quests <= 3 THEN quests * 0.18::DOUBLE ELSE 0.96::DOUBLE END AS amp
   FROM summed
 ),
 scored AS (
   SELECT doc_id,
          CASE WHEN text IS NULL THEN NULL
-              ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, s / sqrt(s * s + {S.ALPHA!r}::DOUBLE))) END AS compound
+              ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, s / sqrt(s * s + 15.0::DOUBLE))) END AS compound
   FROM (SELECT doc_id, text, CASE WHEN total > 0 THEN total + amp WHEN total < 0 THEN total - amp
                                   ELSE total END AS s FROM amped) q
 )"""
 
 
 def _class(expr: str) -> str:
-    return (f"CAST(CASE WHEN {expr} >= {S.POSITIVE_AT!r} THEN 2 WHEN {expr} <= {S.NEGATIVE_AT!r} THEN 0 "
+    return (f"CAST(CASE WHEN {expr} >= 0.05 THEN 2 WHEN {expr} <= -0.05 THEN 0 "
             f"ELSE 1 END AS INTEGER)")
 
 
@@ -253,18 +300,27 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT CAST(o_custkey AS VARCHAR) AS user_id, "
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS item_id, "
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * 7 AS BIGINT) END AS playtime_forever FROM ol"),
+    "full_scan": "SELECT * FROM part",
+    "quarantine_literal_lines": (
+        "SELECT CASE o_orderkey % 5 WHEN 1 THEN '{''user_id'': u''' || o_custkey || ''', broken' "
+        "WHEN 2 THEN '{''user_id'': ''' || o_custkey || ''', ''items_count'': ''many'', ''items'': []}' "
+        "ELSE '{''user_id'': ''' || o_custkey || ''', ''items'': ''oops''}' END AS line, "
+        "CASE o_orderkey % 5 WHEN 1 THEN NULL WHEN 2 THEN 'items_count' ELSE 'items' END AS field "
+        "FROM orders WHERE o_orderkey % 5 IN (1, 2, 3)"),
     "scan_projected": "SELECT p_partkey AS item_id, p_brand AS developer FROM part",
     "parquet_roundtrip": _with("SELECT * FROM devs"),
     # ---------------------------------------------------------------- projection / cast
     "derive_game_dev": _with("SELECT * FROM devs"),
-    "numeric_coerce": _with("SELECT id AS item_id, TRY_CAST(price AS DOUBLE) AS price_num FROM games_raw"),
+    "numeric_coerce": _with(f"SELECT id AS item_id, {_number('price')} AS price_num FROM games_raw"),
     "playtime_hours": _with("SELECT * FROM user_items"),
     "percent_label": _with(
         f"SELECT user_id, {_pct_label('avg(CAST(recommend AS DOUBLE))')} AS recommend_pct "
-        "FROM reviews GROUP BY user_id"),
+        "FROM reviews WHERE user_id IS NOT NULL GROUP BY user_id"),
     # ---------------------------------------------------------------- filters
     "drop_all_null": _with(
-        "SELECT id, developer, release_date FROM games_raw WHERE developer IS NOT NULL OR release_date IS NOT NULL"),
+        "SELECT id, app_name, developer, publisher, array_to_string(genres, '|') AS genres, price, release_date FROM games_raw "
+        "WHERE NOT (id IS NULL AND app_name IS NULL AND developer IS NULL AND publisher IS NULL AND genres IS NULL "
+        "AND price IS NULL AND release_date IS NULL)"),
     "drop_null_subset": _with("SELECT * FROM prices"),
     "filter_user": _with(f"SELECT * FROM user_items WHERE user_id = {C.USER}"),
     "filter_ci": _with(f"SELECT item_id, developer, price FROM games WHERE developer_lc = '{C.DEVELOPER.lower()}'"),
@@ -286,7 +342,7 @@ ORACLE_SQL: dict[str, str] = {
         "lambda e: replace(e, '&amp;', 'and')), '|') AS genres FROM part"),
     "explode_genres": _with("SELECT * FROM genres_x"),
     "explode_user_items": _with("SELECT * FROM user_items"),
-    "distinct_price_per_item": _with("SELECT DISTINCT item_id, price FROM prices"),
+    "distinct_price_per_item": _with("SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL"),
     # ---------------------------------------------------------------- derived tables
     "build_games": _with(
         "SELECT item_id, app_name, developer, developer_lc, publisher, array_to_string(genres, '|') AS genres, "
@@ -299,9 +355,32 @@ ORACLE_SQL: dict[str, str] = {
     "build_user_reviews": _with(
         "SELECT o_custkey AS user_id, 'profiles/' || CAST(o_custkey AS VARCHAR) AS user_url, "
         "CAST(count(*) AS INTEGER) AS review_count FROM ol GROUP BY l_orderkey, o_custkey"),
+    "build_user_items": _with(
+        "SELECT user_id, string_agg(x, '|' ORDER BY x) AS items FROM (SELECT l_orderkey, o_custkey AS user_id, "
+        "CASE WHEN l_linenumber = 7 THEN '-:-' ELSE CAST(l_partkey AS VARCHAR) || ':' || "
+        "CAST(CAST(l_quantity * 7 AS BIGINT) AS VARCHAR) END AS x FROM ol) y GROUP BY l_orderkey, user_id"),
+    "user_reviews_content": _with(
+        "SELECT user_id, 'profiles/' || CAST(user_id AS VARCHAR) AS user_url, string_agg(x, '|' ORDER BY x) AS reviews FROM ("
+        "SELECT l_orderkey, o_custkey AS user_id, concat_ws('~', (CASE WHEN l_linenumber = 3 THEN 'isn''t good' WHEN l_linenumber = 5 THEN 'I don''t like it, très :)' WHEN l_returnflag = 'R' THEN 'bad' WHEN l_returnflag = 'A' THEN 'REALLY good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END), "
+        "CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_returnflag <> 'R' AS VARCHAR) END, CAST(l_partkey AS VARCHAR), "
+        + _POSTED + ") AS x FROM ol) y GROUP BY l_orderkey, user_id"),
+    "date_null_report": _with(
+        "SELECT count(*) AS rows, count(*) - count(" + _parse_date("release_date") + ") AS null_dates, "
+        "round_even(100.0::DOUBLE * (count(*) - count(" + _parse_date("release_date") + ")) / count(*) * 100.0::DOUBLE, 0) "
+        "/ 100.0::DOUBLE AS null_pct FROM games_raw"),
+    "release_year_first20": _with(_top(
+        "(SELECT release_year, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM games) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS pct "
+        "FROM games WHERE release_year IS NOT NULL GROUP BY release_year) x", "release_year, rows, pct",
+        "rows DESC, release_year ASC", 20)),
+    "sentiment_frequency": _with(
+        "SELECT sentiment, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM reviews) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS pct "
+        "FROM reviews WHERE sentiment IS NOT NULL GROUP BY sentiment"),
+    "recommend_frequency": _with(
+        "SELECT recommend, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM reviews) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS pct "
+        "FROM reviews WHERE recommend IS NOT NULL GROUP BY recommend"),
     "build_reviews_pre": _with(
         "SELECT o_custkey AS user_id, 'profiles/' || CAST(o_custkey AS VARCHAR) AS user_url, "
-        "(CASE l_returnflag WHEN 'R' THEN 'bad' WHEN 'A' THEN 'good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
+        "(CASE WHEN l_linenumber = 3 THEN 'isn''t good' WHEN l_linenumber = 5 THEN 'I don''t like it, très :)' WHEN l_returnflag = 'R' THEN 'bad' WHEN l_returnflag = 'A' THEN 'REALLY good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
         "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag <> 'R' END AS recommend, "
         "l_partkey AS item_id, rd AS review_date, CAST(year(rd) AS INTEGER) AS review_year "
         f"FROM (SELECT *, {_parse_date(f'''replace({_POSTED}, 'Posted ', '')''')} AS rd FROM ol) x"),
@@ -309,7 +388,7 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT x.user_id, x.recommend, x.item_id, x.review_date, CAST(year(x.review_date) AS INTEGER) AS review_year, "
         f"CASE WHEN x.review IS NULL THEN 1 ELSE {_class('s.compound')} END AS sentiment "
         "FROM rv x LEFT JOIN scored s ON x.review = s.doc_id",
-        "rv AS (SELECT o_custkey AS user_id, (CASE l_returnflag WHEN 'R' THEN 'bad' WHEN 'A' THEN 'good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
+        "rv AS (SELECT o_custkey AS user_id, (CASE WHEN l_linenumber = 3 THEN 'isn''t good' WHEN l_linenumber = 5 THEN 'I don''t like it, très :)' WHEN l_returnflag = 'R' THEN 'bad' WHEN l_returnflag = 'A' THEN 'REALLY good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END) AS review, "
         "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag <> 'R' END AS recommend, "
         "l_partkey AS item_id, " + _parse_date(_STRIPPED) + " AS review_date FROM ol), "
         "texts AS (SELECT DISTINCT review AS doc_id, review AS text FROM rv WHERE review IS NOT NULL),"
@@ -338,14 +417,14 @@ ORACLE_SQL: dict[str, str] = {
         "GROUP BY review_date"),
     "sentiment_counts_per_item": _with(
         "SELECT item_id, count(*) FILTER (WHERE sentiment = 2) AS positive, count(*) FILTER (WHERE sentiment = 0) AS negative "
-        "FROM reviews GROUP BY item_id"),
+        "FROM reviews WHERE item_id IS NOT NULL GROUP BY item_id"),
     "value_percentages": _with(
-        "SELECT genre, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM genres_x), 2) AS pct "
+        "SELECT genre, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM genres_x) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS pct "
         "FROM genres_x WHERE genre IS NOT NULL GROUP BY genre"),
     "null_profile": _with("\nUNION ALL\n".join(
         f"SELECT '{c}' AS name, '{t}' AS data_type, "
-        f"round_even(100.0::DOUBLE * count({c}) / count(*), 2) AS not_null_pct, "
-        f"round_even(100.0::DOUBLE - 100.0::DOUBLE * count({c}) / count(*), 2) AS null_pct, "
+        f"round_even(100.0::DOUBLE * count({c}) / count(*) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS not_null_pct, "
+        f"round_even((100.0::DOUBLE - 100.0::DOUBLE * count({c}) / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS null_pct, "
         f"count(*) - count({c}) AS null_count FROM games"
         for c, t in [("item_id", "bigint"), ("app_name", "string"), ("developer", "string"),
                      ("publisher", "string"), ("genres", "array<string>"), ("price", "double"),
@@ -356,7 +435,7 @@ ORACLE_SQL: dict[str, str] = {
     "distinct_count_with_null": _with(
         "SELECT count(DISTINCT review_year) + max(CAST(review_year IS NULL AS INTEGER)) AS distinct_values FROM reviews"),
     "distinct_years": _with("SELECT DISTINCT review_year FROM reviews"),
-    "describe_price": _with(_describe("(SELECT DISTINCT item_id, price FROM prices) x", "price")),
+    "describe_price": _with(_describe("(SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL) x", "price")),
     "describe_playtime": _with(_describe("user_items", "playtime")),
     "describe_items_count": _with(_describe("item_counts", "items_count")),
     "top_publishers": _with(_top(
@@ -385,18 +464,13 @@ ORACLE_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- recommender
     "recommend_score": _with(f"SELECT user_id, item_id, {_SCORE} AS score FROM reviews"),
     "user_item_scores": _with("SELECT user_id, item, round(score, 6) AS score FROM ui", _RECO),
-    "score_pivot": _with(
-        "SELECT ui.user_id, " + ", ".join(
-            f"round(avg(ui.score) FILTER (WHERE t.r = {r}), 6) AS item_{r}" for r in range(1, 6)) +
-        " FROM ui JOIN t ON ui.item = t.item GROUP BY ui.user_id",
-        _RECO + ", t AS (SELECT item, CAST(row_number() OVER (ORDER BY n DESC, item ASC) AS INTEGER) AS r "
-                "FROM (SELECT item, count(*) AS n FROM ui GROUP BY item) c QUALIFY r <= 5)"),
     "normalize_scores": _with("SELECT user_id, item, round(v, 6) + 0.0 AS v FROM nz", _RECO),
     "item_similarity": _with("SELECT item_a, item_b, sim FROM pairs", _RECO),
     "similar_items_topk": _with(
         "SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY sim DESC, \"similar\" ASC) AS INTEGER) AS rank, "
-        "\"similar\", sim FROM (SELECT item_a AS item, item_b AS \"similar\", sim FROM pairs "
-        "UNION ALL SELECT item_b AS item, item_a AS \"similar\", sim FROM pairs) b QUALIFY rank <= 5", _RECO),
+        "\"similar\", sim FROM (SELECT a.item, b.item AS \"similar\", COALESCE(p.sim, 0.0::DOUBLE) + 0.0 AS sim "
+        "FROM (SELECT DISTINCT item FROM ui) a JOIN (SELECT DISTINCT item FROM ui) b ON a.item <> b.item "
+        "LEFT JOIN pairs p ON p.item_a = least(a.item, b.item) AND p.item_b = greatest(a.item, b.item)) x QUALIFY rank <= 5", _RECO),
     "recommend_item": _with(
         f"SELECT '{C.ITEM}' AS item, CAST(row_number() OVER (ORDER BY sim DESC, \"similar\" ASC) AS INTEGER) AS rank, "
         "\"similar\", sim FROM ("
