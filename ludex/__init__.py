@@ -5,7 +5,6 @@ Layout:
   sources/    readers and writers (JSON lines, literal lines, Parquet) and test-table bindings
   operators/  reusable DataFrame -> DataFrame operators (profiling, sentiment, recommender, joins)
   plans/      the derived-table jobs and the six questions, single and batch forms
-  streaming/  incremental ingest of landing files with the same parsers
 """
 
 from ludex.session import build_session, shared_dir

@@ -37,11 +37,11 @@ DEMO_LEXICON = [("that", 1.9), ("for", 0.8), ("was", -1.5), ("and", -0.4),
 class Bound:
     """Lazily built derived tables over one test-data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.d = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, edge: bool = False):
+        self.spark, self.d, self.edge = spark, sf_dir, edge
 
     @cached_property
-    def games_raw(self): return B.games_raw(self.spark, self.d)
+    def games_raw(self): return (B.games_edge if self.edge else B.games_raw)(self.spark, self.d)
     @cached_property
     def games(self): return T.build_games(self.games_raw)
     @cached_property
@@ -139,7 +139,7 @@ def derive_game_dev(spark, d):
 
 @query
 def numeric_coerce(spark, d):
-    g = Bound(spark, d).games_raw
+    g = Bound(spark, d, edge=True).games_raw
     return g.select(F.col("id").alias("item_id"), clean.numeric_coerce(F.col("price")).alias("price_num"))
 
 
@@ -159,13 +159,13 @@ def percent_label(spark, d):
 @query
 def drop_all_null(spark, d):
     """Rows with any value in any column."""
-    g = Bound(spark, d).games_raw.na.drop(how="all")
+    g = Bound(spark, d, edge=True).games_raw.na.drop(how="all")
     return g.select("id", "app_name", "developer", "publisher", _joined("genres"), "price", "release_date")
 
 
 @query
 def drop_null_subset(spark, d):
-    return Bound(spark, d).prices
+    return Bound(spark, d, edge=True).prices
 
 
 @query
@@ -191,21 +191,21 @@ def filter_positive_year(spark, d):
 
 @query
 def parse_mixed_dates(spark, d):
-    g = Bound(spark, d).games_raw
+    g = Bound(spark, d, edge=True).games_raw
     return g.select(F.col("id").alias("item_id"), F.col("release_date").alias("release_text"),
                     clean.parse_mixed_dates(F.col("release_date")).alias("release_date"))
 
 
 @query
 def normalize_price(spark, d):
-    g = Bound(spark, d).games_raw
+    g = Bound(spark, d, edge=True).games_raw
     return g.select(F.col("id").alias("item_id"), F.col("price").alias("price_text"),
                     clean.normalize_price(F.col("price")).alias("price"))
 
 
 @query
 def release_year(spark, d):
-    return Bound(spark, d).games.select("item_id", "release_year")
+    return Bound(spark, d, edge=True).games.select("item_id", "release_year")
 
 
 @query
@@ -218,12 +218,12 @@ def strip_posted(spark, d):
 
 @query
 def unparsed_values(spark, d):
-    return T.unparsed_prices(Bound(spark, d).games_raw)
+    return T.unparsed_prices(Bound(spark, d, edge=True).games_raw)
 
 
 @query
 def date_null_report(spark, d):
-    return T.date_null_report(Bound(spark, d).games_raw)
+    return T.date_null_report(Bound(spark, d, edge=True).games_raw)
 
 
 # =========================================================================== arrays
@@ -247,21 +247,21 @@ def explode_user_items(spark, d):
 
 @query
 def distinct_price_per_item(spark, d):
-    return Bound(spark, d).prices.where(F.col("item_id").isNotNull()).select("item_id", "price").distinct()
+    return Bound(spark, d, edge=True).prices.where(F.col("item_id").isNotNull()).select("item_id", "price").distinct()
 
 
 # =========================================================================== derived tables
 
 @query
 def build_games(spark, d):
-    g = Bound(spark, d).games
+    g = Bound(spark, d, edge=True).games
     return g.select("item_id", "app_name", "developer", "developer_lc", "publisher", _joined("genres"),
                     "price", "release_date", "release_year")
 
 
 @query
 def build_prices(spark, d):
-    return Bound(spark, d).prices
+    return Bound(spark, d, edge=True).prices
 
 
 @query
@@ -390,7 +390,7 @@ def recommend_frequency(spark, d):
 
 @query
 def null_profile(spark, d):
-    g = Bound(spark, d).games.select("item_id", "app_name", "developer", "publisher", "genres",
+    g = Bound(spark, d, edge=True).games.select("item_id", "app_name", "developer", "publisher", "genres",
                                      "price", "release_date", "release_year")
     return profile.null_profile(g)
 
@@ -412,7 +412,7 @@ def distinct_years(spark, d):
 
 @query
 def describe_price(spark, d):
-    prices = Bound(spark, d).prices.where(F.col("item_id").isNotNull())
+    prices = Bound(spark, d, edge=True).prices.where(F.col("item_id").isNotNull())
     return profile.describe(prices.select("item_id", "price").distinct(), "price")
 
 

@@ -34,6 +34,41 @@ def games_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     size10 = F.col("p_size") % 10
     day = F.date_add(F.lit(_EPOCH), key.cast("int"))
     k6 = key % 6
+    price = (F.when(size10 == 0, F.lit(None).cast("string"))
+             .when(size10 == 1, F.lit("Install Now"))
+             .when(size10 == 2, F.lit("Third-party"))
+             .when(size10 == 3, F.lit("Starting at $499.00"))
+             .when(size10 == 4, F.lit("Starting at $449.00"))
+             .when(size10 == 5, F.lit("Free To Play"))
+             .otherwise(F.col("p_retailprice").cast("string")))
+    release = (F.when(k6 == 0, F.date_format(day, "yyyy-MM-dd"))
+               .when(k6 == 1, F.date_format(day, "MMM yyyy"))
+               .when(k6 == 2, F.date_format(day, "yyyy"))
+               .when(k6 == 3, F.lit("Soon.."))
+               .when(k6 == 4, F.lit(None).cast("string"))
+               .otherwise(F.date_format(day, "MMMM d, yyyy")))
+    genres = F.when(F.col("p_size") % 7 == 0, F.lit(None).cast("array<string>")) \
+              .otherwise(F.split(F.col("p_name"), " "))
+    return p.select(
+        key.alias("id"),
+        F.concat(F.col("p_name"), F.lit(" "), key.cast("string")).alias("app_name"),
+        F.when(size10 == 9, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("developer"),
+        F.col("p_type").alias("publisher"),
+        genres.alias("genres"),
+        price.alias("price"),
+        release.alias("release_date"),
+    )
+
+
+def games_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same catalogue with more of what raw files hold: rows without id, all-null rows,
+    signed, exponent and non-numeric prices, full month names and day-first dates. Input
+    of the cleaning queries."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    size10 = F.col("p_size") % 10
+    day = F.date_add(F.lit(_EPOCH), key.cast("int"))
+    k6 = key % 6
     k4 = key % 4
     odd_price = (F.when(k4 == 0, F.lit("-1.5")).when(k4 == 1, F.lit("1E3")).when(k4 == 2, F.lit("1d")).otherwise(F.lit(" 2.5")))
     price = (F.when(size10 == 0, F.lit(None).cast("string"))

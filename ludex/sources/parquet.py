@@ -25,7 +25,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     can still be split over several write tasks. Rows are sorted by the partition columns
     first, as the partitioned writer needs, so the key order inside files is kept."""
     if cluster_by:
-        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+        row_hash = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if not kind.startswith("map")])
         # The folder columns come first, so a task writes few folders.
         df = df.repartitionByRange(*[F.col(c) for c in (*partition_by, *cluster_by)], row_hash) \
                .sortWithinPartitions(*partition_by, *cluster_by)

@@ -57,7 +57,25 @@ _POSTED = ("('Posted ' || CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '
            "ELSE strftime(l_shipdate, '%B %-d, %Y') END || '.')")
 _STRIPPED = f"replace({_POSTED}, 'Posted ', '')"
 
-BINDINGS = f"""
+_GAMES_RAW = """
+games_raw AS (
+  SELECT p_partkey AS id,
+         p_name || ' ' || CAST(p_partkey AS VARCHAR) AS app_name,
+         CASE WHEN p_size % 10 = 9 THEN NULL ELSE p_brand END AS developer,
+         p_type AS publisher,
+         CASE WHEN p_size % 7 = 0 THEN NULL ELSE string_split(p_name, ' ') END AS genres,
+         CASE p_size % 10 WHEN 0 THEN NULL WHEN 1 THEN 'Install Now' WHEN 2 THEN 'Third-party'
+              WHEN 3 THEN 'Starting at $499.00' WHEN 4 THEN 'Starting at $449.00'
+              WHEN 5 THEN 'Free To Play' ELSE CAST(p_retailprice AS VARCHAR) END AS price,
+         CASE p_partkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%b %Y')
+              WHEN 2 THEN strftime(d, '%Y') WHEN 3 THEN 'Soon..' WHEN 4 THEN NULL
+              ELSE strftime(d, '%B %-d, %Y') END AS release_date
+  FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS d FROM part) p
+),
+"""
+
+# The catalogue of the cleaning queries: more of what raw files hold.
+_GAMES_EDGE = """
 games_raw AS (
   SELECT CASE WHEN p_partkey % 1000 = 998 OR p_partkey % 500 = 499 THEN NULL ELSE p_partkey END AS id,
          CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE p_name || ' ' || CAST(p_partkey AS VARCHAR) END AS app_name,
@@ -77,7 +95,12 @@ games_raw AS (
               ELSE CASE WHEN p_partkey % 4 = 1 THEN strftime(d, '%-d %b %Y') ELSE strftime(d, '%B %-d, %Y') END END END AS release_date
   FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS d FROM part) p
 ),
-games AS (
+"""
+
+
+def _bindings(games_raw: str) -> str:
+    return f"""
+{games_raw}games AS (
   SELECT id AS item_id, app_name, developer, lower(developer) AS developer_lc, publisher, genres,
          {_price('price')} AS price,
          rd AS release_date, CAST(COALESCE(year(rd), 0) AS INTEGER) AS release_year
@@ -120,10 +143,14 @@ reviews AS (
 
 
 def _with(body: str, extra: str = "") -> str:
-    ctes = BINDINGS + ("," + extra if extra else "")
+    ctes = _bindings(_GAMES_RAW) + ("," + extra if extra else "")
     return f"WITH {ctes}\n{body}"
 
 
+def _edge(body: str) -> str:
+    return f"WITH {_bindings(_GAMES_EDGE)}\n{body}"
+
+
 def _describe(src: str, col: str) -> str:
     x = f"CAST({col} AS DOUBLE)"
     return (f"SELECT count({x}) AS count, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, "
@@ -311,29 +338,29 @@ ORACLE_SQL: dict[str, str] = {
     "parquet_roundtrip": _with("SELECT * FROM devs"),
     # ---------------------------------------------------------------- projection / cast
     "derive_game_dev": _with("SELECT * FROM devs"),
-    "numeric_coerce": _with(f"SELECT id AS item_id, {_number('price')} AS price_num FROM games_raw"),
+    "numeric_coerce": _edge(f"SELECT id AS item_id, {_number('price')} AS price_num FROM games_raw"),
     "playtime_hours": _with("SELECT * FROM user_items"),
     "percent_label": _with(
         f"SELECT user_id, {_pct_label('avg(CAST(recommend AS DOUBLE))')} AS recommend_pct "
         "FROM reviews WHERE user_id IS NOT NULL GROUP BY user_id"),
     # ---------------------------------------------------------------- filters
-    "drop_all_null": _with(
+    "drop_all_null": _edge(
         "SELECT id, app_name, developer, publisher, array_to_string(genres, '|') AS genres, price, release_date FROM games_raw "
         "WHERE NOT (id IS NULL AND app_name IS NULL AND developer IS NULL AND publisher IS NULL AND genres IS NULL "
         "AND price IS NULL AND release_date IS NULL)"),
-    "drop_null_subset": _with("SELECT * FROM prices"),
+    "drop_null_subset": _edge("SELECT * FROM prices"),
     "filter_user": _with(f"SELECT * FROM user_items WHERE user_id = {C.USER}"),
     "filter_ci": _with(f"SELECT item_id, developer, price FROM games WHERE developer_lc = '{C.DEVELOPER.lower()}'"),
     "filter_positive_year": _with(
         f"SELECT user_id, item_id FROM reviews WHERE recommend AND sentiment = 2 AND review_year = {C.YEAR}"),
     # ---------------------------------------------------------------- cleaning
-    "parse_mixed_dates": _with(
+    "parse_mixed_dates": _edge(
         f"SELECT id AS item_id, release_date AS release_text, {_parse_date('release_date')} AS release_date FROM games_raw"),
-    "normalize_price": _with(f"SELECT id AS item_id, price AS price_text, {_price('price')} AS price FROM games_raw"),
-    "release_year": _with("SELECT item_id, release_year FROM games"),
+    "normalize_price": _edge(f"SELECT id AS item_id, price AS price_text, {_price('price')} AS price FROM games_raw"),
+    "release_year": _edge("SELECT item_id, release_year FROM games"),
     "strip_posted": _with(
         f"SELECT o_custkey AS user_id, l_partkey AS item_id, replace({_POSTED}, 'Posted ', '') AS posted_text FROM ol"),
-    "unparsed_values": _with(
+    "unparsed_values": _edge(
         f"SELECT price AS price_text, count(*) AS rows FROM games_raw "
         f"WHERE price IS NOT NULL AND ({_price('price')}) IS NULL GROUP BY price"),
     # ---------------------------------------------------------------- arrays
@@ -342,12 +369,12 @@ ORACLE_SQL: dict[str, str] = {
         "lambda e: replace(e, '&amp;', 'and')), '|') AS genres FROM part"),
     "explode_genres": _with("SELECT * FROM genres_x"),
     "explode_user_items": _with("SELECT * FROM user_items"),
-    "distinct_price_per_item": _with("SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL"),
+    "distinct_price_per_item": _edge("SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL"),
     # ---------------------------------------------------------------- derived tables
-    "build_games": _with(
+    "build_games": _edge(
         "SELECT item_id, app_name, developer, developer_lc, publisher, array_to_string(genres, '|') AS genres, "
         "price, release_date, release_year FROM games"),
-    "build_prices": _with("SELECT * FROM prices"),
+    "build_prices": _edge("SELECT * FROM prices"),
     "build_genres": _with("SELECT item_id, array_to_string(genres, '|') AS genres, release_year FROM genres"),
     "build_user_item_count": _with(
         "SELECT o_custkey AS user_id, count(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END) AS items_count "
@@ -364,7 +391,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT l_orderkey, o_custkey AS user_id, concat_ws('~', (CASE WHEN l_linenumber = 3 THEN 'isn''t good' WHEN l_linenumber = 5 THEN 'I don''t like it, très :)' WHEN l_returnflag = 'R' THEN 'bad' WHEN l_returnflag = 'A' THEN 'REALLY good' ELSE 'not bad' END || CASE WHEN l_linestatus = 'F' THEN ' but great' ELSE '!' END), "
         "CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_returnflag <> 'R' AS VARCHAR) END, CAST(l_partkey AS VARCHAR), "
         + _POSTED + ") AS x FROM ol) y GROUP BY l_orderkey, user_id"),
-    "date_null_report": _with(
+    "date_null_report": _edge(
         "SELECT count(*) AS rows, count(*) - count(" + _parse_date("release_date") + ") AS null_dates, "
         "round_even(100.0::DOUBLE * (count(*) - count(" + _parse_date("release_date") + ")) / count(*) * 100.0::DOUBLE, 0) "
         "/ 100.0::DOUBLE AS null_pct FROM games_raw"),
@@ -421,7 +448,7 @@ ORACLE_SQL: dict[str, str] = {
     "value_percentages": _with(
         "SELECT genre, count(*) AS rows, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM genres_x) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS pct "
         "FROM genres_x WHERE genre IS NOT NULL GROUP BY genre"),
-    "null_profile": _with("\nUNION ALL\n".join(
+    "null_profile": _edge("\nUNION ALL\n".join(
         f"SELECT '{c}' AS name, '{t}' AS data_type, "
         f"round_even(100.0::DOUBLE * count({c}) / count(*) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS not_null_pct, "
         f"round_even((100.0::DOUBLE - 100.0::DOUBLE * count({c}) / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS null_pct, "
@@ -435,7 +462,7 @@ ORACLE_SQL: dict[str, str] = {
     "distinct_count_with_null": _with(
         "SELECT count(DISTINCT review_year) + max(CAST(review_year IS NULL AS INTEGER)) AS distinct_values FROM reviews"),
     "distinct_years": _with("SELECT DISTINCT review_year FROM reviews"),
-    "describe_price": _with(_describe("(SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL) x", "price")),
+    "describe_price": _edge(_describe("(SELECT DISTINCT item_id, price FROM prices WHERE item_id IS NOT NULL) x", "price")),
     "describe_playtime": _with(_describe("user_items", "playtime")),
     "describe_items_count": _with(_describe("item_counts", "items_count")),
     "top_publishers": _with(_top(

@@ -17,6 +17,12 @@ def test_mixed_dates(spark):
     want = [dt.date(2018, 1, 4), dt.date(2018, 1, 1), dt.date(2018, 1, 1), dt.date(2011, 11, 5),
             dt.date(2011, 7, 15), dt.date(2018, 7, 4), dt.date(2017, 9, 1)]
     assert col_values(spark, good, clean.parse_mixed_dates) == want
+    more = ["November 2014", "4 July, 2018", "5 Nov 2011", "Nov 5 2011", "2018/01/04", "2018-01-04 00:00:00", "Sept 2014",
+            "february 29, 2016"]
+    want = [dt.date(2014, 11, 1), dt.date(2018, 7, 4), dt.date(2011, 11, 5), dt.date(2011, 11, 5), dt.date(2018, 1, 4),
+            dt.date(2018, 1, 4), dt.date(2014, 9, 1), dt.date(2016, 2, 29)]
+    assert col_values(spark, more, clean.parse_mixed_dates) == want
+    assert col_values(spark, ["February 30, 2016", "Novembre 2014", "13/2014"], clean.parse_mixed_dates) == [None] * 3
     bad = ["September 3.", "Soon..", "Q2 2017", "", None]
     assert col_values(spark, bad, clean.parse_mixed_dates) == [None] * 5
 
@@ -35,6 +41,17 @@ def test_price_rules(spark):
     assert [t for t, f in zip(texts, flags) if f] == ["odd text", "NaN", "1d"]
 
 
+def test_numbers_with_sign_and_exponent(spark):
+    texts = ["1d", "1f", "-1.0", "1E3", " 2.5 ", "+.5", "Infinity", "1.2.3", None]
+    want = [None, None, -1.0, 1000.0, 2.5, 0.5, None, None, None]
+    assert col_values(spark, texts, clean.numeric_coerce) == want
+    assert col_values(spark, texts, clean.normalize_price) == want
+
+
+def test_rounding_is_that_of_numpy(spark):
+    assert col_values(spark, [0.575, 1.015, 100 * 23 / 4000, 2.675], clean.round2, "double") == [0.57, 1.01, 0.57, 2.68]
+
+
 def test_percent_label_half_even(spark):
     ratios = [1 / 32, 3 / 32, 1 / 3, 0.0, 1.0]
     got = col_values(spark, ratios, clean.percent_label, "double")

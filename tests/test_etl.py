@@ -27,6 +27,8 @@ def test_materialize_all(spark, capsys):
 
     assert read["games"].count() == B.games_raw(spark, SF).count()
     assert read["price_report"].count() == 0
+    assert read["date_report"].first().null_dates > 0
+    assert read["library"].count() == B.library_lines(spark, SF).count()
     assert read["quarantine_libraries"].count() == 0
     assert read["quarantine_reviews"].count() == 1
     assert read["user_items"].count() == B.user_items(spark, SF).count()

@@ -71,7 +71,8 @@ def test_similarity_alike_items_and_symmetry(spark):
     assert sims[("a", "b")] == 1.0
     assert all(-1.0 - 1e-9 <= v <= 1.0 + 1e-9 for v in sims.values())
     top = recommend.top_k_similar(spark.createDataFrame(
-        [(a, b, s) for (a, b), s in sims.items()], "item_a string, item_b string, sim double"), 5)
+        [(a, b, s) for (a, b), s in sims.items()], "item_a string, item_b string, sim double"),
+        spark.createDataFrame([(i,) for i in "abc"], "item string"), 5)
     assert top.where(F.col("item") == F.col("similar")).count() == 0
 
 
@@ -133,14 +134,22 @@ def test_sentiment_class_thresholds(spark):
     assert got == [2, 1, 0, 1]
 
 
-def test_large_lexicon_is_joined_not_broadcast(spark, monkeypatch):
-    texts = ["good game", "bad but good", "not bad", ""]
-    L = [("good", 1.9), ("bad", -2.5)] + [(f"w{i}", 0.1) for i in range(50)]
-    want = compounds(spark, texts, L)
-    monkeypatch.setattr(sentiment, "MAX_BROADCAST_LEXICON", 10)
-    lex = sentiment.prepare_lexicon(spark.createDataFrame(L, schemas.LEXICON), max_broadcast=10)
-    assert "broadcast" not in lex._jdf.queryExecution().logical().toString().lower()
-    assert compounds(spark, texts, L) == want
+def test_sentiment_contractions_emoticons_and_scripts(spark):
+    L = [("good", 1.9), ("like", 1.5), (":)", 2.0), ("très", 0.7), ("bad", -2.5)]
+    got = compounds(spark, ["isn't good", "don't like it", ":)", "très", "not very good", "not bad", "good, really!", "so good",
+                            "never so good", "the least good", "at least good", "fucking good", "Good?"], L)
+    assert got[0] < 0 and got[1] < 0 and got[2] > 0 and got[3] > 0 and got[4] < 0 and got[5] > 0 and got[6] > 0
+    plain = 1.9 / math.sqrt(1.9 ** 2 + 15)
+    assert got[7] > plain and got[8] > got[7] and got[9] < 0 and got[10] == pytest.approx(plain)
+    assert got[11] == pytest.approx(got[7]) and got[12] == pytest.approx(plain)
+
+
+def test_sentiment_modifiers_are_an_input_table(spark):
+    df = spark.createDataFrame([(1, "hardly good"), (2, "mega good")], "i int, text string")
+    lex = spark.createDataFrame([("good", 1.9)], schemas.LEXICON)
+    mods = spark.createDataFrame([("hardly", "negation", None), ("mega", "booster", 1.0)], sentiment.MODIFIERS)
+    got = {r.i: r.compound for r in sentiment.compound_scores(df, "i", "text", lex, mods).collect()}
+    assert got[1] < 0 and got[2] == pytest.approx(2.9 / math.sqrt(2.9 ** 2 + 15))
 
 
 def test_classify_rows_scores_each_text_once(spark):
@@ -162,6 +171,35 @@ def test_literal_lines_quarantine(spark):
     assert bad.count() == 2
 
 
+def test_literal_lines_convert_or_quarantine(spark):
+    lines = ["{'user_id': 7, 'items_count': '5', 'items': [{'item_id': 1, 'playtime_forever': '30'}]}",
+             "{'user_id': 'a', 'items_count': 2, 'items': [{'item_id': '1', 'playtime_forever': 90.5}]}",
+             "{'user_id': 'b', 'items': 'oops'}", "{'user_id': 'c', 'items_count': 3.0, 'items': None}", None]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows, bad = literal_lines.ingest_literal_lines(df, schemas.LIBRARY)
+    got = {r.user_id: r for r in rows.collect()}
+    assert got["7"].items_count == 5 and got["7"]["items"][0].playtime_forever == 30 and got["c"].items_count == 3
+    assert sorted((r.field or "", r.line or "") for r in bad.collect()) == sorted(
+        [("items.playtime_forever", lines[1]), ("items", lines[2]), ("", "")])
+
+
+def test_catalogue_keeps_undeclared_columns(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"id": "1", "price": 4.5, "tags": ["a"], "early": true}\n{"id": "2"}\n')
+    rows = {r.id: r for r in json_lines.ingest_with_rest(spark, str(tmp_path / "c.json"), schemas.CATALOGUE, schemas.OTHER).collect()}
+    assert rows["1"].other_columns == {"tags": '["a"]', "early": "true"} and rows["1"].price == "4.5"
+    assert rows["2"].other_columns is None
+
+
+def test_quartiles_and_positions_over_ranges(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 10]] + [(None,)], "x double")
+    r = profile.describe(df, "x").first()
+    assert (r["count"], r.q25, r.q50, r.q75) == (4, 1.75, 2.5, 4.75)
+    assert tuple(profile.describe(df.where("x > 99"), "x").first())[1:] == (None,) * 7
+    many = spark.createDataFrame([(i % 500 if i % 7 else None,) for i in range(3000)], "k int")
+    got = [(x.k, x.pos) for x in profile.sorted_positions(many, "k").orderBy("pos").collect()]
+    assert got == [(k, k + 1) for k in range(500)] + [(None, 501)]
+
+
 def test_json_strict_and_flatten(spark):
     df = spark.createDataFrame([('{"k": 1, "s": {"x": "a"}}',)], "value string")
     from pyspark.sql.types import _parse_datatype_string

@@ -55,8 +55,7 @@ def main():
         "best_developer_all_years": lambda: K.best_developer_all_years(t["reviews"], t["devs"]),
         "developer_reviews_analysis": lambda: K.developer_reviews_analysis(t["reviews"], t["devs"], C.DEVELOPER),
         "developer_reviews_all": lambda: K.developer_reviews_all(t["reviews"], t["devs"]),
-        "recommend_item_lookup": lambda: t["similar"].where(F.col("item") == item),
-        "recommend_item_from_pairs": lambda: recommend.similar_from_pairs(t["pairs"], t["scores"], item),
+        "recommend_item_lookup": lambda: recommend.similar_from_table(t["similar"], item),
         "recommend_item": lambda: K.recommend_item(t["reviews"], t["games"], item),
     }
     times = {}
