@@ -10,8 +10,8 @@ with the least estimated cost (entries its prefix meets, and the candidates that
 it ``l`` times, each to be verified); a pair is verified only if it shares the smaller
 ``l`` of the two. Any order and any ``l`` give the same links.
 
-No group is expanded into pairs. Equal sets are one class. In rounds, every document is
-verified against one leader (the member of its prefix tokens' groups it shares most with),
+No group is expanded into pairs. Equal sets are one class. In rounds (one at least), every
+document is verified against one leader (the member of its prefix tokens' groups it shares most with),
 and verified links merge components; groups within one component are then done. What is
 left, pairs of different components, is joined completely: rows outside a token's largest
 component against the token's rows. A link between documents that are already connected
@@ -40,8 +40,10 @@ PERCENT = 80
 SKETCH = 1 << 16
 MAX_MATCH = 8               # largest l tried by the cost model
 VERIFY_COST = 0.05          # cost of verifying, per token of the set, in prefix entries
+CHANCE = 0.25               # holders that a token of usual frequency has by chance
 ROUNDS = 6                  # most rounds of leader links
-ENOUGH = 2                  # complete join once its rows are this many a prefix row
+FRUITFUL = 0.05             # share of a round's pairs that must link for another round
+ENOUGH = 4                  # complete join once its rows are this many a prefix entry
 
 _U = np.uint64
 
@@ -115,7 +117,7 @@ def prefix_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     level = level_of[(s % _U(SKETCH)).astype(np.int64)]
                     tokens = (level.astype(np.uint64) << _U(58)) | (s >> _U(6))
                     tokens.sort()
-                    weight = 2.0 ** (tokens >> _U(58)).astype(float) - 1
+                    weight = 2.0 ** (tokens >> _U(58)).astype(float) - 1 + CHANCE
                     match, size = choose_prefix(tokens, weight)
                     need.append(match)
                     prefix.append(tokens[:size].view(np.int64))
@@ -127,7 +129,8 @@ def prefix_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents whose sets are similar enough, by their whole texts.
-    Pairs read a written table and texts a scan, so a hot side can be split."""
+    Only texts of documents in a pair are shuffled where the list of these is small enough
+    to be broadcast (by its size). Inputs are plain scans, so a hot side can be split."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +149,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = materialize(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "documents-in-pairs")
+    docs = materialize(docs.join(ids, "doc_id", "left_semi"), "texts-in-pairs")
     ta = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
@@ -168,13 +174,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     member = materialize(real.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id <> rep")
                              .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "class-links")
     reps = real.join(classes, ["h1", "h2", "n_shingles"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
-    entries = materialize(reps.select("doc_id", "n_shingles", "need", F.explode("prefix").alias("token")), "prefix-entries")
+    reps = reps.select("doc_id", "n_shingles", "need", "prefix")
+    entries = reps.select("doc_id", F.explode("prefix").alias("token"))
+    n_entries = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     shared = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared-tokens")
     entries = materialize(entries.join(shared, "token"), "shared-entries")
-
+    entries = materialize(entries.join(reps.drop("prefix"), "doc_id"), "entries")
     links = member
     state = entries.withColumn("comp", F.col("doc_id"))
-    components = None
+    components, fruitful = None, True
     for turn in range(ROUNDS + 1):
         # Tokens whose rows lie in more than one component, with the largest of these.
         sizes = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -182,16 +190,17 @@ def join_components(docs: DataFrame) -> DataFrame:
                                                  F.count(F.lit(1)).alias("comps")).where("comps > 1")
         open_tokens = materialize(open_tokens.select("token", F.col("top.comp").alias("top"), "all",
                                                      (F.col("all") - F.col("top.n")).alias("outside")), "open-tokens")
-        cost = open_tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("all").alias("rows"),
-                               F.sum(F.col("outside") * F.col("all")).alias("pairs")).first()
+        cost = open_tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside") * F.col("all")).alias("pairs")).first()
         if not cost.n:
             break
         rows = state.join(open_tokens, "token")
-        if turn == ROUNDS or cost.pairs <= ENOUGH * cost.rows:
+        if turn == ROUNDS or not fruitful or (turn and cost.pairs <= ENOUGH * n_entries):
             links = links.unionByName(verified(complete_pairs(rows), docs))
             components = connected_components(links)
             break
-        found = materialize(verified(leader_pairs(rows, turn), docs), "leader-links")
+        tried = leader_pairs(rows, turn)
+        found = materialize(verified(tried, docs), "leader-links")
+        fruitful = found.count() >= FRUITFUL * tried.count()
         links = links.unionByName(found)
         components = materialize(connected_components(links), "components")
         state = materialize(_with_component(entries, components), "entries-by-component")
@@ -208,15 +217,16 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 def leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """At most one pair per document: itself and the leader, of another component, that it
-    shares most prefix tokens with. A token's leader is one of its rows: the smallest
-    document in the first round, afterwards a random one."""
+    shares most prefix tokens with, if these are enough. A token's leader is one of its
+    rows: the smallest document in the first round, afterwards a random one."""
     by = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    leaders = (rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "doc_id", "n_shingles", "comp")).alias("l"))
+    leaders = (rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "doc_id", "n_shingles", "comp", "need")).alias("l"))
                    .select("token", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("leader_n"),
-                           F.col("l.comp").alias("leader_comp")))
+                           F.col("l.comp").alias("leader_comp"), F.col("l.need").alias("leader_need")))
     leaders = materialize(leaders, "leaders")
     near = (rows.join(leaders, "token").where((F.col("comp") != F.col("leader_comp")) & _may_link("n_shingles", "leader_n"))
-                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared")))
+                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("need", "leader_need")).alias("enough"))
+                .where("shared >= enough"))
     best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("order"), "leader")).alias("m"))
     return materialize(best.select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b")), "leader-pairs")
 
