@@ -7,15 +7,18 @@ earlier in the same one) is removed. Strings never cross documents.
    least hash in it (ties: the rightmost). Equal strings have equal anchors, so all copies
    of a string meet under one anchor; the strings of one anchor position start in one run.
    Anchors met once in the corpus hold no repeat and stop there.
-2. Shards. For the others, the bytes of each run go to the shard of their anchor; an anchor
-   with more than ``SHARD_RUNS`` runs is split over several shards. A shard's suffixes are
+2. Copies. Runs of equal bytes (64-bit hash of the run besides that of its anchor) are
+   pre-aggregated: the earliest stands for them, and all strings of the others repeat.
+3. Shards. The bytes of the runs that stand, where an anchor has different ones, go to the
+   shard of their anchor; an anchor with more than ``SHARD_RUNS`` runs is split over several
+   shards. A shard's suffixes are
    sorted by Larsson-Sadakane refinement (only groups still tied are sorted again, by the
    ranks one prefix length further on), common prefixes of neighbours come from Kasai's
    algorithm, and of the suffixes that share 100 bytes all but the earliest are repeats.
-3. Merging. Of a split anchor each shard sends its earliest strings, sorted; shards are
+4. Merging. Of a split anchor each shard sends its earliest strings, sorted; shards are
    merged by binary search, later owners of a string being repeats. A merge takes at most
    ``MERGE_SHARDS`` shards, level by level, so no task gathers a whole hot anchor.
-4. The repeats' byte intervals are united per document, and the rest is hashed.
+5. The repeats' byte intervals are united per document, and the rest is hashed.
 
 Edge cases: null text is empty; a text under 100 bytes loses nothing; rows that repeat
 doc_id and text are one document (each row gets its result); rows that only share a doc_id
@@ -33,6 +36,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ from ludex.llm import text as X
 from ludex.session import materialize, ship_package
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 SHARD_RUNS = 4096            # runs of one anchor in one shard
 MERGE_SHARDS = 64
 CHUNK_BYTES = 1 << 20        # shards are sorted together up to this many bytes
@@ -64,13 +68,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(data: np.ndarray, prefix: np.ndarray, length: int = LENGTH,
+                gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, anchor position, first start, last start) of the runs of ``length``-byte
     strings in one piece of at most 2**21 bytes."""
     if len(data) < length:
         z = np.zeros(0, dtype=np.int64)
         return z.astype(np.uint64), z, z, z
-    prefix = X.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     hashes = X.span_hash(prefix, at, at + gram)
     low = _U((1 << _BITS) - 1)
@@ -88,39 +92,39 @@ def pieces(size: int, limit: int, length: int = LENGTH) -> list[tuple[int, int]]
 
 
 def file_anchors(docs: DataFrame) -> DataFrame:
-    """(fp, id, dup, first, size): a run of strings first .. first + size - 1 under an anchor."""
-    schema = pa.schema([("fp", pa.int64()), ("id", pa.int64()), ("dup", pa.int32()), ("first", pa.int64()), ("size", pa.int32())])
+    """(fp, run, id, dup, first, size): a run of strings first .. first + size - 1 under an
+    anchor, and the hash of its bytes."""
+    schema = pa.schema([("fp", pa.int64()), ("run", pa.int64()), ("id", pa.int64()), ("dup", pa.int32()), ("first", pa.int64()), ("size", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in X.slices(batch, limit=1 << 19):
                 ids, dups = part.column(0).to_numpy(), part.column(1).to_numpy()
                 if part.num_rows == 1:        # one text, perhaps a very long one
-                    found = [(fp, np.zeros(len(fp), dtype=np.int64), a + lo, b - a + 1)
-                             for lo, hi in pieces(len(data), 1 << 20)
-                             for fp, _, a, b in [anchor_runs(data[lo:hi])]]
+                    cuts = [(lo, data[lo:hi], np.array([0, hi - lo])) for lo, hi in pieces(len(data), 1 << 20)]
                 else:
-                    found = [_many(data, offsets)]
-                for fp, rows, first, size in found:
+                    cuts = [(0, data, offsets)]
+                for lo, piece, bounds in cuts:
+                    fp, run, rows, first, size = text_runs(piece, bounds)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(fp.view(np.int64)), pa.array(ids[rows]), pa.array(dups[rows]), pa.array(first),
-                         pa.array(size.astype(np.int32))], schema=schema)
+                        [pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids[rows]), pa.array(dups[rows]),
+                         pa.array(first + lo), pa.array(size.astype(np.int32))], schema=schema)
 
-    return docs.select("id", "dup", "text").mapInArrow(scan, "fp long, id long, dup int, first long, size int")
+    return docs.select("id", "dup", "text").mapInArrow(scan, "fp long, run long, id long, dup int, first long, size int")
 
 
-def _many(data: np.ndarray, offsets: np.ndarray):
-    """Runs of several texts laid end to end, cut where strings would cross texts."""
-    fp, place, first, last = anchor_runs(data)
-    if not len(fp):
-        z = np.zeros(0, dtype=np.int64)
-        return fp, z, z, z
+def text_runs(data: np.ndarray, offsets: np.ndarray):
+    """(fp, run hash, row, first, size) of the runs of several texts laid end to end, cut
+    where strings would cross texts."""
+    prefix = X.prefix_hash(data)
+    fp, place, first, last = anchor_runs(data, prefix)
     row = np.searchsorted(offsets, place, side="right") - 1       # the text the anchor lies in
     first = np.maximum(first, offsets[row])
     last = np.minimum(last, offsets[row + 1] - LENGTH)
     ok = first <= last
     fp, row, first, last = fp[ok], row[ok], first[ok], last[ok]
-    return fp, row, first - offsets[row], last - first + 1
+    run = X.mix(X.span_hash(prefix, first, last + LENGTH) + (last - first).astype(np.uint64))
+    return fp, run, row, first - offsets[row], last - first + 1
 
 
 # ------------------------------------------------------------------------- shards
@@ -399,6 +403,40 @@ def keyed(docs: DataFrame) -> DataFrame:
              .select("doc_id", "id", F.coalesce("dup", F.lit(0)).alias("dup"), "text"))
 
 
+def usual_runs(anchors: DataFrame, common: DataFrame) -> DataFrame:
+    """Runs of anchors with at most ``SHARD_RUNS`` of them, ``copy`` where an equal run
+    stands earlier. Runs that stand alone under their anchor go: they repeat nothing."""
+    same = Window.partitionBy("fp", "run").orderBy("id", "dup", "first")
+    all_runs = Window.partitionBy("fp")
+    return (anchors.join(common, "fp").withColumn("at", F.dense_rank().over(same))
+                   .withColumn("alone", F.min("run").over(all_runs) == F.max("run").over(all_runs))
+                   .where("at > 1 or not alone")
+                   .select("id", "dup", "fp", F.lit(0).alias("shard"), "shards", "first", "size", (F.col("at") > 1).alias("copy")))
+
+
+def hot_runs(anchors: DataFrame, common: DataFrame) -> DataFrame:
+    """The same for anchors with more runs: counted with map-side combine, and joined back
+    from written tables, so that a hot anchor or run can be split."""
+    rows = materialize(anchors.join(common, "fp"), "hot-runs")
+    first = rows.groupBy("fp", "run").agg(F.min(F.struct("id", "dup", "first")).alias("stands"))
+    first = materialize(first, "standing-runs")
+    shard = F.pmod(F.xxhash64("id", "dup", "first"), F.col("shards")).cast("int")
+    return (rows.join(first, ["fp", "run"])
+                .select("id", "dup", "fp", shard.alias("shard"), "shards", "first", "size",
+                        (F.col("stands") != F.struct("id", "dup", "first")).alias("copy")))
+
+
+def packed(d: DataFrame) -> DataFrame:
+    """(id, dup, doc_id, text) with the text's UTF-8 compressed for the shuffle."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        for batch in batches:
+            text = pa.array([squeeze.compress(batch.column(3)[i].as_buffer()) for i in range(batch.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], text], names=["id", "dup", "doc_id", "text"])
+
+    return d.select("id", "dup", "doc_id", "text").mapInArrow(pack, "id long, dup int, doc_id long, text binary")
+
+
 def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     ship_package(docs.sparkSession)
@@ -408,23 +446,28 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS
                      .select("fp", F.ceil(F.col("n") / shard_runs).cast("int").alias("shards")))
     common = materialize(common, "common-anchors")
     most = common.agg(F.max("shards")).first()[0] or 0
-    runs = (anchors.join(common, "fp")
-                   .withColumn("shard", F.pmod(F.xxhash64("id", "dup", "first"), F.col("shards")).cast("int")))
-    # One shuffle of the texts serves both joins below (the same exchange, reused).
-    texts = d.select("id", "dup", "doc_id", "text").repartition("id", "dup")
-    wanted = (runs.groupBy("id", "dup").agg(F.collect_set(F.struct("fp", "shard", "shards", "first", "size")).alias("runs"))
+    runs = usual_runs(anchors, common.where("shards = 1"))
+    if most > 1:
+        runs = runs.unionByName(hot_runs(anchors, common.where("shards > 1")))
+    # One shuffle of the (packed) texts, and one of the runs, serve both joins below.
+    texts = packed(d).repartition("id", "dup")
+    wanted = (runs.groupBy("id", "dup").agg(F.collect_set(F.struct("fp", "shard", "shards", "first", "size", "copy")).alias("runs"))
                   .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("fp", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("id", pa.int64()),
                             ("dup", pa.int32()), ("first", pa.int64()), ("bytes", pa.binary())])
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_buffer().to_pybytes()
                 found = batch.column(3).slice(i, 1).flatten()
+                found = found.filter(pc.invert(found.field("copy")))
+                n = len(found)
+                if not n:
+                    continue
+                raw = unpack.decompress(batch.column(2)[i].as_py())
                 first = found.field("first").to_pylist()
-                part = [raw[a:a + n + LENGTH - 1] for a, n in zip(first, found.field("size").to_pylist(), strict=True)]
-                n = len(part)
+                part = [raw[a:a + k + LENGTH - 1] for a, k in zip(first, found.field("size").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [found.field("fp"), found.field("shard"), found.field("shards"),
                      pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.int32()),
@@ -444,16 +487,20 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS
         most = -(-most // fan)
     gone = (found.groupBy("id", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
                  .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "gone"))
-    last = texts.join(gone, (F.col("id") == F.col("id2")) & (F.col("dup") == F.col("dup2")), "left").select("doc_id", "text", "gone")
+    gone = gone.withColumnsRenamed({"id2": "id3", "dup2": "dup3"})
+    last = (texts.join(wanted, (F.col("id") == F.col("id2")) & (F.col("dup") == F.col("dup2")), "left")
+                 .join(gone, (F.col("id") == F.col("id3")) & (F.col("dup") == F.col("dup3")), "left").select("doc_id", "text", "runs", "gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_buffer().to_pybytes()
-                gone = batch.column(2)[i].as_py() or []
+                raw = unpack.decompress(batch.column(1)[i].as_py())
+                gone = [(g["lo"], g["hi"]) for g in batch.column(3)[i].as_py() or []]
+                gone += [(g["first"], g["first"] + g["size"] + LENGTH - 1) for g in batch.column(2)[i].as_py() or [] if g["copy"]]
                 kept, spans, done, removed = hashlib.sha256(), 0, 0, 0
-                for lo, hi in sorted((g["lo"], g["hi"]) for g in gone):
+                for lo, hi in sorted(gone):
                     if lo > done or (lo == 0 and not spans):
                         kept.update(raw[done:lo])
                         spans += 1

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ludex.llm import components, decontamination, jaccard_join, line_templates, suffix_dedup
+from ludex.llm import components, decontamination, jaccard_join, line_templates, suffix_dedup, text
 
 from . import fixtures as X
 
@@ -96,7 +96,7 @@ def test_shard_solver_finds_all_repeats(parts):
 @given(st.binary(min_size=0, max_size=700))
 def test_anchor_runs_split_all_strings(raw):
     data = np.frombuffer(raw, dtype=np.uint8)
-    fp, place, first, last = suffix_dedup.anchor_runs(data)
+    fp, place, first, last = suffix_dedup.anchor_runs(data, text.prefix_hash(data))
     starts = [p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)]
     assert starts == list(range(max(0, len(raw) - 99)))
     assert all(a <= p + 0 and p >= b and p <= a + 100 - suffix_dedup.GRAM for a, b, p in zip(first, last, place, strict=True))
