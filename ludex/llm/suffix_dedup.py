@@ -15,9 +15,9 @@ earlier in the same one) is removed. Strings never cross documents.
    sorted by Larsson-Sadakane refinement (only groups still tied are sorted again, by the
    ranks one prefix length further on), common prefixes of neighbours come from Kasai's
    algorithm, and of the suffixes that share 100 bytes all but the earliest are repeats.
-4. Merging. Of a split anchor each shard sends its earliest strings, sorted; shards are
-   merged by binary search, later owners of a string being repeats. A merge takes at most
-   ``MERGE_SHARDS`` shards, level by level, so no task gathers a whole hot anchor.
+4. Merging. Of a split anchor each shard sends its earliest strings. They are dealt by
+   string, not by anchor, and sorted: all owners of a string but the earliest are repeats,
+   found by comparing each row with the one before, so no task gathers an anchor's strings.
 5. The repeats' byte intervals are united per document, and the rest is hashed.
 
 Edge cases: null text is empty; a text under 100 bytes loses nothing; rows that repeat
@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,6 @@ from ludex.session import materialize, ship_package
 LENGTH = 100
 GRAM = 24
 SHARD_RUNS = 4096            # runs of one anchor in one shard
-MERGE_SHARDS = 64
 CHUNK_BYTES = 1 << 20        # shards are sorted together up to this many bytes
 _BITS = 21                   # positions of a chunk
 NO_ID = -(1 << 63)
@@ -354,36 +352,32 @@ class Merge:
         return out
 
 
-def merge_shards(batches: Iterator[pa.RecordBatch], fan: int = MERGE_SHARDS) -> Iterator[pa.RecordBatch]:
-    """Intervals pass; strings, sorted by (fp, new shard, string), are merged by anchor and
-    new shard: the earliest go on while the anchor has more shards."""
-    key, rows = None, []
+def dealt_by_string(found: DataFrame) -> DataFrame:
+    """Equal strings of an anchor side by side, earliest owner first; different ones are
+    dealt anywhere, whatever their anchor. Intervals spread by document."""
+    home = F.when(F.col("fp").isNull(), F.xxhash64("id", "lo")).otherwise(F.xxhash64("fp", "string"))
+    return (found.withColumn("home", home).repartition("home").sortWithinPartitions("fp", "string", "id", "dup", "lo")
+                 .select("id", "dup", "lo", "hi", "fp", "shard", "shards", "string"))
 
-    def end():
-        if not rows:
-            return
-        by_shard: dict[int, list] = {}
-        for r in rows:
-            by_shard.setdefault(r[5], []).append(r)
-        merged = Merge()
-        for shard in sorted(by_shard):
-            yield _intervals(merged.add(by_shard[shard]))
-        shards = -(-rows[0][6] // fan)
-        if shards > 1:
-            yield _intervals([(*o, o[2] + LENGTH, rows[0][4], rows[0][5] // fan, shards, s)
-                              for s, o in zip(merged.strings, merged.owners, strict=True)])
 
+def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals pass; strings, sorted by (fp, string, owner), give the interval of every
+    owner but the first. Only the last string is held from batch to batch."""
+    fp, string = None, None
     for batch in batches:
-        passing = batch.filter(pc.is_null(batch.column(4)))
-        if passing.num_rows:
-            yield passing
-        strings = batch.filter(pc.is_valid(batch.column(4)))
-        for r in zip(*(c.to_pylist() for c in strings.columns), strict=True):
-            if (r[4], r[5] // fan) != key:
-                yield from end()
-                key, rows = (r[4], r[5] // fan), []
-            rows.append(r)
-    yield from end()
+        n = batch.num_rows
+        if not n:
+            continue
+        fps, strings = batch.column(4), batch.column(7)
+        again = np.zeros(n, dtype=bool)
+        again[0] = fp is not None and fps[0].as_py() == fp and strings[0].as_py() == string
+        same = pc.and_(pc.equal(fps.slice(1), fps.slice(0, n - 1)), pc.equal(strings.slice(1), strings.slice(0, n - 1)))
+        again[1:] = pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+        fp, string = fps[n - 1].as_py(), strings[n - 1].as_py()
+        out = batch.filter(pc.or_(pc.is_null(fps), pa.array(again)))
+        if out.num_rows:
+            none = [pa.nulls(out.num_rows, f.type) for f in list(_INTERVALS)[4:]]
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], *none], schema=_INTERVALS)
 
 
 # ------------------------------------------------------------------------- the job
@@ -437,8 +431,9 @@ def packed(d: DataFrame) -> DataFrame:
     return d.select("id", "dup", "doc_id", "text").mapInArrow(pack, "id long, dup int, doc_id long, text binary")
 
 
-def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. ``fan`` is without
+    effect: strings are merged at once, not level by level."""
     ship_package(docs.sparkSession)
     d = keyed(docs)
     anchors = file_anchors(d)
@@ -477,14 +472,8 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int = MERGE_SHARDS
     one = one.dropDuplicates(["id", "dup"]).select("id", "dup", "text", "runs")
     segments = one.mapInArrow(cut, "fp long, shard int, shards int, id long, dup int, first long, bytes binary")
     found = segments.repartition("fp", "shard").sortWithinPartitions("fp", "shard").mapInArrow(solve_shards, INTERVALS)
-    while most > 1:
-        # Strings meet by anchor and new shard; intervals spread by document.
-        home = F.when(F.col("fp").isNull(), F.xxhash64("id", "lo")).otherwise(
-            F.xxhash64("fp", F.floor(F.col("shard") / fan)))
-        found = (found.withColumn("home", home).repartition("home")
-                      .sortWithinPartitions("fp", F.floor(F.col("shard") / fan), "string")
-                      .select("id", "dup", "lo", "hi", "fp", "shard", "shards", "string").mapInArrow(partial(merge_shards, fan=fan), INTERVALS))
-        most = -(-most // fan)
+    if most > 1:
+        found = dealt_by_string(found).mapInArrow(merge_shards, INTERVALS)
     gone = (found.groupBy("id", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
                  .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "gone"))
     gone = gone.withColumnsRenamed({"id2": "id3", "dup2": "dup3"})

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ludex.llm import components, decontamination, jaccard_join, line_templates, suffix_dedup, text
 
@@ -76,6 +77,38 @@ def test_suffix_dedup_matches_brute_force(spark, options):
         map(str, ((r[0], *want[r[0] if r[0] is not None else -(1 << 63), r[1] or ""]) for r in rows)))
 
 
+def strings_of_one_anchor(n: int) -> list[tuple]:
+    """Rows as two shards send them: every string once from each."""
+    return [(i if k else 10_000 + i, 0, 7, 107, 5, k, 2, f"{i:0100d}".encode()) for i in range(n) for k in (0, 1)]
+
+
+def test_merging_holds_no_whole_anchor():
+    rows = sorted(strings_of_one_anchor(500), key=lambda r: (r[7], r[0]))
+    read = 0
+
+    def batches():
+        nonlocal read
+        for k in range(0, len(rows), 7):          # equal strings also lie across batches
+            read += 1
+            yield suffix_dedup._intervals(rows[k:k + 7])
+
+    found = []
+    for out in suffix_dedup.merge_shards(batches()):
+        found += [(at, read) for at in out.column(0).to_pylist()]
+    assert [at for at, _ in found] == [10_000 + i for i in range(500)]
+    assert all(seen <= (2 * i + 1) // 7 + 1 for i, (_, seen) in enumerate(found))
+
+
+def test_strings_of_one_anchor_are_dealt_to_many_tasks(spark):
+    found = spark.createDataFrame(strings_of_one_anchor(400), suffix_dedup.INTERVALS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix_dedup.dealt_by_string(found).select("string", F.spark_partition_id().alias("task")).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 400 and len({r.task for r in got}) > 1
+
+
 def test_suffix_dedup_empty_table(spark):
     assert suffix_dedup.dedup(X.frame(spark, [])).count() == 0
 
