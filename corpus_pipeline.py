@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage reads what the one before wrote, as Parquet.
 
 1. quality classifier: documents that the factorisation machine rejects go;
-2. line dedup: lines of recurring templates go from the texts;
+2. line dedup: lines of recurring templates go from the texts, and lines that stand in a few
+   (long ones) or more documents unlike each other;
 3. n-gram Jaccard join: of each group of near copies one document stays;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. packing: what is left becomes pieces of training sequences.
@@ -24,7 +25,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_templates.dedup(docs)
+    return line_templates.dedup(docs, long_docs=line_templates.LONG_DOCS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,13 @@ A document that would lose more than half of its characters is a copy, not a doc
 boilerplate: it is left whole, for document dedup. Lines of fewer than ``MIN_TOKENS`` tokens
 say too little to tell a template from chance and stay.
 
+With ``long_docs`` (the pipeline's stage), a line recurs surely when it stands in enough
+documents, and at least half of them are unlike each other: ``min_docs`` unlike documents,
+or, for a line of ``LONG_TOKENS`` tokens, which does not repeat by chance, ``long_docs``
+documents of which ``LONG_UNLIKE`` are unlike. Documents are alike where the least hash of
+their other lines agrees (``SEEDS`` hashes, of which ``DOUBT`` may say otherwise). Such lines
+go from every document, whatever share of it they are; lines of copies are not among them.
+
 Scale: lines are first counted by hash; counts per leaf, line, token and template are
 pre-aggregated map-side, and joins back to them read written tables, so that adaptive
 execution can broadcast a small side by its size or split a hot leaf. Texts are shuffled
@@ -36,6 +43,11 @@ MIN_TOKENS = 4
 MIN_DOCS = 20
 MIN_CONSTANT = 0.6
 COMMON = 2
+LONG_TOKENS = 50
+LONG_DOCS = 3
+LONG_UNLIKE = 2
+SEEDS = 16
+DOUBT = 2
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 VARIABLE = "[0-9@]|://"
@@ -100,6 +112,35 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return kept.join(drop, ["leaf", "line_hash"]).select("__id", "__row", "line_no")
 
 
+def sure_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """(__id, __row, line_no) of every line that recurs in documents unlike each other."""
+    need = F.when(F.col("size") >= LONG_TOKENS, F.lit(long_docs)).otherwise(F.lit(min_docs))
+    lines = lines_of(docs).select("__id", "__row", "line_no", "line_hash", F.size("masked").alias("size"))
+    often = (lines.select("line_hash", "size", "__id").distinct().groupBy("line_hash", "size").agg(F.count(F.lit(1)).alias("n"))
+                  .where(F.col("n") >= need))
+    often = materialize(often, "often-lines")
+    held = materialize(lines.join(often, ["line_hash", "size"]), "often-held")
+    # For each seed the two least hashes of a document's lines: one is not the line itself.
+    # Only documents that hold such a line are read again.
+    holders = materialize(held.select("__id", "__row").distinct(), "often-holders")
+    line = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda t: let(masked_tokens(t), lambda w: F.when(
+        F.size(w) > 0, F.xxhash64(w)))), lambda h: h.isNotNull()))
+    least = F.array(*[F.slice(F.array_sort(F.transform("__hashes", lambda h, k=k: F.xxhash64(h, F.lit(k)))), 1, 2) for k in range(SEEDS)])
+    sketch = (docs.select("text", *_keys(docs)).join(holders, ["__id", "__row"], "left_semi")
+                  .select("__id", "__row", line.alias("__hashes")).select("__id", "__row", least.alias("least")).distinct())
+    sketch = materialize(sketch, "line-sketches")
+    other = F.array(*[let(F.col("least")[k], lambda two, k=k: F.coalesce(F.get(F.filter(
+        two, lambda h: h != F.xxhash64(F.col("line_hash"), F.lit(k))), 0), F.lit(0))) for k in range(SEEDS)])
+    rest = (held.select("line_hash", "size", "n", "__id", "__row").distinct().join(sketch, ["__id", "__row"])
+                .select("line_hash", "size", "n", F.posexplode(other).alias("seed", "rest")))
+    differ = F.when(F.col("size") >= LONG_TOKENS, F.lit(LONG_UNLIKE)).otherwise(F.lit(min_docs))
+    unlike = (rest.distinct().groupBy("line_hash", "size", "n", "seed").agg(F.count(F.lit(1)).alias("unlike"))
+                  .groupBy("line_hash", "size", "n").agg(F.sort_array(F.collect_list("unlike"))[DOUBT].alias("unlike"))
+                  .where((F.col("unlike") >= differ) & (F.col("unlike") * 2 >= F.col("n"))))
+    sure = materialize(unlike.select("line_hash", "size"), "sure-lines")
+    return held.join(sure, ["line_hash", "size"]).select("__id", "__row", "line_no")
+
+
 def drop_lines(lines: Column, gone: Column) -> Column:
     """The lines without those at the sorted 0-based positions ``gone``: the runs between
     dropped positions, so linear in the document's length."""
@@ -110,16 +151,29 @@ def drop_lines(lines: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(runs), "\n")
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, report: bool = False) -> DataFrame:
-    """The documents without their recurring lines. With ``report``: doc_id, n_lines,
-    n_dropped and text instead of the input's columns."""
-    gone = (recurring_lines(docs, min_docs).groupBy("__id", "__row")
-            .agg(F.sort_array(F.collect_set("line_no")).alias("__gone")))
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, report: bool = False, long_docs: int | None = None) -> DataFrame:
+    """The documents without their recurring lines; with ``long_docs`` also without those
+    that recur surely. With ``report``: doc_id, n_lines, n_dropped and text instead of the
+    input's columns."""
+    def positions(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("line_no")).alias(name))
+
+    def without(at: str) -> Column:
+        return F.when(F.col(at).isNotNull(), let(F.split("text", "\n"), lambda ls: drop_lines(ls, F.col(at))))
+
+    gone = positions(recurring_lines(docs, min_docs), "__gone")
+    if long_docs is not None:
+        sure = positions(sure_lines(docs, min_docs, long_docs), "__sure")
+        none = F.array().cast("array<int>")
+        gone = gone.join(sure, ["__id", "__row"], "full").withColumn("__gone", F.sort_array(F.array_union(
+            F.coalesce("__gone", none), F.coalesce("__sure", none))))
     gone = materialize(gone, "dropped-lines")
-    d = docs.select("*", *_keys(docs)).join(gone, ["__id", "__row"], "left")
-    new = F.when(F.col("__gone").isNotNull(), let(F.split("text", "\n"), lambda ls: drop_lines(ls, F.col("__gone"))))
-    d = d.withColumn("__new", new)
+    d = docs.select("*", *_keys(docs)).join(gone, ["__id", "__row"], "left").withColumn("__new", without("__gone"))
     d = d.withColumn("__cut", F.coalesce(F.length("__new") * 2 >= F.length("text"), F.lit(False)))
+    if long_docs is not None:
+        only = ~F.col("__cut") & F.col("__sure").isNotNull()
+        d = d.withColumns({"__new": F.when(only, without("__sure")).otherwise(F.col("__new")),
+                           "__gone": F.when(only, F.col("__sure")).otherwise(F.col("__gone")), "__cut": F.col("__cut") | only})
     text = F.when(F.col("__cut"), F.col("__new")).otherwise(F.col("text"))
     if report:
         return d.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),

@@ -163,3 +163,28 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     check_packing([(i, t) for i, t in seen["benchmark decontamination"].items()], packed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_drops_planted_notices(spark):
+    """A long line goes from 3 unlike documents on, and a short one from 20 on, also where it
+    is most of a text; copies and near copies stay whole for the Jaccard join."""
+    rng = random.Random(21)
+    def line(n): return " ".join(X.prose(rng, n).split())
+    long_notice, short_notice, block = line(60), "Please read our terms of use today", [line(55) for _ in range(2)]
+    own = {i: X.prose(rng, 80) for i in range(5)}
+    rows = [(i, f"{own[i]}\n{long_notice}", "en", "s", 1) for i in range(5)]
+    rows += [(10, f"tiny own text\n{long_notice}", "en", "s", 1), (11, long_notice, "en", "s", 1)]
+    rows += [(100 + i, f"{short_notice}\n{X.prose(rng, 40)}", "en", "s", 1) for i in range(25)] + [(130, f"{short_notice}\nown bit", "en", "s", 1)]
+    copy = "\n".join([*block, X.prose(rng, 400)])
+    rows += [(200 + i, copy, "en", "s", 1) for i in range(4)]
+    near = [line(55), *[line(8) for _ in range(40)]]
+    rows += [(300 + i, "\n".join([*near, line(8)]), "en", "s", 1) for i in range(6)]
+    rows += [(None, None, None, None, None), (400, "", "en", "s", 0)]
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, X.with_clashes(X.frame(spark, rows)), "")
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    text = {r[0]: r[1] for r in rows}
+    assert [got[i].text for i in range(5)] == [own[i] for i in range(5)] and got[0].n_chars == len(own[0])
+    assert got[10].text == "tiny own text" and got[11].text == "" and got[130].text == "own bit"
+    assert not any(short_notice in got[100 + i].text for i in range(25))
+    assert all(got[i].text == text[i] for i in (*range(200, 204), *range(300, 306), None, 400))
