@@ -10,6 +10,10 @@ no base span of its kind, except those it wholly covers. Base spans always stay.
 ``n_email`` ... ``n_phone`` and ``base_sha256`` describe the base spans; ``spans`` lists all.
 Matching is linear in the text's length (patterns start only where a match can start).
 
+"name at host.tld" is an address where a part of it is in disguise, the name holds a digit
+or a sign between letters, or a word like "write to" stands before it; a plain word ("look
+at host.tld") is prose. What is found does not depend on the text around it otherwise.
+
 Edge cases: null or empty text has no span (``base_sha256`` of the empty string); equal
 rows give equal rows; a null doc_id stays null; no other column is read.
 """
@@ -123,11 +127,17 @@ _TOKEN = re.compile(rf"\b(?:{_WORD})\b", re.I)
 _BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|point|punto|punkt)\s{0,3}[\])}>]\s{0,3}", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9]) {1,3}dot {1,3}(?=[A-Za-z0-9])", re.I)
-# "name at host" counts only when a dot in disguise (by now a dot) and a name follow.
-_WORD_AT = re.compile(r"(?<=[A-Za-z0-9._%+-]) {1,3}at {1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9]))", re.I)
+_WORD_AT = re.compile(r"(?<=[A-Za-z0-9._%+-]) {1,3}at {1,3}(?=([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})(?![A-Za-z0-9]))", re.I)
+# What tells "name at host.tld" from "look at host.tld": a name that no word is (a digit, or
+# a sign between letters), or a word that says an address follows.
+_MAILBOX = re.compile(r"(?=.*[A-Za-z]{2})(?:.*[0-9]|.*[A-Za-z0-9][._+][A-Za-z0-9])")
+_CUE = re.compile(r"\b(?:e-?mail|mail|contact|write)(?: address)?(?: me| us)?(?: to| is|:) {0,2}$", re.I)
+_PRONOUNS = frozenset(("me", "us", "him", "her", "it", "them", "you"))
 _SPACED_SIGN = re.compile(r"(?<=[A-Za-z0-9._%+-]) {1,2}@ {0,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])|(?<=[A-Za-z0-9._%+-])@ {1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])")
 
 _TRIGGER = re.compile(r"\bdot\b|[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|point|punto|punkt)\s{0,3}[\])}>]| @|@ ", re.I)
+# Every match of _WORD_AT in a text not yet rewritten holds one of this.
+_PLAIN_AT = re.compile(r" [aA][tT] {1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]")
 
 
 class Tape:
@@ -178,17 +188,30 @@ class Tape:
         return (self.start[a], self.end[b - 1]) if 1 in self.touched[a:b] else None
 
 
+def _is_address(tape: Tape, at: re.Match) -> bool:
+    """Whether "name at host" is meant as an address: something in it is in disguise, or the
+    name or the words before it say so."""
+    start = at.start()
+    while start > 0 and at.start() - start < 64 and tape.text[start - 1] in _LOCAL:
+        start -= 1
+    name = tape.text[start:at.start()]
+    return (1 in tape.touched[start:at.start()] or 1 in tape.touched[at.start(1):at.end(1)]
+            or _MAILBOX.match(name.strip("._%+-")) is not None
+            or (name.lower() not in _PRONOUNS and _CUE.search(tape.text, max(0, start - 40), start) is not None))
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None where no disguise can be."""
     plain = text.isascii()
-    if plain and not _TRIGGER.search(text) and not _SPELLED.search(text):
+    if plain and not _TRIGGER.search(text) and not _PLAIN_AT.search(text) and not _SPELLED.search(text):
         return None
     tape = Tape(text)
     if not plain:
         tape.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{INVISIBLE}]+", tape.text)])
         tape.translate(LOOK_ALIKES)
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_WORD_DOT, "."), (_WORD_AT, "@"), (_SPACED_SIGN, "@")):
-        tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)])
+        tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)
+                      if pattern is not _WORD_AT or _is_address(tape, m)])
     edits = []
     for run in _SPELLED.finditer(tape.text):
         done = None

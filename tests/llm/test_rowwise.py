@@ -205,3 +205,28 @@ def test_pii_disguises_map_back_to_source(kind, hidden, inside):
                                   "section [at] the end", "Прости меня", "five six, pick up sticks"])
 def test_pii_leaves_prose_alone(text):
     assert not any(pii.find_disguised(text, pii.find_base(text)).values())
+
+
+@pytest.mark.parametrize("around", ["Write to {} or not.", "Écrire à {} ou non.", "Polka dot. See {} there", "one @ two: {}"])
+@pytest.mark.parametrize(("kind", "hidden"), [
+    ("email", "jane.doe at example.com"), ("email", "jane42 at mail.example.org"), ("email", "jane at example dot com"),
+    ("email", "jane [at] example [dot] com"), ("email", "jane.doe(at)mail(dot)example(dot)org"), ("email", "jane@ example.com"),
+    ("email", "jane  AT  example DOT com"), ("phone", "+1 five five five 867 five three zero nine"),
+    ("ip", "26 dot 198 dot 133 dot 150"), ("card", "4111 1111 1111 one one one one")])
+def test_pii_disguises_do_not_depend_on_the_text_around(around, kind, hidden):
+    text = around.format(hidden)
+    a = text.index(hidden)
+    assert (a, a + len(hidden)) in pii.find_disguised(text, pii.find_base(text))[kind], text
+
+
+@pytest.mark.parametrize("text", ["look at example.com now", "Contact us at example.com", "sign-up at example.com, or e.g. at example.org",
+                                  "Blog at WordPress.com."])
+@pytest.mark.parametrize("around", ["{}", "É {}", "One polka dot. {}"])
+def test_pii_words_before_a_host_are_prose(around, text):
+    text = around.format(text)
+    assert not any(pii.find_disguised(text, pii.find_base(text)).values())
+
+
+def test_pii_cue_before_a_plain_name():
+    text = "Please write to jane at example.com today"
+    assert pii.find_disguised(text, pii.find_base(text))["email"] == [(16, 35)]
