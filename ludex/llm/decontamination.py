@@ -11,7 +11,9 @@ leaked, verbatim or with other parameters.
 
 Windows with fewer than ``MIN_LITERAL`` of their words literal (five of eight, in
 proportion) match anything and are left out of the item; an item without any other window,
-or of fewer than ``MIN_WORDS`` words, is never found.
+or of fewer than ``MIN_WORDS`` words, is never found by ``report``. With ``exact`` (the
+pipeline's stage) such an item is found verbatim: its whole sequence of lower-cased words,
+numbers included and outer punctuation left out, stands in the document.
 
 Scale: only the distinct window hashes of the benchmark meet the hashes of the documents'
 windows, from a written table whose size decides between broadcast and shuffle; slots are
@@ -169,13 +171,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
         "doc_id", "__row", "item_id", "n_matched", "n_windows", "verbatim")
 
 
+def raw_words(text: Column) -> Column:
+    """Lower-cased words without outer punctuation, nothing masked; signs that stand alone
+    are words ("12 + 7" is not "12 - 7")."""
+    words = F.transform(F.split(text, SPACE), lambda w: let(F.regexp_replace(w, EDGES, ""), lambda x: F.when(
+        x == F.lit(""), w).otherwise(F.lower(x))))
+    return F.filter(words, lambda w: w != F.lit(""))
+
+
+def exact_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, __row) of the documents that hold an item without a usable window verbatim.
+    Up to ``WIDTH`` first words of an item find candidates by hash, then all are compared."""
+    items = materialize(item_windows(benchmark).select(F.col("item_id").alias("__item")).distinct(),
+                        "items-with-windows")
+    rest = (benchmark.join(items, benchmark["item_id"].eqNullSafe(items["__item"]), "left_anti")
+                     .select(raw_words(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0).distinct())
+    head = F.least(F.size("item"), F.lit(WIDTH))
+    h = F.coalesce(*[F.when(head == n, F.element_at(window_hashes(F.slice("item", 1, n), n), 1)) for n in range(1, WIDTH + 1)])
+    rest = materialize(rest.select(h.alias("h"), head.alias("width"), "item"), "exact-items")
+    widths = [r[0] for r in rest.select("width").distinct().collect()]           # at most WIDTH values
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), raw_words(F.col("text").cast("string")).alias("w"))
+    if not widths:
+        return d.select("doc_id", "__row").limit(0)
+    at = F.concat(*[F.transform(window_hashes(F.col("w"), n), lambda x, j: F.struct(x.alias("h"), j.alias("j"))) for n in sorted(widths)])
+    # Hashes only over all documents; words are read again in those with a candidate.
+    hits = (d.select("doc_id", "__row", F.explode(at).alias("x")).select("doc_id", "__row", "x.h", "x.j")
+             .join(rest.select("h").distinct(), "h", "left_semi").distinct())
+    hits = materialize(hits.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hit"), "h", "j"), "exact-candidates")
+    both = (d.join(hits, (d["__row"] == hits["__hit"]) & d["doc_id"].eqNullSafe(hits["__id"])).join(rest, "h")
+             .where(F.slice("w", F.col("j") + 1, F.size("item")) == F.col("item")))
+    return both.select("doc_id", "__row").distinct()
+
+
 def report(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     return leaks(docs, benchmark, min_coverage).drop("__row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, exact: bool = False) -> DataFrame:
     """The documents in which no item is leaked, with all their columns."""
-    bad = leaks(docs, benchmark, min_coverage).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__bad")).distinct()
+    found = leaks(docs, benchmark, min_coverage).select("doc_id", "__row")
+    if exact:
+        found = found.unionByName(exact_leaks(docs, benchmark))
+    bad = found.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__bad")).distinct()
     bad = materialize(bad, "leaky-documents")
     own = F.xxhash64(docs["doc_id"], docs["text"])
     return docs.join(bad, (own == bad["__bad"]) & docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
