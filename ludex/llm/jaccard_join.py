@@ -225,7 +225,7 @@ def leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
                            F.col("l.comp").alias("leader_comp"), F.col("l.need").alias("leader_need")))
     leaders = materialize(leaders, "leaders")
     near = (rows.join(leaders, "token").where((F.col("comp") != F.col("leader_comp")) & _may_link("n_shingles", "leader_n"))
-                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("need", "leader_need")).alias("enough"))
+                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need", "leader_need")).alias("enough"))
                 .where("shared >= enough"))
     best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("order"), "leader")).alias("m"))
     return materialize(best.select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b")), "leader-pairs")
@@ -241,7 +241,7 @@ def complete_pairs(rows: DataFrame) -> DataFrame:
     both = left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b")
                                            & (F.col("top_b") | (F.col("a") > F.col("b"))))
     pairs = (both.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("need_a", "need_b")).alias("need")))
+                 .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need_a", "need_b")).alias("need")))
     return materialize(pairs.where("shared >= need").select("a", "b"), "pairs")
 
 

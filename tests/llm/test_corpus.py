@@ -308,3 +308,16 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     linked = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: root(n) for n in linked}
+
+
+def test_jaccard_any_row_of_a_document_may_link(spark):
+    """Rows of one id with different needs: the smaller decides, wherever it comes."""
+    rows = []
+    for d in range(0, 80, 2):
+        needs = [2, 9] if d % 4 else [9, 2]
+        for token in (10 * d, 10 * d + 1):
+            rows += [(token, d, 50, n, d, -1) for n in needs] + [(token, d + 1, 50, 9, d + 1, -1)]
+    frame = spark.createDataFrame(rows, "token long, doc_id long, n_shingles long, need int, comp long, top long").coalesce(1)
+    want = {(d + 1, d) for d in range(0, 80, 2)}
+    assert {(r.a, r.b) for r in jaccard_join.complete_pairs(frame).collect()} == want
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in jaccard_join.leader_pairs(frame, 0).collect()} == want
