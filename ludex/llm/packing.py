@@ -4,7 +4,7 @@ Tokens of a document: the ids of its whole text by the tokenizer file (no specia
 added, special strings inside a text as the library's default), then ``eos``. A document
 is cut only where it must be: full pieces of ``capacity`` tokens, then one remainder.
 Each full piece is a sequence of its own; remainders are dealt at random (hash of the
-document) into groups of about ``group_docs`` documents, and each group is packed on its
+document and its row) into groups of about ``group_docs`` documents, each packed on its
 own by first-fit decreasing. "First bin with room" is found in a tournament tree over
 the bins' free room: O(log bins) a piece. Groups have a bounded size whatever the input,
 so no key is hot and no task sees more than its groups.
@@ -111,8 +111,9 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, eos: int) -> DataFrame:
-    """One row per piece: start, length, crc32 of its ids; ``deal`` is the document's
-    random number, null for full pieces of long documents only through its hash."""
+    """One row per piece: start, length, crc32 of its ids; ``deal`` is the row's random
+    number. The row's place in the input is part of it, so equal rows and rows without id
+    spread too; it is drawn once, in the task that writes the pieces."""
     ship_package(docs.sparkSession)
     tail = np.asarray([eos], dtype="<u4").tobytes()
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal")])
@@ -133,7 +134,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, eos: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.xxhash64("doc_id", F.length("text")).alias("deal"))
+                       F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id()).alias("deal"))
     return rows.mapInArrow(cut, PIECES)
 
 

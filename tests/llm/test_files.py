@@ -108,6 +108,16 @@ def test_packing_matches_the_library(spark):
     assert packing.pack(X.frame(spark, [])).count() == 0
 
 
+def test_packing_spreads_equal_rows_over_groups(spark):
+    """Rows without id, repeated rows and their full pieces: no group takes them all."""
+    rows = [(None, "", None, None, None)] * 200 + [(7, "same text", "en", "s", 9)] * 200 + [(8, "q " * 2100, "en", "s", 1)] * 40
+    got = packing.pack(X.frame(spark, rows), group_docs=20).collect()
+    check_packing(rows, got)
+    groups = collections.Counter((r.doc_id, r.length == 2048, r.sequence_id >> 32) for r in got)
+    assert max(n for (i, _, _), n in groups.items() if i != 8) < 60
+    assert max(n for (i, full, _), n in groups.items() if i == 8 and full) < 20
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing_matches_plain_search(lengths):
