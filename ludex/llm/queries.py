@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ludex.llm import bpe_count, decontamination, fm_quality, jaccard_join, line_templates, packing, pii, quality_rules, suffix_dedup, warc
+from ludex.llm import (bpe_count, conversation_repair, decontamination, fm_quality, imatch, jaccard_join, line_templates, packing, pii,
+                       quality_rules, source_divergence, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +81,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_source_divergence"] = source_divergence.AUDIT_SQL
+
+
+@query
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_imatch"] = imatch.FINGERPRINTS_SQL
