@@ -60,15 +60,30 @@ def games_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spelled_date(day: Column, kind: Column) -> Column:
+    """One of 24 spellings that raw files hold; two of them are no date."""
+    ordinal = F.concat(F.dayofmonth(day).cast("string"), F.when(F.dayofmonth(day).isin(1, 21, 31), "st").when(F.dayofmonth(day).isin(2, 22), "nd")
+                       .when(F.dayofmonth(day).isin(3, 23), "rd").otherwise("th"))
+    f = lambda pattern: F.date_format(day, pattern)
+    spelled = [f("yyyy-MM-dd"), f("MMM yyyy"), f("yyyy"), F.lit("Soon.."), F.lit(None).cast("string"), f("MMMM d, yyyy"), f("d MMM yyyy"),
+               f("MMMM yyyy"), f("EEE, d MMM yyyy"), f("M/d/yyyy"), f("MM/dd/yyyy"), F.concat(ordinal, F.lit(" "), f("MMMM yyyy")),
+               f("yyyy.MM.dd"), f("yyyyMMdd"), f("MMM-dd-yyyy"), f("dd-MMM-yyyy"), f("yyyy MMM d"), f("yyyy-MM-dd'T12:30:00+02:00'"),
+               f("MMM d, yyyy '12:00 PM'"), f("EEEE, MMMM d yyyy"), F.upper(f("d MMMM, yyyy.")), F.concat(f("MMMM "), ordinal, f(", yyyy")),
+               f("yyyy/M/d"), f("'Early' yyyy")]
+    out = F.when(kind == 0, spelled[0])
+    for i, s in enumerate(spelled[1:], 1):
+        out = out.when(kind == i, s)
+    return out
+
+
 def games_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same catalogue with more of what raw files hold: rows without id, all-null rows,
-    signed, exponent and non-numeric prices, full month names and day-first dates. Input
+    signed, exponent and non-numeric prices, dates in 24 spellings. Input
     of the cleaning queries."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     size10 = F.col("p_size") % 10
     day = F.date_add(F.lit(_EPOCH), key.cast("int"))
-    k6 = key % 6
     k4 = key % 4
     odd_price = (F.when(k4 == 0, F.lit("-1.5")).when(k4 == 1, F.lit("1E3")).when(k4 == 2, F.lit("1d")).otherwise(F.lit(" 2.5")))
     price = (F.when(size10 == 0, F.lit(None).cast("string"))
@@ -79,12 +94,7 @@ def games_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(size10 == 5, F.lit("Free To Play"))
              .when(size10 == 6, odd_price)
              .otherwise(F.col("p_retailprice").cast("string")))
-    release = (F.when(k6 == 0, F.date_format(day, "yyyy-MM-dd"))
-               .when(k6 == 1, F.when(k4 == 1, F.date_format(day, "MMMM yyyy")).otherwise(F.date_format(day, "MMM yyyy")))
-               .when(k6 == 2, F.date_format(day, "yyyy"))
-               .when(k6 == 3, F.lit("Soon.."))
-               .when(k6 == 4, F.lit(None).cast("string"))
-               .otherwise(F.when(k4 == 1, F.date_format(day, "d MMM yyyy")).otherwise(F.date_format(day, "MMMM d, yyyy"))))
+    release = _spelled_date(day, key % 24)
     genres = F.when(F.col("p_size") % 7 == 0, F.lit(None).cast("array<string>")) \
               .otherwise(F.split(F.col("p_name"), " "))
     rows = p.select(

@@ -10,27 +10,19 @@ from __future__ import annotations
 
 from ludex.plans import catalog as C
 
-_MONTHS = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|"
-           "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+# Date spellings of the bindings, as formats; weekday, ordinal ending, clock and final stop are cut off first.
+_DATE_FORMATS = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y-%m", "%Y", "%B %Y", "%b %Y", "%B %d, %Y", "%b %d, %Y",
+                 "%B %d %Y", "%b %d %Y", "%d %B %Y", "%d %b %Y", "%d %B, %Y", "%d %b, %Y", "%m/%d/%Y", "%b-%d-%Y", "%d-%b-%Y", "%Y %b %d"]
 
 
 def _parse_date(expr: str) -> str:
-    """Year, month and day by pattern, then one checked date."""
-    x = f"lower(trim({expr}))"
-    month = lambda g, pat: (f"lpad(CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', "
-                            f"left(regexp_extract({x}, '{pat}', {g}), 3)) + 2) // 3 AS VARCHAR), 2, '0')")
-    part = lambda g, pat: f"lpad(regexp_extract({x}, '{pat}', {g}), 2, '0')"
-    y = lambda g, pat: f"regexp_extract({x}, '{pat}', {g})"
-    iso, ym = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ t][0-9:.]+z?)?$", "^([0-9]{4})[-/]([0-9]{1,2})$"
-    my, mdy = rf"^({_MONTHS})[.,]? ([0-9]{{4}})$", rf"^({_MONTHS})\.? ([0-9]{{1,2}}),? ([0-9]{{4}})\.?$"
-    dmy = rf"^([0-9]{{1,2}}) ({_MONTHS})[.,]? ([0-9]{{4}})\.?$"
-    text = (f"CASE WHEN regexp_matches({x}, '{iso}') THEN {y(1, iso)} || '-' || {part(2, iso)} || '-' || {part(3, iso)} "
-            f"WHEN regexp_matches({x}, '{ym}') THEN {y(1, ym)} || '-' || {part(2, ym)} || '-01' "
-            f"WHEN regexp_matches({x}, '^[0-9]{{4}}$') THEN {x} || '-01-01' "
-            f"WHEN regexp_matches({x}, '{my}') THEN {y(2, my)} || '-' || {month(1, my)} || '-01' "
-            f"WHEN regexp_matches({x}, '{mdy}') THEN {y(3, mdy)} || '-' || {month(1, mdy)} || '-' || {part(2, mdy)} "
-            f"WHEN regexp_matches({x}, '{dmy}') THEN {y(3, dmy)} || '-' || {month(2, dmy)} || '-' || {part(1, dmy)} END")
-    d = f"TRY_CAST({text} AS DATE)"
+    """The first format that reads the text."""
+    x = f"trim({expr})"
+    x = f"regexp_replace({x}, '^(monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun)[.,]? ', '', 'i')"
+    x = f"regexp_replace({x}, '(t[0-9:]+[+][0-9:]+| [0-9]+:[0-9]+ [ap]m|[.])$', '', 'i')"
+    x = f"regexp_replace({x}, '([0-9])(st|nd|rd|th)\\b', '\\1', 'i')"
+    formats = ", ".join(f"'{f}'" for f in _DATE_FORMATS)
+    d = f"CAST(try_strptime({x}, [{formats}]) AS DATE)"
     return f"(CASE WHEN {d} BETWEEN DATE '1677-09-22' AND DATE '2262-04-11' THEN {d} END)"
 
 
@@ -89,11 +81,17 @@ games_raw AS (
                 CASE p_partkey % 4 WHEN 0 THEN '-1.5' WHEN 1 THEN '1E3' WHEN 2 THEN '1d' ELSE ' 2.5' END
               ELSE CAST(p_retailprice AS VARCHAR) END END AS price,
          CASE WHEN p_partkey % 1000 = 998 THEN NULL ELSE
-         CASE p_partkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%d')
-              WHEN 1 THEN CASE WHEN p_partkey % 4 = 1 THEN strftime(d, '%B %Y') ELSE strftime(d, '%b %Y') END
-              WHEN 2 THEN strftime(d, '%Y') WHEN 3 THEN 'Soon..' WHEN 4 THEN NULL
-              ELSE CASE WHEN p_partkey % 4 = 1 THEN strftime(d, '%-d %b %Y') ELSE strftime(d, '%B %-d, %Y') END END END AS release_date
-  FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS d FROM part) p
+         CASE p_partkey % 24 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%b %Y') WHEN 2 THEN strftime(d, '%Y')
+              WHEN 3 THEN 'Soon..' WHEN 4 THEN NULL WHEN 5 THEN strftime(d, '%B %-d, %Y') WHEN 6 THEN strftime(d, '%-d %b %Y')
+              WHEN 7 THEN strftime(d, '%B %Y') WHEN 8 THEN strftime(d, '%a, %-d %b %Y') WHEN 9 THEN strftime(d, '%-m/%-d/%Y')
+              WHEN 10 THEN strftime(d, '%m/%d/%Y') WHEN 11 THEN strftime(d, '%-d') || th || strftime(d, ' %B %Y')
+              WHEN 12 THEN strftime(d, '%Y.%m.%d') WHEN 13 THEN strftime(d, '%Y%m%d') WHEN 14 THEN strftime(d, '%b-%d-%Y')
+              WHEN 15 THEN strftime(d, '%d-%b-%Y') WHEN 16 THEN strftime(d, '%Y %b %-d') WHEN 17 THEN strftime(d, '%Y-%m-%dT12:30:00+02:00')
+              WHEN 18 THEN strftime(d, '%b %-d, %Y 12:00 PM') WHEN 19 THEN strftime(d, '%A, %B %-d %Y')
+              WHEN 20 THEN upper(strftime(d, '%-d %B, %Y.')) WHEN 21 THEN strftime(d, '%B %-d') || th || strftime(d, ', %Y')
+              WHEN 22 THEN strftime(d, '%Y/%-m/%-d') ELSE strftime(d, 'Early %Y') END END AS release_date
+  FROM (SELECT *, CASE WHEN day(d) IN (1, 21, 31) THEN 'st' WHEN day(d) IN (2, 22) THEN 'nd' WHEN day(d) IN (3, 23) THEN 'rd' ELSE 'th' END AS th
+        FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS d FROM part)) p
 ),
 """
 

@@ -1,7 +1,9 @@
 """Cleaning rules on inline edge-case rows (FIXTURES §4)."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ludex.functions import clean
@@ -27,6 +29,45 @@ def test_mixed_dates(spark):
     assert col_values(spark, bad, clean.parse_mixed_dates) == [None] * 5
 
 
+# Spellings that the source's parse (the pandas one) reads; compared with it below.
+SPELLINGS = [
+    "Thu, 4 Jan 2018", "4/1/2018", "01/04/2018", "31/12/2018", "4th July 2018", "2018.01.04", "20180104", "Jan-04-2018", "04-Jan-2018",
+    "2018 Jan 4", "2018-01-04T12:30:00+02:00", "Jul 4, 2018 12:00 PM", "1/4/18", "2018Q1", "4Q2018", "1.4.2018", "4 1 2018", "Jan 4 18",
+    "July of 2018", "4th of July, 2018", "12:30 Jan 4 2018", "Jan 2018 4", "1-2018", "Jan 4, 2018 12PM", "20180104T1230", "20180104123000",
+    "2018-01-04 12:30:00.123456", "2018-01-04 12:30:00 UTC", "Tuesday 2018-01-04", "2018-01-04 Thu", "Jan/4/2018", "2018-Jan", "5 Nov, 2011.",
+    "2018-01-04 12:00-05", "2018-01-04 12:00 -0500", "Jan 99", "  2018-01-04  ", "29 February 2016"]
+# And texts that it does not read.
+NO_DATES = ["13/2014", "2018/13/01", "2018-02-30", "Jan 4, 2018 25:00", "Jan 4, 2018 12:61", "Jan 4, 2018 13:00 PM", "2018-004", "1 Jan", "Jan", "4",
+            "45", "123", "12345", "Coming 2018", "2018 or 2019", "Thursday", "9999-01-01", "Jan 0 2018", "Jan 32 2018", "0/1/2018", "Q1 2018",
+            "12-2018-01", "", "   ", "Friday May 2008", "29 February 2015", "6.2018"]
+
+
+def source_date(text):
+    """What the source's parse gives: a date, or None."""
+    got = pd.to_datetime(pd.Series([text]), format="mixed", errors="coerce")[0]
+    return None if pd.isna(got) else got.date()
+
+
+def test_mixed_dates_equal_the_sources_parse(spark):
+    assert all(source_date(x) for x in SPELLINGS) and not any(source_date(x) for x in NO_DATES)
+    assert col_values(spark, SPELLINGS, clean.parse_mixed_dates) == [source_date(x) for x in SPELLINGS]
+    assert col_values(spark, NO_DATES, clean.parse_mixed_dates) == [None] * len(NO_DATES)
+
+
+def test_made_up_spellings_equal_the_sources_parse(spark):
+    rng = random.Random(3)
+    months = ["January", "Feb", "March", "apr", "MAY", "June", "Jul", "August", "Sept", "November", "Dec"]
+    texts = []
+    for _ in range(1500):
+        y, d = str(rng.randint(1980, 2030)), str(rng.randint(1, 31))
+        m = rng.choice([rng.choice(months), str(rng.randint(1, 13)), str(rng.randint(1, 12)).zfill(2)])
+        if not m.isdigit():
+            d += rng.choice(["", "", "th"])
+        text = rng.choice([" ", "-", "/", ", "]).join(rng.choice([[y, m, d], [d, m, y], [m, d, y], [m, y], [y, m]]))
+        texts.append(text + rng.choice(["", "", " 12:30", " 23:59:59", ", 1:02 pm", "T00:00+05:30" if text[-1].isdigit() else ""]))
+    assert col_values(spark, texts, clean.parse_mixed_dates) == [source_date(x) for x in texts]
+
+
 def test_release_year_unknown_is_zero(spark):
     vals = col_values(spark, ["2018", "Soon.."], lambda c: clean.release_year(clean.parse_mixed_dates(c)))
     assert vals == [2018, 0]
