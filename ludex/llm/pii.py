@@ -72,8 +72,9 @@ def find_emails(text: str) -> list[Span]:
 
 
 def find_ips(text: str) -> list[Span]:
+    """Leading zeros of any number count for nothing."""
     return [m.span() for m in _IP.finditer(text)
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
 
 
 def find_cards(text: str) -> list[Span]:
