@@ -29,26 +29,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludex.llm.cache import TwoGenerationCache
+from ludex.llm.text import LOWER, slices
 from ludex.session import materialize, ship_package
 
 CAPACITY = 2048
 EOS = 1
 GROUP_DOCS = 4096
 CACHE_ENTRIES = 600_000          # per generation
-CACHE_CHUNK_CHARS = 64
+CACHE_CHUNK_CHARS = 64           # bytes of a chunk that is kept
+SLICE = 4 << 20                  # text bytes tokenized at once
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
-_CHUNK = re.compile(r"[^ \n]+")
-# A stop between a small letter and a blank is a pre-token of its own: fewer distinct chunks.
-_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[10, 32]] = True
+_SMALL = np.zeros(256, dtype=bool)
+_SMALL[97:123] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[44, 46]] = True
+_SPECIAL = np.zeros(256, dtype=bool)
+_SPECIAL[[ord(c) for c in "<>|[]"]] = True     # every special string, and the mark, has one of these
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of the rows' UTF-8 bytes, in order, and each one's row. A chunk is a run
+    without blank or newline; a stop between a small letter and a blank is a chunk of its own
+    (it is a pre-token anyway, and there are fewer distinct chunks so). ASCII capitals become
+    small, as the normaliser makes them, except where a special string may stand: these are
+    matched before."""
+    n = len(data)
+    solid = ~_BLANK[data]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    cut = edge[:-1].copy()                             # a chunk begins here, if one is here
+    cut[1:] |= ~solid[:-1]
+    if n > 2:
+        cut[1:-1] |= _STOP[data[1:-1]] & _SMALL[data[:-2]] & _BLANK[data[2:]] & ~edge[1:-2] & ~edge[2:-1]
+    starts = np.flatnonzero(solid & cut)
+    before = np.concatenate([[0], np.cumsum(solid)])
+    begins = np.append(before[starts], before[-1]).astype(np.int64)
+    kept, low = data[solid], LOWER[data[solid]]
+    marked = np.concatenate([[0], np.cumsum(_SPECIAL[kept])])
+    special = marked[begins[1:]] > marked[begins[:-1]]
+    if special.any():
+        same = np.repeat(special, np.diff(begins))
+        low[same] = kept[same]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(begins.tobytes()), pa.py_buffer(low.tobytes())])
+    return found, np.searchsorted(offsets, starts, side="right") - 1
 
 
 class ChunkTokenizer:
-    """Ids of a text as little-endian 32-bit bytes, through a cache of space-separated
-    chunks. Exact for tokenizers whose pre-tokenizer drops white space: no token, and no
+    """Ids of texts through a cache of space-separated chunks: a slice of rows is cut into
+    chunks at once, only its distinct chunks are looked up, and their ids are gathered. Exact for tokenizers whose pre-tokenizer drops white space: no token, and no
     step of the normaliser, reaches over a blank, so a text's ids are its chunks' ids in
     order. Chunks the cache lacks go to the library in one text, with ``MARK`` (a token of
     its own) between them; chunks that contain the mark or a special string go alone."""
@@ -63,42 +98,55 @@ class ChunkTokenizer:
         if len(self.mark) != 1:
             raise ValueError(f"{self.MARK!r} is not one token of {path}")
         alone = [self.MARK, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
+        if not all(any(_SPECIAL[b] for b in a.encode()) for a in alone):
+            raise ValueError(f"a special string of {path} could arise from small letters")
         self.alone = re.compile("|".join(map(re.escape, alone)))
         self.cache = TwoGenerationCache(CACHE_ENTRIES)
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _lookup(self, chunks: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _lookup(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
         joined = []
-        for c in chunks:
-            if self.alone.search(c):
-                out[c] = self._encode(c).tobytes()
+        for c in missing:
+            text = c.decode()
+            if self.alone.search(text):
+                out[c] = self._encode(text).tobytes()
             else:
-                joined.append(c)
+                joined.append(text)
         for lo in range(0, len(joined), 5_000):
             part = joined[lo:lo + 5_000]
             ids = self._encode(f" {self.MARK} ".join(part))
             raw, start = ids.tobytes(), 0
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
             for c, end in zip(part, ends, strict=True):
-                out[c] = raw[4 * start:4 * end]
+                out[c.encode()] = raw[4 * start:4 * end]
                 start = end + 1
         return out
 
-    def ids(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(_STOP.sub(r" \1", text))
-        cache = self.cache.young
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        now = self._lookup(self.cache.missing(chunks))
-        cache.update((c, b) for c, b in now.items() if len(c) <= CACHE_CHUNK_CHARS)
-        out = b"".join([now[c] if c in now else cache[c] for c in chunks])
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in one array, and where each row's ids begin (one more at the end)."""
+        found, row = chunks(data, offsets)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        now = self._lookup(self.cache.missing(distinct))
+        young = self.cache.young
+        parts = [now[c] if c in now else young[c] for c in distinct]
+        young.update((c, b) for c, b in now.items() if len(c) <= CACHE_CHUNK_CHARS)
         self.cache.renew()
-        return out
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<u4")))
+        taken = lists.take(coded.indices)
+        first = np.searchsorted(row, np.arange(len(offsets)))            # chunks before each row
+        at = taken.offsets.to_numpy()
+        return taken.values.to_numpy(), at[first] if len(at) else np.zeros(len(offsets), np.int64)
+
+    def ids(self, text: str) -> bytes:
+        """Ids of one text as little-endian 32-bit bytes."""
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return self.rows(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -121,17 +169,19 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, eos: int) -> DataFrame
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(path)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py()
-                ids = (tok.ids(text) if text else b"") + tail
-                n = len(ids) // 4
-                doc, deal = batch.column(0)[row].as_py(), batch.column(2)[row].as_py()
-                for start in range(0, n, capacity):
-                    piece = ids[4 * start:4 * (start + capacity)]
-                    for col, v in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n, deal), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+            for part, data, offsets in slices(batch, limit=SLICE):
+                flat, at = tok.rows(data, offsets)
+                cols: list[list] = [[] for _ in range(6)]
+                for doc, deal, lo, hi in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    n = hi - lo + 1                                       # with eos
+                    for start in range(0, n, capacity):
+                        size = min(capacity, n - start)
+                        crc = zlib.crc32(flat[lo + start:min(lo + start + size, hi)])
+                        if start + size == n:
+                            crc = zlib.crc32(tail, crc)
+                        for col, v in zip(cols, (doc, start, size, crc, n, deal), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id()).alias("deal"))
