@@ -11,6 +11,7 @@ here drops them too, except where a null is explicitly counted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,27 +76,86 @@ def distinct_count_with_null(df: DataFrame, column: str) -> DataFrame:
                    + F.max(F.col(column).isNull().cast("int"))).alias("distinct_values"))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+CELLS_PER_UNIT = 256             # first histogram: cells of 1 / 256 in the logarithm of a value
+SPLITS = 4096                    # further histograms: parts of each cell still of interest
+EXACT_ROWS = 200_000             # cells with this many rows in all are read value by value
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear interpolation), max.
 
-    Quartiles: rows per distinct value, cumulated in value order over range partitions
-    (``running_total``); the values at the six ranks around the quartiles are picked from
-    there, so no task or aggregate holds all distinct values."""
+    The quartiles' ranks are found by ``values_at``: counts per cell of a histogram, never a
+    sort or a written table. These counts run when the query is built, the rest with it."""
     x = F.col(column).cast("double")
     stats = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                    F.min(x).alias("min"), F.max(x).alias("max"))
-    values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cumulated = materialize(running_total(values, [F.col("v").asc()], "n", "upto"), "value-counts")
-    rows = cumulated.select(F.max("upto")).scalar()
-    picked, parts = [], []
-    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        at = (rows - 1) * F.lit(q)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picked.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{name}_{side}"))
-        parts.append((name, at - F.floor(at)))
-    ranks = cumulated.agg(*picked).select(F.struct(*[f"{n}_{s}" for n, _ in parts for s in ("lo", "hi")]).alias("r")).scalar()
-    out = [(ranks[f"{n}_lo"] + (ranks[f"{n}_hi"] - ranks[f"{n}_lo"]) * part).alias(n) for n, part in parts]
-    return stats.select("count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", *out, "max")
+    found = values_at(df.select(x.alias("v")), list(QUARTILES.values()))
+    quartiles = [F.lit(v).cast("double").alias(name) for name, v in zip(QUARTILES, found, strict=True)]
+    return stats.select("count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", *quartiles, "max")
+
+
+def values_at(values: DataFrame, shares: Sequence[float]) -> list[float | None]:
+    """The values of column ``v`` (nulls aside, NaN last) at these shares of the ranks,
+    interpolated linearly; None without values.
+
+    Selection by refining histograms. The first pass counts rows in cells of a fixed grid that
+    grows with the logarithm of a value, so outliers don't empty it; each cell also has its
+    least and largest value. A rank's cell follows from the counts. A cell of one value is
+    done; cells with up to ``EXACT_ROWS`` rows in all are read by one count per value; larger
+    ones are split into ``SPLITS`` parts between their least and largest value and counted
+    again. Two passes up to that many rows in the cells, three for thousands of times as many.
+    A pass brings to the driver one row per occupied cell, a bounded number."""
+    v = F.col("v")
+    rows = values.where(v.isNotNull())
+    grid = (F.when(F.isnan(v), F.lit(1 << 40)).when(v == float("inf"), F.lit(1 << 39)).when(v == float("-inf"), F.lit(-(1 << 39)))
+             .otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_UNIT)))
+    facts = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    cells = sorted((tuple(r) for r in rows.groupBy(grid.alias("cell")).agg(*facts).collect()), key=lambda r: r[0])
+    total = sum(n for _, n, _, _ in cells)
+    if not total:
+        return [None for _ in shares]
+    places = [share * (total - 1) for share in shares]
+    ranks = sorted({int(p) for p in places} | {-int(-p // 1) for p in places})
+    found: dict[int, float] = {}
+    parts, before = [(n, lo, hi) for _, n, lo, hi in cells], 0
+    wanted = _locate(parts, before, ranks, found)
+    while wanted:
+        inside = [F.col("v").between(lo, hi) for lo, hi, _, _ in wanted]
+        near = rows.where(reduce(lambda a, b: a | b, inside))
+        which = reduce(lambda c, i: c.when(inside[i], i), range(1, len(inside)), F.when(inside[0], 0))
+        if sum(n for _, _, n, _ in wanted) <= EXACT_ROWS:
+            part = v
+        else:
+            lo, width = ([F.lit(w) for w in side] for side in ([w[0] for w in wanted], [w[1] - w[0] for w in wanted]))
+            place = [F.least(F.floor((v - lo[i]) / width[i] * SPLITS), F.lit(SPLITS - 1)).cast("double") for i in range(len(wanted))]
+            part = reduce(lambda c, i: c.when(inside[i], place[i]), range(1, len(inside)), F.when(inside[0], place[0]))
+        counted = near.groupBy(which.alias("w"), part.alias("p")).agg(*facts).collect()
+        again = []
+        for i, (_, _, _, start) in enumerate(wanted):
+            own = sorted(((r["p"], r["n"], r["lo"], r["hi"]) for r in counted if r["w"] == i), key=lambda r: r[0])
+            again += _locate([r[1:] for r in own], start, ranks, found)
+        wanted = again
+    out = []
+    for p in places:
+        lo, hi = found[int(p)], found[-int(-p // 1)]
+        out.append(lo + (hi - lo) * (p - int(p)))
+    return out
+
+
+def _locate(parts: Sequence[tuple[int, float, float]], before: int, ranks: Sequence[int], found: dict[int, float]) -> list[tuple]:
+    """Ranks in ordered parts (rows, least, largest) that ``before`` rows precede: those in a
+    part of one value go to ``found``; of other parts that hold one, (least, largest, rows,
+    rows before)."""
+    out = []
+    for n, lo, hi in parts:
+        here = [r for r in ranks if r not in found and before <= r < before + n]
+        if here and (lo == hi or lo != lo):
+            found.update((r, lo) for r in here)
+        elif here:
+            out.append((lo, hi, n, before))
+        before += n
+    return out
 
 
 def running_total(df: DataFrame, order: Sequence[Column], value: str, alias: str) -> DataFrame:

@@ -3,13 +3,20 @@
 The compound score follows the rule-based method of Hutto & Gilbert, "VADER: A
 Parsimonious Rule-based Model for Sentiment Analysis of Social Media Text" (ICWSM 2014).
 Two *input tables* drive it: the valence word list ``(token, valence)``, which the source
-project downloads at run time and does not ship, and the modifiers ``(token, kind, step)``
-(kind ``negation`` or ``booster``), by default the published lists below.
+project downloads at run time and does not ship, the modifiers ``(token, kind, step)``
+(kind ``negation`` or ``booster``) and the phrases ``(phrase, kind, value)`` (kind ``idiom``,
+``booster`` or ``neutral``), both by default the published lists below.
 
 Tokens are split at white space; outer ASCII punctuation is stripped unless two characters
 or fewer would be left (so ``:)`` stays a token). Every script is kept.
 
+Phrases come first: from left to right the longest phrase that starts at a token becomes one
+token (phrases don't overlap). An idiom is then a word with its own valence, "kind of" a
+booster, and "without doubt" a word that negates nothing. Distances count a phrase as one.
+
 Rules, in the published order, for each lexicon word:
+  * "no" before it (directly, at two tokens, or at three with "or" / "nor" between) turns its
+    valence by the negative scalar; a "no" directly before a lexicon word has no valence;
   * a word in capitals, in a text that also has others, gains a fixed step;
   * for each of the three tokens before it that is not itself a lexicon word: a booster
     adds its step away from zero (damped by distance; more if it is in capitals in a mixed
@@ -19,14 +26,16 @@ Rules, in the published order, for each lexicon word:
   * contrast: with "but" in the text, words before it weigh half, words after it 1.5;
   * "!" (up to four) and "?" (more than one) push the sum away from zero;
   * normalisation ``s / sqrt(s^2 + alpha)``, clipped to [-1, 1].
-Not implemented: idioms and modifiers of several words ("kind of", "just enough"), emoji
-descriptions, and "no" as a modifier. Numeric equality with the original library cannot be
-checked here (it is not installed).
-
-Plan: every document's tokens are exploded with their three predecessors (from the token
-array inside the row: no window, no self-join) and joined to the lexicon; only the hits, a
-few per text, look their predecessors up. Which side is broadcast is left to the planner,
-by size. Sums are pre-aggregated map-side and meet the per-document counts by key.
+An emoji scores where the lexicon lists it as a token. Numeric equality with the original
+library cannot be checked here (it is not installed).
+
+Plan: a Bloom filter of the vocabulary (``BloomFilter``, a few kilobytes in the plan) is
+tested inside the row, so only tokens that can score are exploded, with their neighbours
+(from the token array inside the row: no window, no self-join); these meet the lexicon, and
+only the hits look their neighbours up. Phrases are a trie over token hashes, one table row
+an edge: rows leave a text only where its first two tokens pass the phrases' filter, and walk
+the trie edge by edge. Which side is broadcast is left to the planner, by size. Sums are
+pre-aggregated map-side and meet the per-document counts by key.
 """
 
 from __future__ import annotations
@@ -72,10 +81,20 @@ BOOSTERS_DOWN = (
     "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat", "sorta",
     "sortof", "sort-of",
 )
+# Idioms and their valence, boosters of several words, phrases with a negation that negate
+# nothing.
+IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5,
+          "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9, "cut the mustard": 2.0, "hand to mouth": -2.0}
+BOOSTER_PHRASES = ("kind of", "sort of", "just enough")
+NEUTRAL_PHRASES = ("without doubt", "without a doubt")
+# Words between a "no" three tokens before and the word that it negates.
+NO_WORD, NO_LINKS = "no", ("or", "nor")
 # ---------------------------------------------------------------------------
 
+MAX_FILTER_BITS = 1 << 20        # a filter has 16 bits a word, up to this many in all
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MODIFIERS = "token string, kind string, step double"
+PHRASES = "phrase string, kind string, value double"
 
 
 def default_modifiers(spark: SparkSession) -> DataFrame:
@@ -85,6 +104,90 @@ def default_modifiers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, MODIFIERS)
 
 
+def default_phrases(spark: SparkSession) -> DataFrame:
+    """The published phrases as a ``(phrase, kind, value)`` table."""
+    rows = ([(t, "idiom", v) for t, v in IDIOMS.items()] + [(t, "booster", -BOOSTER_STEP) for t in BOOSTER_PHRASES]
+            + [(t, "neutral", None) for t in NEUTRAL_PHRASES])
+    return spark.createDataFrame(rows, PHRASES)
+
+
+class BloomFilter:
+    """Two bits per key of a table, as an array literal: ``test(hash)`` is true for every key
+    and for few others. Only bit positions are collected, at most ``MAX_FILTER_BITS``."""
+
+    def __init__(self, keys: DataFrame, column: str, size: int | None = None):
+        n = keys.count() if size is None else size
+        bits = 64
+        while bits < min(16 * n, MAX_FILTER_BITS):
+            bits *= 2
+        self.mask = bits - 1
+        words = [0] * (bits // 64)
+        places = keys.select(F.explode(F.array(*self._places(F.col(column)))).alias("p")).distinct()
+        for (p,) in places.collect():
+            words[p >> 6] |= 1 << (p & 63)
+        signed = (w - (1 << 64) if w >> 63 else w for w in words)
+        self.words = F.expr("array(" + ", ".join("(-9223372036854775807L - 1L)" if w == -(1 << 63) else f"{w}L" for w in signed) + ")")
+
+    def _places(self, h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(self.mask)) for k in (0, 32)]
+
+    def test(self, h: Column) -> Column:
+        one = lambda p: F.call_function("shiftright", F.get(self.words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+        a, b = self._places(h)
+        return one(a) & one(b)
+
+
+def phrase_trie(phrases: DataFrame) -> tuple[DataFrame, int]:
+    """Edges ``(parent, token, child, ends)`` over hashes of the phrases' token prefixes, and
+    the most tokens of a phrase; ``ends`` where a phrase ends at the child. Phrases of one
+    word are for the lexicon and the modifiers."""
+    toks = F.filter(F.split(F.lower("phrase"), "\\s+"), lambda t: t != "")
+    p = phrases.select(toks.alias("t")).where(F.size("t") > 1).distinct()
+    at = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.struct(
+        F.xxhash64(F.slice("t", 1, i - 1)).alias("parent"), F.element_at("t", i).alias("token"),
+        F.xxhash64(F.slice("t", 1, i)).alias("child"), (i == F.size("t")).alias("ends"), i.alias("depth")))
+    edges = p.select(F.explode(at).alias("e")).select("e.*").groupBy("parent", "token", "child", "depth").agg(F.max("ends").alias("ends"))
+    return edges, p.agg(F.coalesce(F.max(F.size("t")), F.lit(0))).first()[0]
+
+
+def merge_phrases(d: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
+    """``_raw`` and ``_toks`` with every phrase as one token: at each place the longest phrase,
+    from left to right, without overlap."""
+    edges, longest = phrase_trie(phrases)
+    if longest < 2:
+        return d
+    edges = materialize(edges, "phrase-trie")
+    starts = BloomFilter(edges.where("depth = 2"), "child")
+    toks = F.col("_toks")
+    pair = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(1))), lambda i: (i < F.size(toks)) & starts.test(
+        F.xxhash64(F.slice(toks, i, 2))))
+    walk = d.select(F.col(key).alias("_k"), F.explode(pair).alias("_at"), toks.alias("_all")).select(
+        "_k", "_at", F.slice("_all", F.col("_at"), longest).alias("_w"))
+    found = None
+    for depth in range(2, longest + 1):
+        step = edges.where(F.col("depth") == depth).select(F.col("child").alias("_child"), F.col("ends").alias("_ends"))
+        walk = walk.where(F.size("_w") >= depth).join(step, F.xxhash64(F.slice("_w", 1, depth)) == F.col("_child")).drop("_child")
+        here = walk.where("_ends").select("_k", "_at", F.lit(depth).alias("_n"))
+        found = here if found is None else found.unionByName(here)
+        walk = walk.drop("_ends")
+    found = found.groupBy("_k", "_at").agg(F.max("_n").alias("_n")).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_m"))
+    none = F.array().cast("array<struct<_at:int,_n:int>>")
+    free = lambda kept, m: (F.size(kept) == 0) | (F.element_at(kept, -1)["_at"] + F.element_at(kept, -1)["_n"] <= m["_at"])
+    chosen = F.aggregate("_m", none, lambda kept, m: F.when((F.size(kept) == 0) | free(kept, m), F.concat(kept, F.array(m))).otherwise(kept))
+    found = found.select("_k", chosen.alias("_m"))
+
+    def merged(c: str) -> Column:
+        def at(i: Column) -> Column:
+            own = F.filter("_m", lambda m: (m["_at"] <= i) & (i < m["_at"] + m["_n"]))
+            return F.when(F.size(own) == 0, F.array(F.get(F.col(c), i - 1))).when(
+                F.get(own, F.lit(0))["_at"] == i, F.array(F.array_join(F.slice(F.col(c), i, F.get(own, F.lit(0))["_n"]), " "))).otherwise(
+                F.array().cast("array<string>"))
+        return F.when(F.col("_m").isNull(), F.col(c)).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.size(c)), at)))
+
+    return (d.join(found, F.col(key) == F.col("_k"), "left").withColumns({"_raw": merged("_raw"), "_toks": merged("_toks")})
+             .drop("_k", "_m"))
+
+
 def raw_tokens(text: Column) -> Column:
     """Tokens as written: white-space runs apart, outer punctuation stripped unless two
     characters or fewer would be left."""
@@ -110,8 +213,7 @@ def vocabulary(lexicon: DataFrame, modifiers: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _documents(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Key, punctuation counts, contrast position (1-based, 0 absent), whether capitals
-    and other words mix, and the tokens as written (``_raw``) and lower-cased (``_toks``)."""
+    """Key, punctuation counts, whether capitals and other words mix, and the tokens as written (``_raw``) and lower-cased (``_toks``)."""
     text = F.col(text_col)
     d = docs.select(
         F.col(key), text.isNull().alias("_null"),
@@ -121,8 +223,7 @@ def _documents(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     raw = F.col("_raw")
     d = d.select("*", F.transform(raw, lambda t: F.lower(t)).alias("_toks"),
                  F.size(F.filter(raw, is_caps)).alias("_ncaps"))
-    return d.withColumn("_but", F.array_position("_toks", CONTRAST_WORD)) \
-            .withColumn("_mixed", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw))).drop("_ncaps")
+    return d.withColumn("_mixed", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw))).drop("_ncaps")
 
 
 def is_caps(t: Column) -> Column:
@@ -151,30 +252,47 @@ def _scored(hits: DataFrame) -> DataFrame:
     rules.append(F.struct(F.lit(0.0).alias("b"), F.when(F.coalesce(least, F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)).alias("f")))
     i, b = F.col("_i") + 1, F.col("_but")
     weight = F.when(b == 0, F.lit(1.0)).when(i < b, F.lit(BUT_BEFORE)).when(i > b, F.lit(BUT_AFTER)).otherwise(F.lit(1.0))
-    start = F.col("_v") + F.when(F.col("_cap") & mixed, F.signum("_v") * CAPS_STEP).otherwise(F.lit(0.0))
+    no = lambda k: F.coalesce(F.col(f"_p{k}") == NO_WORD, F.lit(False))
+    turned = no(1) | no(2) | (no(3) & F.coalesce(F.col("_p1").isin(*NO_LINKS), F.lit(False)))
+    silent = (F.col("_toks") == NO_WORD) & F.coalesce(F.col("_lex_next"), F.lit(False))
+    own = F.when(turned, F.col("_v") * NEGATION_SCALAR).when(silent, F.lit(0.0)).otherwise(F.col("_v"))
+    start = own + F.when(F.col("_cap") & mixed, F.signum(own) * CAPS_STEP).otherwise(F.lit(0.0))
     score = F.aggregate(F.array(*rules), start, lambda s, r: (s + F.when(s < 0, -r["b"]).otherwise(r["b"])) * r["f"])
     return hits.withColumn("_s", score * weight)
 
 
 def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame,
-                    modifiers: DataFrame | None = None) -> DataFrame:
+                    modifiers: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """``key, compound`` for every row of ``docs`` (``key`` must identify a text):
     polarity in [-1, 1], 0 when no lexicon word occurs, null for a null text."""
-    lex, words = vocabulary(lexicon, modifiers if modifiers is not None else default_modifiers(docs.sparkSession))
-    d = _documents(docs, key, text_col)
-    n = F.size("_raw")
-    tokens = d
-    # Predecessor k of every token: the token array shifted right by k, zipped and exploded once.
-    for k in (1, 2, 3):
-        pad = F.array(*[F.lit(None).cast("string")] * k)
-        tokens = tokens.withColumn(f"_r{k}", F.slice(F.concat(pad, F.col("_raw")), 1, n))
-    tokens = tokens.select(key, "_but", "_mixed", F.posexplode(F.arrays_zip("_raw", "_toks", "_r1", "_r2", "_r3")).alias("_i", "_w"))
-    hits = (tokens.select(key, "_but", "_mixed", "_i", "_w.*").join(lex, F.col("_toks") == F.col("_t")).drop("_t")
+    spark = docs.sparkSession
+    phrases = phrases if phrases is not None else default_phrases(spark)
+    modifiers = modifiers if modifiers is not None else default_modifiers(spark)
+    several = phrases.where(F.col("phrase").isNotNull()).select(F.array_join(F.filter(F.split(F.lower("phrase"), "\\s+"), lambda t: t != ""), " ").alias("token"),
+                                                                 "kind", F.col("value").cast("double").alias("value"))
+    lexicon = lexicon.select("token", F.col("valence").cast("double").alias("valence")).unionByName(
+        several.where("kind = 'idiom'").select("token", F.col("value").alias("valence")))
+    modifiers = modifiers.select("token", "kind", F.col("step").cast("double").alias("step")).unionByName(
+        several.where("kind = 'booster'").select("token", "kind", F.col("value").alias("step")))
+    lex, words = vocabulary(lexicon, modifiers)
+    possible = BloomFilter(lex.select(F.xxhash64("_t").alias("h")), "h")
+    d = merge_phrases(_documents(docs, key, text_col), key, phrases)
+    d = d.withColumn("_but", F.array_position("_toks", CONTRAST_WORD))
+    # Only tokens that the filter lets pass leave the row, with their neighbours.
+    toks, raw = F.col("_toks"), F.col("_raw")
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(toks), F.lit(1)) - 1), lambda i: (i < F.size(toks)) & possible.test(F.xxhash64(F.get(toks, i))))
+    before = lambda i, k: F.when(i >= k, F.get(raw, F.greatest(i - k, F.lit(0))))
+    hit = F.transform(at, lambda i: F.struct(i.alias("_i"), F.get(toks, i).alias("_toks"), F.get(raw, i).alias("_raw"), F.get(toks, i + 1).alias("_next"),
+                                             *[before(i, k).alias(f"_r{k}") for k in (1, 2, 3)]))
+    tokens = d.select(key, "_but", "_mixed", F.explode(hit).alias("_w"))
+    hits = (tokens.select(key, "_but", "_mixed", "_w.*").join(lex, F.col("_toks") == F.col("_t")).drop("_t")
                   .withColumn("_cap", is_caps(F.col("_raw"))))
     for k in (1, 2, 3):
         hits = hits.withColumn(f"_p{k}", F.lower(f"_r{k}")).withColumn(f"_cap{k}", is_caps(F.col(f"_r{k}")))
         own = words.select(*[F.col(c).alias(f"{c}{k}") for c in ("_t", "_lex", "_neg", "_step")])
         hits = hits.join(own, F.col(f"_p{k}") == F.col(f"_t{k}"), "left")
+    following = words.where("_lex").select(F.col("_t").alias("_t_next"), F.col("_lex").alias("_lex_next"))
+    hits = hits.join(following, F.col("_next") == F.col("_t_next"), "left")
     sums = _scored(hits).groupBy(F.col(key).alias("_k")).agg(F.sum("_s").alias("_sum"))
     j = d.select(key, "_null", "_bangs", "_quests").join(sums, F.col(key) == F.col("_k"), "left")
     tot, bangs, quests = F.coalesce("_sum", F.lit(0.0)), F.col("_bangs"), F.col("_quests")
@@ -195,14 +313,14 @@ def sentiment_class(score: Column) -> Column:
 
 
 def score_texts(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
-                modifiers: DataFrame | None = None) -> DataFrame:
+                modifiers: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """``key, compound, sentiment`` for a table whose ``key`` identifies each text."""
-    scores = compound_scores(df, key, text_col, lexicon, modifiers)
+    scores = compound_scores(df, key, text_col, lexicon, modifiers, phrases)
     return scores.withColumn("sentiment", sentiment_class(F.col("compound")))
 
 
 def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "sentiment",
-                  modifiers: DataFrame | None = None) -> DataFrame:
+                  modifiers: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """Replace the text column by a sentiment class, for a table without a text key
     (e.g. reviews).
 
@@ -217,7 +335,7 @@ def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "
     # (key, text) pairs are distinct exactly when texts are; grouping on both keeps the
     # de-duplication a hash aggregate.
     texts = keyed.where(F.col(text_col).isNotNull()).select("_rk", text_col).distinct()
-    scores = materialize(compound_scores(texts, "_rk", text_col, lexicon, modifiers), "text-scores")
+    scores = materialize(compound_scores(texts, "_rk", text_col, lexicon, modifiers, phrases), "text-scores")
     return (keyed.drop(text_col).join(scores, "_rk", "left")
                  .withColumn(out, sentiment_class(F.col("compound")))
                  .drop("_rk", "compound"))

@@ -31,7 +31,10 @@ ITEM = "small ring 0"
 # list would barely match; these frequent words stand in.
 DEMO_LEXICON = [("that", 1.9), ("for", 0.8), ("was", -1.5), ("and", -0.4),
                 ("good", 1.9), ("bad", -2.5), ("great", 3.1), ("not", 0.0),
-                ("like", 1.5), (":)", 2.0), ("très", 0.7)]
+                ("like", 1.5), (":)", 2.0), ("très", 0.7), ("no", -1.2)]
+# Demo phrases, made of the same words: idioms, a booster, a neutral one; some overlap.
+DEMO_PHRASES = [("for that", "idiom", 1.1), ("that was", "booster", 0.293), ("for the was", "idiom", -0.9), ("and that", "neutral", None),
+                ("that and", "idiom", -1.3), ("but great", "idiom", 2.4)]
 
 
 class Bound:
@@ -61,6 +64,9 @@ class Bound:
     @cached_property
     def lexicon(self):
         return self.spark.createDataFrame(DEMO_LEXICON, schemas.LEXICON)
+    @cached_property
+    def phrases(self):
+        return self.spark.createDataFrame(DEMO_PHRASES, sentiment.PHRASES)
 
 
 def _joined(c: str) -> F.Column:
@@ -308,7 +314,7 @@ def build_reviews_pre(spark, d):
 def derive_reviews(spark, d):
     b = Bound(spark, d)
     pre = T.explode_reviews(T.build_user_reviews(B.review_lines(spark, d)))
-    return T.derive_reviews(pre, b.lexicon)
+    return T.derive_reviews(pre, b.lexicon, b.phrases)
 
 
 # =========================================================================== joins
@@ -470,14 +476,14 @@ def top20_items_count(spark, d):
 @query
 def sentiment_compound(spark, d):
     b = Bound(spark, d)
-    s = sentiment.compound_scores(B.review_texts(spark, d), "doc_id", "text", b.lexicon)
+    s = sentiment.compound_scores(B.review_texts(spark, d), "doc_id", "text", b.lexicon, phrases=b.phrases)
     return s.select("doc_id", (F.round("compound", 6) + F.lit(0.0)).alias("compound"))   # -0.0 -> 0.0
 
 
 @query
 def sentiment_class(spark, d):
     b = Bound(spark, d)
-    return sentiment.score_texts(B.review_texts(spark, d), b.lexicon).select("doc_id", "sentiment")
+    return sentiment.score_texts(B.review_texts(spark, d), b.lexicon, phrases=b.phrases).select("doc_id", "sentiment")
 
 
 # =========================================================================== recommender

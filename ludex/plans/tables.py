@@ -103,7 +103,7 @@ def explode_reviews(nested: DataFrame) -> DataFrame:
     return flat.withColumn("review_year", F.year("review_date"))
 
 
-def derive_reviews(pre: DataFrame, lexicon: DataFrame) -> DataFrame:
+def derive_reviews(pre: DataFrame, lexicon: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """Reviews with a sentiment class (0/1/2) from the review text (null text -> 1);
     text and URL dropped."""
-    return sentiment.classify_rows(pre, "review", lexicon).drop("user_url")
+    return sentiment.classify_rows(pre, "review", lexicon, phrases=phrases).drop("user_url")

@@ -178,7 +178,22 @@ _DOWN = (
     "almost barely hardly kinda kindof kind-of less little marginally occasionally partly "
     "scarcely slightly somewhat sorta sortof sort-of").split()
 _LEXICON = {"that": 1.9, "for": 0.8, "was": -1.5, "and": -0.4, "good": 1.9, "bad": -2.5, "great": 3.1, "not": 0.0,
-            "like": 1.5, ":)": 2.0, "très": 0.7}
+            "like": 1.5, ":)": 2.0, "très": 0.7, "no": -1.2, "for that": 1.1, "for the was": -0.9, "that and": -1.3, "but great": 2.4}
+_UP = _UP + ["that was"]
+# Phrases, longest first where they start alike; each becomes one token, from left to right.
+_PHRASES = ["for the was", "for that", "that was", "and that", "that and", "but great"]
+
+
+def _merged(tokens: str) -> str:
+    """The token list with phrases as one token: tokens are wrapped in two separators, and what
+    stands between the matches of one pattern is put together with the joined matches."""
+    a, b = "\x1f", "\x1e"
+    pattern = f"{a}(?:{'|'.join(p.replace(' ', b + a) for p in _PHRASES)}){b}"
+    joined = f"('{a}' || array_to_string({tokens}, '{b}{a}') || '{b}')"
+    found = f"regexp_extract_all({joined}, '{pattern}', 0, 'i')"
+    rest = f"string_split_regex({joined}, '(?i){pattern}')"
+    return (f"list_filter(string_split(array_to_string(list_transform(range(1, len({rest}) + 1), lambda k: {rest}[k] || "
+            f"coalesce('{a}' || replace(trim({found}[k], '{a}{b}'), '{b}{a}', ' ') || '{b}', '')), ''), '{b}'), lambda t: t <> '')")
 
 
 def _list(words) -> str:
@@ -209,19 +224,22 @@ def _sentiment_ctes(src: str) -> str:
     marks = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
     return f"""
 lex(token, valence) AS (VALUES {lex}),
-raw AS (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''),
-               lambda t: CASE WHEN length(trim(t, {marks})) <= 2 THEN t ELSE trim(t, {marks}) END) AS rt FROM {src}),
+raw0 AS (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''),
+               lambda t: CASE WHEN length(trim(t, {marks})) <= 2 THEN t ELSE trim(t, {marks}) END) AS r0 FROM {src}),
+raw AS (SELECT doc_id, text, r0, list_transform({_merged('r0')}, lambda t: trim(t, '\x1f')) AS rt FROM raw0),
 docs AS (SELECT doc_id, text, rt, list_transform(rt, lambda t: lower(t)) AS toks,
-                len(list_filter(rt, lambda t: {_is_caps('t')})) AS ncaps FROM raw),
+                len(list_filter(r0, lambda t: {_is_caps('t')})) AS ncaps, len(r0) AS n0 FROM raw),
 tok AS (
-  SELECT doc_id, i, toks[i] AS w, rt[i] AS r, (ncaps > 0 AND ncaps < len(rt)) AS mixed,
+  SELECT doc_id, i, toks[i] AS w, rt[i] AS r, toks[i + 1] AS nx, (ncaps > 0 AND ncaps < n0) AS mixed,
          CASE WHEN i > 1 THEN rt[i - 1] END AS r1, CASE WHEN i > 2 THEN rt[i - 2] END AS r2, CASE WHEN i > 3 THEN rt[i - 3] END AS r3,
          COALESCE(list_position(toks, 'but'), 0) AS bp
-  FROM (SELECT doc_id, toks, rt, ncaps, unnest(range(1, len(toks) + 1)) AS i FROM docs) z
+  FROM (SELECT doc_id, toks, rt, ncaps, n0, unnest(range(1, len(toks) + 1)) AS i FROM docs) z
 ),
-s0 AS (SELECT tok.*, lower(r1) AS p1, lower(r2) AS p2, lower(r3) AS p3,
-              valence + CASE WHEN {_is_caps('r')} AND mixed THEN sign(valence) * 0.733::DOUBLE ELSE 0.0::DOUBLE END AS s
-       FROM tok JOIN lex ON w = token),
+s0 AS (SELECT * EXCLUDE (valence), valence + CASE WHEN {_is_caps('r')} AND mixed THEN sign(valence) * 0.733::DOUBLE ELSE 0.0::DOUBLE END AS s
+       FROM (SELECT * EXCLUDE (valence), CASE WHEN coalesce(p1 = 'no', false) OR coalesce(p2 = 'no', false)
+                      OR (coalesce(p3 = 'no', false) AND p1 IN ('or', 'nor')) THEN valence * -0.74::DOUBLE
+                    WHEN w = 'no' AND nx IN {_list(_LEXICON)} THEN 0.0::DOUBLE ELSE valence END AS valence
+             FROM (SELECT tok.*, valence, lower(r1) AS p1, lower(r2) AS p2, lower(r3) AS p3 FROM tok JOIN lex ON w = token))),
 {_modified(1)},
 {_modified(2)},
 {_modified(3)},

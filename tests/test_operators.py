@@ -1,6 +1,7 @@
 """Profiling, recommender, sentiment and ingest operators on inline rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,28 @@ def test_cosine_matches_dense_embeddings(spark):
     assert sims[("0", "1")] == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("exact_rows", [200_000, 40])
+def test_values_at_equal_the_sorted_list(spark, monkeypatch, exact_rows):
+    """With few rows read value by value, the cells are split again and again."""
+    monkeypatch.setattr(profile, "EXACT_ROWS", exact_rows)
+    monkeypatch.setattr(profile, "SPLITS", 8 if exact_rows < 100 else 4096)
+    rng = random.Random(4)
+    sets = {"spread": [rng.uniform(-1e6, 1e6) for _ in range(3000)], "outliers": [rng.gauss(5, 1) for _ in range(2000)] + [1e300, -1e300, 1e-300],
+            "ties": [rng.choice([1.5, 2.5, 2.5, 9.0]) for _ in range(999)], "close": [1.0 + i * 2.0 ** -50 for i in range(700)], "one": [7.0],
+            "special": [float("inf"), float("-inf"), 0.0, -0.0, 5.0]}
+    shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    for values in sets.values():
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+        ordered, want = sorted(values), []
+        for s in shares:
+            at = s * (len(values) - 1)
+            lo, hi = ordered[math.floor(at)], ordered[math.ceil(at)]
+            want.append(lo + (hi - lo) * (at - math.floor(at)))
+        assert all(a == b or (a != a and b != b) for a, b in zip(profile.values_at(df, shares), want, strict=True))
+    assert profile.values_at(df.where("false"), [0.5]) == [None]
+    assert math.isnan(profile.values_at(spark.createDataFrame([(1.0,), (float("nan"),)], "v double"), [1.0])[0])
+
+
 def compounds(spark, texts, lexrows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     lex = spark.createDataFrame(lexrows, schemas.LEXICON)
@@ -152,6 +175,53 @@ def test_sentiment_modifiers_are_an_input_table(spark):
     assert got[1] < 0 and got[2] == pytest.approx(2.9 / math.sqrt(2.9 ** 2 + 15))
 
 
+def unit(s):
+    return pytest.approx(s / math.sqrt(s * s + 15))
+
+
+def test_sentiment_phrases_and_no(spark):
+    L = [("good", 1.9), ("great", 3.1), ("fun", 2.3), ("no", -1.2), ("kiss", 1.8), ("death", -2.9), ("enough", 0.5)]
+    texts = ["kind of good", "SORT OF good", "no fun", "no great fun", "without doubt great", "without a doubt great", "without great",
+             "kiss of death", "a kiss of life", "no", "no or nor great", "good kind of fun", "just enough fun", "Yeah right!", "kind of", "of good"]
+    got = dict(zip(texts, compounds(spark, texts, L), strict=True))
+    assert got["kind of good"] == unit(1.9 - 0.293) and 0 < got["kind of good"] < got["of good"]
+    assert got["SORT OF good"] == unit(1.9 - 0.293 + 0.733)            # the phrase in capitals, the text mixed
+    assert got["no fun"] == unit(-0.74 * 2.3) and got["no great fun"] == unit(-0.74 * (3.1 + 2.3))
+    assert got["without doubt great"] == got["without a doubt great"] == unit(3.1) and got["without great"] < 0
+    assert got["kiss of death"] == unit(-1.5) and got["a kiss of life"] == unit(1.8)
+    assert got["no"] == unit(-1.2) and got["no or nor great"] == unit(-1.2 - 0.74 * -0.74 * 3.1)
+    assert got["good kind of fun"] == unit(1.9 + 2.3 - 0.293) and got["just enough fun"] == unit(2.3 - 0.293)
+    assert got["Yeah right!"] == unit(-2.0 - 0.292) and got["kind of"] == 0.0
+
+
+def test_phrases_longest_first_without_overlap(spark):
+    phrases = spark.createDataFrame([("a b", "idiom", 1.0), ("a b c", "idiom", 2.0), ("b c", "idiom", 4.0), ("c d", "idiom", 8.0), ("c d e f", "idiom", 16.0)],
+                                    sentiment.PHRASES)
+    texts = ["a b c d", "a b x", "b c d", "c d e", "x c d e f", "a a b", "A B c", "", None, "a", "a b c a b b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    lex = spark.createDataFrame([("zz", 1.0)], schemas.LEXICON)
+    got = [r.compound for r in sentiment.compound_scores(df, "i", "text", lex, phrases=phrases).orderBy("i").collect()]
+    sums = [2.0, 1.0, 4.0, 8.0, 16.0, 1.0, 2.0, 0.0, None, 0.0, 2.0 + 1.0 + 4.0]
+    for g, want in zip(got, sums, strict=True):
+        assert g is None if want is None else g == pytest.approx(want / math.sqrt(want * want + 15))
+
+
+def test_bloom_filter_lets_every_key_pass(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    passes = sentiment.BloomFilter(keys, "h")
+    assert keys.where(passes.test(F.col("h"))).count() == 3000
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("h"))
+    assert others.where(passes.test(F.col("h"))).count() < 800
+
+
+def test_only_possible_hits_leave_the_text(spark):
+    """The filter stands in the projection that explodes the tokens."""
+    df = spark.createDataFrame([(1, "a good game")], "i int, text string")
+    plan = sentiment.compound_scores(df, "i", "text", spark.createDataFrame([("good", 1.9)], schemas.LEXICON))._jdf.queryExecution().optimizedPlan().toString()
+    explode = next(line for line in plan.splitlines() if "Generate explode" in line and "_next" in line)
+    assert "filter(" in explode and "shiftright" in explode
+
+
 def test_classify_rows_scores_each_text_once(spark):
     rows = [("u1", "good"), ("u2", "good"), ("u3", "bad"), ("u4", None)]
     df = spark.createDataFrame(rows, "user_id string, review string")
