@@ -15,8 +15,8 @@ either has a term; 0 where they share no level. Equal fingerprints have likeness
 
 On Spark, all of it column expressions and DataFrame operators. Document frequencies are one
 aggregation over all texts. The lexicon has at most ``RAREST`` times a document's mean
-number of distinct terms, whatever the number of documents; the planner broadcasts it by its
-measured size or joins by shuffle. For "the next document", rows are dealt to buckets of
+number of distinct terms, whatever the number of documents; it is counted, broadcast up to
+``MAX_BROADCAST`` terms, and joined by shuffle beyond. For "the next document", rows are dealt to buckets of
 consecutive ids (at most ``MAX_BUCKETS`` cut points, read once), each with a copy of the
 following bucket's first row, so one shuffle of the texts serves the neighbour, the
 fingerprints (grouped by the same bucket) and the comparison with the neighbour's.
@@ -41,6 +41,7 @@ SUBSETS = 32
 SAMPLE = 128
 BUCKET_ROWS = 1000
 MAX_BUCKETS = 10_000
+MAX_BROADCAST = 2_000_000        # lexicon terms (under 200 MB) up to which the lexicon is broadcast
 # A code is in level l if it sorts before this: a share of 4 ** -l of all hex strings.
 LEVEL_BOUNDS = ("g", "4", "1", "04", "01", "004", "001", "0004", "0001")
 EMPTY_SLOT = "...."
@@ -155,6 +156,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_next) of every document, as the query's contract has it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = materialize(lexicon(docs), "lexicon")
+    words = F.broadcast(words) if words.count() <= MAX_BROADCAST else words
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
     rows = _bucketed(docs).select("bucket", "ghost", "doc_id", "text", F.row_number().over(order).alias("place"),
                                   F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"), F.length("text").alias("n_chars"))
