@@ -23,10 +23,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ludex.llm.text import LOWER, WHITESPACE, mix, prefix_hash, slices, span_hash, word_spans
 from ludex.session import ship_package
@@ -221,37 +221,41 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return bytes(found[0]) if found else None
 
 
-def scorer(model: bytes | None):
-    """Scalar pandas UDF text -> score; without a model every score is 1.0."""
-    shared = model
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fm = FactorisationMachine.load(shared) if shared else None
-        for texts in parts:
-            if fm is None:
-                yield pd.Series(np.ones(len(texts)))
-                continue
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-            out = [fm.score(*features(data, offsets)) for _, data, offsets in slices(batch)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    return score
+def _scores(model: bytes | None, batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Row slices of a batch, bounded by their text bytes, with their scores (1.0 without a
+    model)."""
+    fm = FactorisationMachine.load(model) if model else None
+    for part, data, offsets in slices(batch, text):
+        yield part, fm.score(*features(data, offsets)) if fm else np.ones(part.num_rows)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                     max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     ship_package(docs.sparkSession)
-    score = scorer(train(docs, labels, max_rows))
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
-                      score(F.col("text").cast("string")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = train(docs, labels, max_rows)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _scores(model, batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["doc_id", "held_out", "score"])
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
               max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns. Rows pass through
+    the scoring function in slices bounded by bytes, so no batch of whole rows waits for its
+    scores."""
     ship_package(docs.sparkSession)
-    score = scorer(train(docs, labels, max_rows))
-    return docs.where(score(F.col("text").cast("string")) >= threshold)
+    model = train(docs, labels, max_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _scores(model, batch, "text"):
+                yield part.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
