@@ -111,7 +111,7 @@ def quality(docs: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame) -> DataFrame:
     """The per-document digest, without texts."""
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                "n_bad_lines", "lost_words", "base_failed", "kept")
+                                "base_failed", "kept", "n_bad_lines", "lost_words")
 
 
 # The same in DuckDB SQL, stated on its own.

@@ -223,8 +223,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write every page, then read every record back."""
-    return read_records(write_archives(pages, **options), payloads=False)
+    """Write every page, then read every record back (digests first, then where it lies)."""
+    found = read_records(write_archives(pages, **options), payloads=False)
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return found.select(*first, *[c for c in found.columns if c not in first])
 
 
 __all__ = ["write_archives", "read_records", "round_trip", "build_record", "parse_record", "coalesce_ranges"]
