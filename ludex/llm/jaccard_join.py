@@ -3,23 +3,35 @@
 A document's set: its distinct 5-word shingles (ASCII lower case; fewer words: the whole
 sequence as one). Documents link at a Jaccard similarity of ``PERCENT`` / 100 or more.
 
-Prefixes. Tokens have one global order: estimated frequency, then hash. The estimate comes
-from a fixed-size sketch of all documents' shingles. If two sets are similar enough, their
-prefixes of ``n - ceil(t n) + l`` tokens share at least ``l``. Each document picks the ``l``
-with the least estimated cost (entries its prefix meets, and the candidates that can meet
-it ``l`` times, each to be verified); a pair is verified only if it shares the smaller
-``l`` of the two. Any order and any ``l`` give the same links.
-
-No group is expanded into pairs. Equal sets are one class. In rounds (one at least), every
-document is verified against one leader (the member of its prefix tokens' groups it shares most with),
+Prefixes. Tokens have one global order: level, then hash. A first pass counts, exactly, how
+many documents hold a token among their least hashes; tokens held often get the level of that
+count (in ``CELLS`` cells by hash, each with its highest level), all others level 0, so what
+many documents share comes last. If two sets are similar enough, their prefixes of
+``n - ceil(t n) + l`` tokens share at least ``l``. Each document picks the ``l`` with the
+least estimated cost (entries its prefix meets, and the candidates that can meet it ``l``
+times, each to be verified); a pair is verified only if it shares the smaller ``l`` of the
+two. Any order and any ``l`` give the same links.
+
+A pair must also share as many prefix tokens as its overlap needs beyond the rest: of the set
+whose prefix ends first, all prefix tokens that match lie in the other's prefix, so sizes n and
+m need ``t / (1 + t) (n + m)`` less the tokens behind that prefix (``least_shared``). With rare
+tokens in front this leaves few pairs that are not similar.
+
+No group is expanded into pairs. Equal sets are one class. In ``ROUNDS`` rounds every document
+is verified against one leader (the member of its prefix tokens' groups it shares most with),
 and verified links merge components; groups within one component are then done. What is
-left, pairs of different components, is joined completely: rows outside a token's largest
-component against the token's rows. A link between documents that are already connected
-adds nothing to a component and need not be verified.
+left, pairs of different components, is joined completely, against blocks: up to ``BLOCK``
+documents of one component and of nearly equal set sizes are a block, whose prefix tokens are those of its members, and a
+document that shares enough of them is compared with the whole block in one task, from the
+texts (``linked_in_blocks``). A block with many documents to compare is repeated, so that no
+task compares more than ``PROBES``. A link between documents that are already connected adds
+nothing to a component and need not be verified.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; rows that
 share a doc_id are one document (any row's link is its link); rows without doc_id get
-component null; an empty table gives no rows; other columns are not read.
+component null; very long texts are hashed whole, in a slice of their own; an empty table
+gives no rows. Other columns are not read by the join; ``keep_one`` returns them as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +49,15 @@ from ludex.session import materialize, ship_package
 
 WIDTH = 5
 PERCENT = 80
-SKETCH = 1 << 16
+CELLS = 1 << 20             # cells of the level table: one byte each, whatever the input
+OFTEN = 16                  # documents that hold a token before it has a level
 MAX_MATCH = 8               # largest l tried by the cost model
 VERIFY_COST = 0.05          # cost of verifying, per token of the set, in prefix entries
-CHANCE = 0.25               # holders that a token of usual frequency has by chance
-ROUNDS = 6                  # most rounds of leader links
-FRUITFUL = 0.05             # share of a round's pairs that must link for another round
-ENOUGH = 4                  # complete join once its rows are this many a prefix entry
+CHANCE = 0.25               # holders that a token without level has by chance
+ROUNDS = 3                  # rounds of leader links
+BLOCK = 256                 # documents of a component compared at once
+SIZE_BAND = 0.03            # members of a block have sizes within this logarithm
+PROBES = 2048               # documents that one task compares with a block
 
 _U = np.uint64
 
@@ -60,25 +74,24 @@ def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[
         yield part, [np.unique(v) for v in np.split(values[order], cut)]
 
 
-def sketch_levels(docs: DataFrame) -> np.ndarray:
-    """Per sketch cell the level of its likely hot tokens: 0 for the usual count, else the
-    bits of the excess over it. A fixed number of cells, whatever the input."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH, dtype=np.int64)
+def token_levels(docs: DataFrame) -> np.ndarray:
+    """Per cell the level of its tokens: the bits of the highest count among them, 0 below
+    ``OFTEN``. Counted are the documents that hold a token among their ``n - ceil(t n) + 1``
+    least hashes; every token that prefixes could meet often is among these often."""
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in document_sets(batch):
                 if sets:
-                    cells += np.bincount((np.concatenate(sets) % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
+                    tokens, n = np.unique(np.concatenate([s[:len(s) + 1 - -(-PERCENT * len(s) // 100)] for s in sets]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = np.zeros(SKETCH)
-    for r in rows:                                        # at most SKETCH rows
-        cells[r.cell] = r.n
-    usual = np.median(cells)
-    excess = np.maximum(0, cells - usual - 4 * np.sqrt(usual + 1))
-    return np.ceil(np.log2(excess + 1)).astype(np.uint8)
+    counts = docs.select("text").mapInArrow(least, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    rows = counts.groupBy(cell.alias("cell")).agg(F.max("n").alias("n")).collect()          # at most CELLS rows
+    levels = np.zeros(CELLS, dtype=np.uint8)
+    for r in rows:
+        levels[r.cell] = min(63, int(r.n).bit_length())
+    return levels
 
 
 def choose_prefix(tokens: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
@@ -114,7 +127,7 @@ def prefix_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                         need.append(0)
                         prefix.append(None)
                         continue
-                    level = level_of[(s % _U(SKETCH)).astype(np.int64)]
+                    level = level_of[(s % _U(CELLS)).astype(np.int64)]
                     tokens = (level.astype(np.uint64) << _U(58)) | (s >> _U(6))
                     tokens.sort()
                     weight = 2.0 ** (tokens >> _U(58)).astype(float) - 1 + CHANCE
@@ -128,7 +141,7 @@ def prefix_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough, by their whole texts.
+    """The pairs (a, b) of documents (one pair per a) whose sets are similar enough, by their whole texts.
     Only texts of documents in a pair are shuffled where the list of these is small enough
     to be broadcast (by its size). Inputs are plain scans, so a hot side can be split."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -161,11 +174,19 @@ def _may_link(n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
+def least_shared(n, n_need, m, m_need):
+    """Least number of prefix tokens that sets of sizes ``n`` and ``m`` share if they are
+    similar enough and their prefixes were chosen for ``n_need`` and ``m_need`` tokens."""
+    behind = lambda size, need: F.ceil(size * PERCENT / 100) - need
+    overlap = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    return F.greatest(F.least(n_need, m_need), overlap - F.greatest(behind(n, n_need), behind(m, m_need)))
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(prefix_table(docs, sketch_levels(docs)), "prefixes")
+    sets = materialize(prefix_table(docs, token_levels(docs)), "prefixes")
     real = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # Equal sets: one class, represented by its smallest document.
     classes = (real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -175,35 +196,23 @@ def join_components(docs: DataFrame) -> DataFrame:
                              .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "class-links")
     reps = real.join(classes, ["h1", "h2", "n_shingles"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
     reps = reps.select("doc_id", "n_shingles", "need", "prefix")
-    entries = reps.select("doc_id", F.explode("prefix").alias("token"))
-    n_entries = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    shared = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared-tokens")
-    entries = materialize(entries.join(shared, "token"), "shared-entries")
-    entries = materialize(entries.join(reps.drop("prefix"), "doc_id"), "entries")
-    links = member
-    state = entries.withColumn("comp", F.col("doc_id"))
-    components, fruitful = None, True
+    shared = materialize(reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+                             .where("n > 1").select("token"), "shared-tokens")
+    entries = reps.select("doc_id", "n_shingles", "need", F.explode("prefix").alias("token"))
+    entries = materialize(entries.join(shared, "token"), "entries")
+    links, components = member, None
     for turn in range(ROUNDS + 1):
-        # Tokens whose rows lie in more than one component, with the largest of these.
-        sizes = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_tokens = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"),
-                                                 F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_tokens = materialize(open_tokens.select("token", F.col("top.comp").alias("top"), "all",
-                                                     (F.col("all") - F.col("top.n")).alias("outside")), "open-tokens")
-        cost = open_tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside") * F.col("all")).alias("pairs")).first()
-        if not cost.n:
-            break
-        rows = state.join(open_tokens, "token")
-        if turn == ROUNDS or not fruitful or (turn and cost.pairs <= ENOUGH * n_entries):
-            links = links.unionByName(verified(complete_pairs(rows), docs))
-            components = connected_components(links)
+        state = entries.withColumn("comp", F.col("doc_id")) if components is None else _with_component(entries, components)
+        state = materialize(state, "entries-by-component")
+        # Tokens whose rows lie in more than one component.
+        open_tokens = (state.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+                            .where("least <> most").select("token"))
+        rows = materialize(state.join(open_tokens, "token"), "open-rows")
+        if rows.isEmpty():
             break
-        tried = leader_pairs(rows, turn)
-        found = materialize(verified(tried, docs), "leader-links")
-        fruitful = found.count() >= FRUITFUL * tried.count()
-        links = links.unionByName(found)
+        found = verified(leader_pairs(rows, turn), docs) if turn < ROUNDS else linked_in_blocks(rows, docs)
+        links = links.unionByName(materialize(found, "links"))
         components = materialize(connected_components(links), "components")
-        state = materialize(_with_component(entries, components), "entries-by-component")
     if components is None:
         components = connected_components(links)
     own = _with_component(sets.select("doc_id", "n_shingles"), materialize(components, "final-components"))
@@ -216,33 +225,93 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """At most one pair per document: itself and the leader, of another component, that it
-    shares most prefix tokens with, if these are enough. A token's leader is one of its
-    rows: the smallest document in the first round, afterwards a random one."""
+    """At most one pair per document: itself and the leader, of another component,
+    that it shares most prefix tokens with, if these are enough. A token's leader is one of
+    its rows: the smallest document in the first round, afterwards a random one."""
     by = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
     leaders = (rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "doc_id", "n_shingles", "comp", "need")).alias("l"))
                    .select("token", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("leader_n"),
                            F.col("l.comp").alias("leader_comp"), F.col("l.need").alias("leader_need")))
     leaders = materialize(leaders, "leaders")
+    enough = least_shared(F.col("n_shingles"), F.col("need"), F.col("leader_n"), F.col("leader_need"))
     near = (rows.join(leaders, "token").where((F.col("comp") != F.col("leader_comp")) & _may_link("n_shingles", "leader_n"))
-                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need", "leader_need")).alias("enough"))
+                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(enough).alias("enough"))
                 .where("shared >= enough"))
     best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("order"), "leader")).alias("m"))
     return materialize(best.select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b")), "leader-pairs")
 
 
-def complete_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share enough prefix tokens."""
-    rows = materialize(rows, "open-rows")
-    left = rows.where("comp <> top").select("token", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
-                                            F.col("need").alias("need_a"), F.col("comp").alias("comp_a"))
-    right = rows.select("token", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("need").alias("need_b"),
-                        F.col("comp").alias("comp_b"), (F.col("comp") == F.col("top")).alias("top_b"))
-    both = left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b")
-                                           & (F.col("top_b") | (F.col("a") > F.col("b"))))
-    pairs = (both.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need_a", "need_b")).alias("need")))
-    return materialize(pairs.where("shared >= need").select("a", "b"), "pairs")
+def block_probes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, block) of the blocks' members, and of the documents to compare with a block of
+    another, larger component (ties: of larger id)."""
+    members = rows.groupBy("doc_id", "comp").agg(F.min("need").alias("need"), F.min("n_shingles").alias("n_least"), F.max("n_shingles").alias("n_most"))
+    members = members.withColumn("band", F.floor(F.log(F.col("n_most")) / SIZE_BAND).cast("int"))
+    bands = materialize(members.groupBy("comp", "band").agg(F.count_distinct("doc_id").alias("n")), "component-bands")
+    sizes = materialize(bands.groupBy("comp").agg(F.sum("n").alias("size")), "component-sizes")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))
+    members = members.join(bands, ["comp", "band"]).join(sizes, "comp")
+    members = materialize(members.withColumn("block", F.xxhash64("comp", "band", part)).drop("n", "band"), "block-members")
+    blocks = members.groupBy("block").agg(F.min("need").alias("block_need"), F.min("n_least").alias("least"), F.max("n_most").alias("most"))
+    held = rows.select("token", "doc_id", "n_shingles", "need").join(members.select("doc_id", "size", "block", "comp"), "doc_id")
+    held = materialize(held, "block-rows")
+    postings = held.groupBy("token", "block").agg(F.first("comp").alias("block_comp"), F.first("size").alias("block_size")).join(blocks, "block")
+    postings = materialize(postings, "block-postings")
+    ahead = (F.col("size") < F.col("block_size")) | ((F.col("size") == F.col("block_size")) & (F.col("comp") < F.col("block_comp")))
+    # Member sizes that could link, and the fewest shared tokens over these sizes (at one end).
+    n, need = F.col("n_shingles"), F.col("need")
+    low = F.greatest(F.col("least"), F.ceil(n * PERCENT / 100))
+    high = F.least(F.col("most"), F.floor(n * 100 / PERCENT))
+    enough = F.least(*[least_shared(n, need, m, F.col("block_need")) for m in (low, high)])
+    probes = (held.drop("block").join(postings, "token").where(ahead & (low <= high))
+                  .groupBy("doc_id", "block").agg(F.count_distinct("token").alias("shared"), F.min(enough).alias("enough"))
+                  .where("shared >= enough").select("doc_id", "block"))
+    return members.select("doc_id", "block").distinct(), materialize(probes, "block-probes")
+
+
+def linked_in_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect every two components with a link between them: for each
+    document and block it is to be compared with, the smallest member it links with, if any."""
+    members, probes = block_probes(rows)
+    copies = materialize(probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("copies")), "block-copies")
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    inside = members.join(copies, "block").select("doc_id", "block", copy.alias("copy"), F.lit(0).alias("kind"))
+    outside = probes.join(copies, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"))
+    places = materialize(inside.unionByName(outside), "block-places")
+    ids = materialize(places.select("doc_id").distinct(), "documents-in-blocks")
+    texts = materialize(docs.join(ids, "doc_id", "left_semi").distinct(), "texts-in-blocks")
+    return (places.join(texts, "doc_id").select("block", "copy", "kind", "doc_id", "text").repartition("block", "copy")
+                  .sortWithinPartitions("block", "copy", "kind").mapInArrow(_compare_blocks, "a long, b long"))
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, copy, kind, doc_id, text), sorted: a block's members, then what to compare
+    with them. Held are the members' sets, as one sorted token list with owners."""
+    held, docs, sets, tokens = None, [], [], None
+    for batch in batches:
+        for part, found in document_sets(batch):
+            a, b = [], []
+            keys = list(zip(*(part.column(i).to_pylist() for i in range(4)), strict=True))
+            for (block, copy, kind, doc), own in zip(keys, found, strict=True):
+                if (block, copy) != held:
+                    held, docs, sets, tokens = (block, copy), [], [], None
+                if kind == 0:
+                    docs.append(doc)
+                    sets.append(own)
+                    continue
+                if tokens is None:
+                    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    tokens = np.concatenate(sets) if sets else np.zeros(0, _U)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, owner, size = tokens[order], owner[order], np.array([len(s) for s in sets])
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                near = np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both))
+                if len(near):
+                    a.append(doc)
+                    b.append(min(docs[i] for i in near))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -263,16 +263,50 @@ def test_jaccard_components_match_brute_force(spark):
     assert collections.Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
-@pytest.mark.parametrize(("rounds", "enough"), [(0, 0), (2, 0)])
-def test_jaccard_plans_agree(spark, monkeypatch, rounds, enough):
-    """Only the complete join, or leader rounds first: the same components."""
+@pytest.mark.parametrize(("rounds", "block", "often"), [(0, 256, 16), (1, 2, 2), (3, 3, 2)])
+def test_jaccard_plans_agree(spark, monkeypatch, rounds, block, often):
+    """Only the comparison in blocks, or leader rounds first; small blocks, few probes a task,
+    levels for tokens held twice: the same components."""
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard_join, "ENOUGH", enough)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PROBES", 2)
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
     rows = [r for r in jaccard_rows() if r[0] is not None]
     got = jaccard_join.join_components(X.frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_jaccard_one_large_group_near_the_limit(spark):
+    """Copies with edits around the limit: many pairs are just under it, none is lost."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(160)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 4, 5, 6])):
+            words[at] = f"x{rng.randint(0, 10 ** 9)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    got = jaccard_join.join_components(X.frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 200), min_size=1), st.sets(st.integers(0, 200), min_size=1), st.integers(1, 8), st.integers(1, 8))
+def test_similar_sets_share_the_least_number(a, b, la, lb):
+    """``least_shared``, in plain numbers, against sets in token order."""
+    both = len(a & b)
+    if 100 * both < 80 * (len(a) + len(b) - both):
+        return
+    ends = []
+    for s, l in ((a, la), (b, lb)):
+        need = -(-80 * len(s) // 100)
+        ends.append((sorted(s), min(l, need), need))
+    (x, lx, nx), (y, ly, ny) = ends
+    px, py = set(x[:len(x) - nx + lx]), set(y[:len(y) - ny + ly])
+    overlap = -(-80 * (len(x) + len(y)) // 180)
+    assert len(px & py) >= max(min(lx, ly), overlap - max(nx - lx, ny - ly))
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.join_components(X.frame(spark, [])).count() == 0
 
@@ -316,8 +350,10 @@ def test_jaccard_any_row_of_a_document_may_link(spark):
     for d in range(0, 80, 2):
         needs = [2, 9] if d % 4 else [9, 2]
         for token in (10 * d, 10 * d + 1):
-            rows += [(token, d, 50, n, d, -1) for n in needs] + [(token, d + 1, 50, 9, d + 1, -1)]
-    frame = spark.createDataFrame(rows, "token long, doc_id long, n_shingles long, need int, comp long, top long").coalesce(1)
+            rows += [(token, d, 50, n, d) for n in needs] + [(token, d + 1, 40, 9, d + 1)]
+    frame = spark.createDataFrame(rows, "token long, doc_id long, n_shingles long, need int, comp long").coalesce(1)
     want = {(d + 1, d) for d in range(0, 80, 2)}
-    assert {(r.a, r.b) for r in jaccard_join.complete_pairs(frame).collect()} == want
+    members, probes = jaccard_join.block_probes(frame)
+    block = {r.block: r.doc_id for r in members.collect()}
+    assert {(max(r.doc_id, block[r.block]), min(r.doc_id, block[r.block])) for r in probes.collect()} == want
     assert {(max(r.a, r.b), min(r.a, r.b)) for r in jaccard_join.leader_pairs(frame, 0).collect()} == want
