@@ -7,17 +7,21 @@ earlier in the same one) is removed. Strings never cross documents.
    least hash in it (ties: the rightmost). Equal strings have equal anchors, so all copies
    of a string meet under one anchor; the strings of one anchor position start in one run.
    Anchors met once in the corpus hold no repeat and stop there.
-2. Copies. Runs of equal bytes (64-bit hash of the run besides that of its anchor) are
-   pre-aggregated: the earliest stands for them, and all strings of the others repeat.
+2. Copies. Of equal whole texts all but the first lose everything (a text of 100 bytes or
+   more is covered by its strings). Runs of equal bytes (64-bit hash of the run besides that
+   of its anchor) are pre-aggregated: the earliest stands for them, and all strings of the
+   others repeat. Equality rests on 128 bits of hash there: for n runs two different ones are
+   taken as equal with a probability under n^2 / 2^129 (10^-15 for 10^12 runs).
 3. Shards. The bytes of the runs that stand, where an anchor has different ones, go to the
    shard of their anchor; an anchor with more than ``SHARD_RUNS`` runs is split over several
    shards. A shard's suffixes are
    sorted by Larsson-Sadakane refinement (only groups still tied are sorted again, by the
    ranks one prefix length further on), common prefixes of neighbours come from Kasai's
    algorithm, and of the suffixes that share 100 bytes all but the earliest are repeats.
-4. Merging. Of a split anchor each shard sends its earliest strings. They are dealt by
-   string, not by anchor, and sorted: all owners of a string but the earliest are repeats,
-   found by comparing each row with the one before, so no task gathers an anchor's strings.
+4. Merging. Of a split anchor each shard sends its earliest strings, sorted. They are dealt in
+   ranges of (anchor, string), so no task gathers an anchor's strings; inside a range the
+   shards' sorted runs are merged one after the other by binary search (``Merge``), bytes
+   compared, and of each string's owners all but the earliest are repeats.
 5. The repeats' byte intervals are united per document, and the rest is hashed.
 
 Edge cases: null text is empty; a text under 100 bytes loses nothing; rows that repeat
@@ -352,32 +356,31 @@ class Merge:
         return out
 
 
-def dealt_by_string(found: DataFrame) -> DataFrame:
-    """Equal strings of an anchor side by side, earliest owner first; different ones are
-    dealt anywhere, whatever their anchor. Intervals spread by document."""
-    home = F.when(F.col("fp").isNull(), F.xxhash64("id", "lo")).otherwise(F.xxhash64("fp", "string"))
-    return (found.withColumn("home", home).repartition("home").sortWithinPartitions("fp", "string", "id", "dup", "lo")
-                 .select("id", "dup", "lo", "hi", "fp", "shard", "shards", "string"))
+def dealt_by_string(strings: DataFrame) -> DataFrame:
+    """Ranges of (anchor, string), and inside them each shard's strings in order. A string has
+    at most one row per shard, so a hot string is not many rows."""
+    return (strings.repartitionByRange("fp", "string").sortWithinPartitions("fp", "shard", "string")
+                   .select("id", "dup", "lo", "hi", "fp", "shard", "shards", "string"))
 
 
 def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals pass; strings, sorted by (fp, string, owner), give the interval of every
-    owner but the first. Only the last string is held from batch to batch."""
-    fp, string = None, None
+    """Strings sorted by (fp, shard, string): per anchor the shards are merged by binary
+    search; every owner of a string but the earliest gives an interval. Held are one range's
+    strings of one anchor, each once."""
+    fp = shard = None
+    merged, run = Merge(), []
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        fps, strings = batch.column(4), batch.column(7)
-        again = np.zeros(n, dtype=bool)
-        again[0] = fp is not None and fps[0].as_py() == fp and strings[0].as_py() == string
-        same = pc.and_(pc.equal(fps.slice(1), fps.slice(0, n - 1)), pc.equal(strings.slice(1), strings.slice(0, n - 1)))
-        again[1:] = pc.fill_null(same, False).to_numpy(zero_copy_only=False)
-        fp, string = fps[n - 1].as_py(), strings[n - 1].as_py()
-        out = batch.filter(pc.or_(pc.is_null(fps), pa.array(again)))
-        if out.num_rows:
-            none = [pa.nulls(out.num_rows, f.type) for f in list(_INTERVALS)[4:]]
-            yield pa.RecordBatch.from_arrays([*out.columns[:4], *none], schema=_INTERVALS)
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (r[4], r[5]) != (fp, shard):
+                if run:
+                    yield _intervals(merged.add(run))
+                run = []
+                if r[4] != fp:
+                    merged = Merge()
+                fp, shard = r[4], r[5]
+            run.append(r)
+    if run:
+        yield _intervals(merged.add(run))
 
 
 # ------------------------------------------------------------------------- the job
@@ -397,21 +400,23 @@ def keyed(docs: DataFrame) -> DataFrame:
              .select("doc_id", "id", F.coalesce("dup", F.lit(0)).alias("dup"), "text"))
 
 
-def usual_runs(anchors: DataFrame, common: DataFrame) -> DataFrame:
+def usual_runs(rows: DataFrame) -> DataFrame:
     """Runs of anchors with at most ``SHARD_RUNS`` of them, ``copy`` where an equal run
     stands earlier. Runs that stand alone under their anchor go: they repeat nothing."""
     same = Window.partitionBy("fp", "run").orderBy("id", "dup", "first")
     all_runs = Window.partitionBy("fp")
-    return (anchors.join(common, "fp").withColumn("at", F.dense_rank().over(same))
+    return (rows.withColumn("at", F.dense_rank().over(same))
                    .withColumn("alone", F.min("run").over(all_runs) == F.max("run").over(all_runs))
                    .where("at > 1 or not alone")
                    .select("id", "dup", "fp", F.lit(0).alias("shard"), "shards", "first", "size", (F.col("at") > 1).alias("copy")))
 
 
-def hot_runs(anchors: DataFrame, common: DataFrame) -> DataFrame:
-    """The same for anchors with more runs: counted with map-side combine, and joined back
-    from written tables, so that a hot anchor or run can be split."""
-    rows = materialize(anchors.join(common, "fp"), "hot-runs")
+def hot_runs(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """The same for anchors with more runs, from a written table, without the runs of later
+    whole copies: counted with map-side combine, and joined back, so that a hot anchor or run
+    can be split."""
+    rows = rows.join(later, ["id", "dup"], "left_anti")
+    rows = materialize(rows, "hot-runs")
     first = rows.groupBy("fp", "run").agg(F.min(F.struct("id", "dup", "first")).alias("stands"))
     first = materialize(first, "standing-runs")
     shard = F.pmod(F.xxhash64("id", "dup", "first"), F.col("shards")).cast("int")
@@ -420,6 +425,16 @@ def hot_runs(anchors: DataFrame, common: DataFrame) -> DataFrame:
                         (F.col("stands") != F.struct("id", "dup", "first")).alias("copy")))
 
 
+def later_copies(d: DataFrame) -> DataFrame:
+    """(id, dup) of the documents whose whole text stands in an earlier document."""
+    rows = d.select("id", "dup", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).distinct()
+    rows = materialize(rows, "text-hashes")
+    first = (rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dup")).alias("first"), F.count(F.lit(1)).alias("n"))
+                 .where("n > 1").drop("n"))
+    first = materialize(first, "first-copies")
+    return materialize(rows.join(first, ["h1", "h2"]).where(F.col("first") != F.struct("id", "dup")).select("id", "dup"), "later-copies")
+
+
 def packed(d: DataFrame) -> DataFrame:
     """(id, dup, doc_id, text) with the text's UTF-8 compressed for the shuffle."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,19 +446,22 @@ def packed(d: DataFrame) -> DataFrame:
     return d.select("id", "dup", "doc_id", "text").mapInArrow(pack, "id long, dup int, doc_id long, text binary")
 
 
-def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. ``fan`` is without
-    effect: strings are merged at once, not level by level."""
+def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     ship_package(docs.sparkSession)
     d = keyed(docs)
+    later = later_copies(d)
     anchors = file_anchors(d)
     common = (anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                      .select("fp", F.ceil(F.col("n") / shard_runs).cast("int").alias("shards")))
     common = materialize(common, "common-anchors")
     most = common.agg(F.max("shards")).first()[0] or 0
-    runs = usual_runs(anchors, common.where("shards = 1"))
+    rows = anchors.join(common, "fp")
     if most > 1:
-        runs = runs.unionByName(hot_runs(anchors, common.where("shards > 1")))
+        rows = materialize(rows, "common-runs")
+        runs = usual_runs(rows.where("shards = 1")).unionByName(hot_runs(rows.where("shards > 1"), later))
+    else:
+        runs = usual_runs(rows)
     # One shuffle of the (packed) texts, and one of the runs, serve both joins below.
     texts = packed(d).repartition("id", "dup")
     wanted = (runs.groupBy("id", "dup").agg(F.collect_set(F.struct("fp", "shard", "shards", "first", "size", "copy")).alias("runs"))
@@ -473,12 +491,16 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int | None = None)
     segments = one.mapInArrow(cut, "fp long, shard int, shards int, id long, dup int, first long, bytes binary")
     found = segments.repartition("fp", "shard").sortWithinPartitions("fp", "shard").mapInArrow(solve_shards, INTERVALS)
     if most > 1:
-        found = dealt_by_string(found).mapInArrow(merge_shards, INTERVALS)
+        found = materialize(found, "solved-shards")
+        strings = dealt_by_string(found.where("fp is not null")).mapInArrow(merge_shards, INTERVALS)
+        found = found.where("fp is null").unionByName(strings)
     gone = (found.groupBy("id", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
                  .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "gone"))
     gone = gone.withColumnsRenamed({"id2": "id3", "dup2": "dup3"})
+    later = later.select(F.col("id").alias("id4"), F.col("dup").alias("dup4"), F.lit(True).alias("later"))
     last = (texts.join(wanted, (F.col("id") == F.col("id2")) & (F.col("dup") == F.col("dup2")), "left")
-                 .join(gone, (F.col("id") == F.col("id3")) & (F.col("dup") == F.col("dup3")), "left").select("doc_id", "text", "runs", "gone"))
+                 .join(gone, (F.col("id") == F.col("id3")) & (F.col("dup") == F.col("dup3")), "left")
+                 .join(later, (F.col("id") == F.col("id4")) & (F.col("dup") == F.col("dup4")), "left").select("doc_id", "text", "runs", "gone", "later"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -486,6 +508,9 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS, fan: int | None = None)
             out = []
             for i in range(batch.num_rows):
                 raw = unpack.decompress(batch.column(1)[i].as_py())
+                if batch.column(4)[i].as_py() and len(raw) >= LENGTH:      # the whole text stands earlier
+                    out.append((len(raw), len(raw), 1, hashlib.sha256().hexdigest()))
+                    continue
                 gone = [(g["lo"], g["hi"]) for g in batch.column(3)[i].as_py() or []]
                 gone += [(g["first"], g["first"] + g["size"] + LENGTH - 1) for g in batch.column(2)[i].as_py() or [] if g["copy"]]
                 kept, spans, done, removed = hashlib.sha256(), 0, 0, 0

@@ -68,7 +68,7 @@ def suffix_rows() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_runs": 2, "fan": 2}])
+@pytest.mark.parametrize("options", [{}, {"shard_runs": 2}])
 def test_suffix_dedup_matches_brute_force(spark, options):
     rows = suffix_rows()
     want = brute_suffix(rows)
@@ -82,21 +82,36 @@ def strings_of_one_anchor(n: int) -> list[tuple]:
     return [(i if k else 10_000 + i, 0, 7, 107, 5, k, 2, f"{i:0100d}".encode()) for i in range(n) for k in (0, 1)]
 
 
-def test_merging_holds_no_whole_anchor():
-    rows = sorted(strings_of_one_anchor(500), key=lambda r: (r[7], r[0]))
-    read = 0
+def test_shards_are_merged_by_binary_search(monkeypatch):
+    """The task that merges a range's strings, shard after shard; strings lie across batches."""
+    rows = sorted(strings_of_one_anchor(500), key=lambda r: (r[5], r[7]))
+    rows += [(3, 0, 7, 107, 6, 0, 2, b"a" * 100), (2, 0, 7, 107, 6, 1, 2, b"a" * 100), (4, 0, 7, 107, 6, 2, 2, b"a" * 100)]
+    merged, add = [], suffix_dedup.Merge.add
+    monkeypatch.setattr(suffix_dedup.Merge, "add", lambda self, run: merged.append(len(run)) or add(self, run))
+    found = [i for out in suffix_dedup.merge_shards(suffix_dedup._intervals(rows[k:k + 7]) for k in range(0, len(rows), 7))
+             for i in out.column(0).to_pylist()]
+    assert sorted(found) == sorted([10_000 + i for i in range(500)] + [3, 4])
+    assert merged == [500, 500, 1, 1, 1]
 
-    def batches():
-        nonlocal read
-        for k in range(0, len(rows), 7):          # equal strings also lie across batches
-            read += 1
-            yield suffix_dedup._intervals(rows[k:k + 7])
 
-    found = []
-    for out in suffix_dedup.merge_shards(batches()):
-        found += [(at, read) for at in out.column(0).to_pylist()]
-    assert [at for at, _ in found] == [10_000 + i for i in range(500)]
-    assert all(seen <= (2 * i + 1) // 7 + 1 for i, (_, seen) in enumerate(found))
+def test_the_jobs_main_path_merges_shards(spark):
+    """An anchor with runs in several shards: strings meet in the merge, not before."""
+    rng = random.Random(9)
+    passage = X.prose(rng, 40)[:140]
+    rows = [(i, X.prose(rng, 12) + passage[i % 7:] + X.prose(rng, 8), "en", "s", 0) for i in range(40)]
+    want = brute_suffix(rows)
+    plan = suffix_dedup.dedup(X.frame(spark, rows), shard_runs=3)
+    assert "merge_shards" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in plan.collect()} == {i: want[i, t] for i, t, *_ in rows}
+
+
+def test_later_whole_copies_lose_everything(spark):
+    rng = random.Random(10)
+    long, short = X.prose(rng, 60), "too short to repeat"
+    rows = [(i, long if i % 2 else short, "en", "s", 0) for i in range(30)]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(X.frame(spark, rows), shard_runs=4).collect()}
+    assert [i for i in got if got[i].n_removed] == [i for i in got if i % 2 and i > 1]
+    assert all(got[i].n_removed == got[i].n_bytes and got[i].n_spans == 1 for i in range(3, 30, 2))
 
 
 def test_strings_of_one_anchor_are_dealt_to_many_tasks(spark):
