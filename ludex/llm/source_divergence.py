@@ -45,7 +45,7 @@ SCALE = 1_000_000_000
 TOP = 50
 LEAVES = 1024
 TILE = 64
-SLICE = 8 << 20
+SLICE = 3 << 20
 
 _TERM_BYTE = np.zeros(256, dtype=bool)
 _TERM_BYTE[65:91] = _TERM_BYTE[97:123] = _TERM_BYTE[128:] = True
@@ -195,7 +195,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, leaves: int
     blocks = F.greatest(F.ceil(F.col("v") / leaves), F.lit(1)).cast("int")
     ids = kept.join(langs.select("lang", blocks.alias("blocks")), "lang").withColumn("block", F.pmod(F.xxhash64("term"), "blocks").cast("int"))
     place = Window.partitionBy("lang", "block").orderBy(F.col("lang_n").desc(), "term")
-    ids = materialize(ids.select("lang", "term", "block", (F.row_number().over(place) - 1).alias("id")), "term-ids")
+    ids = materialize(ids.repartition("lang", "block").select("lang", "term", "block", (F.row_number().over(place) - 1).alias("id")), "term-ids")
     sizes = ids.groupBy("lang", "block").agg(F.count(F.lit(1)).cast("int").alias("size"))
     cells = own.join(ids, ["lang", "term"]).groupBy("lang", "block", "source").agg(F.collect_list(F.struct("id", "n")).alias("cells"))
     rows = (groups.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
