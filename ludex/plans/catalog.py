@@ -18,6 +18,7 @@ from ludex.operators import joins, profile, recommend, sentiment
 from ludex.plans import questions as K
 from ludex.plans import tables as T
 from ludex.sources import bindings as B
+from ludex.session import scratch_path
 from ludex.sources import json_lines, literal_lines, parquet
 
 # Arguments of the single-answer questions (values present in every scale of the test data).
@@ -110,6 +111,28 @@ def ingest_literal_lines(spark, d):
                         F.col("it.playtime_forever").alias("playtime_forever")))
 
 
+@query
+def ingest_json_files(spark, d):
+    """A1: the catalogue written as JSON text files and read back strictly, unknown keys kept."""
+    g = B.games_raw(spark, d).withColumn("size", F.col("id") % 50)
+    lines = g.select(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) for c in g.columns])).alias("value"))
+    path = scratch_path(spark, "catalogue-json")
+    lines.repartition(4).write.text(path)
+    got = json_lines.ingest_with_rest(spark, path, schemas.CATALOGUE, schemas.OTHER)
+    return got.select("id", "app_name", "developer", "price", "release_date", _joined("genres"),
+                      F.get(F.map_values(schemas.OTHER), F.lit(0)).alias("size"))
+
+
+@query
+def first_item_count(spark, d):
+    """A3 + T7: library lines in text files, several per user; each user's first line decides."""
+    path = scratch_path(spark, "library-lines")
+    lines = B.library_literal_lines(spark, d, keep=("o_orderkey",))
+    lines.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    rows, _bad = literal_lines.read_literal_lines(spark, path, schemas.LIBRARY)
+    return T.first_item_count(T.split_user_items(rows)[1])
+
+
 @query
 def quarantine_literal_lines(spark, d):
     """A3: lines that do not parse, or hold a value of another type, with the field."""

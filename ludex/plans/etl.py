@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ludex import schemas
 from ludex.operators import recommend
 from ludex.plans import tables as T
-from ludex.sources import json_lines, literal_lines
+from ludex.sources import json_lines, literal_lines, text_lines
 from ludex.sources.parquet import write_table
 
 
@@ -58,7 +58,8 @@ def materialize_all(spark: SparkSession, catalogue_path: str, libraries_path: st
 
     # T6-T8 from the library lines (Python literals). The parse is written once; typed
     # rows and quarantined lines are both read from that table.
-    lib_parsed = put("libraries_parsed", literal_lines.parse_literal_lines(spark.read.text(libraries_path), schemas.LIBRARY))
+    lib_parsed = put("libraries_parsed", literal_lines.parse_literal_lines(
+        text_lines.read_numbered_lines(spark, libraries_path, T.ORDINAL), schemas.LIBRARY, ordinal=T.ORDINAL))
     lib_rows, lib_bad = literal_lines.split_parsed(lib_parsed, schemas.LIBRARY)
     put("quarantine_libraries", lib_bad)
     nested, counts = T.split_user_items(lib_rows)

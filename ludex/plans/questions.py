@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ludex.functions import clean
 from ludex.operators import joins, recommend
 from ludex.operators.profile import ranked_top
+from ludex.plans import tables
 
 
 def _typed(value, df: DataFrame, column: str):
@@ -50,9 +51,7 @@ def _user_data(user_items: DataFrame, prices: DataFrame, reviews: DataFrame,
                             "item_id", null_safe)
     spend = owned.groupBy("user_id").agg(F.coalesce(F.sum("price"), F.lit(0.0)).alias("_spend"))
     rate = reviews.groupBy("user_id").agg(F.avg(F.col("recommend").cast("double")).alias("_rate"))
-    # Several rows for one user: the source takes the first; with no ingest order here
-    # the largest count is used.
-    count = item_counts.groupBy("user_id").agg(F.max("items_count").alias("items_count"))
+    count = tables.first_item_count(item_counts)     # several lines for one user: the first counts
     j = spend.join(rate, "user_id", "full").join(count, "user_id", "full")
     return j.where(F.col("user_id").isNotNull()).select(
         "user_id",

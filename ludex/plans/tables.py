@@ -17,6 +17,9 @@ from ludex.operators import sentiment
 
 # --------------------------------------------------------------------------- catalogue
 
+ORDINAL = "line_no"             # line number of the input that a row comes from
+
+
 def build_games(raw: DataFrame) -> DataFrame:
     """Drop all-null rows, parse the release date, year (0 = unknown), rename ``id``,
     clean the price. Adds ``developer_lc`` so case-insensitive lookups push down."""
@@ -69,8 +72,16 @@ def derive_game_dev(games: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- libraries
 
 def split_user_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T6 and T7 from library lines: (``user_id, items``) and (``user_id, items_count``)."""
-    return lines.select("user_id", "items"), lines.select("user_id", "items_count")
+    """T6 and T7 from library lines: (``user_id, items``) and (``user_id, items_count``), the
+    latter with the line's ordinal where the ingest carried one."""
+    return lines.select("user_id", "items"), lines.select("user_id", "items_count", *[c for c in lines.columns if c == ORDINAL])
+
+
+def first_item_count(item_counts: DataFrame) -> DataFrame:
+    """``user_id, items_count`` once per user: the first line's count. A table without ordinals
+    has one row a user; if not, the largest count."""
+    count = F.min_by("items_count", ORDINAL) if ORDINAL in item_counts.columns else F.max("items_count")
+    return item_counts.groupBy("user_id").agg(count.alias("items_count"))
 
 
 def explode_user_items(nested: DataFrame) -> DataFrame:

@@ -149,16 +149,16 @@ def user_item_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(_item_key()).alias("items_count"))
 
 
-def library_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Nested library lines, one per order: ``user_id, user_url, items_count,
-    items: array<struct<item_id, playtime_forever>>``."""
+    items: array<struct<item_id, playtime_forever>>``, and the order's key if kept."""
     j = _order_lines(spark, sf_dir)
     item = F.struct(_item_key().alias("item_id"), _playtime_minutes().alias("playtime_forever"))
     return (j.groupBy("o_orderkey", "o_custkey")
              .agg(F.count(_item_key()).alias("items_count"), F.collect_list(item).alias("items"))
              .select(F.col("o_custkey").alias("user_id"),
                      F.concat(F.lit("profiles/"), F.col("o_custkey").cast("string")).alias("user_url"),
-                     "items_count", "items"))
+                     "items_count", "items", *keep))
 
 
 # --------------------------------------------------------------------------- reviews
@@ -233,10 +233,10 @@ def _py_int(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("None")).otherwise(c.cast("string"))
 
 
-def library_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_literal_lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The library lines rendered as Python dict literals in a ``value`` column, like
     ``{'user_id': u'899', 'items_count': 2, 'items': [{'item_id': '1616', ...}]}``."""
-    lines = library_lines(spark, sf_dir)
+    lines = library_lines(spark, sf_dir, keep)
     item_txt = F.transform("items", lambda it: F.concat(
         F.lit("{'item_id': "), _py_text(it["item_id"]),
         F.lit(", 'playtime_forever': "), _py_int(it["playtime_forever"]), F.lit("}")))
@@ -245,7 +245,7 @@ def library_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("', 'user_url': '"), F.col("user_url"),
         F.lit("', 'items_count': "), F.col("items_count").cast("string"),
         F.lit(", 'items': ["), F.array_join(item_txt, ", "), F.lit("]}"))
-    return lines.select(value.alias("value"))
+    return lines.select(value.alias("value"), *keep)
 
 
 def bad_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

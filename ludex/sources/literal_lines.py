@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructType
 
 from ludex.session import ship_package
+from ludex.sources.text_lines import read_numbered_lines
 
 _PARSED = "line string, json string, field string, error string"
 
@@ -66,9 +67,10 @@ def convert(value: object, dtype: DataType, field: str) -> object:
 
 
 def parse_literal_lines(lines: DataFrame, schema: StructType, column: str = "value",
-                        partitions: int | None = None) -> DataFrame:
+                        partitions: int | None = None, ordinal: str | None = None) -> DataFrame:
     """``line, json, field, error`` for every input line: json for a good line, the other
-    three for a bad one (field null where the line does not parse at all).
+    three for a bad one (field null where the line does not parse at all). ``ordinal`` names
+    a column of line numbers to carry along (see ``text_lines``).
 
     The parse is CPU-bound per line. Text-file scans already split the input evenly;
     lines coming out of an aggregation may sit in a few byte-sized partitions, so
@@ -88,12 +90,15 @@ def parse_literal_lines(lines: DataFrame, schema: StructType, column: str = "val
                     out.append((line, None, e.field, str(e)))
                 except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as e:
                     out.append((line, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["line", "json", "field", "error"])
+            done = pd.DataFrame(out, columns=["line", "json", "field", "error"])
+            if ordinal:
+                done[ordinal] = pdf[ordinal].to_numpy()
+            yield done
 
-    src = lines.select(F.col(column).cast("string").alias("line"))
+    src = lines.select(F.col(column).cast("string").alias("line"), *([F.col(ordinal).cast("long").alias(ordinal)] if ordinal else []))
     if partitions:
         src = src.repartition(partitions)
-    return src.mapInPandas(to_json, _PARSED)
+    return src.mapInPandas(to_json, _PARSED + (f", {ordinal} long" if ordinal else ""))
 
 
 def ingest_literal_lines(lines: DataFrame, schema: StructType, column: str = "value",
@@ -105,13 +110,14 @@ def ingest_literal_lines(lines: DataFrame, schema: StructType, column: str = "va
 
 
 def split_parsed(parsed: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """``parse_literal_lines`` output -> typed rows (JVM-side ``from_json``) and quarantine."""
-    rows = parsed.where(F.col("error").isNull()) \
-                 .select(F.from_json("json", schema).alias("_r")).select("_r.*")
-    quarantine = parsed.where(F.col("error").isNotNull()).select("line", "field", "error")
+    """``parse_literal_lines`` output -> typed rows (JVM-side ``from_json``) and quarantine,
+    both with the lines' ordinal where it was carried."""
+    carried = [c for c in parsed.columns if c not in ("line", "json", "field", "error")]
+    rows = parsed.where(F.col("error").isNull()).select(F.from_json("json", schema).alias("_r"), *carried).select("_r.*", *carried)
+    quarantine = parsed.where(F.col("error").isNotNull()).select("line", "field", "error", *carried)
     return rows, quarantine
 
 
 def read_literal_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Text files of literal lines -> ``(rows, quarantine)``."""
-    return ingest_literal_lines(spark.read.text(path), schema)
+    """Text files of literal lines -> ``(rows, quarantine)``, with ``line_no``."""
+    return split_parsed(parse_literal_lines(read_numbered_lines(spark, path), schema, ordinal="line_no"), schema)

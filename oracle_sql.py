@@ -339,6 +339,12 @@ ORACLE_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "ingest_json_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "json_flatten": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS \"props.k\" FROM events",
+    "ingest_json_files": _with(
+        "SELECT CAST(id AS VARCHAR) AS id, app_name, developer, price, release_date, array_to_string(genres, '|') AS genres, "
+        "CAST(id % 50 AS VARCHAR) AS size FROM games_raw"),
+    "first_item_count": _with(
+        "SELECT user_id, arg_min(n, k) AS items_count FROM (SELECT CAST(o_custkey AS VARCHAR) AS user_id, l_orderkey AS k, "
+        "count(*) FILTER (WHERE l_linenumber <> 7) AS n FROM ol GROUP BY o_custkey, l_orderkey) GROUP BY user_id"),
     "ingest_literal_lines": _with(
         "SELECT CAST(o_custkey AS VARCHAR) AS user_id, "
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS item_id, "

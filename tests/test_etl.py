@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ludex import schemas
 from ludex.plans import catalog as C
-from ludex.plans import etl
+from ludex.plans import etl, questions, tables
 from ludex.plans import questions as K
 from ludex.sources import bindings as B
+from ludex.sources import literal_lines, text_lines
 from tests.conftest import SF
 
 
@@ -53,3 +54,36 @@ def test_materialize_all(spark, capsys):
         main(["ask", q, arg, "--tables", out])
         lines = [l for l in capsys.readouterr().out.splitlines() if l.startswith("{")]
         assert lines, q
+
+
+def test_lines_are_numbered_as_they_stand_in_the_files(spark, tmp_path):
+    """Several files, some of several splits: dense numbers, in path and line order."""
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    cuts = [0, 10, 10, 1700, 3000]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (tmp_path / f"part-{k}.txt").write_text("".join(x + "\n" for x in lines[a:b]))
+    small = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = text_lines.read_numbered_lines(spark, str(tmp_path))
+        got = sorted((r.line_no, r.value) for r in df.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate(lines))
+
+
+def test_first_line_of_a_user_decides_the_count(spark, tmp_path):
+    rows = ["{'user_id': 'a', 'items_count': 2, 'items': []}", "{'user_id': 'b', 'items_count': 9}", "broken",
+            "{'user_id': 'a', 'items_count': 7, 'items': []}", "{'user_id': 'b', 'items_count': 1}", "{'user_id': 'c', 'items': []}"]
+    (tmp_path / "lines.txt").write_text("\n".join(rows) + "\n")
+    good, bad = literal_lines.read_literal_lines(spark, str(tmp_path), schemas.LIBRARY)
+    counts = tables.split_user_items(good)[1]
+    assert {r.user_id: r.items_count for r in tables.first_item_count(counts).collect()} == {"a": 2, "b": 9, "c": None}
+    assert [(r.line, r.line_no) for r in bad.collect()] == [("broken", 2)]
+    owned = spark.createDataFrame([("a", 1)], "user_id string, item_id long")
+    prices = spark.createDataFrame([(1, 2.5)], "item_id long, price double")
+    reviews = spark.createDataFrame([("a", True)], "user_id string, recommend boolean")
+    assert questions.user_data(owned, prices, reviews, counts, "a").first().items_count == 2
