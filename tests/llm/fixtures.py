@@ -39,8 +39,17 @@ def frame(spark, rows, schema=DOCUMENTS):
 
 
 def with_clashes(df):
-    """Extra columns named like outputs and internals of the operators."""
+    """Extra columns named like outputs and internals of the operators, and like every name
+    with two underscores that a module uses."""
+    import re
+    from pathlib import Path
+
     from pyspark.sql import functions as F
+
+    import ludex.llm
+    own = {name for path in Path(ludex.llm.__file__).parent.glob("*.py") for name in re.findall(r"\b__[a-z][a-z0-9]*\b(?!__)", path.read_text())}
+    for c in sorted(own):
+        df = df.withColumn(c, F.lit("clash"))
     for c in ("n_words", "score", "predicted", "kept", "spans", "n_tokens", "sequence_id", "offset", "component_id",
               "h", "key", "line", "grp", "deal", "start", "label", "keep", "n", "sha", "archive", "f", "words"):
         df = df.withColumn(c, F.lit("clash"))
