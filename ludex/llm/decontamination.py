@@ -10,10 +10,13 @@ value. An item whose windows are covered by consistent ones to at least ``MIN_CO
 leaked, verbatim or with other parameters.
 
 Windows with fewer than ``MIN_LITERAL`` of their words literal (five of eight, in
-proportion) match anything and are left out of the item; an item without any other window,
-or of fewer than ``MIN_WORDS`` words, is never found by ``report``. With ``exact`` (the
-pipeline's stage) such an item is found verbatim: its whole sequence of lower-cased words,
-numbers included and outer punctuation left out, stands in the document.
+proportion) match anything and are left out of the item. An item without any other window, or
+of fewer than ``MIN_WORDS`` words, is matched whole instead: all its canonical words, signs
+that stand alone included, against as many words of a document. Verbatim it may stand anywhere.
+With other values (consistent ones) it counts anywhere if ``SURE_LITERALS`` of its words are
+literal, and with ``BOUND_LITERALS`` of them where it is a sentence or line of its own, or
+several. Items of two or three words count only verbatim and as a sentence or line of their
+own; an item of one word is no template and matches nothing (``unmatched_items`` lists these).
 
 Scale: only the distinct window hashes of the benchmark meet the hashes of the documents'
 windows, from a written table whose size decides between broadcast and shuffle; slots are
@@ -21,8 +24,9 @@ read only from documents with a hit. A window repeated in many documents is one
 
 Edge cases: null or empty texts hold no window; rows that repeat a doc_id and text are
 reported once, rows that repeat only a doc_id each for its own text; a null doc_id is
-reported as null; a null item_id is an item of its own; repeated items are reported once;
-empty tables give no leak; other columns are not read.
+reported as null; a null item_id is an item of its own; repeated items are reported once; very
+long texts are taken whole; empty tables give no leak. Other columns are not read by the
+report; ``decontaminate`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ WIDTH = 8
 MIN_LITERAL = 5
 MIN_WORDS = 4
 MIN_COVERAGE = 0.5
+SURE_LITERALS = 4
+BOUND_LITERALS = 2
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 # What counts as a number, a unit, a name, and the end of a sentence.
@@ -171,47 +177,92 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
         "doc_id", "__row", "item_id", "n_matched", "n_windows", "verbatim")
 
 
-def raw_words(text: Column) -> Column:
-    """Lower-cased words without outer punctuation, nothing masked; signs that stand alone
-    are words ("12 + 7" is not "12 - 7")."""
-    words = F.transform(F.split(text, SPACE), lambda w: let(F.regexp_replace(w, EDGES, ""), lambda x: F.when(
-        x == F.lit(""), w).otherwise(F.lower(x))))
-    return F.filter(words, lambda w: w != F.lit(""))
+def whole_words(text: Column) -> Column:
+    """array<struct<t, v, s, e>>: canonical words as in ``canonical``, but a sign that stands
+    alone is a word ("12 + 7" is not "12 - 7"), and a word that opens a line is no name; s and e
+    tell whether a sentence or line starts at the word and ends with it."""
+    newline = F.lit("\n")
+    raw = F.filter(F.split(F.replace(text, newline, F.lit(" \n ")), "[\\x20\\x09\\x0B-\\x0D]+"), lambda w: w != F.lit(""))
 
+    def words(r: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(r, i), newline)
+        return F.transform(r, lambda w, i: let(F.when(i == 0, F.lit(True)).otherwise(
+            (at(F.greatest(i - 1, F.lit(0))) == newline) | at(F.greatest(i - 1, F.lit(0))).rlike(SENTENCE_END)), lambda s: let(_typed(w, s), lambda x: F.struct(
+                x["t"].alias("t"), x["v"].alias("v"), s.alias("s"), ((at(i + 1) == newline) | w.rlike(SENTENCE_END)).alias("e")))))
 
-def exact_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __row) of the documents that hold an item without a usable window verbatim.
-    Up to ``WIDTH`` first words of an item find candidates by hash, then all are compared."""
-    items = materialize(item_windows(benchmark).select(F.col("item_id").alias("__item")).distinct(),
-                        "items-with-windows")
-    rest = (benchmark.join(items, benchmark["item_id"].eqNullSafe(items["__item"]), "left_anti")
-                     .select(raw_words(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0).distinct())
+    return F.filter(let(raw, words), lambda w: w["t"] != newline)
+
+
+def _typed(raw: Column, opens: Column) -> Column:
+    return let(F.regexp_replace(raw, EDGES, ""), lambda w: let(F.lower(w), lambda x: F.when(
+        w == F.lit(""), F.struct(raw.alias("t"), F.lit(None).cast("string").alias("v"))).when(
+        x.rlike(NUMBER), F.struct(F.lit("<num>").alias("t"), x.alias("v"))).when(
+        x.rlike(UNIT), F.struct(F.lit("<unit>").alias("t"), x.alias("v"))).when(
+        w.rlike(NAME) & ~opens, F.struct(F.lit("<name>").alias("t"), x.alias("v"))).otherwise(
+        F.struct(x.alias("t"), F.lit(None).cast("string").alias("v")))))
+
+
+def _without_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item) of the items that have no usable window, as whole words."""
+    items = materialize(item_windows(benchmark).select(F.col("item_id").alias("__item")).distinct(), "items-with-windows")
+    return (benchmark.select("item_id", "text").join(items, benchmark["item_id"].eqNullSafe(items["__item"]), "left_anti")
+                     .select("item_id", whole_words(F.col("text").cast("string")).alias("item")).distinct())
+
+
+def unmatched_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words) of the items that are looked for nowhere: without a word, or of one."""
+    return _without_windows(benchmark).select("item_id", F.greatest(F.coalesce(F.size("item"), F.lit(0)), F.lit(0)).alias("n_words")).where("n_words < 2")
+
+
+def whole_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, __row, item_id, verbatim) of the documents that hold an item without a usable
+    window. Up to ``WIDTH`` first words of an item find candidates by hash, then all words and
+    the places around are compared. Without such items no document is read."""
     head = F.least(F.size("item"), F.lit(WIDTH))
-    h = F.coalesce(*[F.when(head == n, F.element_at(window_hashes(F.slice("item", 1, n), n), 1)) for n in range(1, WIDTH + 1)])
-    rest = materialize(rest.select(h.alias("h"), head.alias("width"), "item"), "exact-items")
-    widths = [r[0] for r in rest.select("width").distinct().collect()]           # at most WIDTH values
-    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), raw_words(F.col("text").cast("string")).alias("w"))
+    names = lambda w: F.transform(w, lambda x: x["t"])
+    h = F.coalesce(*[F.when(head == n, F.element_at(window_hashes(names(F.slice("item", 1, n)), n), 1)) for n in range(2, WIDTH + 1)])
+    items = materialize(_without_windows(benchmark).where(F.size("item") >= 2).select("item_id", "item", h.alias("h"), head.alias("width")), "whole-items")
+    widths = [r[0] for r in items.select("width").distinct().collect()]          # at most WIDTH values
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), F.col("text").cast("string").alias("text"))
     if not widths:
-        return d.select("doc_id", "__row").limit(0)
-    at = F.concat(*[F.transform(window_hashes(F.col("w"), n), lambda x, j: F.struct(x.alias("h"), j.alias("j"))) for n in sorted(widths)])
+        return d.where(F.lit(False)).select("doc_id", "__row", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
+                                            F.lit(True).alias("verbatim"))
+    at = let(names(whole_words(F.col("text"))), lambda w: F.concat(*[
+        F.transform(window_hashes(w, n), lambda x, j: F.struct(x.alias("h"), j.alias("j"))) for n in sorted(widths)]))
     # Hashes only over all documents; words are read again in those with a candidate.
     hits = (d.select("doc_id", "__row", F.explode(at).alias("x")).select("doc_id", "__row", "x.h", "x.j")
-             .join(rest.select("h").distinct(), "h", "left_semi").distinct())
-    hits = materialize(hits.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hit"), "h", "j"), "exact-candidates")
-    both = (d.join(hits, (d["__row"] == hits["__hit"]) & d["doc_id"].eqNullSafe(hits["__id"])).join(rest, "h")
-             .where(F.slice("w", F.col("j") + 1, F.size("item")) == F.col("item")))
-    return both.select("doc_id", "__row").distinct()
+             .join(items.select("h").distinct(), "h", "left_semi").distinct())
+    hits = materialize(hits.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hit"), "h", "j"), "whole-candidates")
+    both = (d.join(hits, (d["__row"] == hits["__hit"]) & d["doc_id"].eqNullSafe(hits["__id"])).join(items, "h")
+             .select("doc_id", "__row", "item_id", "item", F.slice(whole_words(F.col("text")), F.col("j") + 1, F.size("item")).alias("part"))
+             .where(names(F.col("part")) == names(F.col("item"))))
+    pairs = F.filter(F.transform(F.arrays_zip(F.col("item").alias("b"), F.col("part").alias("d")), lambda p: F.struct(
+        p["b"]["v"].alias("b"), p["d"]["v"].alias("d"))), lambda p: p["b"].isNotNull())
+    both = both.select("doc_id", "__row", "item_id", F.size("item").alias("n"), pairs.alias("z"),
+                       F.size(F.filter("item", lambda w: w["v"].isNull())).alias("literal"),
+                       (F.get("part", F.lit(0))["s"] & F.element_at("part", -1)["e"]).alias("alone"))
+    both = both.withColumn("same", F.forall("z", lambda p: p["b"] == p["d"]))
+    consistent = F.size(F.array_distinct("z")) == F.size(F.array_distinct(F.transform("z", lambda p: p["b"])))
+    other = consistent & ((F.col("literal") >= SURE_LITERALS) | (F.col("alone") & (F.col("literal") >= BOUND_LITERALS)))
+    found = both.where(F.when(F.col("n") < MIN_WORDS, F.col("same") & F.col("alone")).otherwise(F.col("same") | other))
+    return found.groupBy("doc_id", "__row", "item_id").agg(F.bool_or("same").alias("verbatim"))
+
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``leaks``, and the items matched whole (one window, matched)."""
+    one = F.lit(1).cast("long")
+    found = leaks(docs, benchmark, min_coverage)
+    whole = whole_leaks(docs, benchmark).select("doc_id", "__row", "item_id", one.alias("n_matched"), one.alias("n_windows"), "verbatim")
+    return found.unionByName(whole)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    return leaks(docs, benchmark, min_coverage).drop("__row")
+    return all_leaks(docs, benchmark, min_coverage).drop("__row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, exact: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The documents in which no item is leaked, with all their columns."""
-    found = leaks(docs, benchmark, min_coverage).select("doc_id", "__row")
-    if exact:
-        found = found.unionByName(exact_leaks(docs, benchmark))
+    found = all_leaks(docs, benchmark, min_coverage).select("doc_id", "__row")
     bad = found.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__bad")).distinct()
     bad = materialize(bad, "leaky-documents")
     own = F.xxhash64(docs["doc_id"], docs["text"])
@@ -250,9 +301,33 @@ bad AS (SELECT DISTINCT doc_id, k, item_id, diagonal FROM zp GROUP BY doc_id, k,
 chg AS (SELECT DISTINCT doc_id, k, item_id, diagonal FROM zp WHERE b <> v),
 ok AS (SELECT z.doc_id, z.k, z.item_id, z.i, chg.k IS NULL AS same FROM z
        LEFT JOIN bad ON bad.k = z.k AND bad.item_id IS NOT DISTINCT FROM z.item_id AND bad.diagonal = z.diagonal
-       LEFT JOIN chg ON chg.k = z.k AND chg.item_id IS NOT DISTINCT FROM z.item_id AND chg.diagonal = z.diagonal WHERE bad.k IS NULL)
+       LEFT JOIN chg ON chg.k = z.k AND chg.item_id IS NOT DISTINCT FROM z.item_id AND chg.diagonal = z.diagonal WHERE bad.k IS NULL),
+wt AS (SELECT side, k, id, unnest(r) AS raw, generate_subscripts(r, 1) AS p FROM (SELECT side, k, id,
+         list_filter(string_split_regex(replace(text, chr(10), ' ' || chr(10) || ' '), '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS r
+         FROM src WHERE text IS NOT NULL)),
+wf AS (SELECT *, coalesce(lag(raw) OVER w = chr(10) OR regexp_matches(lag(raw) OVER w, '[.!?:]["''”’)\]]*$'), true) AS s,
+              coalesce(lead(raw) OVER w, chr(10)) = chr(10) OR regexp_matches(raw, '[.!?:]["''”’)\]]*$') AS e FROM wt WINDOW w AS (PARTITION BY side, k ORDER BY p)),
+wx AS (SELECT *, lower(w) AS x FROM (SELECT *, regexp_replace(raw, '^[^\p{L}\p{N}+\-$€£%°]+|[^\p{L}\p{N}%°$€£]+$', '', 'g') AS w FROM wf WHERE raw <> chr(10))),
+wy AS (SELECT side, k, id, p, s, e, x, CASE WHEN w = '' THEN raw WHEN regexp_matches(x, '^[+\-$€£]*[0-9][0-9.,:/]*(st|nd|rd|th|%|°|°c|°f|km|cm|mm|kg|mg|ml|kmh|mph|k|m|g|s|h|x|usd|eur)?$|^(two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion)$') THEN '<num>'
+         WHEN regexp_matches(x, '^(km|cm|mm|kg|mg|ml|km/h|mph|kmh|%|\$|€|£|usd|eur|dollars?|euros?|pounds?|cents?|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|liters?|litres?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|percent)$') THEN '<unit>' WHEN regexp_matches(w, '^\p{Lu}\p{Ll}+(?:[-''’]\p{L}+)*$') AND NOT s THEN '<name>' ELSE x END AS t FROM wx),
+ww AS (SELECT side, k, id, list({'t': t, 'v': CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN x END, 's': s, 'e': e} ORDER BY p) AS l
+       FROM wy GROUP BY side, k, id),
+wi AS (SELECT DISTINCT id AS item_id, l AS item FROM ww WHERE side = 'b' AND len(l) >= 2
+       AND NOT EXISTS (SELECT 1 FROM bw WHERE bw.item_id IS NOT DISTINCT FROM ww.id)),
+wp AS (SELECT doc_id, k, item_id, item, l[j:j + len(item) - 1] AS part FROM
+         (SELECT ww.id AS doc_id, ww.k, ww.l, wi.item_id, wi.item, unnest(range(1, len(ww.l) - len(wi.item) + 2)) AS j FROM ww, wi WHERE ww.side = 'd')),
+wq AS (SELECT doc_id, k, item_id, len(item) AS n, len(list_filter(item, lambda y: y.v IS NULL)) AS literal, part[1].s AND part[-1].e AS alone,
+              list_filter(list_zip(list_transform(item, lambda y: y.v), list_transform(part, lambda y: y.v)), lambda y: y[1] IS NOT NULL) AS z
+       FROM wp WHERE list_transform(item, lambda y: y.t) = list_transform(part, lambda y: y.t)),
+wh AS (SELECT doc_id, k, item_id, bool_or(same) AS verbatim FROM
+         (SELECT *, len(list_filter(z, lambda y: y[1] <> y[2])) = 0 AS same,
+                 len(list_distinct(z)) = len(list_distinct(list_transform(z, lambda y: y[1]))) AS consistent FROM wq)
+       WHERE CASE WHEN n < 4 THEN same AND alone ELSE same OR (consistent AND (literal >= 4 OR (alone AND literal >= 2))) END
+       GROUP BY doc_id, k, item_id)
 SELECT DISTINCT * FROM (
   SELECT doc_id, ok.item_id, CAST(count(DISTINCT i) AS BIGINT) AS n_matched, any_value(n_windows) AS n_windows, bool_and(same) AS verbatim
   FROM ok JOIN bt ON bt.item_id IS NOT DISTINCT FROM ok.item_id GROUP BY doc_id, ok.k, ok.item_id)
 WHERE n_matched >= 0.5 * n_windows
+UNION ALL SELECT doc_id, item_id, 1::BIGINT AS n_matched, 1::BIGINT AS n_windows, verbatim FROM
+  (SELECT DISTINCT wh.doc_id, d.text, wh.item_id, wh.verbatim FROM wh JOIN (SELECT k, text FROM src WHERE side = 'd') d USING (k))
 """

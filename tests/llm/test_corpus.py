@@ -184,6 +184,40 @@ def test_decontamination_matches_sql_and_catches_changed_parameters(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if r[0] is not None and r[0] not in bad)
 
 
+MASKED = [(1, "What is 12 + 7?"), (2, "Convert 5 km to miles and 3 feet to inches"), (3, "12 13 14 15 16 17 18 19 20 21"), (None, "2 + 2 = 4"),
+          (4, None), (5, ""), (6, "Yes"), (7, "12"), (8, "Who wins?"), (9, "Convert 5 km to miles and 3 feet to inches"),
+          (10, "Add 4 and 4 and 9 then")]
+# (text, items found in it, verbatim or not)
+MASKED_TEXTS = [
+    ("Q: what is 12 + 7? A: 19", {1: True}), ("Q: what is 12 + 8? A: 20", {1: False}), ("What is 12 - 7?", {}), ("They ask what is 12 + 8 now", {}),
+    ("They ask what is 12 + 7 now", {1: True}), ("Convert 9 km to miles and 4 feet to inches", {2: False, 9: False}),
+    ("Now convert 5 km to miles and 3 FEET to inches.", {2: True, 9: True}), ("now convert 6 km to miles and 3 feet to inches, please", {2: False, 9: False}),
+    ("convert 6 km to miles and 3 inches to feet", {2: False, 9: False}), ("convert 6 km into miles and 3 feet to inches", {}),
+    ("11 12 13 14 15 16 17 18 19 20 21 22", {3: True}), ("12 13 14 15 16 17 18 19 20 22 21", {}), ("1 2 3 4 5 6 7 8 9 10", {}),
+    ("So 2 + 2 = 4, they say", {None: True}), ("So 2 + 3 = 5", {}), ("a line\n3 + 3 = 6\nand more", {None: False}), ("3 + 4 = 6", {}), ("yes", {}), ("12", {}),
+    ("Yes. 12. Nothing more", {}), ("Right. Who wins? We do.", {8: True}), ("We know who wins? maybe", {}), ("who wins", {8: True}),
+    ("add 5 and 5 and 2 then", {10: False}), ("add 5 and 6 and 2 then", {}), ("", {}), (None, {}), ("z " * 40_000 + "who wins", {})]
+
+
+def test_items_without_windows_are_matched_whole(spark):
+    rows = [(i, t, "en", "s", 1) for i, (t, _) in enumerate(MASKED_TEXTS)]
+    docs, items = X.with_clashes(X.frame(spark, rows)), X.frame(spark, MASKED, BENCHMARK)
+    got = decontamination.report(docs, items).toPandas()
+    found = collections.defaultdict(dict)
+    for r in got.itertuples():
+        found[r.doc_id][None if r.item_id != r.item_id else int(r.item_id)] = r.verbatim
+    assert {i: found.get(i, {}) for i in range(len(rows))} == {i: want for i, (_, want) in enumerate(MASKED_TEXTS)}
+    kept = sorted(r.doc_id for r in decontamination.decontaminate(docs, items).collect())
+    assert kept == [i for i, (_, want) in enumerate(MASKED_TEXTS) if not want]
+    small = rows[:-1]
+    got = decontamination.report(X.frame(spark, small), items).toPandas()
+    want = duck(decontamination.REPORT_SQL, documents=(small, COLS), benchmark=(MASKED, ["item_id", "text"]))
+    plain = [sorted((int(r.doc_id), -1 if r.item_id != r.item_id else int(r.item_id), int(r.n_matched), int(r.n_windows), bool(r.verbatim))
+                    for r in df.itertuples()) for df in (got, want)]
+    assert plain[0] == plain[1]
+    assert sorted((r.item_id, r.n_words) for r in decontamination.unmatched_items(items).collect()) == [(4, 0), (5, 0), (6, 1), (7, 1)]
+
+
 def test_decontamination_empty_tables(spark):
     docs = X.frame(spark, X.documents())
     none = X.frame(spark, [], BENCHMARK)
@@ -219,6 +253,40 @@ def test_line_dedup_matches_sql(spark):
     assert r.n_chars == len(r.text) and r.n_words == "clash"
 
 
+def test_a_leaf_holds_several_templates(spark):
+    """Three templates of one leaf with a varying name each, and prose in the same leaf."""
+    rng = random.Random(14)
+    tails, rows = ["on our home page", "in the monthly letter", "at the local branch"], []
+    for t, tail in enumerate(tails):
+        for i in range(24):
+            name = "Ada" if i < 5 else f"name{'abcdefghijklmnopqrstuvwxyz'[i]}"
+            rows.append((100 * t + i, f"{X.prose(rng, 30)}\nRead more about {name} {tail}", "en", "s", 1))
+    for i in range(400):
+        words = " ".join(X.prose(rng, 5).lower().replace(".", "").split()[:5])
+        rows.append((1000 + i, f"{X.prose(rng, 30)}\nRead more about {words}", "en", "s", 1))
+    got = {r.doc_id: r for r in line_templates.dedup(X.frame(spark, rows), report=True).collect()}
+    assert sum(got[i].n_dropped for i in got if i < 1000) == 72
+    assert sum(got[i].n_dropped for i in got if i >= 1000) == 0
+
+
+def test_short_documents_lose_their_recurring_lines_but_copies_stay(spark):
+    rng = random.Random(15)
+    notice = "This notice stands in very many documents here"
+    rows = [(i, f"{X.prose(rng, 30)}\n{notice}", "en", "s", 1) for i in range(25)]
+    rows += [(100, f"own words\n{notice}", "en", "s", 1), (101, f"these other four words\n{notice}", "en", "s", 1)]
+    rows += [(200 + i, f"{notice}\nonly two", "en", "s", 1) for i in range(2)]
+    got = {r.doc_id: r.text for r in line_templates.dedup(X.frame(spark, rows)).collect()}
+    assert got[100] == rows[25][1]                       # so is this one: two words are no line
+    assert got[101] == "these other four words" and notice not in got[0]
+    assert got[200] == f"{notice}\nonly two"          # the same set of lines as 201: a copy
+
+
+def test_very_long_line_and_text(spark):
+    long = " ".join(f"w{i % 977}x" for i in range(60_000))
+    rows = [(i, f"{long}\nand a short line of words", "en", "s", 1) for i in range(3)]
+    assert line_templates.dedup(X.frame(spark, rows)).where(F.length("text") > 300_000).count() == 3
+
+
 def test_line_dedup_empty_table(spark):
     assert line_templates.dedup(X.frame(spark, [])).count() == 0
 

@@ -200,15 +200,17 @@ def test_pipeline_drops_planted_notices(spark):
     assert all(got[i].text == text[i] for i in (*range(200, 204), *range(300, 306), None, 400))
 
 
-def test_pipeline_drops_verbatim_leaks_of_masked_items(spark, tmp_path):
-    """Items that hold nothing but numbers, units and a few words have no usable window."""
+def test_pipeline_drops_leaks_of_masked_items(spark, tmp_path):
+    """Items that hold nothing but numbers, units and a few words have no usable window; with
+    other values they go too, and items of one word delete nothing."""
     items = [(1, "What is 12 + 7?"), (2, "Convert 5 km to miles and 3 feet to inches"), (3, "12 13 14 15 16 17 18 19 20 21"), (None, "2 + 2 = 4"),
-             (4, None), (5, "")]
+             (4, None), (5, ""), (6, "Yes"), (7, "12")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    leaky = ["Q: what is 12 + 7? A: 19", "Now convert 5 km to miles and 3 FEET to inches.", "11 12 13 14 15 16 17 18 19 20 21 22", "So 2 + 2 = 4, they say"]
-    clean = ["Q: what is 12 + 8? A: 20", "What is 12 - 7?", "Now convert 6 km to miles and 3 feet to inches.", "12 13 14 15 16 17 18 19 20 22 21", "So 2 + 3 = 5", "", None]
+    leaky = ["Q: what is 12 + 7? A: 19", "Now convert 5 km to miles and 3 FEET to inches.", "11 12 13 14 15 16 17 18 19 20 21 22", "So 2 + 2 = 4, they say",
+             "Q: what is 12 + 8? A: 20", "Now convert 6 km to miles and 3 feet to inches."]
+    clean = ["What is 12 - 7?", "12 13 14 15 16 17 18 19 20 22 21", "So 2 + 3 = 5", "yes", "12", "Yes, it has 12 of them", "", None]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(leaky + clean)] + [(None, leaky[0], "en", "s", 1), (0, clean[0], "en", "s", 1)]
     docs = X.with_clashes(X.frame(spark, rows))
     out = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs, str(tmp_path))
     assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(0, clean[0]), *((4 + i, t or "") for i, t in enumerate(clean))])
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(0, clean[0]), *((len(leaky) + i, t or "") for i, t in enumerate(clean))])
