@@ -4,8 +4,8 @@
 2. line dedup: lines of recurring templates go from the texts, and lines that stand in a few
    (long ones) or more documents unlike each other;
 3. n-gram Jaccard join: of each group of near copies one document stays;
-4. benchmark decontamination: documents that hold a benchmark item go, items too short or too
-   masked for templates where they stand verbatim;
+4. benchmark decontamination: documents that hold a benchmark item go, verbatim or with other
+   values;
 5. packing: what is left becomes pieces of training sequences.
 
 All stages but the last return the columns of ``documents``. Nulls, empty texts, repeated
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), exact=True)
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
