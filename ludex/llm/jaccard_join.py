@@ -17,15 +17,15 @@ whose prefix ends first, all prefix tokens that match lie in the other's prefix,
 m need ``t / (1 + t) (n + m)`` less the tokens behind that prefix (``least_shared``). With rare
 tokens in front this leaves few pairs that are not similar.
 
-No group is expanded into pairs. Equal sets are one class. In ``ROUNDS`` rounds every document
-is verified against one leader (the member of its prefix tokens' groups it shares most with),
-and verified links merge components; groups within one component are then done. What is
-left, pairs of different components, is joined completely, against blocks: up to ``BLOCK``
-documents of one component and of nearly equal set sizes are a block, whose prefix tokens are those of its members, and a
-document that shares enough of them is compared with the whole block in one task, from the
-texts (``linked_in_blocks``). A block with many documents to compare is repeated, so that no
-task compares more than ``PROBES``. A link between documents that are already connected adds
-nothing to a component and need not be verified.
+No group is expanded into pairs. Equal sets are one class. First every document is verified
+against one leader (of the smallest documents of its prefix tokens' groups, the one it shares
+most with), and verified links group documents under their leaders; token groups within one of
+these groups are then done. What is left, pairs of different groups, is joined completely,
+against blocks: up to ``BLOCK`` documents of one group and of nearly equal set sizes are a
+block, whose prefix tokens are those of its members, and a document that shares enough of them
+is compared with the whole block in one task, from the texts (``linked_in_blocks``). A block
+with many documents to compare is repeated, so that no task compares more than ``PROBES``. A
+link between documents of one group adds nothing to a component and need not be verified.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; rows that
 share a doc_id are one document (any row's link is its link); rows without doc_id get
@@ -54,8 +54,7 @@ OFTEN = 16                  # documents that hold a token before it has a level
 MAX_MATCH = 8               # largest l tried by the cost model
 VERIFY_COST = 0.05          # cost of verifying, per token of the set, in prefix entries
 CHANCE = 0.25               # holders that a token without level has by chance
-ROUNDS = 3                  # rounds of leader links
-BLOCK = 256                 # documents of a component compared at once
+BLOCK = 256                 # documents of a group compared at once
 SIZE_BAND = 0.03            # members of a block have sizes within this logarithm
 PROBES = 2048               # documents that one task compares with a block
 
@@ -200,36 +199,39 @@ def join_components(docs: DataFrame) -> DataFrame:
                              .where("n > 1").select("token"), "shared-tokens")
     entries = reps.select("doc_id", "n_shingles", "need", F.explode("prefix").alias("token"))
     entries = materialize(entries.join(shared, "token"), "entries")
-    links, components = member, None
-    for turn in range(ROUNDS + 1):
-        state = entries.withColumn("comp", F.col("doc_id")) if components is None else _with_component(entries, components)
-        state = materialize(state, "entries-by-component")
-        # Tokens whose rows lie in more than one component.
-        open_tokens = (state.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-                            .where("least <> most").select("token"))
-        rows = materialize(state.join(open_tokens, "token"), "open-rows")
-        if rows.isEmpty():
-            break
-        found = verified(leader_pairs(rows, turn), docs) if turn < ROUNDS else linked_in_blocks(rows, docs)
-        links = links.unionByName(materialize(found, "links"))
-        components = materialize(connected_components(links), "components")
-    if components is None:
-        components = connected_components(links)
+    led = materialize(verified(leader_pairs(_open_rows(entries.withColumn("comp", F.col("doc_id")))), docs), "leader-links")
+    rows = _open_rows(_with_component(entries, leader_groups(led)))
+    links = member.unionByName(led).unionByName(linked_in_blocks(rows, docs))
+    components = connected_components(links)
     own = _with_component(sets.select("doc_id", "n_shingles"), materialize(components, "final-components"))
     return own.select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
 
 
+def _open_rows(state: DataFrame) -> DataFrame:
+    """The rows of tokens whose rows lie in more than one group."""
+    state = materialize(state, "entries-by-group")
+    tokens = (state.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+                   .where("least <> most").select("token"))
+    return materialize(state.join(tokens, "token"), "open-rows")
+
+
+def leader_groups(links: DataFrame) -> DataFrame:
+    """(node, component) of the documents with a verified leader: the leader's own leader, if
+    it has one, else the leader. Connected documents in any case, though not all of them."""
+    up = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    return links.join(up, "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("component"))
+
+
 def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return (rows.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
 
 
-def leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """At most one pair per document: itself and the leader, of another component,
-    that it shares most prefix tokens with, if these are enough. A token's leader is one of
-    its rows: the smallest document in the first round, afterwards a random one."""
-    by = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    leaders = (rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "doc_id", "n_shingles", "comp", "need")).alias("l"))
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """At most one pair per document: itself and the leader, of another group, that it shares
+    most prefix tokens with, if these are enough. A token's leader is the smallest document
+    that holds it."""
+    leaders = (rows.groupBy("token").agg(F.min(F.struct("doc_id", "n_shingles", "comp", "need")).alias("l"))
                    .select("token", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("leader_n"),
                            F.col("l.comp").alias("leader_comp"), F.col("l.need").alias("leader_need")))
     leaders = materialize(leaders, "leaders")
