@@ -17,15 +17,16 @@ whose prefix ends first, all prefix tokens that match lie in the other's prefix,
 m need ``t / (1 + t) (n + m)`` less the tokens behind that prefix (``least_shared``). With rare
 tokens in front this leaves few pairs that are not similar.
 
-No group is expanded into pairs. Equal sets are one class. First every document is verified
-against one leader (of the smallest documents of its prefix tokens' groups, the one it shares
-most with), and verified links group documents under their leaders; token groups within one of
-these groups are then done. What is left, pairs of different groups, is joined completely,
-against blocks: up to ``BLOCK`` documents of one group and of nearly equal set sizes are a
-block, whose prefix tokens are those of its members, and a document that shares enough of them
-is compared with the whole block in one task, from the texts (``linked_in_blocks``). A block
-with many documents to compare is repeated, so that no task compares more than ``PROBES``. A
-link between documents of one group adds nothing to a component and need not be verified.
+No group is expanded into pairs. Equal sets are one class. Every document has a leader, of the
+smallest documents of its prefix tokens' groups the one it shares most with; documents of one
+leader are a group. Pairs of document and leader that share enough are verified from the texts,
+which connects most of a group of near copies. What is left is joined completely, against
+blocks: up to ``BLOCK`` documents of one group, of nearly equal set sizes, all verified with the
+leader or none, are a block, whose prefix tokens are those of its members. A document that
+shares enough of them is compared with the whole block, its own included, in one task, from the
+texts (``linked_in_blocks``); a verified document needs no comparison with verified blocks of
+its group. The task gives as many links as connect what it compared, not all pairs. A block
+with many documents to compare is repeated, so that no task compares more than ``PROBES``.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; rows that
 share a doc_id are one document (any row's link is its link); rows without doc_id get
@@ -199,27 +200,22 @@ def join_components(docs: DataFrame) -> DataFrame:
                              .where("n > 1").select("token"), "shared-tokens")
     entries = reps.select("doc_id", "n_shingles", "need", F.explode("prefix").alias("token"))
     entries = materialize(entries.join(shared, "token"), "entries")
-    led = materialize(verified(leader_pairs(_open_rows(entries.withColumn("comp", F.col("doc_id")))), docs), "leader-links")
-    rows = _open_rows(_with_component(entries, leader_groups(led)))
-    links = member.unionByName(led).unionByName(linked_in_blocks(rows, docs))
+    pairs = materialize(leader_pairs(entries), "leader-pairs")
+    led = materialize(verified(pairs.where("shared >= enough").select("a", "b"), docs), "leader-links")
+    links = member.unionByName(led).unionByName(linked_in_blocks(entries, groups_of(entries, pairs, led), docs))
     components = connected_components(links)
     own = _with_component(sets.select("doc_id", "n_shingles"), materialize(components, "final-components"))
     return own.select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
 
 
-def _open_rows(state: DataFrame) -> DataFrame:
-    """The rows of tokens whose rows lie in more than one group."""
-    state = materialize(state, "entries-by-group")
-    tokens = (state.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-                   .where("least <> most").select("token"))
-    return materialize(state.join(tokens, "token"), "open-rows")
-
-
-def leader_groups(links: DataFrame) -> DataFrame:
-    """(node, component) of the documents with a verified leader: the leader's own leader, if
-    it has one, else the leader. Connected documents in any case, though not all of them."""
-    up = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
-    return links.join(up, "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("component"))
+def groups_of(rows: DataFrame, pairs: DataFrame, led: DataFrame) -> DataFrame:
+    """(doc_id, comp, sure) of every document of ``rows``: its leader, or itself, and whether
+    that link is verified."""
+    sure = led.select(F.col("a").alias("sa"), F.lit(True).alias("sure")).distinct()
+    leader = pairs.select("a", F.col("b").alias("comp")).join(sure, F.col("a") == F.col("sa"), "left").drop("sa")
+    ids = rows.select("doc_id").distinct().join(leader, F.col("doc_id") == F.col("a"), "left")
+    known = F.col("comp").isNull() | F.coalesce("sure", F.lit(False))
+    return materialize(ids.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), known.alias("sure")), "groups")
 
 
 def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -228,56 +224,58 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def leader_pairs(rows: DataFrame) -> DataFrame:
-    """At most one pair per document: itself and the leader, of another group, that it shares
-    most prefix tokens with, if these are enough. A token's leader is the smallest document
-    that holds it."""
-    leaders = (rows.groupBy("token").agg(F.min(F.struct("doc_id", "n_shingles", "comp", "need")).alias("l"))
-                   .select("token", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("leader_n"),
-                           F.col("l.comp").alias("leader_comp"), F.col("l.need").alias("leader_need")))
+    """(a, b, shared, enough), at most one per document: itself and the leader it shares most
+    prefix tokens with, how many, and how many it takes to be similar. A token's leader is the
+    smallest document that holds it."""
+    leaders = (rows.groupBy("token").agg(F.min(F.struct("doc_id", "n_shingles", "need")).alias("l"))
+                   .select("token", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("leader_n"), F.col("l.need").alias("leader_need")))
     leaders = materialize(leaders, "leaders")
     enough = least_shared(F.col("n_shingles"), F.col("need"), F.col("leader_n"), F.col("leader_need"))
-    near = (rows.join(leaders, "token").where((F.col("comp") != F.col("leader_comp")) & _may_link("n_shingles", "leader_n"))
-                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(enough).alias("enough"))
-                .where("shared >= enough"))
-    best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("order"), "leader")).alias("m"))
-    return materialize(best.select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b")), "leader-pairs")
-
-
-def block_probes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, block) of the blocks' members, and of the documents to compare with a block of
-    another, larger component (ties: of larger id)."""
-    members = rows.groupBy("doc_id", "comp").agg(F.min("need").alias("need"), F.min("n_shingles").alias("n_least"), F.max("n_shingles").alias("n_most"))
-    members = members.withColumn("band", F.floor(F.log(F.col("n_most")) / SIZE_BAND).cast("int"))
-    bands = materialize(members.groupBy("comp", "band").agg(F.count_distinct("doc_id").alias("n")), "component-bands")
-    sizes = materialize(bands.groupBy("comp").agg(F.sum("n").alias("size")), "component-sizes")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))
-    members = members.join(bands, ["comp", "band"]).join(sizes, "comp")
-    members = materialize(members.withColumn("block", F.xxhash64("comp", "band", part)).drop("n", "band"), "block-members")
-    blocks = members.groupBy("block").agg(F.min("need").alias("block_need"), F.min("n_least").alias("least"), F.max("n_most").alias("most"))
-    held = rows.select("token", "doc_id", "n_shingles", "need").join(members.select("doc_id", "size", "block", "comp"), "doc_id")
+    near = (rows.join(leaders, "token").where((F.col("doc_id") != F.col("leader")) & _may_link("n_shingles", "leader_n"))
+                .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(enough).alias("enough")))
+    best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("order"), "leader", "enough")).alias("m"))
+    return best.select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b"), "m.shared", "m.enough")
+
+
+def block_probes(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, block, sure) of the blocks' members, and (doc_id, block) of the documents to
+    compare with a block: one as large as their own or larger (ties: of no smaller id)."""
+    members = rows.groupBy("doc_id").agg(F.min("need").alias("need"), F.min("n_shingles").alias("n_least"), F.max("n_shingles").alias("n_most"))
+    members = members.join(groups, "doc_id").withColumn("band", F.floor(F.log(F.col("n_most")) / SIZE_BAND).cast("int"))
+    members = materialize(members, "members")
+    kinds = materialize(members.groupBy("comp", "band", "sure").agg(F.count(F.lit(1)).alias("size")), "block-sizes")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK))
+    members = members.join(kinds, ["comp", "band", "sure"]).withColumn("block", F.xxhash64("comp", "band", "sure", part))
+    members = materialize(members.select("doc_id", "block", "comp", "sure", "size", "need", "n_least", "n_most"), "block-members")
+    blocks = members.groupBy("block").agg(F.min("need").alias("block_need"), F.min("n_least").alias("least"), F.max("n_most").alias("most"),
+                                          F.first("comp").alias("block_comp"), F.first("sure").alias("block_sure"), F.first("size").alias("block_size"))
+    held = rows.select("token", "doc_id", "n_shingles", "need").join(
+        members.select("doc_id", "size", F.col("block").alias("own"), "comp", "sure"), "doc_id")
     held = materialize(held, "block-rows")
-    postings = held.groupBy("token", "block").agg(F.first("comp").alias("block_comp"), F.first("size").alias("block_size")).join(blocks, "block")
-    postings = materialize(postings, "block-postings")
-    ahead = (F.col("size") < F.col("block_size")) | ((F.col("size") == F.col("block_size")) & (F.col("comp") < F.col("block_comp")))
+    postings = materialize(held.select("token", F.col("own").alias("block")).distinct().join(blocks, "block"), "block-postings")
+    ahead = (F.col("size") < F.col("block_size")) | ((F.col("size") == F.col("block_size")) & (F.col("own") <= F.col("block")))
+    known = F.col("sure") & F.col("block_sure") & (F.col("comp") == F.col("block_comp"))
     # Member sizes that could link, and the fewest shared tokens over these sizes (at one end).
     n, need = F.col("n_shingles"), F.col("need")
     low = F.greatest(F.col("least"), F.ceil(n * PERCENT / 100))
     high = F.least(F.col("most"), F.floor(n * 100 / PERCENT))
     enough = F.least(*[least_shared(n, need, m, F.col("block_need")) for m in (low, high)])
-    probes = (held.drop("block").join(postings, "token").where(ahead & (low <= high))
+    alone = (F.col("own") == F.col("block")) & (F.col("size") == 1)
+    probes = (held.join(postings, "token").where(ahead & ~known & ~alone & (low <= high))
                   .groupBy("doc_id", "block").agg(F.count_distinct("token").alias("shared"), F.min(enough).alias("enough"))
                   .where("shared >= enough").select("doc_id", "block"))
-    return members.select("doc_id", "block").distinct(), materialize(probes, "block-probes")
+    return members.select("doc_id", "block", "sure"), materialize(probes, "block-probes")
 
 
-def linked_in_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect every two components with a link between them: for each
-    document and block it is to be compared with, the smallest member it links with, if any."""
-    members, probes = block_probes(rows)
+def linked_in_blocks(rows: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that, with the verified ones of the groups, connect all documents that are
+    connected by links."""
+    members, probes = block_probes(rows, groups)
     copies = materialize(probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("copies")), "block-copies")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    inside = members.join(copies, "block").select("doc_id", "block", copy.alias("copy"), F.lit(0).alias("kind"))
-    outside = probes.join(copies, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"))
+    # kind 0 and 1: a member of a verified and of another block; 2: to be compared with it.
+    inside = members.join(copies, "block").select("doc_id", "block", copy.alias("copy"), F.when(F.col("sure"), 0).otherwise(1).alias("kind"))
+    outside = probes.join(copies, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), "copies").cast("int").alias("copy"), F.lit(2).alias("kind"))
     places = materialize(inside.unionByName(outside), "block-places")
     ids = materialize(places.select("doc_id").distinct(), "documents-in-blocks")
     texts = materialize(docs.join(ids, "doc_id", "left_semi").distinct(), "texts-in-blocks")
@@ -285,34 +283,74 @@ def linked_in_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
                   .sortWithinPartitions("block", "copy", "kind").mapInArrow(_compare_blocks, "a long, b long"))
 
 
+class _Block:
+    """A block's sets as one sorted token list with owners, and which members are connected."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.sure = False
+        self.tokens = None
+
+    def add(self, doc: int, tokens: np.ndarray, sure: bool) -> None:
+        self.docs.append(doc)
+        self.sets.append(tokens)
+        self.sure = sure
+
+    def close(self) -> None:
+        self.size = np.array([len(s) for s in self.sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        tokens = np.concatenate(self.sets) if self.sets else np.zeros(0, _U)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.place = {d: i for i, d in enumerate(self.docs)}
+        self.up = [self.place[d] for d in self.docs]               # rows of one id are one document
+        if self.sure:
+            self.up = [0] * len(self.docs)
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def links(self, doc: int, own: np.ndarray) -> list[int]:
+        """Similar members, one of each connected part; these are connected from now on."""
+        if self.tokens is None:
+            self.close()
+        lo, hi = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sets))
+        out, me = [], self.place.get(doc)
+        roots = set() if me is None else {self.root(me)}
+        for i in np.flatnonzero(100 * both >= PERCENT * (self.size + len(own) - both)).tolist():
+            r = self.root(i)
+            if self.docs[i] != doc and r not in roots:
+                roots.add(r)
+                out.append(self.docs[i])
+        first, *rest = roots or [0]
+        for r in rest:
+            self.up[r] = first
+        return out
+
+
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, copy, kind, doc_id, text), sorted: a block's members, then what to compare
-    with them. Held are the members' sets, as one sorted token list with owners."""
-    held, docs, sets, tokens = None, [], [], None
+    with them."""
+    held, block = None, _Block()
     for batch in batches:
         for part, found in document_sets(batch):
             a, b = [], []
-            keys = list(zip(*(part.column(i).to_pylist() for i in range(4)), strict=True))
-            for (block, copy, kind, doc), own in zip(keys, found, strict=True):
-                if (block, copy) != held:
-                    held, docs, sets, tokens = (block, copy), [], [], None
-                if kind == 0:
-                    docs.append(doc)
-                    sets.append(own)
+            for at, copy, kind, doc, own in zip(*(part.column(i).to_pylist() for i in range(4)), found, strict=True):
+                if (at, copy) != held:
+                    held, block = (at, copy), _Block()
+                if kind < 2:
+                    block.add(doc, own, kind == 0)
                     continue
-                if tokens is None:
-                    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                    tokens = np.concatenate(sets) if sets else np.zeros(0, _U)
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, owner, size = tokens[order], owner[order], np.array([len(s) for s in sets])
-                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(sets))
-                near = np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both))
-                if len(near):
-                    a.append(doc)
-                    b.append(min(docs[i] for i in near))
+                near = block.links(doc, own)
+                a += [doc] * len(near)
+                b += near
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 

@@ -2,8 +2,10 @@
 offset-preserving deobfuscation.
 
 Three transducers rewrite a text and keep, for every output character, the source span
-it came from: look-alike characters to ASCII, at/dot disguises to ``@`` and ``.``, and
-runs of spelled digits to digits. Identifiers found in the rewritten text are mapped back
+it came from: character references and look-alike characters to ASCII, at/dot disguises (in
+brackets, words, underscores, or letter by letter) to ``@`` and ``.``, and runs of spelled
+digits of four languages to digits. A run of ``PHONE_WORDS`` digit words or more that makes 10
+to 15 digits is a phone, with or without its plus. Identifiers found in the rewritten text are mapped back
 to source characters; one is added when a rewritten character lies in it and it overlaps
 no base span of its kind, except those it wholly covers. Base spans always stay.
 
@@ -15,7 +17,9 @@ or a sign between letters, or a word like "write to" stands before it; a plain w
 at host.tld") is prose. What is found does not depend on the text around it otherwise.
 
 Edge cases: null or empty text has no span (``base_sha256`` of the empty string); equal
-rows give equal rows; a null doc_id stays null; no other column is read.
+rows give equal rows; a null doc_id stays null; numbers of any length are compared without
+being converted; very long texts are scanned whole; an empty table gives no rows; no other
+column is read.
 """
 
 from __future__ import annotations
@@ -118,10 +122,24 @@ def _look_alikes() -> dict[int, str]:
 LOOK_ALIKES = _look_alikes()
 INVISIBLE = "​‌‍⁠﻿­"
 
-# The digit words.
+# The digit words of English, Spanish, French and German.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-          "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
-_WORD = "|".join(DIGITS)
+          "seven": "7", "eight": "8", "nine": "9", "plus": "+",
+          "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+          "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+          "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7",
+          "acht": "8", "neun": "9"}
+_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+# A run of this many digit words that makes this many digits is a phone without its plus.
+PHONE_WORDS, PHONE_DIGITS = 7, range(10, 16)
+# Character references (of printable ASCII), and words between underscores.
+_REFERENCE = re.compile(r"&#(?:[xX]([0-9A-Fa-f]{1,4})|([0-9]{1,4}));?|&(commat|period|lowbar|hyphen|plus);")
+_NAMED = {"commat": "@", "period": ".", "lowbar": "_", "hyphen": "-", "plus": "+"}
+_UNDER_AT = re.compile(r"(?<=[A-Za-z0-9])_{1,3}at_{1,3}(?=[A-Za-z0-9-]{1,63}(?:_{1,3}dot_{1,3}|\.)[A-Za-z0-9])", re.I)
+_UNDER_DOT = re.compile(r"(?<=[A-Za-z0-9])_{1,3}dot_{1,3}(?=[A-Za-z0-9])", re.I)
+# Single characters with single blanks between them, with an "@" and a dot after it.
+_SPACED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+@-] ){5,255}[A-Za-z0-9](?!\S)")
+_SPACED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digit words, or of digit words and digits; one word alone is prose.
 _SPELLED = re.compile(rf"\b(?:{_WORD})(?:[ .,()-]{{1,3}}(?:{_WORD}|[0-9]+))+\b|(?<=[0-9][ .-])(?:{_WORD})(?:[ .-]{{1,3}}(?:{_WORD}))*\b", re.I)
 _TOKEN = re.compile(rf"\b(?:{_WORD})\b", re.I)
@@ -136,7 +154,7 @@ _CUE = re.compile(r"\b(?:e-?mail|mail|contact|write)(?: address)?(?: me| us)?(?:
 _PRONOUNS = frozenset(("me", "us", "him", "her", "it", "them", "you"))
 _SPACED_SIGN = re.compile(r"(?<=[A-Za-z0-9._%+-]) {1,2}@ {0,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])|(?<=[A-Za-z0-9._%+-])@ {1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])")
 
-_TRIGGER = re.compile(r"\bdot\b|[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|point|punto|punkt)\s{0,3}[\])}>]| @|@ ", re.I)
+_TRIGGER = re.compile(r"&#|&(?:commat|period);|_at_|_dot_|\bdot\b|[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|point|punto|punkt)\s{0,3}[\])}>]| @|@ ", re.I)
 # Every match of _WORD_AT in a text not yet rewritten holds one of this.
 _PLAIN_AT = re.compile(r" [aA][tT] {1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]")
 
@@ -201,27 +219,45 @@ def _is_address(tape: Tape, at: re.Match) -> bool:
             or (name.lower() not in _PRONOUNS and _CUE.search(tape.text, max(0, start - 40), start) is not None))
 
 
+def _referred(m: re.Match) -> str | None:
+    """The printable ASCII character that a reference names, if it names one."""
+    if m[3]:
+        return _NAMED[m[3]]
+    code = int(m[1], 16) if m[1] else int(m[2])
+    return chr(code) if 0x20 <= code < 0x7F else None
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None where no disguise can be."""
     plain = text.isascii()
     if plain and not _TRIGGER.search(text) and not _PLAIN_AT.search(text) and not _SPELLED.search(text):
         return None
     tape = Tape(text)
+    tape.rewrite([(m.start(), m.end(), c) for m in _REFERENCE.finditer(tape.text) if (c := _referred(m))])
     if not plain:
         tape.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{INVISIBLE}]+", tape.text)])
         tape.translate(LOOK_ALIKES)
+    tape.rewrite([(m.start() + i, m.start() + i + 1, "") for m in _SPACED.finditer(tape.text) if _SPACED_EMAIL.search(m[0].replace(" ", ""))
+                  for i in range(1, len(m[0]), 2)])
+    if _UNDER_AT.search(tape.text):
+        for pattern, new in ((_UNDER_AT, "@"), (_UNDER_DOT, ".")):
+            tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)])
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_WORD_DOT, "."), (_WORD_AT, "@"), (_SPACED_SIGN, "@")):
         tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)
                       if pattern is not _WORD_AT or _is_address(tape, m)])
     edits = []
     for run in _SPELLED.finditer(tape.text):
         done = None
+        words = [DIGITS[m[0].lower()] for m in _TOKEN.finditer(tape.text, run.start(), run.end())]
+        digits = sum(w != "+" for w in words) + sum(c.isdigit() for c in run[0])
+        bare = "+" not in words and tape.text[:run.start()].rstrip(" (")[-1:] != "+"
+        phone = "+" if bare and len(words) >= PHONE_WORDS and digits in PHONE_DIGITS else ""
         for m in _TOKEN.finditer(tape.text, run.start(), run.end()):
             a = m.start()
             # One separator between two digit words goes, so that digits close up.
             if done is not None and not tape.text[done:a].strip(" ,.-"):
                 edits.append((done, a, ""))
-            edits.append((a, m.end(), DIGITS[m[0].lower()]))
+            edits.append((a, m.end(), (phone if done is None else "") + DIGITS[m[0].lower()]))
             done = m.end()
     tape.rewrite(edits)
     return tape if 1 in tape.touched or len(tape.text) != len(text) else None

@@ -351,8 +351,7 @@ def test_jaccard_plans_agree(spark, monkeypatch, led, block, often):
     """Only the comparison in blocks, or leaders first; small blocks, few probes a task, levels
     for tokens held twice: the same components."""
     if not led:
-        pairs = jaccard_join.leader_pairs
-        monkeypatch.setattr(jaccard_join, "leader_pairs", lambda rows: pairs(rows).where("false"))
+        monkeypatch.setattr(jaccard_join, "verified", lambda pairs, docs: pairs.where("false"))
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "PROBES", 2)
     monkeypatch.setattr(jaccard_join, "OFTEN", often)
@@ -435,10 +434,11 @@ def test_jaccard_any_row_of_a_document_may_link(spark):
     for d in range(0, 80, 2):
         needs = [2, 9] if d % 4 else [9, 2]
         for token in (10 * d, 10 * d + 1):
-            rows += [(token, d, 50, n, d) for n in needs] + [(token, d + 1, 40, 9, d + 1)]
-    frame = spark.createDataFrame(rows, "token long, doc_id long, n_shingles long, need int, comp long").coalesce(1)
+            rows += [(token, d, 50, n) for n in needs] + [(token, d + 1, 40, 9)]
+    frame = spark.createDataFrame(rows, "token long, doc_id long, n_shingles long, need int").coalesce(1)
     want = {(d + 1, d) for d in range(0, 80, 2)}
-    members, probes = jaccard_join.block_probes(frame)
+    alone = spark.createDataFrame([(d, d, True) for d in range(80)], "doc_id long, comp long, sure boolean")
+    members, probes = jaccard_join.block_probes(frame, alone)
     block = {r.block: r.doc_id for r in members.collect()}
     assert {(max(r.doc_id, block[r.block]), min(r.doc_id, block[r.block])) for r in probes.collect()} == want
-    assert {(max(r.a, r.b), min(r.a, r.b)) for r in jaccard_join.leader_pairs(frame).collect()} == want
+    assert {(r.a, r.b) for r in jaccard_join.leader_pairs(frame).where("shared >= enough").collect()} == want
