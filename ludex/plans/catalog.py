@@ -355,6 +355,15 @@ def join_item_prices(spark, d):
     return joins.left_join(b.user_items.select("user_id", "item_id"), b.prices, "item_id")
 
 
+@query
+def library_prices_null_safe(spark, d):
+    """F2 as the source merges: rows without an item meet the prices of rows without id."""
+    b = Bound(spark, d, edge=True)
+    prices = b.games_raw.select(F.col("id").alias("item_id"), clean.normalize_price(F.col("price")).alias("price")).where("price is not null")
+    joined = joins.left_join(b.user_items.select("user_id", "item_id"), prices, "item_id", null_safe=True)
+    return joined.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("price"), 2).alias("price_sum"))
+
+
 @query
 def join_genre_playtime(spark, d):
     b = Bound(spark, d)

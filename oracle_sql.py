@@ -339,6 +339,9 @@ ORACLE_SQL: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "ingest_json_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "json_flatten": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS \"props.k\" FROM events",
+    "library_prices_null_safe": _edge(
+        f"SELECT u.item_id, count(*) AS rows, round(sum(p.price), 2) AS price_sum FROM user_items u LEFT JOIN (SELECT id, {_price('price')} AS price FROM games_raw) p "
+        "ON p.id IS NOT DISTINCT FROM u.item_id AND p.price IS NOT NULL GROUP BY u.item_id"),
     "ingest_json_files": _with(
         "SELECT CAST(id AS VARCHAR) AS id, app_name, developer, price, release_date, array_to_string(genres, '|') AS genres, "
         "CAST(id % 50 AS VARCHAR) AS size FROM games_raw"),

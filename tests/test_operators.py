@@ -281,6 +281,29 @@ def test_json_strict_and_flatten(spark):
         json_lines.parse_json_lines(bad, schema).collect()
 
 
+def test_null_keys_are_dealt_to_many_tasks(spark):
+    """A third of the rows without a key: no task of the join gets them all."""
+    from ludex.operators import joins
+    items = spark.range(9000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 100).alias("item_id")).repartition(6)
+    prices = spark.createDataFrame([(i, float(i)) for i in range(100)] + [(None, 0.5), (None, 0.25)], "item_id long, price double")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = joins.left_join(items, prices, "item_id", null_safe=True)
+        rows = out.select("id", "item_id", "price", F.spark_partition_id().alias("task")).collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan
+    nulls = [r for r in rows if r.item_id is None]
+    assert len(rows) == 12_000 and sorted(r.price for r in nulls) == [0.25] * 3000 + [0.5] * 3000
+    share = [sum(r.task == t for r in nulls) for t in range(8)]
+    assert max(share) < len(nulls) / 2 and sum(n > 0 for n in share) > 4
+
+
 def test_null_safe_left_join(spark):
     from ludex.operators import joins
     items = spark.createDataFrame([("u1", 1), ("u2", None)], "user_id string, item_id int")
