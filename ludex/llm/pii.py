@@ -250,7 +250,8 @@ def deobfuscate(text: str) -> Tape | None:
         done = None
         words = [DIGITS[m[0].lower()] for m in _TOKEN.finditer(tape.text, run.start(), run.end())]
         digits = sum(w != "+" for w in words) + sum(c.isdigit() for c in run[0])
-        bare = "+" not in words and tape.text[:run.start()].rstrip(" (")[-1:] != "+"
+        before = tape.text[max(0, run.start() - 8):run.start()].rstrip(" (.-")[-1:]
+        bare = "+" not in words and before != "+" and not before.isdigit()
         phone = "+" if bare and len(words) >= PHONE_WORDS and digits in PHONE_DIGITS else ""
         for m in _TOKEN.finditer(tape.text, run.start(), run.end()):
             a = m.start()
