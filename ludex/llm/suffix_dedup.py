@@ -50,6 +50,7 @@ LENGTH = 100
 GRAM = 24
 SHARD_RUNS = 4096            # runs of one anchor in one shard
 CHUNK_BYTES = 1 << 20        # shards are sorted together up to this many bytes
+BATCH_ROWS = 20_000          # rows of a result batch
 _BITS = 21                   # positions of a chunk
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -235,7 +236,8 @@ def _intervals(rows: list[tuple]) -> pa.RecordBatch:
 
 def solve_chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Rows (fp, shard, shards, id, dup, first, bytes) of whole shards. Gives the byte
-    intervals of repeats and, for split anchors, the earliest strings (with ``fp``)."""
+    intervals of repeats and, for split anchors, the earliest strings (with ``fp``), in batches
+    of ``BATCH_ROWS``."""
     rows.sort(key=lambda r: (r[3], r[4], r[5]))
     owner, inside, repeat = repeats([r[6] for r in rows])
     out = []
@@ -253,6 +255,9 @@ def solve_chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if r[2] > 1:
             k = int(inside[i])
             out.append((r[3], r[4], r[5] + k, r[5] + k + LENGTH, r[0], r[1], r[2], r[6][k:k + LENGTH]))
+            if len(out) >= BATCH_ROWS:
+                yield _intervals(out)
+                out = []
     yield _intervals(out)
 
 
