@@ -80,7 +80,7 @@ def materialize_all(spark: SparkSession, catalogue_path: str, libraries_path: st
 
     # Long scores and the top-k similar items. The stored pairs are not written.
     scores = put("scores", recommend.user_item_scores(reviews, games))
-    pairs = recommend.item_pairs(recommend.unit_weights(recommend.normalize_scores(scores)))
-    pairs = pairs.select("item_a", "item_b", recommend.rounded_sim(F.col("sim")).alias("sim"))
-    put("similar", recommend.top_k_similar(pairs, scores.select("item"), top_k), cluster_by=["item"])
+    names = recommend.item_names(games)
+    keyed = scores.withColumnRenamed("item", "name").join(names, "name").select("user_id", "item", "score")
+    put("similar", recommend.top_k_of_scores(keyed, names, top_k), cluster_by=["item"])
     return paths
