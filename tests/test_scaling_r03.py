@@ -1,8 +1,13 @@
 """Steps whose work grew faster than the tables."""
 
+import ast
+
+import pytest
+
 from ludex.operators import joins
 from ludex.plans import catalog as C
 from ludex.sources import bindings as B
+from ludex.sources import literal_lines
 
 
 def _owned_and_prices(spark, monkeypatch, n):
@@ -22,3 +27,22 @@ def test_null_prices_meet_counted_rows(spark, monkeypatch):
         got = {r.item_id: (r.rows, r.price_sum) for r in C.library_prices_null_safe(spark, "").collect()}
         assert got == {None: (n * n, n * n * 2.5), 7: (6, 15.0), 8: (1, None)}
         assert seen[-1][0].count() == n + 3 and seen[-1][1]["null_safe"]
+
+
+@pytest.mark.parametrize("line", [
+    "{'a': u'x', 'n': None, 't': True, 'l': [1, -2, 1.5e3], \"q\": \"y\"}", "{'a': 'x' 'y'}", "{'a': 'it\\'s'}", "{'a': 07}", "{'a': NaN}", "{'a': null}",
+    "{'a': '''x'''}", "{'a': (1, 2)}", "{1: 2}", "{'a': 1, 'a': 2}", "{'a': 1_0}", "{'a': 'None True'}", "{'a': \"it's\"}", "{", "", "{'a': b'x'}", "{'é': 'ü  '}"])
+def test_literal_reads_as_the_literal_parser(line):
+    def of(read):
+        try:
+            return repr(read(line))
+        except Exception as e:  # noqa: BLE001
+            return type(e).__name__
+
+    assert of(literal_lines.literal) == of(ast.literal_eval)
+
+
+def test_plain_lines_skip_the_literal_parser(monkeypatch):
+    monkeypatch.setattr(literal_lines.ast, "literal_eval", lambda x: pytest.fail("not needed"))
+    assert literal_lines.literal("{'user_id': u'8', 'items': [{'item_id': \"1\", 'n': None}], 'ok': True}") == {
+        "user_id": "8", "items": [{"item_id": "1", "n": None}], "ok": True}
