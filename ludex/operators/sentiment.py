@@ -34,8 +34,10 @@ tested inside the row, so only tokens that can score are exploded, with their ne
 (from the token array inside the row: no window, no self-join); these meet the lexicon, and
 only the hits look their neighbours up. Phrases are a trie over token hashes, one table row
 an edge: rows leave a text only where its first two tokens pass the phrases' filter, and walk
-the trie edge by edge. Which side is broadcast is left to the planner, by size. Sums are
-pre-aggregated map-side and meet the per-document counts by key.
+the trie edge by edge. The phrases found meet the texts by key before these are split; a text
+is stripped and lower-cased whole, and phrases are merged run by run, so a row's cost is linear
+in its length. The vocabulary is written first: which side is broadcast is left to the planner,
+by size. Sums are pre-aggregated map-side and meet the per-document counts by key.
 """
 
 from __future__ import annotations
@@ -129,13 +131,17 @@ class BloomFilter:
         self.words = F.expr("array(" + ", ".join("(-9223372036854775807L - 1L)" if w == -(1 << 63) else f"{w}L" for w in signed) + ")")
 
     def _places(self, h: Column) -> list[Column]:
-        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(self.mask)) for k in (0, 32)]
+        return [x.bitwiseAND(F.lit(self.mask)) for x in (h, F.shiftrightunsigned(h, 32))]
 
     def test(self, h: Column) -> Column:
-        one = lambda p: F.call_function("shiftright", F.get(self.words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+        one = lambda p: F.call_function("shiftright", F.get(self.words, F.shiftright(p, 6).cast("int")), p.cast("int")).bitwiseAND(F.lit(1)) == 1
         a, b = self._places(h)
         return one(a) & one(b)
 
+    def passing(self, hashes: Column) -> Column:
+        """Positions (from 0) of an array's hashes that pass, each hash computed once."""
+        return F.filter(F.transform(hashes, lambda h, i: F.when(self.test(h), i)), lambda i: i.isNotNull())
+
 
 def phrase_trie(phrases: DataFrame) -> tuple[DataFrame, int]:
     """Edges ``(parent, token, child, ends)`` over hashes of the phrases' token prefixes, and
@@ -150,52 +156,59 @@ def phrase_trie(phrases: DataFrame) -> tuple[DataFrame, int]:
     return edges, p.agg(F.coalesce(F.max(F.size("t")), F.lit(0))).first()[0]
 
 
-def merge_phrases(d: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
-    """``_raw`` and ``_toks`` with every phrase as one token: at each place the longest phrase,
-    from left to right, without overlap."""
+def phrase_places(docs: DataFrame, key: str, text_col: str, phrases: DataFrame) -> DataFrame | None:
+    """``_k`` and the phrases of its text, ``_m``: where each starts and its tokens, at each place
+    the longest one, from left to right, without overlap. Only places whose first two tokens pass
+    the phrases' filter leave the row; their next tokens walk the trie, one join a depth."""
     edges, longest = phrase_trie(phrases)
     if longest < 2:
-        return d
+        return None
     edges = materialize(edges, "phrase-trie")
     starts = BloomFilter(edges.where("depth = 2"), "child")
     toks = F.col("_toks")
-    pair = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(1))), lambda i: (i < F.size(toks)) & starts.test(
-        F.xxhash64(F.slice(toks, i, 2))))
-    walk = d.select(F.col(key).alias("_k"), F.explode(pair).alias("_at"), toks.alias("_all")).select(
-        "_k", "_at", F.slice("_all", F.col("_at"), longest).alias("_w"))
-    found = None
+    pair = starts.passing(F.transform(toks, lambda t, i: F.xxhash64(t, F.get(toks, i + 1))))
+    places = F.transform(pair, lambda i: F.struct((i + 1).alias("_at"), F.slice(toks, i + 1, longest).alias("_w")))
+    lowered = docs.select(F.col(key).alias("_k"), tokens(F.lower(bare_text(F.col(text_col)))).alias("_toks"))
+    walk = lowered.select("_k", F.explode(places).alias("_p")).select("_k", "_p.*").withColumn("_n", F.lit(None).cast("int"))
     for depth in range(2, longest + 1):
         step = edges.where(F.col("depth") == depth).select(F.col("child").alias("_child"), F.col("ends").alias("_ends"))
-        walk = walk.where(F.size("_w") >= depth).join(step, F.xxhash64(F.slice("_w", 1, depth)) == F.col("_child")).drop("_child")
-        here = walk.where("_ends").select("_k", "_at", F.lit(depth).alias("_n"))
-        found = here if found is None else found.unionByName(here)
-        walk = walk.drop("_ends")
-    found = found.groupBy("_k", "_at").agg(F.max("_n").alias("_n")).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_m"))
+        here = F.when(F.size("_w") >= depth, F.xxhash64(F.slice("_w", 1, depth))) == F.col("_child")
+        walk = walk.join(step, here, "inner" if depth == 2 else "left").withColumn(
+            "_n", F.when(F.col("_ends"), F.lit(depth)).otherwise(F.col("_n"))).drop("_child", "_ends")
+    # A key that stands in several rows has each place once.
+    found = walk.where(F.col("_n").isNotNull()).groupBy("_k", "_at").agg(F.max("_n").alias("_n")).groupBy("_k").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_m"))
     none = F.array().cast("array<struct<_at:int,_n:int>>")
-    free = lambda kept, m: (F.size(kept) == 0) | (F.element_at(kept, -1)["_at"] + F.element_at(kept, -1)["_n"] <= m["_at"])
+    free = lambda kept, m: F.element_at(kept, -1)["_at"] + F.element_at(kept, -1)["_n"] <= m["_at"]
     chosen = F.aggregate("_m", none, lambda kept, m: F.when((F.size(kept) == 0) | free(kept, m), F.concat(kept, F.array(m))).otherwise(kept))
-    found = found.select("_k", chosen.alias("_m"))
+    apart = F.forall(F.sequence(F.lit(1), F.size("_m")), lambda j: (j == 1) | (
+        F.get("_m", F.greatest(j - 2, F.lit(0)))["_at"] + F.get("_m", F.greatest(j - 2, F.lit(0)))["_n"] <= F.get("_m", j - 1)["_at"]))
+    return found.select("_k", F.when(apart, F.col("_m")).otherwise(chosen).alias("_m"))
+
 
-    def merged(c: str) -> Column:
-        def at(i: Column) -> Column:
-            own = F.filter("_m", lambda m: (m["_at"] <= i) & (i < m["_at"] + m["_n"]))
-            return F.when(F.size(own) == 0, F.array(F.get(F.col(c), i - 1))).when(
-                F.get(own, F.lit(0))["_at"] == i, F.array(F.array_join(F.slice(F.col(c), i, F.get(own, F.lit(0))["_n"]), " "))).otherwise(
-                F.array().cast("array<string>"))
-        return F.when(F.col("_m").isNull(), F.col(c)).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.size(c)), at)))
+def merged_tokens(c: str) -> Column:
+    """The tokens ``c`` with every phrase of ``_m`` as one token: the runs between phrases, and
+    the phrases, so linear in the text's length."""
+    m = lambda j: F.get("_m", j)
+    after = lambda j: F.when(j == 0, F.lit(1)).otherwise(m(F.greatest(j - 1, F.lit(0)))["_at"] + m(F.greatest(j - 1, F.lit(0)))["_n"])
+    runs = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda j: F.when(
+        j == F.size("_m"), F.slice(F.col(c), after(j), F.size(c))).otherwise(F.concat(
+            F.slice(F.col(c), after(j), F.greatest(m(j)["_at"] - after(j), F.lit(0))),
+            F.array(F.array_join(F.slice(F.col(c), m(j)["_at"], m(j)["_n"]), " ")))))
+    return F.when(F.col("_m").isNull(), F.col(c)).otherwise(F.flatten(runs))
 
-    return (d.join(found, F.col(key) == F.col("_k"), "left").withColumns({"_raw": merged("_raw"), "_toks": merged("_toks")})
-             .drop("_k", "_m"))
 
+def bare_text(text: Column) -> Column:
+    """The text with each token's outer punctuation stripped, unless two characters or fewer
+    would be left: what leads a token goes, then in the reversed text what ends it."""
+    sign = "".join("\\" + c for c in PUNCTUATION)
+    leading = f"[{sign}](?<!\\S.)[{sign}]*+(?=[^\\s{sign}]\\S+[^\\s{sign}])"
+    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(text, leading, "")), leading, ""))
 
-def raw_tokens(text: Column) -> Column:
-    """Tokens as written: white-space runs apart, outer punctuation stripped unless two
-    characters or fewer would be left."""
-    def strip(t: Column) -> Column:
-        bare = F.btrim(t, F.lit(PUNCTUATION))
-        return F.when(F.length(bare) <= 2, t).otherwise(bare)
 
-    return F.transform(F.filter(F.split(text, "\\s+"), lambda t: t != F.lit("")), strip)
+def tokens(text: Column) -> Column:
+    """White-space runs apart."""
+    return F.array_remove(F.split(text, "\\s+"), "")
 
 
 def vocabulary(lexicon: DataFrame, modifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,18 +225,21 @@ def vocabulary(lexicon: DataFrame, modifiers: DataFrame) -> tuple[DataFrame, Dat
     return lex, words
 
 
-def _documents(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Key, punctuation counts, whether capitals and other words mix, and the tokens as written (``_raw``) and lower-cased (``_toks``)."""
-    text = F.col(text_col)
-    d = docs.select(
-        F.col(key), text.isNull().alias("_null"),
-        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("_bangs"),
-        (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("_quests"),
-        raw_tokens(text).alias("_raw"))
-    raw = F.col("_raw")
-    d = d.select("*", F.transform(raw, lambda t: F.lower(t)).alias("_toks"),
-                 F.size(F.filter(raw, is_caps)).alias("_ncaps"))
-    return d.withColumn("_mixed", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size(raw))).drop("_ncaps")
+def _documents(docs: DataFrame, key: str, text_col: str, places: DataFrame | None) -> DataFrame:
+    """Key, whether capitals and other words mix, and the tokens as written (``_raw``) and
+    lower-cased (``_toks``), phrases as one token. The texts meet their phrases before they are
+    split, so that no token list is shuffled."""
+    d = docs.select(F.col(key), bare_text(F.col(text_col)).alias("_bare"))
+    if places is not None:
+        d = docs.select(F.col(key), F.col(text_col).alias("_text")).join(places, F.col(key) == F.col("_k"), "left").select(
+            key, "_m", bare_text(F.col("_text")).alias("_bare"))
+    bare = F.col("_bare")
+    d = d.withColumns({"_raw": tokens(bare), "_toks": tokens(F.lower(bare))})
+    d = d.withColumn("_ncaps", F.size(F.filter("_raw", is_caps)))
+    d = d.withColumn("_mixed", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.size("_raw")))
+    if places is not None:
+        d = d.withColumns({"_raw": merged_tokens("_raw"), "_toks": merged_tokens("_toks")})
+    return d.select(key, "_mixed", "_raw", "_toks")
 
 
 def is_caps(t: Column) -> Column:
@@ -274,18 +290,19 @@ def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame
         several.where("kind = 'idiom'").select("token", F.col("value").alias("valence")))
     modifiers = modifiers.select("token", "kind", F.col("step").cast("double").alias("step")).unionByName(
         several.where("kind = 'booster'").select("token", "kind", F.col("value").alias("step")))
-    lex, words = vocabulary(lexicon, modifiers)
+    # Written, so that the planner knows their sizes: hits are shuffled only for large ones.
+    lex, words = (materialize(t, n) for t, n in zip(vocabulary(lexicon, modifiers), ("lexicon", "words"), strict=True))
     possible = BloomFilter(lex.select(F.xxhash64("_t").alias("h")), "h")
-    d = merge_phrases(_documents(docs, key, text_col), key, phrases)
+    d = _documents(docs, key, text_col, phrase_places(docs, key, text_col, phrases))
     d = d.withColumn("_but", F.array_position("_toks", CONTRAST_WORD))
     # Only tokens that the filter lets pass leave the row, with their neighbours.
     toks, raw = F.col("_toks"), F.col("_raw")
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(toks), F.lit(1)) - 1), lambda i: (i < F.size(toks)) & possible.test(F.xxhash64(F.get(toks, i))))
+    at = possible.passing(F.transform(toks, lambda t: F.xxhash64(t)))
     before = lambda i, k: F.when(i >= k, F.get(raw, F.greatest(i - k, F.lit(0))))
     hit = F.transform(at, lambda i: F.struct(i.alias("_i"), F.get(toks, i).alias("_toks"), F.get(raw, i).alias("_raw"), F.get(toks, i + 1).alias("_next"),
                                              *[before(i, k).alias(f"_r{k}") for k in (1, 2, 3)]))
-    tokens = d.select(key, "_but", "_mixed", F.explode(hit).alias("_w"))
-    hits = (tokens.select(key, "_but", "_mixed", "_w.*").join(lex, F.col("_toks") == F.col("_t")).drop("_t")
+    found = d.select(key, "_but", "_mixed", F.explode(hit).alias("_w"))
+    hits = (found.select(key, "_but", "_mixed", "_w.*").join(lex, F.col("_toks") == F.col("_t")).drop("_t")
                   .withColumn("_cap", is_caps(F.col("_raw"))))
     for k in (1, 2, 3):
         hits = hits.withColumn(f"_p{k}", F.lower(f"_r{k}")).withColumn(f"_cap{k}", is_caps(F.col(f"_r{k}")))
@@ -294,7 +311,9 @@ def compound_scores(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame
     following = words.where("_lex").select(F.col("_t").alias("_t_next"), F.col("_lex").alias("_lex_next"))
     hits = hits.join(following, F.col("_next") == F.col("_t_next"), "left")
     sums = _scored(hits).groupBy(F.col(key).alias("_k")).agg(F.sum("_s").alias("_sum"))
-    j = d.select(key, "_null", "_bangs", "_quests").join(sums, F.col(key) == F.col("_k"), "left")
+    text = F.col(text_col)
+    signs = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    j = docs.select(F.col(key), text.isNull().alias("_null"), signs("!").alias("_bangs"), signs("?").alias("_quests")).join(sums, F.col(key) == F.col("_k"), "left")
     tot, bangs, quests = F.coalesce("_sum", F.lit(0.0)), F.col("_bangs"), F.col("_quests")
     amp = (F.least(bangs, F.lit(EXCLAMATION_MAX)) * F.lit(EXCLAMATION_STEP)
            + F.when(quests <= 1, F.lit(0.0))
@@ -326,15 +345,15 @@ def classify_rows(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "
 
     A text's score depends on the text alone, so distinct texts are scored once — keyed
     by two independent 64/32-bit hashes and the length (no practical collision), with
-    map-side de-duplication before the shuffle — and joined back to the rows. The scores
-    are read from a written table: the join's inputs are then plain shuffles, which
+    map-side de-duplication before the shuffle — and joined back to the rows. The texts are
+    written, as scoring reads them several times, and the scores are read from a written table: the join's inputs are then plain shuffles, which
     adaptive execution splits where one text holds many rows."""
     key = F.concat_ws(":", F.xxhash64(F.col(text_col)).cast("string"), F.hash(F.col(text_col)).cast("string"),
                       F.length(F.col(text_col)).cast("string"))
     keyed = df.withColumn("_rk", key)
     # (key, text) pairs are distinct exactly when texts are; grouping on both keeps the
     # de-duplication a hash aggregate.
-    texts = keyed.where(F.col(text_col).isNotNull()).select("_rk", text_col).distinct()
+    texts = materialize(keyed.where(F.col(text_col).isNotNull()).select("_rk", text_col).distinct(), "distinct-texts")
     scores = materialize(compound_scores(texts, "_rk", text_col, lexicon, modifiers, phrases), "text-scores")
     return (keyed.drop(text_col).join(scores, "_rk", "left")
                  .withColumn(out, sentiment_class(F.col("compound")))

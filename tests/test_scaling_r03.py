@@ -1,10 +1,13 @@
 """Steps whose work grew faster than the tables."""
 
 import ast
+import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from ludex.operators import joins
+from ludex import schemas
+from ludex.operators import joins, sentiment
 from ludex.plans import catalog as C
 from ludex.sources import bindings as B
 from ludex.sources import literal_lines
@@ -46,3 +49,22 @@ def test_plain_lines_skip_the_literal_parser(monkeypatch):
     monkeypatch.setattr(literal_lines.ast, "literal_eval", lambda x: pytest.fail("not needed"))
     assert literal_lines.literal("{'user_id': u'8', 'items': [{'item_id': \"1\", 'n': None}], 'ok': True}") == {
         "user_id": "8", "items": [{"item_id": "1", "n": None}], "ok": True}
+
+
+def test_long_texts_with_many_phrases_are_scored_without_shuffling_token_lists(spark):
+    """Texts meet their phrases before they are split, and phrases are merged run by run, where
+    every phrase was tested at every token before."""
+    lex = spark.createDataFrame([("fine", 1.0), ("poor", -1.0)], schemas.LEXICON)
+    phrases = spark.createDataFrame([("fine day", "idiom", 2.0), ("day out", "idiom", -1.0), ("out of the", "booster", 0.5)], sentiment.PHRASES)
+    unit = "(Fine) day out of the, poor \"word\" ... fine "
+    df = spark.createDataFrame([(1, unit * 2000), (2, unit.strip()), (3, ""), (4, None)], "i int, text string")
+    scores = sentiment.compound_scores(df, "i", "text", lex, phrases=phrases)
+    got = {r.i: r.compound for r in scores.collect()}
+    # "fine day" 2.0, then "out of the" boosts "poor" away from zero, then "fine".
+    one = 2.0 + (-1.0 - 0.5) + 1.0
+    assert got[2] == pytest.approx(one / math.sqrt(one * one + 15)) and got[3] == 0 and got[4] is None
+    assert got[1] > 0.99
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_m#" not in plan
+    split = next(k for k, line in enumerate(plan.splitlines()) if "split(" in line and "Project" in line)
+    assert any("Join LeftOuter" in line and "_k#" in line for line in plan.splitlines()[split:])
