@@ -64,6 +64,11 @@ _DATE = (f"(?:(?:W[.,]?)?{_DAY_MONTH_YEAR}[.,]*(?:W[.,]?)?|M{_SEP}[yd]|[yd]{_SEP
 _CLOCK = r"(?:C:C(?::C(?:\.F)?)?P?|CP)(?:Z|Z?[-+](?:C:C|o))?"
 _DATE_TEXT = rf"^(?:{_DATE}[.,]*(?:[TJ,-]*{_CLOCK})?[.,]?|{_CLOCK}[J,-]*{_DATE}[.,]*|y\.d|e|kT[dye])$"
 
+# The spellings that the store writes itself: a named month, a day and a year; and without year.
+_MONTH_NAME = "^(?:" + "|".join(MONTHS + SHORT_MONTHS) + ")"
+_PLAIN_DATE = _MONTH_NAME + " [0-9]{1,2}, [0-9]{4}[.]?$"
+_PLAIN_DAY = _MONTH_NAME + " (?:[0-2]?[0-9]|3[01])[.]?$"
+
 
 def _once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: a lambda variable, not an expression that
@@ -96,6 +101,8 @@ def parse_mixed_dates(c: Column) -> Column:
       quarter's first day.
 
     Clocks must be possible times and are dropped, as is the offset: the date is local.
+    The store's own spellings (``November 5, 2011.``, and the same without a year) are read at
+    once, with the grammar's result.
     Dates outside the source's representable range give null. Not read: six-digit dates,
     clocks without a date, zone names but UTC and GMT."""
     def parsed(tokens: Column) -> Column:
@@ -104,10 +111,20 @@ def parse_mixed_dates(c: Column) -> Column:
             kinds = F.regexp_replace(kinds, pattern, role)
         return _once(kinds, lambda k: F.when(k.rlike(_DATE_TEXT), _slots(tokens, k)))
 
-    d = _once(F.regexp_extract_all(F.lower(c), F.lit(_DATE_TOKEN), F.lit(1)), parsed)
+    low = F.lower(c)
+    d = (F.when(low.rlike(_PLAIN_DATE), _plain_date(low)).when(~low.rlike(_PLAIN_DAY), _once(
+        F.regexp_extract_all(low, F.lit(_DATE_TOKEN), F.lit(1)), parsed)))
     return F.when(d.between(F.lit(DATE_MIN).cast("date"), F.lit(DATE_MAX).cast("date")), d)
 
 
+def _plain_date(low: Column) -> Column:
+    """The date of a lower-cased text like ``november 5, 2011.``"""
+    month = (F.instr(F.lit("".join(SHORT_MONTHS)), F.substring(low, 1, 3)) + 2) / 3
+    parts = (F.substring(F.split_part(low, F.lit(" "), F.lit(3)), 1, 4), month.cast("int").cast("string"),
+             F.rtrim(F.split_part(low, F.lit(" "), F.lit(2)), F.lit(",")))
+    return F.concat_ws("-", *parts).try_cast("date")
+
+
 def _slots(tokens: Column, kinds: Column) -> Column:
     """The date of tokens whose kinds match the grammar."""
     of = lambda letters: F.filter(tokens, lambda t, i: F.lit(letters).contains(F.substr(kinds, i + 1, F.lit(1))))

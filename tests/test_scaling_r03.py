@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ludex import schemas
+from ludex.functions import clean
 from ludex.operators import joins, sentiment
 from ludex.plans import catalog as C
 from ludex.sources import bindings as B
@@ -68,3 +69,14 @@ def test_long_texts_with_many_phrases_are_scored_without_shuffling_token_lists(s
     assert "filter(_m#" not in plan
     split = next(k for k, line in enumerate(plan.splitlines()) if "split(" in line and "Project" in line)
     assert any("Join LeftOuter" in line and "_k#" in line for line in plan.splitlines()[split:])
+
+
+def test_plain_dates_read_like_the_grammar(spark):
+    """The store's own spellings take a short way; a blank more sends them through the grammar."""
+    names = [m for m in clean.MONTHS + clean.SHORT_MONTHS]
+    texts = [f"{m.capitalize()} {d}{y}" for m in names for d in ("0", "00", "1", "05", "29", "30", "31", "32", "45") for y in ("", ".", ", 2011", ", 2011.", ", 0000", ", 1600.", ", 9999")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", clean.parse_mixed_dates(F.col("t")).alias("a"), clean.parse_mixed_dates(F.concat(F.lit(" "), "t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(r.a is not None for r in got) > 300
+    plan = df.select(clean.parse_mixed_dates(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert clean._PLAIN_DATE in plan
