@@ -8,7 +8,7 @@ earlier in the same one) is removed. Strings never cross documents.
    of a string meet under one anchor; the strings of one anchor position start in one run.
    Anchors met once in the corpus hold no repeat and stop there.
 2. Copies. Of equal whole texts all but the first lose everything (a text of 100 bytes or
-   more is covered by its strings). Runs of equal bytes (64-bit hash of the run besides that
+   more is covered by its strings) and are not filed: the first has all their strings. Runs of equal bytes (64-bit hash of the run besides that
    of its anchor) are pre-aggregated: the earliest stands for them, and all strings of the
    others repeat. Equality rests on 128 bits of hash there: for n runs two different ones are
    taken as equal with a probability under n^2 / 2^129 (10^-15 for 10^12 runs).
@@ -416,11 +416,9 @@ def usual_runs(rows: DataFrame) -> DataFrame:
                    .select("id", "dup", "fp", F.lit(0).alias("shard"), "shards", "first", "size", (F.col("at") > 1).alias("copy")))
 
 
-def hot_runs(rows: DataFrame, later: DataFrame) -> DataFrame:
-    """The same for anchors with more runs, from a written table, without the runs of later
-    whole copies: counted with map-side combine, and joined back, so that a hot anchor or run
-    can be split."""
-    rows = rows.join(later, ["id", "dup"], "left_anti")
+def hot_runs(rows: DataFrame) -> DataFrame:
+    """The same for anchors with more runs, from a written table: counted with map-side
+    combine, and joined back, so that a hot anchor or run can be split."""
     rows = materialize(rows, "hot-runs")
     first = rows.groupBy("fp", "run").agg(F.min(F.struct("id", "dup", "first")).alias("stands"))
     first = materialize(first, "standing-runs")
@@ -456,7 +454,8 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
     ship_package(docs.sparkSession)
     d = keyed(docs)
     later = later_copies(d)
-    anchors = file_anchors(d)
+    # All strings of a later whole copy stand in the first one: none of them is anyone's earliest.
+    anchors = file_anchors(d.join(later, ["id", "dup"], "left_anti"))
     common = (anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                      .select("fp", F.ceil(F.col("n") / shard_runs).cast("int").alias("shards")))
     common = materialize(common, "common-anchors")
@@ -464,7 +463,7 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
     rows = anchors.join(common, "fp")
     if most > 1:
         rows = materialize(rows, "common-runs")
-        runs = usual_runs(rows.where("shards = 1")).unionByName(hot_runs(rows.where("shards > 1"), later))
+        runs = usual_runs(rows.where("shards = 1")).unionByName(hot_runs(rows.where("shards > 1")))
     else:
         runs = usual_runs(rows)
     # One shuffle of the (packed) texts, and one of the runs, serve both joins below.

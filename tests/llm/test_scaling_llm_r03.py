@@ -2,7 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from ludex.llm import line_templates
+from ludex.llm import line_templates, suffix_dedup
+
+
+def test_later_whole_copies_are_not_filed(spark, monkeypatch):
+    """A hot anchor's runs of copies were filed, joined and dropped again."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, words), (1, words), (9, words), (3, words + " more"), (None, "short"), (7, "short"), (9, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    filed, plain = [], suffix_dedup.file_anchors
+    monkeypatch.setattr(suffix_dedup, "file_anchors", lambda d: filed.append(d) or plain(d))
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs, shard_runs=2).collect()}
+    n = len(words)
+    assert got == {(5, n, n, 1), (1, n, 0, 0), (9, n, n, 1), (3, n + 5, n, 1), (None, 5, 0, 0), (7, 5, 0, 0)}
+    assert sorted(r.id for r in filed[0].select("id").collect()) == [suffix_dedup.NO_ID, 1, 3]
 
 
 def test_leaves_are_counted_without_the_lines(spark):
