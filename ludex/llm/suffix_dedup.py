@@ -417,15 +417,15 @@ def usual_runs(rows: DataFrame) -> DataFrame:
 
 
 def hot_runs(rows: DataFrame) -> DataFrame:
-    """The same for anchors with more runs, from a written table: counted with map-side
-    combine, and joined back, so that a hot anchor or run can be split."""
+    """The same for anchors with more runs, from a written table, without a join or window
+    that a hot anchor or run could fill: every run is given as a ``copy``, and the earliest of
+    each run, found with map-side combine, once more as one that stands. ``dedup`` drops a
+    document's copy where the same run stands."""
     rows = materialize(rows, "hot-runs")
-    first = rows.groupBy("fp", "run").agg(F.min(F.struct("id", "dup", "first")).alias("stands"))
-    first = materialize(first, "standing-runs")
+    first = rows.groupBy("fp", "run").agg(F.min(F.struct("id", "dup", "first", "size", "shards")).alias("stands"))
     shard = F.pmod(F.xxhash64("id", "dup", "first"), F.col("shards")).cast("int")
-    return (rows.join(first, ["fp", "run"])
-                .select("id", "dup", "fp", shard.alias("shard"), "shards", "first", "size",
-                        (F.col("stands") != F.struct("id", "dup", "first")).alias("copy")))
+    return (rows.withColumn("copy", F.lit(True)).unionByName(first.select("fp", "run", "stands.*", F.lit(False).alias("copy")))
+                .select("id", "dup", "fp", shard.alias("shard"), "shards", "first", "size", "copy"))
 
 
 def later_copies(d: DataFrame) -> DataFrame:
@@ -516,7 +516,9 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
                     out.append((len(raw), len(raw), 1, hashlib.sha256().hexdigest()))
                     continue
                 gone = [(g["lo"], g["hi"]) for g in batch.column(3)[i].as_py() or []]
-                gone += [(g["first"], g["first"] + g["size"] + LENGTH - 1) for g in batch.column(2)[i].as_py() or [] if g["copy"]]
+                runs = batch.column(2)[i].as_py() or []
+                stands = {g["first"] for g in runs if not g["copy"]}
+                gone += [(g["first"], g["first"] + g["size"] + LENGTH - 1) for g in runs if g["copy"] and g["first"] not in stands]
                 kept, spans, done, removed = hashlib.sha256(), 0, 0, 0
                 for lo, hi in sorted(gone):
                     if lo > done or (lo == 0 and not spans):

@@ -28,3 +28,25 @@ def test_leaves_are_counted_without_the_lines(spark):
     plan = leaves._jdf.queryExecution().optimizedPlan().toString()
     assert "chars" not in plan and "line_no" not in plan
     assert docs.select(F.size(line_templates.masked_tokens(F.lit(" a  b1 c@x "))).alias("n")).first().n == 3
+
+
+def test_hot_runs_are_marked_without_a_join(spark):
+    """Hot runs were joined with the runs that stand: one row for every copy."""
+    rows = [(fp, run, doc, 0, first, 7, 3) for fp in (1, 2) for run in (10, 11) for doc in range(20) for first in (run, run + 50 * fp)]
+    frame = spark.createDataFrame(rows + rows[:5], "fp long, run long, id long, dup int, first long, size int, shards int")
+    found = suffix_dedup.hot_runs(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    got = set(map(tuple, found.select("fp", "id", "first", "size", "copy").collect()))
+    stands = {(fp, 0, run, 7, False) for fp in (1, 2) for run in (10, 11)}
+    assert got == stands | {(fp, doc, first, 7, True) for fp, _, doc, _, first, _, _ in rows}
+
+
+def test_hot_runs_lose_the_same_bytes(spark):
+    """Near copies and a common passage under hot anchors: as under usual ones."""
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, f"{' '.join(f'own{i}x{j}' for j in range(30))} {passage} end{i} " + (passage if i % 3 == 0 else "")) for i in range(30)]
+    rows += [(100 + i, passage[i:] + f" tail{i} " + passage) for i in range(10)] + [(None, passage), (5, passage + " other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sorted(map(str, suffix_dedup.dedup(docs, shard_runs=n).collect())) for n in (2, 10 ** 6))
+    assert few == many
