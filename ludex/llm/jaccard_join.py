@@ -4,9 +4,10 @@ A document's set: its distinct 5-word shingles (ASCII lower case; fewer words: t
 sequence as one). Documents link at a Jaccard similarity of ``PERCENT`` / 100 or more.
 
 Prefixes. Tokens have one global order: level, then hash. A first pass counts, exactly, how
-many documents hold a token among their least hashes; tokens held often get the level of that
-count (in ``CELLS`` cells by hash, each with its highest level), all others level 0, so what
-many documents share comes last. If two sets are similar enough, their prefixes of
+many documents hold a token in their longest prefix by hash, a second one how many hold it
+where that prefix reaches as tokens of the first go back; tokens held often get the level of
+the higher count (in ``CELLS`` cells by hash, each with its highest level), all others level 0,
+so what many documents share comes last. If two sets are similar enough, their prefixes of
 ``n - ceil(t n) + l`` tokens share at least ``l``. Each document picks the ``l`` with the
 least estimated cost (entries its prefix meets, and the candidates that can meet it ``l``
 times, each to be verified); a pair is verified only if it shares the smaller ``l`` of the
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ludex.llm import text as X
@@ -52,6 +53,8 @@ WIDTH = 5
 PERCENT = 80
 CELLS = 1 << 20             # cells of the level table: one byte each, whatever the input
 OFTEN = 16                  # documents that hold a token before it has a level
+CLASS_CELLS = 1 << 22       # bits that tell which prefixes to join with the classes
+HOT_LEVEL = 14              # level of tokens whose rows are not gathered in one task
 MAX_MATCH = 8               # largest l tried by the cost model
 VERIFY_COST = 0.05          # cost of verifying, per token of the set, in prefix entries
 CHANCE = 0.25               # holders that a token without level has by chance
@@ -74,24 +77,74 @@ def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[
         yield part, [np.unique(v) for v in np.split(values[order], cut)]
 
 
-def token_levels(docs: DataFrame) -> np.ndarray:
-    """Per cell the level of its tokens: the bits of the highest count among them, 0 below
-    ``OFTEN``. Counted are the documents that hold a token among their ``n - ceil(t n) + 1``
-    least hashes; every token that prefixes could meet often is among these often."""
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two order-free hashes of a set, as signed 64-bit numbers."""
+    return (int(X.mix(s).sum(dtype=np.uint64).astype(np.int64)),
+            int(X.mix(s * _U(0xD6E8FEB86659FD93) + _U(1)).sum(dtype=np.uint64).astype(np.int64)))
+
+
+def longest_prefix(n: int) -> int:
+    """Tokens of the longest prefix that the cost model may choose for ``n`` tokens."""
+    need = -(-PERCENT * n // 100)
+    return n - need + min(MAX_MATCH, need)
+
+
+def reach(n: int, back: int) -> int:
+    """How many of ``n`` tokens by hash the longest prefix comes to take from if ``back`` of its
+    first ones go back. Hashes are even, so that share is expected of the next ones too."""
+    size = longest_prefix(n)
+    if back == size:
+        return n
+    return min(n, size + -(-5 * size * back // (4 * (size - back))))        # a quarter more than expected
+
+
+def raised(levels: np.ndarray, tokens: DataFrame) -> np.ndarray:
+    """The level table, raised to the bits of the highest sum of ``n`` among each cell's tokens
+    where that is at least ``OFTEN``."""
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    levels = levels.copy()
+    for r in counts.groupBy(cell.alias("cell")).agg(F.max("n").alias("n")).collect():       # at most CELLS rows
+        levels[r.cell] = max(levels[r.cell], min(63, int(r.n).bit_length()))
+    return levels
+
+
+def first_levels(docs: DataFrame) -> np.ndarray:
+    """The levels by the documents that hold a token in their longest prefix by hash alone."""
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in document_sets(batch):
                 if sets:
-                    tokens, n = np.unique(np.concatenate([s[:len(s) + 1 - -(-PERCENT * len(s) // 100)] for s in sets]), return_counts=True)
+                    tokens, n = np.unique(np.concatenate([s[:longest_prefix(len(s))] for s in sets]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(least, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    rows = counts.groupBy(cell.alias("cell")).agg(F.max("n").alias("n")).collect()          # at most CELLS rows
-    levels = np.zeros(CELLS, dtype=np.uint8)
-    for r in rows:
-        levels[r.cell] = min(63, int(r.n).bit_length())
-    return levels
+    return raised(np.zeros(CELLS, dtype=np.uint8), docs.select("text").mapInArrow(least, "token long, n long"))
+
+
+def set_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, late) of every row; h1 and h2 tell sets apart. ``late`` are
+    the tokens that may come into its prefix as others went back by ``levels``: they were not
+    counted yet."""
+    raw_levels = levels.tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("late", pa.list_(pa.int64()))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level_of = np.frombuffer(raw_levels, dtype=np.uint8)
+        for batch in batches:
+            for part, sets in document_sets(batch):
+                n, h1, h2, late = [], [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    a, b = set_hashes(s)
+                    h1.append(a)
+                    h2.append(b)
+                    size = longest_prefix(len(s))
+                    back = np.count_nonzero(level_of[(s[:size] % _U(CELLS)).astype(np.int64)])
+                    late.append(s[size:reach(len(s), back)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(
+                    (n, h1, h2, late), list(schema)[1:], strict=True))], schema=schema)
+
+    return docs.mapInArrow(build, "doc_id long, n_shingles long, h1 long, h2 long, late array<long>")
 
 
 def choose_prefix(tokens: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
@@ -108,36 +161,59 @@ def choose_prefix(tokens: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
     return best, base + best
 
 
-def prefix_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, need, prefix) of every row; h1 and h2 tell sets apart."""
-    raw_levels = levels.tobytes()
+def class_cells(classes: DataFrame) -> np.ndarray:
+    """A bit per cell of h1, set where a class of equal sets lies: ``CLASS_CELLS`` bits,
+    whatever the number of classes."""
+    cell = F.col("h1").bitwiseAND(F.lit(CLASS_CELLS - 1))
+    words = classes.groupBy(F.shiftright(cell, 3).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1, int(h1 & 7))")).alias("bits")).collect()           # at most CLASS_CELLS / 8 rows
+    cells = np.zeros(CLASS_CELLS // 8, dtype=np.uint8)
+    for r in words:
+        cells[r.at] = r.bits
+    return cells
+
+
+def prefix_table(docs: DataFrame, levels: np.ndarray, cells: np.ndarray) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, need, prefix, copied) of every row with a set; ``copied``
+    is false where no other document can have an equal set."""
+    raw_levels, raw_cells = levels.tobytes(), cells.tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("need", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+                        ("need", pa.int32()), ("prefix", pa.list_(pa.int64())), ("copied", pa.bool_())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = np.frombuffer(raw_levels, dtype=np.uint8)
+        level_of, held = np.frombuffer(raw_levels, dtype=np.uint8), np.frombuffer(raw_cells, dtype=np.uint8)
         for batch in batches:
             for part, sets in document_sets(batch):
-                n, h1, h2, need, prefix = [], [], [], [], []
-                for s in sets:
-                    n.append(len(s))
-                    h1.append(int(X.mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    h2.append(int(X.mix(s * _U(0xD6E8FEB86659FD93) + _U(1)).sum(dtype=np.uint64).astype(np.int64)))
-                    if not len(s):
-                        need.append(0)
-                        prefix.append(None)
+                rows = []
+                for doc, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                    if doc is None or not len(s):
                         continue
                     level = level_of[(s % _U(CELLS)).astype(np.int64)]
                     tokens = (level.astype(np.uint64) << _U(58)) | (s >> _U(6))
                     tokens.sort()
                     weight = 2.0 ** (tokens >> _U(58)).astype(float) - 1 + CHANCE
                     match, size = choose_prefix(tokens, weight)
-                    need.append(match)
-                    prefix.append(tokens[:size].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(
-                    (n, h1, h2, need, prefix), list(schema)[1:], strict=True))], schema=schema)
+                    h1, h2 = set_hashes(s)
+                    cell = h1 & (CLASS_CELLS - 1)
+                    rows.append((doc, len(s), h1, h2, match, tokens[:size].view(np.int64), bool(held[cell >> 3] >> (cell & 7) & 1)))
+                cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(build, "doc_id long, n_shingles long, h1 long, h2 long, need int, prefix array<long>, copied boolean")
+
 
-    return docs.mapInArrow(build, "doc_id long, n_shingles long, h1 long, h2 long, need int, prefix array<long>")
+def shared_entries(reps: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(token, doc_id, n_shingles, need) of the prefix tokens that two rows or more hold: one
+    shuffle of all. Tokens of a level from ``HOT_LEVEL`` on are counted with map-side combine
+    and joined back from written tables, so that a hot one can be split."""
+    rows = reps.select(F.explode("prefix").alias("token"), "doc_id", "n_shingles", "need")
+    hot = F.shiftrightunsigned("token", 58) >= HOT_LEVEL
+    usual = rows.where(~hot).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1").drop("n")
+    if int(levels.max()) < HOT_LEVEL:
+        return usual
+    often = materialize(rows.where(hot), "hot-entries")
+    shared = materialize(often.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared-hot-tokens")
+    return usual.unionByName(often.join(shared, "token"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,20 +262,22 @@ def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(prefix_table(docs, token_levels(docs)), "prefixes")
-    real = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    levels = first_levels(docs)
+    sets = materialize(set_table(docs, levels), "sets")
+    levels = raised(levels, sets.select(F.explode("late").alias("token"), F.lit(1).alias("n")))
+    real = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).drop("late")
     # Equal sets: one class, represented by its smallest document.
     classes = (real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
                    .where("n > 1").select("h1", "h2", "n_shingles", "rep"))
     classes = materialize(classes, "classes")
     member = materialize(real.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id <> rep")
                              .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "class-links")
-    reps = real.join(classes, ["h1", "h2", "n_shingles"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
-    reps = reps.select("doc_id", "n_shingles", "need", "prefix")
-    shared = materialize(reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-                             .where("n > 1").select("token"), "shared-tokens")
-    entries = reps.select("doc_id", "n_shingles", "need", F.explode("prefix").alias("token"))
-    entries = materialize(entries.join(shared, "token"), "entries")
+    # Only prefixes of sets that may have an equal one are joined with the classes.
+    prefixes = materialize(prefix_table(docs, levels, class_cells(classes)), "prefixes")
+    first = prefixes.where("copied").join(classes, ["h1", "h2", "n_shingles"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
+    columns = ["doc_id", "n_shingles", "need", "prefix"]
+    reps = prefixes.where("not copied").select(columns).unionByName(first.select(columns))
+    entries = materialize(shared_entries(reps, levels), "entries")
     pairs = materialize(leader_pairs(entries), "leader-pairs")
     led = materialize(verified(pairs.where("shared >= enough").select("a", "b"), docs), "leader-links")
     links = member.unionByName(led).unionByName(linked_in_blocks(entries, groups_of(entries, pairs, led), docs))

@@ -1,8 +1,12 @@
 """Training-data steps whose work grew faster than it must."""
 
+import collections
+
+import pytest
 from pyspark.sql import functions as F
 
-from ludex.llm import line_templates, suffix_dedup
+from ludex.llm import jaccard_join, line_templates, suffix_dedup
+from tests.llm.test_corpus import brute_components, jaccard_rows
 
 
 def test_later_whole_copies_are_not_filed(spark, monkeypatch):
@@ -50,3 +54,48 @@ def test_hot_runs_lose_the_same_bytes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     few, many = (sorted(map(str, suffix_dedup.dedup(docs, shard_runs=n).collect())) for n in (2, 10 ** 6))
     assert few == many
+
+
+def written_by(monkeypatch) -> dict:
+    """The tables that the Jaccard join writes, by name."""
+    written, plain = {}, jaccard_join.materialize
+
+    def keep(df, name, **options):
+        written[name] = plain(df, name, **options)
+        return written[name]
+
+    monkeypatch.setattr(jaccard_join, "materialize", keep)
+    return written
+
+
+def test_common_passage_does_not_reach_prefixes(spark, monkeypatch):
+    """Tokens that come into prefixes because others went back had no level, however many
+    documents held them, and met every document with the passage."""
+    written = written_by(monkeypatch)
+    passage = " ".join(f"common{i}" for i in range(90))
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(100)) + " " + passage) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.join_components(docs).collect()} == {(i, i) for i in range(200)}
+    held = collections.Counter(r.token for r in written["entries"].collect())
+    assert max(held.values(), default=0) < 2 * jaccard_join.OFTEN
+
+
+@pytest.mark.parametrize(("hot", "cells", "often"), [(1, 8, 2), (5, 1 << 22, 2), (14, 8, 16)])
+def test_jaccard_ways_of_hot_tokens_and_copies_agree(spark, monkeypatch, hot, cells, often):
+    for name, value in (("HOT_LEVEL", hot), ("CLASS_CELLS", cells), ("OFTEN", often)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    written = written_by(monkeypatch)
+    rows = [r for r in jaccard_rows() if r[0] is not None]
+    got = jaccard_join.join_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    assert ("hot-entries" in written) == (hot < 14)
+
+
+def test_prefixes_of_single_sets_are_not_joined(spark, monkeypatch):
+    """All prefixes were shuffled twice to find those of equal sets."""
+    written = written_by(monkeypatch)
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[3].upper()), (101, texts[7]), (7, texts[7]), (102, ""), (None, texts[9])]
+    jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in written["prefixes"].where("copied").collect()} == {3, 7, 100, 101}
+    assert written["prefixes"].count() == 33
