@@ -25,19 +25,19 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ludex.llm.cache import TwoGenerationCache
 from ludex.llm.text import LOWER, slices
 from ludex.session import materialize, ship_package
 
 CAPACITY = 2048
 EOS = 1
 GROUP_DOCS = 4096
-CACHE_ENTRIES = 600_000          # per generation
+CACHE_ENTRIES = 300_000
 CACHE_CHUNK_CHARS = 64           # bytes of a chunk that is kept
-SLICE = 4 << 20                  # text bytes tokenized at once
+SLICE = 2 << 20                  # text bytes tokenized at once
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -68,11 +68,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     if n > 2:
         cut[1:-1] |= _STOP[data[1:-1]] & _SMALL[data[:-2]] & _BLANK[data[2:]] & ~edge[1:-2] & ~edge[2:-1]
     starts = np.flatnonzero(solid & cut)
-    before = np.concatenate([[0], np.cumsum(solid)])
-    begins = np.append(before[starts], before[-1]).astype(np.int64)
+    sizes = np.add.reduceat(solid, starts, dtype=np.int64) if len(starts) else []
+    begins = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
     kept, low = data[solid], LOWER[data[solid]]
-    marked = np.concatenate([[0], np.cumsum(_SPECIAL[kept])])
-    special = marked[begins[1:]] > marked[begins[:-1]]
+    special = np.zeros(len(starts), dtype=bool)
+    special[np.searchsorted(begins, np.flatnonzero(_SPECIAL[kept]), side="right") - 1] = True
     if special.any():
         same = np.repeat(special, np.diff(begins))
         low[same] = kept[same]
@@ -81,6 +81,36 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return found, np.searchsorted(offsets, starts, side="right") - 1
 
 
+class ChunkCache:
+    """Ids of chunks met before, least lately met last, as two Arrow arrays: some 40 bytes
+    an entry, where a dict of ``bytes`` takes 200. It is renewed once a slice."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.keys = pa.array([], pa.large_binary())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
+
+    def find(self, wanted: pa.Array) -> pa.Array:
+        """Place of each wanted chunk in the cache, null where it has none."""
+        return pc.index_in(wanted, value_set=self.keys)
+
+    def renew(self, met: pa.Array, ids: pa.Array, places: pa.Array) -> None:
+        """Put the chunks just met (with ``find``'s places) before all others, and let go
+        what is over the bound."""
+        short = pc.less_equal(pc.binary_length(met), CACHE_CHUNK_CHARS)
+        met, ids = met.filter(short), ids.filter(short)
+        rest = np.ones(len(self.keys), dtype=bool)
+        rest[places.drop_null().to_numpy()] = False
+        rest = np.flatnonzero(rest)[:max(self.entries - len(met), 0)]
+        self.keys = pa.concat_arrays([met[:self.entries], self.keys.take(pa.array(rest))])
+        self.ids = pa.concat_arrays([ids[:self.entries], self.ids.take(pa.array(rest))])
+
+
+def _lists(values: np.ndarray | list, sizes: np.ndarray | list) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.asarray(values, dtype=np.uint32)))
+
+
 class ChunkTokenizer:
     """Ids of texts through a cache of space-separated chunks: a slice of rows is cut into
     chunks at once, only its distinct chunks are looked up, and their ids are gathered. Exact for tokenizers whose pre-tokenizer drops white space: no token, and no
@@ -100,44 +130,40 @@ class ChunkTokenizer:
         alone = [self.MARK, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         if not all(any(_SPECIAL[b] for b in a.encode()) for a in alone):
             raise ValueError(f"a special string of {path} could arise from small letters")
-        self.alone = re.compile("|".join(map(re.escape, alone)))
-        self.cache = TwoGenerationCache(CACHE_ENTRIES)
+        self.alone = re.compile(b"|".join(re.escape(a.encode()) for a in alone))
+        self.cache = ChunkCache(CACHE_ENTRIES)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _lookup(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        joined = []
-        for c in missing:
-            text = c.decode()
-            if self.alone.search(text):
-                out[c] = self._encode(text).tobytes()
-            else:
-                joined.append(text)
-        for lo in range(0, len(joined), 5_000):
-            part = joined[lo:lo + 5_000]
-            ids = self._encode(f" {self.MARK} ".join(part))
-            raw, start = ids.tobytes(), 0
-            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            for c, end in zip(part, ends, strict=True):
-                out[c.encode()] = raw[4 * start:4 * end]
-                start = end + 1
-        return out
+    def _lookup(self, missing: pa.Array) -> pa.Array:
+        """The ids of each chunk, by the library."""
+        lists, places = [_lists([], [])], []
+        for lo in range(0, len(missing), 5_000):
+            part = missing[lo:lo + 5_000].to_pylist()
+            alone = [i for i, c in enumerate(part) if self.alone.search(c)]
+            joined = np.setdiff1d(np.arange(len(part)), alone)
+            if len(joined):
+                ids = self._encode(f" {self.MARK} ".join([part[i].decode() for i in joined.tolist()]))
+                marks = np.flatnonzero(ids == self.mark[0])
+                if len(marks) != len(joined) - 1:
+                    raise ValueError("a chunk's ids hold the mark")
+                lists.append(_lists(ids[ids != self.mark[0]], np.diff(marks, prepend=-1, append=len(ids)) - 1))
+            each = [self._encode(part[i].decode()) for i in alone]
+            lists.append(_lists(np.concatenate(each) if each else [], [len(x) for x in each]))
+            places += [lo + joined, lo + np.asarray(alone, dtype=np.int64)]
+        return pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(places)) if places else [], pa.int64()))
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and where each row's ids begin (one more at the end)."""
         found, row = chunks(data, offsets)
         coded = found.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        now = self._lookup(self.cache.missing(distinct))
-        young = self.cache.young
-        parts = [now[c] if c in now else young[c] for c in distinct]
-        young.update((c, b) for c, b in now.items() if len(c) <= CACHE_CHUNK_CHARS)
-        self.cache.renew()
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<u4")))
+        places = self.cache.find(coded.dictionary)
+        missing = pc.is_null(places)
+        new = self._lookup(coded.dictionary.filter(missing))
+        order = np.cumsum(missing.to_numpy(zero_copy_only=False)) - 1 + len(self.cache.ids)
+        lists = pa.concat_arrays([self.cache.ids, new]).take(pc.coalesce(places.cast(pa.int64()), pa.array(order)))
+        self.cache.renew(coded.dictionary, lists, places)
         taken = lists.take(coded.indices)
         first = np.searchsorted(row, np.arange(len(offsets)))            # chunks before each row
         at = taken.offsets.to_numpy()
@@ -182,6 +208,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, eos: int) -> DataFrame
                         for col, v in zip(cols, (doc, start, size, crc, n, deal), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id()).alias("deal"))

@@ -6,10 +6,12 @@ import base64
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,6 +120,33 @@ def test_packing_spreads_equal_rows_over_groups(spark):
     assert max(n for (i, full, _), n in groups.items() if i == 8 and full) < 20
 
 
+def test_chunk_cache_takes_little_memory():
+    tok = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    raw = np.frombuffer(" ".join(f"{rng.getrandbits(28):x}" for _ in range(60_000)).encode(), dtype=np.uint8)
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        tok.rows(raw, np.array([0, len(raw)]))
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 60_000 * 100
+
+
+def test_chunk_cache_is_bounded_and_exact(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 50)
+    tok = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    for k in range(40):
+        special = ["<|endoftext|>", "a|b", "|", "x" * 80, "É<S>", "end. Of"]
+        text = " ".join([X.prose(rng, 30), *rng.sample(special, k % 4), X.prose(rng, 3)]) if k % 9 else " \n"
+        want = tok.tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tok.ids(text), dtype="<u4").tolist() == want
+        assert len(tok.cache.keys) == len(tok.cache.ids) <= 50
+    assert tok.ids("") == b""
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing_matches_plain_search(lengths):
