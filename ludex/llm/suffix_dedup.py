@@ -51,6 +51,8 @@ GRAM = 24
 SHARD_RUNS = 4096            # runs of one anchor in one shard
 CHUNK_BYTES = 1 << 20        # shards are sorted together up to this many bytes
 BATCH_ROWS = 20_000          # rows of a result batch
+SCAN_BYTES = 1 << 17         # text scanned for anchors at once: its arrays stay in the processor's cache
+SEGMENT_BYTES = 4 << 20      # run bytes of a batch
 _BITS = 21                   # positions of a chunk
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -59,16 +61,13 @@ _U = np.uint64
 # ------------------------------------------------------------------------- anchors
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values: block-wise running minima from both
-    sides, two passes whatever the width."""
-    n = len(values)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[:n] = values
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n - width + 1], ahead[width - 1:n])
+    """Minimum of each ``width`` consecutive values, by windows of doubling width."""
+    known = 1
+    while known < width:
+        step = min(known, width - known)
+        values = np.minimum(values[:-step], values[step:])
+        known += step
+    return values
 
 
 def anchor_runs(data: np.ndarray, prefix: np.ndarray, length: int = LENGTH,
@@ -79,7 +78,7 @@ def anchor_runs(data: np.ndarray, prefix: np.ndarray, length: int = LENGTH,
         z = np.zeros(0, dtype=np.int64)
         return z.astype(np.uint64), z, z, z
     at = np.arange(len(data) - gram + 1)
-    hashes = X.span_hash(prefix, at, at + gram)
+    hashes = X.window_hash(prefix, gram)
     low = _U((1 << _BITS) - 1)
     packed = (hashes & ~low) | (low - at.astype(np.uint64))
     least = sliding_min(packed, length - gram + 1)
@@ -101,7 +100,7 @@ def file_anchors(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in X.slices(batch, limit=1 << 19):
+            for part, data, offsets in X.slices(batch, limit=SCAN_BYTES):
                 ids, dups = part.column(0).to_numpy(), part.column(1).to_numpy()
                 if part.num_rows == 1:        # one text, perhaps a very long one
                     cuts = [(lo, data[lo:hi], np.array([0, hi - lo])) for lo, hi in pieces(len(data), 1 << 20)]
@@ -449,6 +448,89 @@ def packed(d: DataFrame) -> DataFrame:
     return d.select("id", "dup", "doc_id", "text").mapInArrow(pack, "id long, dup int, doc_id long, text binary")
 
 
+def listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of a list column: the row of each element, and the elements (a null list has none)."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, dup, packed text, runs): the bytes of the runs that stand, in batches of
+    about ``SEGMENT_BYTES``."""
+    schema = pa.schema([("fp", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("id", pa.int64()),
+                        ("dup", pa.int32()), ("first", pa.int64()), ("bytes", pa.binary())])
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        row, runs = listed(batch.column(3))
+        stands = pc.invert(runs.field("copy"))
+        row, runs = row[stands.to_numpy(zero_copy_only=False)], runs.filter(stands)
+        first, size = runs.field("first").to_numpy().tolist(), runs.field("size").to_numpy().tolist()
+        bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        parts, size_now, lo = [], 0, 0
+        for i in range(batch.num_rows):
+            if bounds[i] < bounds[i + 1]:
+                raw = unpack.decompress(batch.column(2)[i].as_buffer())
+                parts += [raw[first[j]:first[j] + size[j] + LENGTH - 1] for j in range(bounds[i], bounds[i + 1])]
+                size_now += len(raw)
+            if parts and (size_now > SEGMENT_BYTES or i + 1 == batch.num_rows):
+                at, now = row[lo:lo + len(parts)], runs.slice(lo, len(parts))
+                yield pa.RecordBatch.from_arrays(
+                    [now.field("fp"), now.field("shard"), now.field("shards"), batch.column(0).take(pa.array(at)),
+                     batch.column(1).take(pa.array(at)), now.field("first"), pa.array(parts, pa.binary())], schema=schema)
+                lo += len(parts)
+                parts, size_now = [], 0
+
+
+def united(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) of the maximal byte spans covered, by row and place."""
+    key = (row << 32) + lo
+    order = np.argsort(key)
+    key, reach = key[order], np.maximum.accumulate(((row << 32) + hi)[order])
+    new = np.concatenate([[True], key[1:] > reach[:-1]])[:len(key)]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(key))[:len(starts)] - 1
+    low = (1 << 32) - 1
+    return key[starts] >> 32, key[starts] & low, reach[ends] & low
+
+
+def removed(runs: pa.Array, gone: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans to remove of each row: copies that do not stand in the document itself, and
+    the repeats that shards and merges found."""
+    row, run = listed(runs)
+    first, copy = run.field("first").to_numpy(), run.field("copy").to_numpy(zero_copy_only=False)
+    place = (row << 32) + first
+    late = copy & ~np.isin(place, place[~copy])
+    more, span = listed(gone)
+    return united(np.concatenate([row[late], more]), np.concatenate([first[late], span.field("lo").to_numpy()]),
+                  np.concatenate([first[late] + run.field("size").to_numpy()[late] + LENGTH - 1, span.field("hi").to_numpy()]))
+
+
+def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, packed text, runs, gone, later): the result of each."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        row, lows, highs = removed(batch.column(2), batch.column(3))
+        bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        lows, highs, later = lows.tolist(), highs.tolist(), batch.column(4).to_pylist()
+        out = []
+        for i in range(batch.num_rows):
+            raw = unpack.decompress(batch.column(1)[i].as_buffer())
+            if later[i] and len(raw) >= LENGTH:      # the whole text stands earlier
+                out.append((len(raw), len(raw), 1, hashlib.sha256().hexdigest()))
+                continue
+            kept, done, gone = hashlib.sha256(), 0, 0
+            for j in range(bounds[i], bounds[i + 1]):
+                kept.update(raw[done:lows[j]])
+                done = highs[j]
+                gone += done - lows[j]
+            kept.update(raw[done:])
+            out.append((len(raw), gone, bounds[i + 1] - bounds[i], kept.hexdigest()))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     ship_package(docs.sparkSession)
@@ -471,28 +553,9 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
     wanted = (runs.groupBy("id", "dup").agg(F.collect_set(F.struct("fp", "shard", "shards", "first", "size", "copy")).alias("runs"))
                   .select(F.col("id").alias("id2"), F.col("dup").alias("dup2"), "runs"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("fp", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("id", pa.int64()),
-                            ("dup", pa.int32()), ("first", pa.int64()), ("bytes", pa.binary())])
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = batch.column(3).slice(i, 1).flatten()
-                found = found.filter(pc.invert(found.field("copy")))
-                n = len(found)
-                if not n:
-                    continue
-                raw = unpack.decompress(batch.column(2)[i].as_py())
-                first = found.field("first").to_pylist()
-                part = [raw[a:a + k + LENGTH - 1] for a, k in zip(first, found.field("size").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [found.field("fp"), found.field("shard"), found.field("shards"),
-                     pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.int32()),
-                     pa.array(first, pa.int64()), pa.array(part, pa.binary())], schema=schema)
-
     one = texts.select("id", "dup", "doc_id", "text").join(wanted, (F.col("id") == F.col("id2")) & (F.col("dup") == F.col("dup2")))
     one = one.dropDuplicates(["id", "dup"]).select("id", "dup", "text", "runs")
-    segments = one.mapInArrow(cut, "fp long, shard int, shards int, id long, dup int, first long, bytes binary")
+    segments = one.mapInArrow(cut_segments, "fp long, shard int, shards int, id long, dup int, first long, bytes binary")
     found = segments.repartition("fp", "shard").sortWithinPartitions("fp", "shard").mapInArrow(solve_shards, INTERVALS)
     if most > 1:
         found = materialize(found, "solved-shards")
@@ -506,34 +569,4 @@ def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
                  .join(gone, (F.col("id") == F.col("id3")) & (F.col("dup") == F.col("dup3")), "left")
                  .join(later, (F.col("id") == F.col("id4")) & (F.col("dup") == F.col("dup4")), "left").select("doc_id", "text", "runs", "gone", "later"))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                raw = unpack.decompress(batch.column(1)[i].as_py())
-                if batch.column(4)[i].as_py() and len(raw) >= LENGTH:      # the whole text stands earlier
-                    out.append((len(raw), len(raw), 1, hashlib.sha256().hexdigest()))
-                    continue
-                gone = [(g["lo"], g["hi"]) for g in batch.column(3)[i].as_py() or []]
-                runs = batch.column(2)[i].as_py() or []
-                stands = {g["first"] for g in runs if not g["copy"]}
-                gone += [(g["first"], g["first"] + g["size"] + LENGTH - 1) for g in runs if g["copy"] and g["first"] not in stands]
-                kept, spans, done, removed = hashlib.sha256(), 0, 0, 0
-                for lo, hi in sorted(gone):
-                    if lo > done or (lo == 0 and not spans):
-                        kept.update(raw[done:lo])
-                        spans += 1
-                        removed += hi - lo
-                        done = hi
-                    elif hi > done:
-                        removed += hi - done
-                        done = hi
-                kept.update(raw[done:])
-                out.append((len(raw), removed, spans, kept.hexdigest()))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
     return last.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -29,9 +29,12 @@ LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
-    x = (x ^ (x >> _U(30))) * _MIX_A
-    x = (x ^ (x >> _U(27))) * _MIX_B
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _MIX_A
+    x ^= x >> _U(27)
+    x *= _MIX_B
+    x ^= x >> _U(31)
+    return x
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -71,6 +74,12 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of every window of ``width`` bytes, in order."""
+    _, down = POWERS.upto(len(prefix))
+    return mix((prefix[width:] - prefix[:-width]) * down[:len(prefix) - width])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -9,6 +9,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,37 @@ def test_anchor_runs_split_all_strings(raw):
     assert all(a <= p + 0 and p >= b and p <= a + 100 - suffix_dedup.GRAM for a, b, p in zip(first, last, place, strict=True))
 
 
+def test_segments_come_in_few_batches(monkeypatch):
+    texts = [bytes([65 + k]) * 150 for k in range(6)]
+    run = [("fp", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("first", pa.int64()), ("size", pa.int32()), ("copy", pa.bool_())]
+    runs = [[dict(fp=k, shard=0, shards=1, first=f, size=3, copy=f == 9) for f in (9, k)] if k % 3 else None for k in range(6)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6), pa.int64()), pa.array([0] * 6, pa.int32()), pa.array([suffix_dedup.zstandard.compress(t) for t in texts]),
+         pa.array(runs, pa.list_(pa.struct(run)))], names=["id", "dup", "text", "runs"])
+    want = [(k, 0, 1, k, 0, k, texts[k][k:k + 102]) for k in range(6) if k % 3]
+    for limit, n in ((1 << 20, 1), (200, 2)):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", limit)
+        got = list(suffix_dedup.cut_segments(iter([batch])))
+        assert len(got) == n
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(1, 9)), max_size=30))
+def test_spans_are_united(spans):
+    row, lo, size = (np.array([s[k] for s in spans], dtype=np.int64) for k in range(3))
+    covered = {(r, a + j) for r, a, n in spans for j in range(n)}
+    got = list(zip(*(x.tolist() for x in suffix_dedup.united(row, lo, lo + size)), strict=True))
+    assert [(r, j) for r, a, b in got for j in range(a, b)] == sorted(covered)
+    assert all((r, a - 1) not in covered and (r, b) not in covered for r, a, b in got)
+
+
+@given(st.lists(st.integers(0, 99), min_size=1, max_size=40), st.integers(1, 40))
+def test_sliding_min_matches_plain(values, width):
+    got = suffix_dedup.sliding_min(np.array(values, dtype=np.uint64), min(width, len(values)))
+    assert got.tolist() == [min(values[i:i + min(width, len(values))]) for i in range(len(got))]
+    assert len(got) == len(values) - min(width, len(values)) + 1
+
+
 def test_long_texts_are_cut_between_starts():
     got = suffix_dedup.pieces(1000, 300)
     assert [p for lo, hi in got for p in range(lo, hi - 99)] == list(range(901))
