@@ -52,7 +52,7 @@ SHARD_RUNS = 4096            # runs of one anchor in one shard
 CHUNK_BYTES = 1 << 20        # shards are sorted together up to this many bytes
 BATCH_ROWS = 20_000          # rows of a result batch
 SCAN_BYTES = 1 << 17         # text scanned for anchors at once: its arrays stay in the processor's cache
-SEGMENT_BYTES = 4 << 20      # run bytes of a batch
+SEGMENT_BYTES = 1 << 20      # run bytes of a batch
 _BITS = 21                   # positions of a chunk
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -111,6 +111,7 @@ def file_anchors(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(fp.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids[rows]), pa.array(dups[rows]),
                          pa.array(first + lo), pa.array(size.astype(np.int32))], schema=schema)
+            pa.default_memory_pool().release_unused()
 
     return docs.select("id", "dup", "text").mapInArrow(scan, "fp long, run long, id long, dup int, first long, size int")
 
@@ -529,6 +530,7 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        pa.default_memory_pool().release_unused()
 
 
 def dedup(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
